@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
-from pitwell.llm import exact_dedup, line_dedup, mixing
+from pitwell.llm import exact_dedup, language_id, line_dedup, mixing, piece_codec, pii, quality
 
 QUERIES = {
     "op1_mix": mixing.op1_mix,
+    "op3_language": language_id.op3_language,
+    "op4_quality": quality.op4_quality,
     "op5_exact_dedup": exact_dedup.op5_exact_dedup,
     "op6_line_dedup": line_dedup.op6_line_dedup,
+    "op8_personal_data": pii.op8_personal_data,
+    "op9_pieces": piece_codec.op9_pieces,
 }
 
 ORACLE_SQL = {
