@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pitwell.llm import exact_dedup, language_id, line_dedup, mixing, piece_codec, pii, quality
+from pitwell.llm import exact_dedup, language_id, line_dedup, mixing, piece_codec, pii, quality, substring_dedup
 
 QUERIES = {
     "op1_mix": mixing.op1_mix,
@@ -10,6 +10,7 @@ QUERIES = {
     "op4_quality": quality.op4_quality,
     "op5_exact_dedup": exact_dedup.op5_exact_dedup,
     "op6_line_dedup": line_dedup.op6_line_dedup,
+    "op7_substring_dedup": substring_dedup.op7_substring_dedup,
     "op8_personal_data": pii.op8_personal_data,
     "op9_pieces": piece_codec.op9_pieces,
 }
