@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pitwell.llm import exact_dedup, language_id, line_dedup, mixing, piece_codec, pii, quality, substring_dedup
+from pitwell.llm import exact_dedup, language_id, line_dedup, mixing, piece_codec, pii, quality, substring_dedup, suffix_dedup
 
 QUERIES = {
     "op1_mix": mixing.op1_mix,
@@ -13,6 +13,7 @@ QUERIES = {
     "op7_substring_dedup": substring_dedup.op7_substring_dedup,
     "op8_personal_data": pii.op8_personal_data,
     "op9_pieces": piece_codec.op9_pieces,
+    "op10_suffix_dedup": suffix_dedup.op10_suffix_dedup,
 }
 
 ORACLE_SQL = {
