@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pitwell.llm import exact_dedup, language_id, line_dedup, mixing, piece_codec, pii, quality, substring_dedup, suffix_dedup
+from pitwell.llm import exact_dedup, language_id, line_dedup, mixing, near_dedup, piece_codec, pii, quality, substring_dedup, suffix_dedup
 
 QUERIES = {
     "op1_mix": mixing.op1_mix,
+    "op2_near_dedup": near_dedup.op2_near_dedup,
     "op3_language": language_id.op3_language,
     "op4_quality": quality.op4_quality,
     "op5_exact_dedup": exact_dedup.op5_exact_dedup,
