@@ -129,8 +129,8 @@ def estimates(rows: DataFrame) -> DataFrame:
                 mean = np.array(r.first) / r.held
                 cov = np.array(r.second).reshape(p, p) / r.held - np.outer(mean, mean)
                 cov = CONSISTENCY * cov
-                # Shrinks correlations no further than the floors on the diagonal ask for.
-                cov[np.diag_indices(p)] = np.maximum(np.diag(cov), np.square(FLOORS))
+                # Variances reach their floors; a tenth of the floors more keeps the matrix regular for tiny or constant groups.
+                cov[np.diag_indices(p)] = np.maximum(np.diag(cov), np.square(FLOORS)) + 0.1 * np.square(FLOORS)
                 out.append((r.key, r.n, mean.tolist(), np.linalg.inv(cov).ravel().tolist()))
             yield pd.DataFrame(out, columns=["key", "n", "centre", "precision"])
 
