@@ -27,6 +27,7 @@ import hashlib
 import re
 from collections.abc import Iterable, Iterator
 from functools import lru_cache
+from itertools import groupby
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -34,7 +35,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pitwell.llm.shared import documents
 
 MARK = "▁"
-MOST_CHUNKS = 200_000
+MOST_CHUNKS = 500_000
 MODEL = "piece_bpe_32k.model"
 CHUNKS = re.compile(f"{MARK}+[^{MARK}\n]*|[^{MARK}\n]+|\n+")
 
@@ -58,7 +59,8 @@ class PieceCodec:
         self.byte = {int(self.pieces[i][1:-1], 16): i for i in range(len(self.pieces)) if model.is_byte(i)}
         self.of_byte = {i: b for b, i in self.byte.items()}
         odd = {i for i in range(len(self.pieces)) if model.is_byte(i) or model.is_control(i) or model.is_unknown(i) or model.is_unused(i)}
-        self.silent = {i for i in odd if i not in self.of_byte}
+        #: What an id adds to a text: nothing for control ids, None for bytes.
+        self.surface = [None if i in self.of_byte else "" if i in odd else p.replace(MARK, " ") for i, p in enumerate(self.pieces)]
         self.ids = {p: i for i, p in enumerate(self.pieces) if i not in odd}
         order = sorted((p for p in self.ids if len(p) > 1), key=lambda p: -model.get_score(self.ids[p]))
         #: Priority of the merge that makes a piece; single characters are there from the start.
@@ -67,8 +69,10 @@ class PieceCodec:
         self.halves: dict[str, tuple[str, str] | None] = {}
         self.compatible = lru_cache(1 << 18)(self._compatible)
         self.automaton = ahocorasick.Automaton()
+        # A piece that no merge makes never stands in an encoding.
         for p in self.ids:
-            self.automaton.add_word(p, p)
+            if len(p) == 1 or self.split(p):
+                self.automaton.add_word(p, (p, len(p)))
         self.automaton.make_automaton()
         self.chunk_ids: dict[str, str] = {}
         self.chunk_text: dict[str, str] = {}
@@ -101,54 +105,50 @@ class PieceCodec:
             else:  # of two equal merges the left one is made first
                 limit, right = b + 1, self.split(right)[0]
 
-    def stands(self, piece: str) -> bool:
-        return len(piece) == 1 or self.split(piece) is not None
-
     def last_tokens(self, text: str) -> list[str]:
         """The last token of every prefix of a text of known characters; place 0 stays empty."""
         last = [""] * (len(text) + 1)
-        stands, compatible = self.stands, self.compatible
-        for end, piece in self.automaton.iter(text):
-            if not last[end + 1]:
-                u = last[end + 1 - len(piece)]
-                if stands(piece) and (compatible(u, piece) if u else end + 1 == len(piece)):
-                    last[end + 1] = piece
+        compatible = self.compatible
+        for end, (piece, size) in self.automaton.iter(text):
+            end += 1
+            if not last[end]:
+                u = last[end - size]
+                if compatible(u, piece) if u else end == size:
+                    last[end] = piece
         return last
 
+    def encode_known(self, text: str) -> list[int]:
+        last, ids, back = self.last_tokens(text), self.ids, []
+        i = len(text)
+        while i:
+            token = last[i]
+            back.append(ids[token])
+            i -= len(token)
+        back.reverse()
+        return back
+
     def encode_chunk(self, chunk: str) -> list[int]:
+        if self.known.issuperset(chunk):
+            return self.encode_known(chunk)
         out: list[int] = []
-        at = 0
-        while at < len(chunk):
-            stop = at
-            while stop < len(chunk) and chunk[stop] in self.known:
-                stop += 1
-            if stop > at:
-                part, back = chunk[at:stop], []
-                last = self.last_tokens(part)
-                i = len(part)
-                while i:
-                    back.append(self.ids[last[i]])
-                    i -= len(last[i])
-                out += reversed(back)
-            if stop < len(chunk):
-                out += [self.byte[b] for b in chunk[stop].encode("utf-8", "replace")]
-                stop += 1
-            at = stop
+        for known, part in groupby(chunk, self.known.__contains__):
+            text = "".join(part)
+            out += self.encode_known(text) if known else [self.byte[b] for b in text.encode("utf-8", "replace")]
         return out
 
     def decode_pieces(self, ids: Iterable[int]) -> str:
         """Text of ids without the rule for the first space mark."""
         out, raw = [], bytearray()
         for i in ids:
-            if i in self.of_byte:
+            text = self.surface[i]
+            if text is None:
                 raw.append(self.of_byte[i])
                 continue
             if raw:
                 out.append(raw.decode("utf-8", "replace"))
                 raw.clear()
-            if i not in self.silent:
-                out.append(self.pieces[i].replace(MARK, " "))
-        return "".join(out) + raw.decode("utf-8", "replace")
+            out.append(text)
+        return "".join(out) + raw.decode("utf-8", "replace") if raw else "".join(out)
 
     def decode(self, ids: Iterable[int]) -> str:
         return self.decode_pieces(ids).removeprefix(" ")
