@@ -81,7 +81,9 @@ def pick(texts: pa.Array, size: int = WINDOW, rounds: int = ROUNDS) -> tuple[Pic
     prefix = prefix_hash(w.hash)
     name, low, high = recompress(w.hash, w.doc, rounds)
     sound = (low >= 0) & (high < FAR)
-    name, low, high = name[sound], low[sound], high[sound]
+    low, high = low[sound], high[sound]
+    # A short symbol is common by itself; with all the words that decide it, it is as rare as a long one.
+    name = mix(name[sound] ^ span_hash(prefix, low, high))
     a = np.searchsorted(low, window)
     b = np.searchsorted(high, window + size, "right")
     some = b > a
