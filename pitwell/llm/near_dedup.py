@@ -12,7 +12,8 @@ exact and runs over classes of documents with equal sets:
    n - ceil(0.75 n) + 1; postings of those shingles give candidates, pruned by
    length and by what can remain behind the shared shingle. Candidates of a
    posting list are first joined to its first member and to their neighbour; only
-   members that then still lie in different components are paired further.
+   members that then still lie in different components are compared further, in
+   long lists block by block, so that no list is written out as pairs.
 4. Verify. The candidates of one set, at most BLOCK at a time, stand in a trie:
    sorted by their ordered shingles, so that the overlap of a common beginning is
    counted once, and a branch is left as soon as the shingles remaining cannot
@@ -39,7 +40,8 @@ from pitwell.llm.shared import Words, as_long, documents, mix, prefix_hash, slic
 SHINGLE = 5
 #: Share of a set's hash order that the screen looks at, in tenths, and the least shared part of a set (0.15 x 0.75).
 SCREEN_TENTHS, LEAST_SHARED = 4, 0.1125
-BLOCK = 256
+#: Members of a trie or of a block; posting lists up to SHORT_LIST are paired member by member.
+BLOCK, SHORT_LIST = 256, 24
 BROADCAST_IDS = 500_000
 
 
@@ -75,8 +77,8 @@ def set_table(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, n int, sig long")
 
 
-def screened(docs: DataFrame) -> DataFrame:
-    """sig of the sets that share enough of their first shingles with other sets."""
+def screened(docs: DataFrame, classes: DataFrame) -> DataFrame:
+    """sig, doc_id of the classes (sig, n, doc_id) that share enough of their first shingles with other sets."""
 
     def first_part(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -86,7 +88,7 @@ def screened(docs: DataFrame) -> DataFrame:
                 if sets:
                     size = [len(c) for c in cut]
                     sig = np.repeat(np.array([signature(s) for s in sets], np.uint64), size)
-                    yield pa.RecordBatch.from_arrays([as_long(np.concatenate(cut)), as_long(sig), pa.array(np.repeat([len(s) for s in sets], size).astype(np.int32))], names=["shingle", "sig", "n"])
+                    yield pa.RecordBatch.from_arrays([as_long(np.concatenate(cut)), as_long(sig)], names=["shingle", "sig"])
 
     def shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Counts per set the shingles that another set has too. Rows come sorted by shingle and set; the last row waits for its successor."""
@@ -94,10 +96,10 @@ def screened(docs: DataFrame) -> DataFrame:
         for b in batches:
             if not b.num_rows:
                 continue
-            s, g, n = (c.to_numpy() for c in b.columns)
+            s, g = (c.to_numpy() for c in b.columns)
             before = False
             if held is not None:
-                s, g, n, before = np.append(held[0], s), np.append(held[1], g), np.append(held[2], n), held[3]
+                s, g, before = np.append(held[0], s), np.append(held[1], g), held[2]
             other = (s[1:] == s[:-1]) & (g[1:] != g[:-1])
             copy = (s[1:] == s[:-1]) & (g[1:] == g[:-1])
             # A run of rows of one set and one shingle counts once, when its last row is seen.
@@ -111,22 +113,23 @@ def screened(docs: DataFrame) -> DataFrame:
             hit = other[done] | from_left[group[done]]
             done = done[hit]
             if len(done):
-                sig, at, count = np.unique(g[done], return_index=True, return_counts=True)
-                yield pa.RecordBatch.from_arrays([pa.array(sig), pa.array(n[done][at]), pa.array(count.astype(np.int64))], names=["sig", "n", "hits"])
-            held = (s[-1:], g[-1:], n[-1:], bool(from_left[group[-1]]))
-        if held is not None and held[3]:
-            yield pa.RecordBatch.from_arrays([pa.array(held[1]), pa.array(held[2]), pa.array(np.ones(1, np.int64))], names=["sig", "n", "hits"])
+                sig, count = np.unique(g[done], return_counts=True)
+                yield pa.RecordBatch.from_arrays([pa.array(sig), pa.array(count.astype(np.int64))], names=["sig", "hits"])
+            held = (s[-1:], g[-1:], bool(from_left[group[-1]]))
+        if held is not None and held[2]:
+            yield pa.RecordBatch.from_arrays([pa.array(held[1]), pa.array(np.ones(1, np.int64))], names=["sig", "hits"])
 
-    rows = docs.filter("text IS NOT NULL").select("text").mapInArrow(first_part, "shingle long, sig long, n int")
+    rows = docs.filter("text IS NOT NULL").select("text").mapInArrow(first_part, "shingle long, sig long")
     dealt = rows.repartition("shingle").sortWithinPartitions("shingle", "sig")
-    counts = dealt.mapInArrow(shared, "sig long, n int, hits long").groupBy("sig", "n").agg(F.sum("hits").alias("hits"))
-    return counts.filter(F.col("hits") >= F.greatest(F.lit(1), F.floor(F.col("n") * LEAST_SHARED))).select("sig")
+    counts = dealt.mapInArrow(shared, "sig long, hits long").groupBy("sig").agg(F.sum("hits").alias("hits"))
+    return counts.join(classes, "sig").filter(F.col("hits") >= F.greatest(F.lit(1), F.floor(F.col("n") * LEAST_SHARED))).select("sig", "doc_id")
 
 
 def ordered_sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     """sig, n, lone, shingles: shared shingles from rare to frequent; lone: how many no other wanted set has. wanted: sig, doc_id."""
-    ids = wanted.select(F.col("doc_id").alias("wanted_id"))
-    ids = F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
+    ids, sigs = wanted.select(F.col("doc_id").alias("wanted_id")), wanted.select("sig")
+    if wanted.count() <= BROADCAST_IDS:
+        ids, sigs = F.broadcast(ids), F.broadcast(sigs)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -139,10 +142,11 @@ def ordered_sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
 
     texts = docs.join(ids, docs["doc_id"].eqNullSafe(ids["wanted_id"]), "left_semi").select("text")
     rows = texts.mapInArrow(run, "shingle long, sig long, n int")
-    # A null or repeated id may bring in other sets and copies.
-    rows = stored(rows.join(wanted.select("sig"), "sig", "left_semi"), "op2-shingles")
-    counts = rows.distinct().groupBy("shingle").agg(F.count("*").alias("c")).filter("c > 1")
-    held = rows.join(counts, "shingle").distinct().groupBy("sig", "n").agg(F.array_sort(F.collect_list(F.struct("c", "shingle"))).alias("s"))
+    # A null or repeated id may bring in other sets and copies; one shuffle by shingle drops copies and counts.
+    by = Window.partitionBy("shingle")
+    rows = rows.join(sigs, "sig", "left_semi").withColumn("before", F.lag("sig").over(by.orderBy("sig")))
+    rows = rows.filter("before IS NULL OR before <> sig").withColumn("c", F.count("*").over(by)).filter("c > 1")
+    held = rows.groupBy("sig", "n").agg(F.array_sort(F.collect_list(F.struct("c", "shingle"))).alias("s"))
     return held.select("sig", "n", (F.col("n") - F.size("s")).alias("lone"), F.col("s.shingle").alias("shingles")).filter("4 * (n - lone) >= 3 * n")
 
 
@@ -170,17 +174,101 @@ def paired(rows: DataFrame) -> DataFrame:
     return rows.select(F.least("sig", "other").alias("a"), F.greatest("sig", "other").alias("b")).distinct()
 
 
-def remaining_pairs(postings: DataFrame, component: DataFrame, tried: DataFrame) -> DataFrame:
-    """Candidates that share a prefix shingle and lie in different components, without those tried."""
+def mixed_postings(postings: DataFrame, component: DataFrame) -> DataFrame:
+    """Posting lists whose members lie in several components: shingle, sig, n, pos, c, m (length of the list)."""
     rows = postings.join(component, "sig", "left").withColumn("c", F.coalesce("component", "sig")).drop("component")
-    mixed = rows.groupBy("shingle").agg(F.min("c").alias("x"), F.max("c").alias("y")).filter("x <> y").select("shingle")
-    rows = stored(rows.join(mixed, "shingle"), "op2-mixed")
+    mixed = rows.groupBy("shingle").agg(F.min("c").alias("x"), F.max("c").alias("y"), F.count("*").alias("m")).filter("x <> y").select("shingle", "m")
+    return stored(rows.join(mixed, "shingle"), "op2-mixed")
+
+
+def short_list_pairs(rows: DataFrame, tried: DataFrame) -> DataFrame:
+    """Candidates across components within short posting lists, without those tried; at most SHORT_LIST for each row."""
+    rows = rows.filter(F.col("m") <= SHORT_LIST)
     x = rows.select("shingle", *(F.col(k).alias(f"{k}1") for k in ("sig", "n", "pos", "c")))
     y = rows.select("shingle", *(F.col(k).alias(f"{k}2") for k in ("sig", "n", "pos", "c")))
     both = x.join(y, "shingle").filter("c1 < c2").filter(can_link("n1", "pos1", "n2", "pos2"))
     return paired(both.select(F.col("sig1").alias("sig"), F.col("sig2").alias("other"))).join(tried, ["a", "b"], "left_anti")
 
 
+def long_list_links(rows: DataFrame, sets: DataFrame) -> DataFrame:
+    """Links (a, b) that join what the sets of long posting lists join, at most a tree for two blocks.
+
+    Sets that share their smallest long-list shingle, as near copies do, form blocks of about BLOCK. Lists are compared
+    block by block, not member by member; a task counts the overlaps of two blocks as one matrix product.
+    """
+    rows = rows.filter(F.col("m") > SHORT_LIST)
+    homes = rows.groupBy("sig").agg(F.min("shingle").alias("home"))
+    sizes = homes.groupBy("home").agg(F.greatest(F.lit(1), F.floor(F.count("*") / BLOCK)).alias("parts"))
+    blocks = stored(homes.join(sizes, "home").select("sig", F.xxhash64("home", F.pmod(F.xxhash64("sig"), "parts")).alias("block")), "op2-blocks")
+    left = F.col("n") - F.col("pos")
+    lists = rows.join(blocks, "sig").groupBy("shingle", "block").agg(F.min("c").alias("c"), F.max("c").alias("d"), F.min("n").alias("low"), F.max("n").alias("high"), F.max(left).alias("left"))
+    x = lists.select("shingle", *(F.col(k).alias(f"{k}1") for k in lists.columns[1:]))
+    y = lists.select("shingle", *(F.col(k).alias(f"{k}2") for k in lists.columns[1:]))
+    both = x.join(y, "shingle").filter("block1 <= block2 AND NOT (c1 = d1 AND c2 = d2 AND c1 = c2)")
+    both = both.filter("4 * high1 >= 3 * low2 AND 4 * high2 >= 3 * low1 AND 7 * least(left1, left2) >= 3 * (low1 + low2)")
+    pairs = both.select("block1", "block2").distinct()
+    members = blocks.join(sets.select("sig", "n", "shingles"), "sig")
+    sides = pairs.select("block1", "block2", F.explode(F.when(F.col("block1") == F.col("block2"), F.array(F.struct(F.lit(0).alias("side"), F.col("block1").alias("block")))).otherwise(F.array(F.struct(F.lit(0).alias("side"), F.col("block1").alias("block")), F.struct(F.lit(1).alias("side"), F.col("block2").alias("block"))))).alias("s")).select("block1", "block2", "s.*")
+    rows = sides.join(members, "block").select("block1", "block2", "side", "sig", "n", "shingles")
+
+    def linked(a: list[tuple], b: list[tuple]) -> list[tuple[int, int]]:
+        sets_of = lambda part: (np.concatenate([m[2] for m in part]), np.repeat(np.arange(len(part)), [len(m[2]) for m in part]))
+        (ta, ra), (tb, rb) = sets_of(a), sets_of(b)
+        common = np.intersect1d(ta, tb)
+        overlap = np.zeros((len(a), len(b)), np.float32)
+        for at in range(0, len(common), 2048):
+            words = common[at : at + 2048]
+            sides_ = []
+            for t, r, n in ((ta, ra, len(a)), (tb, rb, len(b))):
+                k = np.minimum(np.searchsorted(words, t), len(words) - 1)
+                hit = words[k] == t
+                m = np.zeros((n, len(words)), np.float32)
+                m[r[hit], k[hit]] = 1
+                sides_.append(m)
+            overlap += sides_[0] @ sides_[1].T
+        size = np.array([m[1] for m in a])[:, None] + np.array([m[1] for m in b])[None, :]
+        link = 7 * overlap.astype(np.int64) >= 3 * size
+        out, left_, right_ = [], np.ones(len(a), bool), np.ones(len(b), bool)
+        for i in range(len(a)):
+            if not left_[i]:
+                continue
+            mine, theirs = np.zeros(len(a), bool), np.zeros(len(b), bool)
+            mine[i] = True
+            while True:
+                reach = link[mine].any(axis=0)
+                back = mine | link[:, reach].any(axis=1)
+                if (back == mine).all() and (reach == theirs).all():
+                    break
+                mine, theirs = back, reach
+            left_ &= ~mine
+            right_ &= ~theirs
+            out += [(a[i][0], a[k][0]) for k in np.flatnonzero(mine) if k != i] + [(a[i][0], b[k][0]) for k in np.flatnonzero(theirs) if b[k][0] != a[i][0]]
+        return out
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now: tuple | None = None
+        a: list[tuple] = []
+        b: list[tuple] = []
+
+        def found() -> Iterator[pa.RecordBatch]:
+            if a:
+                links = linked(a, b if b else a) if b or now[0] == now[1] else []
+                if links:
+                    yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in links], pa.int64()), pa.array([y for _, y in links], pa.int64())], names=["a", "b"])
+
+        for batch in batches:
+            b1, b2, side, sig, n = (batch.column(k).to_pylist() for k in range(5))
+            for i in range(batch.num_rows):
+                if now != (b1[i], b2[i]):
+                    yield from found()
+                    now, a, b = (b1[i], b2[i]), [], []
+                (b if side[i] else a).append((sig[i], n[i], batch.column(5)[i].values.to_numpy()))
+        yield from found()
+
+    dealt = rows.repartition("block1", "block2").sortWithinPartitions("block1", "block2", "side")
+    return dealt.mapInArrow(run, "a long, b long").distinct()
+
+
 def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     """The pairs (a, b) with 100 * intersection >= 75 * union."""
 
@@ -258,16 +346,17 @@ def components(links: DataFrame, label: str = "op2-stars") -> DataFrame:
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """doc_id, n_shingles, component_id of every row."""
     table = stored(set_table(docs), "op2-sets")
-    classes = table.filter("n > 0").groupBy("sig").agg(F.min("doc_id").alias("doc_id"))
-    wanted = stored(screened(docs).join(classes, "sig"), "op2-wanted")
+    classes = table.filter("n > 0").groupBy("sig", "n").agg(F.min("doc_id").alias("doc_id"))
+    wanted = stored(screened(docs, classes), "op2-wanted")
     sets = stored(ordered_sets(docs, wanted), "op2-ordered")
     postings = stored(postings_of(sets), "op2-postings")
     tried = stored(neighbour_pairs(postings), "op2-tried")
     links = stored(verified(tried, sets), "op2-links")
     component = stored(components(links), "op2-component")
-    more = stored(remaining_pairs(postings, component, tried), "op2-more")
+    mixed = mixed_postings(postings, component)
+    more = verified(stored(short_list_pairs(mixed, tried), "op2-more"), sets)
+    more = stored(more.unionByName(long_list_links(mixed, sets)), "op2-links")
     if not more.isEmpty():
-        more = stored(verified(more, sets), "op2-links")
         bridges = component.select(F.col("sig").alias("a"), F.col("component").alias("b"))
         component = stored(components(more.unionByName(bridges)), "op2-component")
     named = table.join(component, "sig", "left").withColumn("c", F.coalesce("component", "sig"))
