@@ -89,10 +89,11 @@ def with_marks(docs: DataFrame, marks: DataFrame, how: str = "left") -> DataFram
     """doc_id, text, starts, ns: the documents with the runs of windows marked in them."""
     listed = marks.groupBy("doc_id").agg(F.collect_list(F.struct("start", "n")).alias("m"))
     listed = listed.select(F.col("doc_id").alias("marked"), F.col("m.start").alias("starts"), F.col("m.n").alias("ns"))
-    listed = stored(listed, "marks")
-    held = listed.agg(F.count("*").alias("docs"), F.coalesce(F.sum(F.size("starts")), F.lit(0)).alias("marks")).first()
-    if held.docs <= BROADCAST_DOCUMENTS and held.marks <= BROADCAST_MARKS:
-        listed = F.broadcast(listed)
+    if how == "inner":  # a few documents are asked for; a left join needs all texts and always shuffles
+        listed = stored(listed, "marks")
+        held = listed.agg(F.count("*").alias("docs"), F.coalesce(F.sum(F.size("starts")), F.lit(0)).alias("marks")).first()
+        if held.docs <= BROADCAST_DOCUMENTS and held.marks <= BROADCAST_MARKS:
+            listed = F.broadcast(listed)
     rows = docs.select("doc_id", "text")
     return rows.join(listed, rows["doc_id"] == listed["marked"], how).drop("marked")
 
