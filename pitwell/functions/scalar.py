@@ -42,7 +42,7 @@ def collapsed(x: Column) -> Column:
 
 def ticker_set(x: Column) -> Column:
     """Sorted distinct tickers of a comma list."""
-    return F.array_sort(F.array_distinct(F.transform(F.split(F.upper(x), ","), F.trim)))
+    return F.array_sort(F.array_distinct(F.transform(F.split(F.upper(x), ","), lambda s: F.trim(s))))
 
 
 def content_id(*parts: Column) -> Column:
