@@ -37,17 +37,17 @@ def verified_paths(quotes: DataFrame, cycles: DataFrame, key: str = "security_id
     one = F.lit(1).alias("k_")
     rows = interval_join(quotes.select(key, "date", "price", "ret", one), cycles.select("entry", "exit", one), ["k_"], "date", "entry", "exit").drop("k_")
     w = Window.partitionBy(key, "entry").orderBy("date")
-    chain = F.abs(F.col("price") / F.lag("price").over(w) - 1 - F.col("ret")) <= tolerance
+    chain = F.abs(F.try_divide(F.col("price"), F.lag("price").over(w)) - 1 - F.col("ret")) <= tolerance
     good = finite(F.col("price")) & (F.col("price") > 0)
     rows = rows.withColumn("good_", good).withColumn("chain_", F.when(F.lag("price").over(w).isNull(), True).otherwise(F.coalesce(chain, F.lit(False))))
     after = F.when(F.col("date") > F.col("entry"), 1 + F.col("ret"))
     out = rows.groupBy(key, "entry", "exit").agg(
         F.count("*").alias("quotes"), F.max(F.when(F.col("date") == F.col("entry"), F.col("price"))).alias("p0"), F.max(F.when(F.col("date") == F.col("exit"), F.col("price"))).alias("p1"),
         F.bool_and("good_").alias("good"), F.bool_and("chain_").alias("chain"), F.product(after).alias("path"))
-    whole = F.abs(F.col("path") - F.col("p1") / F.col("p0")) <= tolerance * 100
+    whole = F.abs(F.col("path") - F.try_divide("p1", "p0")) <= tolerance * 100
     status = (F.when(~F.col("good"), "INVALID_QUOTE").when(F.col("p0").isNull() | F.col("p1").isNull(), "MISSING_ENDPOINT_NO_AUTHENTIC_TERMINAL")
               .when(~F.col("chain") | ~F.coalesce(whole, F.lit(False)), "UNRECONCILED_QUOTE_RETURN_CHAIN").otherwise("COMPLETE_VALID"))
-    return out.select(key, "entry", "exit", "quotes", status.alias("status"), F.when(status == "COMPLETE_VALID", F.col("p1") / F.col("p0") - 1).alias("realized"))
+    return out.select(key, "entry", "exit", "quotes", status.alias("status"), F.when(status == "COMPLETE_VALID", F.try_divide("p1", "p0") - 1).alias("realized"))
 
 
 def admitted_groups(members: DataFrame, paths: DataFrame, keys: list[str], key: str = "security_id") -> DataFrame:
