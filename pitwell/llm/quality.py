@@ -31,6 +31,8 @@ LEAST_WORDS, REPEAT_WINDOW, MOST_REPEATED = 20, 8, 30
 INNER, CONSISTENCY, CUT = 0.75, 1.41, 55.5
 STEPS = 3
 LEAST = 50
+#: Most groups whose estimates are sent to all executors at once (about 400 bytes each).
+BROADCAST_GROUPS = 20_000
 STATS = ("x_words", "x_length", "x_symbols", "x_lines", "x_repeats")
 #: Least standard deviations: variation below them is no sign of a bad document.
 FLOORS = (1.0, 0.12, 0.12, 0.15, 0.12)
@@ -113,11 +115,25 @@ def squared_distance(centre: Column, precision: Column) -> Column:
     return F.aggregate(F.transform(F.sequence(F.lit(0), F.lit(p * p - 1)), lambda k: F.get(diffs, (k / p).cast("int")) * F.get(diffs, k % p) * F.get(precision, k)), F.lit(0.0), lambda a, b: a + b)
 
 
+def with_group(rows: DataFrame, side: DataFrame) -> DataFrame:
+    """Rows joined with the stored table `side` of one row a key, which holds the group's size n.
+
+    A key of many rows is never dealt out: few groups are broadcast; of many, those with more than
+    1 / BROADCAST_GROUPS of all rows are (no more than BROADCAST_GROUPS), and the rest is shuffled.
+    """
+    groups, total = side.agg(F.count("*"), F.sum("n")).first()
+    if groups <= BROADCAST_GROUPS:
+        return rows.join(F.broadcast(side), "key")
+    large = side.filter(F.col("n") > total / BROADCAST_GROUPS)
+    small = rows.join(F.broadcast(large.select("key")), "key", "left_anti")
+    return rows.join(F.broadcast(large), "key").unionByName(small.join(side, "key"))
+
+
 def estimates(rows: DataFrame) -> DataFrame:
     """key, n, centre, precision (row-major): minimum-covariance-determinant estimates of all groups."""
     many = grouped(rows)
-    middle = many.groupBy("key").agg(F.count("*").alias("n"), *(F.percentile_approx(s, 0.5, 1000).alias(f"m_{s}") for s in STATS))
-    spread = many.join(middle, "key").groupBy("key").agg(F.first("n").alias("n"), *(F.first(f"m_{s}").alias(f"m_{s}") for s in STATS), *(F.percentile_approx(F.abs(F.col(s) - F.col(f"m_{s}")), 0.5, 1000).alias(f"d_{s}") for s in STATS))
+    middle = stored(many.groupBy("key").agg(F.count("*").alias("n"), *(F.percentile_approx(s, 0.5, 1000).alias(f"m_{s}") for s in STATS)), "op4-middle")
+    spread = with_group(many, middle).groupBy("key").agg(F.first("n").alias("n"), *(F.first(f"m_{s}").alias(f"m_{s}") for s in STATS), *(F.percentile_approx(F.abs(F.col(s) - F.col(f"m_{s}")), 0.5, 1000).alias(f"d_{s}") for s in STATS))
     p = len(STATS)
     inverse = [F.lit(0.0) if i != j else 1 / F.pow(F.greatest(F.col(f"d_{s}") * 1.4826, F.lit(FLOORS[i])), 2) for i, s in enumerate(STATS) for j in range(p)]
     now = stored(spread.select("key", "n", F.array(*(F.col(f"m_{s}").cast("double") for s in STATS)).alias("centre"), F.array(*inverse).alias("precision")), "op4-start")
@@ -135,9 +151,9 @@ def estimates(rows: DataFrame) -> DataFrame:
             yield pd.DataFrame(out, columns=["key", "n", "centre", "precision"])
 
     for _ in range(STEPS):
-        far = many.join(now, "key").withColumn("d", squared_distance(F.col("centre"), F.col("precision"))).select("key", "n", "d", *STATS)
-        radius = far.groupBy("key").agg(F.percentile_approx("d", INNER, 1000).alias("radius"))
-        inner = far.join(radius, "key").filter("d <= radius")
+        far = with_group(many, now).withColumn("d", squared_distance(F.col("centre"), F.col("precision"))).select("key", "d", *STATS)
+        radius = stored(far.groupBy("key").agg(F.count("*").alias("n"), F.percentile_approx("d", INNER, 1000).alias("radius")), "op4-radius")
+        inner = with_group(far, radius).filter("d <= radius")
         first = F.array(*(F.sum(s) for s in STATS))
         second = F.array(*(F.sum(F.col(a) * F.col(b)) for a in STATS for b in STATS))
         sums_ = inner.groupBy("key").agg(F.first("n").alias("n"), F.count("*").alias("held"), first.alias("first"), second.alias("second"))
@@ -152,13 +168,20 @@ def verdicts(docs: DataFrame) -> DataFrame:
     failed = (F.col("n_words") < LEAST_WORDS) | (100 * F.col("n_repeat_words") > MOST_REPEATED * F.col("n_words"))
     rows = rows.withColumn("base_failed", failed)
     found = estimates(rows.filter("NOT base_failed"))
+    found = found.select("key", "n", F.struct("n", "centre", "precision").alias("used"))
     lang, source = (F.coalesce(F.col(c).cast("string"), F.lit("\x00")) for c in ("lang", "source"))
-    keyed = rows.withColumn("k2", F.concat_ws("\x1f", F.lit("2"), lang, source)).withColumn("k1", F.concat_ws("\x1f", F.lit("1"), lang)).withColumn("k0", F.lit("0"))
-    for level in (2, 1, 0):
-        side = found.select(F.col("key").alias(f"k{level}"), F.struct("n", "centre", "precision").alias(f"e{level}"))
-        keyed = keyed.join(side.filter(F.lit(level == 0) | (F.col(f"e{level}.n") >= LEAST)), f"k{level}", "left")
-    used = F.coalesce("e2", "e1", "e0")
-    keyed = keyed.withColumn("used", used)
+    keys = [F.concat_ws("\x1f", F.lit("2"), lang, source), F.concat_ws("\x1f", F.lit("1"), lang), F.lit("0")]
+    # The name of the estimate a group uses: its own, or with fewer than LEAST rows its language's, or that of all rows.
+    sizes = found.filter(F.col("n") >= LEAST).select("key", "n")
+    keyed = rows.withColumns({f"k{2 - i}": k for i, k in enumerate(keys)})
+    groups = keyed.groupBy("k2", "k1", "k0").agg(F.count("*").alias("rows"))
+    for level in (2, 1):
+        groups = groups.join(sizes.select(F.col("key").alias(f"k{level}"), F.lit(True).alias(f"has{level}")), f"k{level}", "left")
+    which = F.when(F.col("has2"), F.col("k2")).when(F.col("has1"), F.col("k1")).otherwise(F.col("k0"))
+    chosen = groups.select(F.col("k2").alias("key"), F.col("rows").alias("n"), which.alias("name"))
+    chosen = chosen.join(found.select(F.col("key").alias("name"), "used"), "name", "left")
+    chosen = stored(chosen.select("key", "n", "used"), "op4-chosen")
+    keyed = with_group(keyed.withColumnRenamed("k2", "key"), chosen)
     distance = F.coalesce(squared_distance(F.col("used.centre"), F.col("used.precision")), F.lit(0.0))
     # Only the bad side: more symbols, repeated lines or words, or odd word lengths than the group's centre.
     worse = F.lit(False)
