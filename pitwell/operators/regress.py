@@ -163,6 +163,18 @@ def window_regression(df: DataFrame, keys: list[str], order: str, y: str, xs: li
     return sums.mapInPandas(solve, key_schema(df, [*keys, order]) + "n long, beta array<double>, r2 double")
 
 
+def window_covariance(df: DataFrame, keys: list[str], order: str, y: str, xs: list[str], size: int, least: int, kind: str = "HAC", lags: int = 3) -> DataFrame:
+    """Rolling fits with robust covariance: keys, end (the window's last row), n, beta, cov.
+
+    Residuals belong to a window, so every row goes once into each of the at most `size` windows it lies in.
+    """
+    ahead = Window.partitionBy(*keys).orderBy(order).rowsBetween(0, size - 1)
+    rows = complete(df, [y, *xs]).select(*keys, order, y, *xs).withColumn("ends", F.collect_list(order).over(ahead)).withColumn("end", F.explode("ends")).drop("ends")
+    groups = [*keys, "end"]
+    fits = ols_fit(rows, groups, y, xs).filter(F.col("n") >= least)
+    return covariance(rows, fits, groups, y, xs, kind, lags, order).select(*groups, "n", "beta", "cov")
+
+
 def within(df: DataFrame, columns: list[str], entity: str, time: str | None = None, rounds: int = 20) -> DataFrame:
     """Columns less their entity means, and for two ways alternately less their time means."""
     for _ in range(rounds if time else 1):

@@ -98,6 +98,20 @@ def window_beta(size):
 for _n, _size, _frame in (("i09_rolling_regression", 24, "23 PRECEDING"), ("i10_expanding_regression", None, "UNBOUNDED PRECEDING")):
     register(_n, window_beta(_size), f"SELECT * FROM (SELECT security_id, date, count(*) OVER w AS n, round(regr_slope(ret, market_return) OVER w, 5) AS beta FROM rows_ WINDOW w AS (PARTITION BY security_id ORDER BY date ROWS BETWEEN {_frame} AND CURRENT ROW)) WHERE n >= 12", MORE)
 
+WINDOWED = MORE | {
+    "numbered_": "SELECT security_id, date, ret, market_return, row_number() OVER (PARTITION BY security_id ORDER BY date) AS i FROM rows_",
+    "w_": "SELECT e.date AS wend, r.* FROM numbered_ e JOIN numbered_ r ON r.security_id = e.security_id AND r.i BETWEEN e.i - 23 AND e.i",
+    "wm_": "SELECT security_id, wend, count(*) AS n, avg(market_return) AS mx, var_pop(market_return) * count(*) AS sxx, regr_slope(ret, market_return) AS b, regr_intercept(ret, market_return) AS a FROM w_ GROUP BY 1, 2 HAVING count(*) >= 12",
+    "wu_": "SELECT *, (market_return - mx) * (ret - a - b * market_return) AS u FROM w_ JOIN wm_ USING (security_id, wend)",
+    "wl_": "SELECT *, " + ", ".join(f"lag(u, {k}) OVER (PARTITION BY security_id, wend ORDER BY date) AS l{k}" for k in (1, 2, 3)) + " FROM wu_",
+}
+
+
+@query("i09_rolling_hac", 'SELECT security_id, wend AS "end", max(n) AS n, round(max(b), 5) AS beta, round(sqrt(greatest((sum(u * u) + 1.5 * sum(u * l1) + sum(u * l2) + 0.5 * sum(u * l3)) * max(n) / (max(n) - 2), 0)) / max(sxx), 5) AS se FROM wl_ GROUP BY 1, 2', WINDOWED)
+def i09_hac(t: Tables) -> DataFrame:
+    found = R.window_covariance(rows(t), S, "date", "ret", X, 24, 12)
+    return found.select("security_id", "end", "n", F.round(F.get("beta", F.lit(1)), 5).alias("beta"), F.round(F.sqrt(F.greatest(F.get("cov", F.lit(3)), F.lit(0.0))), 5).alias("se"))
+
 
 @query("i11_panel_fixed_effects", "SELECT count(*) AS n, round(sum(x * y) / sum(x * x), 6) AS slope FROM (SELECT ret - avg(ret) OVER (PARTITION BY security_id) AS y, turn - avg(turn) OVER (PARTITION BY security_id) AS x FROM (SELECT *, ln(volume) AS turn FROM rows_))", MORE)
 def i11(t: Tables) -> DataFrame:

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from pitwell.functions import scalar as S
+from pitwell.operators.joins import JoinError
 from pitwell.plans.registry import query, register
 from pitwell.plans.tables import Tables
 from pitwell.sources import readers as A
@@ -65,6 +66,28 @@ register("a12_tagged_html_facts", lambda t: A.tagged_elements(t.pages.select("pa
 register("a13_xml_instance_facts", lambda t: A.xml_blocks(t.pages.select("page_id", F.concat(F.lit("<DOCUMENT><TYPE>EX-101.INS "), "html", F.lit("</DOCUMENT>")).alias("text")), "text", "EX-101.INS").select("page_id", F.length("block").alias("size")), "SELECT page_id, length('<DOCUMENT><TYPE>EX-101.INS ' || html || '</DOCUMENT>') AS size FROM pages")
 register("a14_filing_header_fields", lambda t: A.header_fields(t.orders.select("o_orderkey", F.concat(F.lit("ACCESSION NUMBER: 0001-"), F.col("o_orderkey").cast("string"), F.lit("\nFILED AS OF DATE: 20200131\nOTHER")).alias("text")), "text", {"accession": "ACCESSION NUMBER", "filed": "FILED AS OF DATE", "form": "FORM TYPE"}).drop("text"), "SELECT o_orderkey, '0001-' || o_orderkey AS accession, '20200131' AS filed, NULL::VARCHAR AS form FROM orders")
 register("a15_inventory_reconcile", lambda t: A.reconcile_inventories(t.customer.filter("c_custkey % 3 <> 0"), t.customer.filter("c_custkey % 5 <> 0"), "c_custkey", "c_mktsegment", "BUILDING").groupBy("reason").agg(F.count("*").alias("n")), "SELECT CASE WHEN c_custkey % 5 = 0 THEN 'missing_in_second' WHEN c_custkey % 3 = 0 THEN 'missing_in_first' WHEN c_mktsegment <> 'BUILDING' THEN 'other_class' ELSE 'selected' END AS reason, count(*) AS n FROM customer WHERE NOT (c_custkey % 3 = 0 AND c_custkey % 5 = 0) GROUP BY 1")
+
+
+@query("a16_immutable_publish", "SELECT count(*) AS rows, true AS same, true AS refused FROM orders")
+def a16(t: Tables) -> DataFrame:
+    """Published twice (same content) and once with other content, which is refused."""
+    path = K.new_folder(t.spark, "a16")
+    same = K.publish(t.orders, path) == K.publish(t.orders, path)
+    try:
+        K.publish(t.orders.withColumn("o_totalprice", -F.col("o_totalprice")), path)
+        refused = False
+    except JoinError:
+        refused = True
+    return t.spark.read.parquet(path).agg(F.count("*").alias("rows")).select("rows", F.lit(same).alias("same"), F.lit(refused).alias("refused"))
+
+
+@query("a23_quarantine_sink", "SELECT o_orderkey, CASE WHEN o_totalprice > 200000 THEN 'PRICE' END AS reason FROM orders")
+def a23(t: Tables) -> DataFrame:
+    path = K.new_folder(t.spark, "a23")
+    good = K.quarantine(t.orders, F.col("o_totalprice") > 200000, F.lit("PRICE"), path)
+    return good.select("o_orderkey", F.lit(None).cast("string").alias("reason")).unionByName(t.spark.read.parquet(path).select("o_orderkey", "reason"))
+
+
 register("a17_content_fingerprint", lambda t: K.fingerprint(t.orders).select("rows", (F.col("content_id") == K.fingerprint(t.orders.orderBy(F.col("o_orderkey").desc())).first().content_id).alias("same")), "SELECT count(*) AS rows, true AS same FROM orders")
 register("a18_filtered_factor_read", lambda t: K.filtered_read(t.spark, f"{t.sf_dir}/lineitem.parquet", ["l_orderkey", "l_quantity"], F.col("l_returnflag") == "R"), "SELECT l_orderkey, l_quantity FROM lineitem WHERE l_returnflag = 'R'")
 
