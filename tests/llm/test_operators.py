@@ -108,6 +108,16 @@ def test_quality_counts():
         assert tuple(int(got[k][i]) for k in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")) == want
 
 
+def test_quality_many_groups(spark, monkeypatch):
+    """With more groups than may be broadcast, large ones are and the others are shuffled; the joined rows are the same."""
+    rows = spark.createDataFrame([("big", float(i)) for i in range(90)] + [(f"k{i % 10}", float(i)) for i in range(60)], "key string, x double")
+    side = quality.stored(rows.groupBy("key").agg(F.count("*").alias("n"), F.max("x").alias("most")), "groups")
+    want = sorted(map(tuple, rows.join(side, "key").collect()))
+    for limit in (1, 4, 100):
+        monkeypatch.setattr(quality, "BROADCAST_GROUPS", limit)
+        assert sorted(map(tuple, quality.with_group(rows, side).collect())) == want
+
+
 def test_quality_verdict(spark):
     clean = [" ".join(r.choice(["tree", "house", "river", "stone", "cloud"]) + str(r.randint(0, 999)) for _ in range(60)) for _ in range(80)]
     junk = [" ".join(f"w{r.randint(0, 9999)}$$$" for _ in range(60)) for _ in range(4)]
