@@ -34,6 +34,8 @@ FOLDS = 5
 SEED = 7
 #: Bytes of text whose n-gram counts are bundled by one matrix product.
 BUNDLE_BYTES = 1 << 18
+#: N-gram vectors that a worker holds at once, 4 KB each.
+MOST_GRAMS = 40_000
 
 
 class Letters:
@@ -60,20 +62,19 @@ class Letters:
         self.grams = np.zeros((0, DIMENSIONS), np.float32)
 
     def gram_rows(self, codes: np.ndarray) -> np.ndarray:
-        """Row of each n-gram code in `grams`; unseen ones get their vector now."""
-        rows = self.rows[codes]
-        if len(new := np.unique(codes[rows < 0])):
+        """Row of each of at most MOST_GRAMS distinct n-gram codes in `grams`; unseen ones get their vector now."""
+        new = codes[self.rows[codes] < 0]
+        if len(self.grams) + len(new) > MOST_GRAMS:  # bounded memory: start again before any is added
+            self.rows.fill(-1)
+            self.grams = np.zeros((0, DIMENSIONS), np.float32)
+            new = codes
+        if len(new):
             v = np.ones((len(new), DIMENSIONS), np.float32)
             for place in range(GRAM):
                 v *= np.roll(self.vectors[(new >> (8 * (GRAM - 1 - place))) & 255], place, axis=1)
             self.rows[new] = np.arange(len(self.grams), len(self.grams) + len(new))
             self.grams = np.concatenate([self.grams, v])
-            if len(self.grams) > 40_000:  # bounded memory: start again
-                self.rows.fill(-1)
-                self.grams = np.zeros((0, DIMENSIONS), np.float32)
-                return self.gram_rows(codes)
-            rows = self.rows[codes]
-        return rows
+        return self.rows[codes]
 
     def bundle(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
         """Document vectors scaled to length one, and the number of letters of each."""
@@ -90,14 +91,18 @@ class Letters:
         if len(s) >= GRAM and letters.any():
             code = s[2:] | s[1:-1] << 8 | s[:-2] << 16
             same = (doc[2:] == doc[:-2]) & (s[1:-1] > 0)
-            rows = self.gram_rows(code[same])
-            used, place = np.unique(rows, return_inverse=True)
-            for a in range(0, len(texts), 64):
-                mine = (doc[2:][same] >= a) & (doc[2:][same] < a + 64)
-                n = min(64, len(texts) - a)
-                counts = np.bincount((doc[2:][same][mine] - a) * len(used) + place[mine], minlength=n * len(used)).reshape(n, len(used))
-                seen = np.flatnonzero(counts.any(axis=0))
-                out[a : a + n] = counts[:, seen].astype(np.float32) @ self.grams[used[seen]]
+            used, place = np.unique(code[same], return_inverse=True)
+            owner = doc[2:][same]
+            # Blocks of distinct n-grams, whatever their number; sums of whole numbers don't depend on the blocks.
+            for first in range(0, len(used), MOST_GRAMS):
+                rows = self.gram_rows(used[first : first + MOST_GRAMS])
+                inside = (place >= first) & (place < first + MOST_GRAMS)
+                for a in range(0, len(texts), 64):
+                    mine = inside & (owner >= a) & (owner < a + 64)
+                    n = min(64, len(texts) - a)
+                    counts = np.bincount((owner[mine] - a) * len(rows) + place[mine] - first, minlength=n * len(rows)).reshape(n, len(rows))
+                    seen = np.flatnonzero(counts.any(axis=0))
+                    out[a : a + n] += counts[:, seen].astype(np.float32) @ self.grams[rows[seen]]
         length = np.linalg.norm(out, axis=1, keepdims=True)
         return out / np.maximum(length, 1e-9), letters
 

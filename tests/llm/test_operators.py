@@ -133,6 +133,25 @@ def test_language(spark):
     assert all(got[i].lang_pred == ("en", "de", "en")[i % 3] for i in range(60)) and all(got[i].lang_pred == "und" and got[i].score == 0 for i in (60, 61, 62))
 
 
+def test_language_many_grams():
+    """A text with more distinct trigrams than vectors are held at once, among short texts."""
+    long = "".join(chr(r.randint(0x4E00, 0x9FFF)) for _ in range(100_000))
+    ours = language_id.Letters()
+    got, n = ours.bundle(["the house", long, None, long[:50]])
+    s = np.append(ours.symbols[[ord(x) for x in long]], 0).astype(int)
+    codes, count = np.unique(s[2:] | s[1:-1] << 8 | s[:-2] << 16, return_counts=True)
+    assert len(codes) > language_id.MOST_GRAMS >= len(ours.grams) and n.tolist() == [8, 100_000, 0, 50]
+    want = np.zeros(language_id.DIMENSIONS)
+    for a in range(0, len(codes), 10_000):
+        v = np.ones((len(codes[a : a + 10_000]), language_id.DIMENSIONS), int)
+        for place in range(3):
+            v *= np.roll(ours.vectors[codes[a : a + 10_000] >> (8 * (2 - place)) & 255], place, axis=1)
+        want += count[a : a + 10_000] @ v
+    assert np.allclose(got[1], want / np.linalg.norm(want), atol=1e-6)
+    for i, t in ((0, "the house"), (3, long[:50])):
+        assert np.allclose(got[i], language_id.Letters().bundle([t])[0][0], atol=1e-6)
+
+
 def test_lines(spark):
     docs = table(spark)
     got = by_id(line_dedup.drop_lines(docs))
