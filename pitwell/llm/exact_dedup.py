@@ -10,7 +10,8 @@ collisions form separate chain entries.
 
 Defined results: a null text counts as empty; a null doc_id sorts after all
 others and keep_id is null only if all ids of the group are null; of rows that
-repeat an id, only one stays (`deduplicated`); other columns are ignored.
+repeat an id and a text, only one stays (`deduplicated`); other columns are
+ignored.
 """
 
 from __future__ import annotations
@@ -18,7 +19,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pitwell.llm.shared import SPACE_CLASS, documents, stored
+from pitwell.llm.shared import SPACE_CLASS, documents, key_join, keyed, one_of_equal, stored
 
 DIRECTORY_BITS = 16
 CAPACITY = 65_536
@@ -74,19 +75,10 @@ def exact_duplicates(docs: DataFrame, capacity: int = CAPACITY, bits: int = DIRE
 
 
 def deduplicated(docs: DataFrame) -> DataFrame:
-    """The documents that stay, all columns; of rows of one text that repeat the smallest id, one."""
-    found = exact_duplicates(docs)
+    """One document of each text, all columns: the one with the smallest id, or without ids the smallest row_key."""
+    found = exact_duplicates(keyed(docs))
     gone = stored(found.filter(~F.col("kept")).select("doc_id").distinct(), "op5-gone")
-    gone = F.broadcast(gone) if gone.count() <= BROADCAST_KEYS else gone
-    left = docs.join(gone, docs["doc_id"].eqNullSafe(gone["doc_id"]), "left_anti")
-    again = stored(left.groupBy("doc_id").agg(F.count("*").alias("n")).filter("n > 1").select("doc_id"), "op5-again")
-    if again.isEmpty():
-        return left
-    same = left["doc_id"].eqNullSafe(again["doc_id"])
-    repeated = left.join(again, same, "left_semi")
-    norm = F.regexp_replace(F.coalesce(F.col("text"), F.lit("")), SPACE_CLASS, " ")
-    repeated = repeated.withColumn("__norm", norm).dropDuplicates(["doc_id", "__norm"]).drop("__norm")
-    return left.join(again, same, "left_anti").unionByName(repeated)
+    return one_of_equal(key_join(docs, gone, "left_anti", BROADCAST_KEYS), BROADCAST_KEYS)
 
 
 def op5_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

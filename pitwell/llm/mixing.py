@@ -24,7 +24,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from pitwell.llm.shared import SPACE_CLASS, documents, stored
+from pitwell.llm.shared import SPACE_CLASS, documents, key_join, row_key, stored
 
 WEIGHTS = (3, 1, 2)
 TOTAL_SHARE = 1.5
@@ -65,9 +65,10 @@ def size_class(size: Column) -> Column:
     return F.when(size < 8, size).otherwise(bits * 4 + F.expr("shiftright(size, length(bin(size)) - 3)")).cast("long")
 
 
-def mix_plan(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = TOTAL_SHARE, most: int = MOST, seed: str = SEED, cell_rows: int = CELL_ROWS) -> DataFrame:
-    """doc_id, source, size, source_size, target, copies, taken of every row."""
-    sizes = stored(docs.select("doc_id", "source", word_count(F.col("text")).alias("size")), "op1-sizes")
+def mix_plan(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = TOTAL_SHARE, most: int = MOST, seed: str = SEED, cell_rows: int = CELL_ROWS, by_row: bool = False) -> DataFrame:
+    """doc_id, source, size, source_size, target, copies, taken of every row; by_row also row, a digest that tells rows of one id apart."""
+    row = [row_key(docs)["digest"].alias("row")] if by_row else []
+    sizes = stored(docs.select("doc_id", "source", word_count(F.col("text")).alias("size"), *row), "op1-sizes")
     targets = stored(source_targets(sizes, weights, share, most), "op1-targets")
     cells = max(1, min(1 << 16, int((sizes.count() / cell_rows) ** 0.5) * 4))
     digest = F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("")))
@@ -78,7 +79,7 @@ def mix_plan(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float =
     counts = counts.withColumn("ahead", F.coalesce(F.sum("n").over(ahead), F.lit(0))).drop("n")
     counts = counts.join(targets.select(F.col("source").alias("s"), "source_size", "target"), F.col("source").eqNullSafe(F.col("s"))).drop("s")
     counts = counts.select(*(F.col(c).alias(f"c_{c}") if c in ("source", "band", "cell") else F.col(c) for c in counts.columns))
-    place = Window.partitionBy("source", "band", "cell").orderBy("digest", "doc_id", "size")
+    place = Window.partitionBy("source", "band", "cell").orderBy("digest", "doc_id", "size", *(["row"] if by_row else []))
     placed = placed.withColumn("place", F.row_number().over(place))
     joined = placed.join(counts, F.col("source").eqNullSafe(F.col("c_source")) & (F.col("band") == F.col("c_band")) & (F.col("cell") == F.col("c_cell")))
     offset = F.conv(F.substring(F.md5(F.concat(F.lit(seed), F.coalesce("source", F.lit("")))), 1, 8), 16, 10).cast("long") / (1 << 32)
@@ -86,18 +87,25 @@ def mix_plan(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float =
     rank = F.col("ahead") + F.col("place")
     copies = F.floor(rank * per_copy + offset) - F.floor((rank - 1) * per_copy + offset)
     copies = F.least(copies, F.lit(most)).cast("long")
-    return joined.select("doc_id", "source", "size", "source_size", "target", copies.alias("copies"), (copies * F.col("size")).alias("taken"))
+    return joined.select("doc_id", "source", "size", "source_size", "target", copies.alias("copies"), (copies * F.col("size")).alias("taken"), *(["row"] if by_row else []))
 
 
 def mixed(docs: DataFrame, **options) -> DataFrame:
-    """The mix itself: every document as often as the plan says, all columns kept."""
-    plan = mix_plan(docs, **options).select(F.col("doc_id").alias("__id"), F.col("source").alias("__source"), F.col("size").alias("__size"), F.col("copies").alias("__copies"))
-    plan = plan.filter("__copies > 0").groupBy("__id", "__source", "__size").agg(F.max("__copies").alias("__copies"))
+    """The mix itself: every row as often as the plan says, all columns kept."""
+    plan = mix_plan(docs, by_row=True, **options)
+    key = F.struct(F.col("doc_id").isNull().alias("absent"), F.col("doc_id").alias("id"), F.col("row").alias("digest"))
+    plan = plan.groupBy(key.alias("doc_id")).agg(F.count("*").alias("__n"), F.sum("copies").alias("__total")).filter("__total > 0")
     plan = stored(plan, "op1-plan")
-    keyed = docs.withColumn("__n", word_count(F.col("text")))
-    same = F.col("doc_id").eqNullSafe(F.col("__id")) & F.col("source").eqNullSafe(F.col("__source")) & (F.col("__n") == F.col("__size"))
-    plan = F.broadcast(plan) if plan.count() <= 250_000 else plan
-    out = keyed.join(plan, same).withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__copies").cast("int"))))
+    out = key_join(docs, plan.filter("__n = 1"), "inner", 250_000).withColumn("__copies", F.col("__total"))
+    equal = plan.filter("__n > 1")
+    if not equal.isEmpty():
+        # Equal rows stand side by side in the order, so their copies differ by one at most.
+        rows = key_join(docs, equal, "inner", 250_000)
+        nth = F.row_number().over(Window.partitionBy(row_key(docs)).orderBy(F.lit(1)))
+        rows = rows.withColumn("__nth", nth)
+        copies = F.floor(F.col("__total") / F.col("__n")) + (F.col("__nth") <= F.col("__total") % F.col("__n")).cast("long")
+        out = out.unionByName(rows.withColumn("__copies", copies).drop("__nth").filter("__copies > 0"))
+    out = out.withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__copies").cast("int"))))
     return out.select(*docs.columns)
 
 

@@ -35,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from pitwell.llm.shared import Words, as_long, documents, mix, prefix_hash, slices, span_hash, stored
+from pitwell.llm.shared import Words, as_long, documents, key_join, keyed, mix, one_of_equal, prefix_hash, slices, span_hash, stored
 
 SHINGLE = 5
 #: Share of a set's hash order that the screen looks at, in tenths, and the least shared part of a set (0.15 x 0.75).
@@ -366,11 +366,18 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
 
 
 def one_of_each(docs: DataFrame) -> DataFrame:
-    """One document of each component, all columns: the one with the component's id."""
-    found = near_duplicates(docs)
+    """One document of each component, all columns: the one with the smallest id, or without ids the smallest row_key.
+
+    Rows without words are linked with nothing and stay, each of them.
+    """
+    found = stored(near_duplicates(keyed(docs)), "op2-found")
     gone = stored(found.filter("doc_id <> component_id").select("doc_id").distinct(), "op2-gone")
-    gone = F.broadcast(gone) if gone.count() <= BROADCAST_IDS else gone
-    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    left = key_join(docs, gone, "left_anti", BROADCAST_IDS)
+    again = stored(found.filter("n_shingles > 0 AND doc_id = component_id").groupBy("doc_id").agg(F.count("*").alias("n")).filter("n > 1").select("doc_id"), "op2-again")
+    if again.isEmpty():
+        return left
+    repeated = one_of_equal(key_join(left, again, "left_semi", BROADCAST_IDS), BROADCAST_IDS)
+    return key_join(left, again, "left_anti", BROADCAST_IDS).unionByName(repeated)
 
 
 def op2_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pitwell.llm.shared import Words, covered, documents, mix, slices, span_hash, stored, sums
+from pitwell.llm.shared import Words, covered, documents, key_join, keyed, mix, slices, span_hash, stored, sums
 
 LEAST_WORDS, REPEAT_WINDOW, MOST_REPEATED = 20, 8, 30
 #: Share of a group's rows that the scatter is estimated from, its consistency factor for five dimensions
@@ -193,10 +193,9 @@ def verdicts(docs: DataFrame) -> DataFrame:
 
 
 def kept_documents(docs: DataFrame) -> DataFrame:
-    """The documents that pass, all columns. Of rows that share an id, one that fails takes the others along."""
-    gone = stored(verdicts(docs).filter("NOT kept").select("doc_id").distinct(), "op4-gone")
-    gone = F.broadcast(gone) if gone.count() <= 500_000 else gone
-    return docs.join(gone, docs["doc_id"].eqNullSafe(gone["doc_id"]), "left_anti")
+    """The documents that pass, all columns. Each row stands for itself, also with a null or repeated id."""
+    gone = stored(verdicts(keyed(docs)).filter("NOT kept").select("doc_id").distinct(), "op4-gone")
+    return key_join(docs, gone, "left_anti", 500_000)
 
 
 def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:

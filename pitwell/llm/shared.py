@@ -42,6 +42,41 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+def row_key(docs: DataFrame) -> Column:
+    """A row's key in place of its doc_id: null ids last, then a hash of text, lang and source as far as docs has them.
+
+    Only rows with the same id, text, lang and source share a key; a decision about one of them holds for all.
+    """
+    told = [F.col(c).cast("string") for c in ("text", "lang", "source") if c in docs.columns]
+    # xxhash64 passes nulls over, so each column says first whether it is null.
+    digest = F.xxhash64(*(x for c in told for x in (c.isNull(), c)))
+    return F.struct(F.col("doc_id").isNull().alias("absent"), F.col("doc_id").alias("id"), digest.alias("digest"))
+
+
+def keyed(docs: DataFrame) -> DataFrame:
+    """docs with row_key as doc_id, for operators that hand the id through."""
+    return docs.withColumn("doc_id", row_key(docs))
+
+
+def key_join(docs: DataFrame, keys: DataFrame, how: str, most: int) -> DataFrame:
+    """Joins docs with a stored table that has row keys as doc_id; up to `most` keys are broadcast."""
+    flat = keys.select(F.col("doc_id.id").alias("__id"), F.col("doc_id.digest").alias("__digest"), *(c for c in keys.columns if c != "doc_id"))
+    flat = F.broadcast(flat) if keys.count() <= most else flat
+    rows = docs.withColumn("__row", row_key(docs)["digest"])
+    out = rows.join(flat, F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("__row") == F.col("__digest")), how)
+    return out.drop("__row", "__id", "__digest")
+
+
+def one_of_equal(docs: DataFrame, most: int) -> DataFrame:
+    """docs with one row of each row_key."""
+    again = stored(keyed(docs).groupBy("doc_id").agg(F.count("*").alias("n")).filter("n > 1").select("doc_id"), "again")
+    if again.isEmpty():
+        return docs
+    repeated = key_join(docs, again, "left_semi", most)
+    repeated = repeated.withColumn("__row", row_key(docs)).dropDuplicates(["__row"]).drop("__row")
+    return key_join(docs, again, "left_anti", most).unionByName(repeated)
+
+
 def columns_of(df: DataFrame, *names: str) -> list[Column]:
     """The named columns, by exact name, whatever else the table holds."""
     return [F.col(f"`{n}`") for n in names]

@@ -228,3 +228,56 @@ def test_empty_table_and_null_ids(spark, run):
     assert run(spark.createDataFrame([], NEEDED)).count() == 0
     odd = spark.createDataFrame([(None, "a b c", None, None), (None, None, None, None), (1, "a b c", "en", "s"), (1, "a b c", "en", "s")], NEEDED)
     assert run(odd).count() == 4
+
+
+def odd_ids(spark, rows):
+    return spark.createDataFrame([(i, t, "en", "s") for i, t in rows], NEEDED)
+
+
+def texts_of(df):
+    return sorted(x.text for x in df.select("text").collect())
+
+
+def test_quality_keeps_rows_of_odd_ids(spark):
+    clean = [" ".join(r.choice(["tree", "house", "river", "stone", "cloud"]) + str(r.randint(0, 999)) for _ in range(60)) for _ in range(80)]
+    junk = [" ".join(f"w{r.randint(0, 9999)}$$$" for _ in range(60)) for _ in range(4)]
+    ids = [*(None,) * 10, *range(70)]
+    docs = odd_ids(spark, [*zip(ids, clean), *zip((None, None, 5, 6), junk)])
+    assert texts_of(quality.kept_documents(docs)) == sorted(clean)
+
+
+def test_exact_keeps_one_of_each_text(spark):
+    docs = odd_ids(spark, [(None, "a b"), (None, "a  b"), (None, "lone"), (7, "a b c"), (7, "other"), (3, "a b c"), (3, "a b c"), (3, "a  b c"), (None, None), (4, "")])
+    got = sorted((x.doc_id is None, x.doc_id or 0, re.sub(r"\s+", " ", x.text or "")) for x in exact_dedup.deduplicated(docs).collect())
+    assert got == [(False, 3, "a b c"), (False, 4, ""), (False, 7, "other"), (True, 0, "a b"), (True, 0, "lone")]
+
+
+def test_near_keeps_one_of_each_component(spark):
+    a, b, c = (" ".join(str(r.randint(0, 9999)) for _ in range(60)) for _ in range(3))
+    near = [x + " tail" for x in (a, b, c)]
+    docs = odd_ids(spark, [(None, a), (None, near[0]), (None, b), (2, near[1]), (2, "on its own and of the same id"), (9, c), (9, near[2]), (9, c), (None, ""), (None, "")])
+    got = Counter(texts_of(near_dedup.one_of_each(docs)))
+    assert got[a] + got[near[0]] == 1 and (got[b], got[near[1]]) == (0, 1) and got[c] + got[near[2]] == 1
+    assert got[""] == 2 and got["on its own and of the same id"] == 1 and sum(got.values()) == 6
+
+
+def test_mixed_counts_rows_of_odd_ids(spark):
+    texts = [f"w{i} x y" for i in range(40)]
+    docs = odd_ids(spark, [*((None, t) for t in texts), (1, "p q r"), (1, "p q s"), *[(2, "same same same")] * 6])
+    plan = [x.copies for x in mixing.mix_plan(docs, by_row=True).collect()]
+    got = Counter(texts_of(mixing.mixed(docs)))
+    assert len(set(plan)) > 1 and sum(got.values()) == sum(plan) and set(got[t] for t in texts) == {1, 2}
+
+
+def test_stages_keep_rows_of_odd_ids(spark):
+    import corpus_pipeline
+
+    clean = [" ".join(r.choice(["tree", "house", "river", "stone", "cloud"]) + str(r.randint(0, 999)) for _ in range(60)) for _ in range(80)]
+    junk = [" ".join(f"w{r.randint(0, 9999)}$$$" for _ in range(60)) for _ in range(4)]
+    docs = odd_ids(spark, [*zip([None, 1, None, 1, *range(76)], clean), (None, junk[0]), (1, junk[1]), (None, clean[0]), (1, clean[1]), (None, clean[2] + " tail")])
+    for name, stage in corpus_pipeline.STAGES[:3]:
+        docs = stage(spark, docs, None)
+    left = texts_of(docs)
+    assert len(left) == 80 and set(left) <= {*clean, clean[2] + " tail"}
+    mix = corpus_pipeline.STAGES[3][1](spark, docs, None)
+    assert corpus_pipeline.STAGES[4][1](spark, mix, None).count() == mix.count() == sum(x.copies for x in mixing.mix_plan(docs, by_row=True).collect())
