@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from pitwell.functions.scalar import end_of_day, finite
 from pitwell.operators.joins import JoinError, interval_join
+from pitwell.operators.lineage import closure
 
 SEVERITIES = ("INFO", "WARNING", "ERROR", "CRITICAL")
 SAMPLES = 5
@@ -153,18 +154,11 @@ def overlaps(df: DataFrame, keys: list[str], value: str, start: str = "valid_fro
     return rows.withColumn("hit_", hit).filter("hit_").drop("stop_", "top_", "hit_")
 
 
-def succession(edges: DataFrame, most: int = 32) -> DataFrame:
-    """edges: predecessor, successor. Nodes with two successors, and nodes on a cycle found by doubling the path length."""
+def succession(edges: DataFrame) -> DataFrame:
+    """edges: predecessor, successor. Nodes with two successors, and nodes on a cycle of any length."""
     several = edges.groupBy("predecessor").agg(F.count_distinct("successor").alias("n")).filter("n > 1").select(F.lit("several_successors").alias("rule"), F.col("predecessor").alias("node"))
-    reach, cyclic = edges.select("predecessor", "successor"), None
-    steps = 1
-    while steps <= most:
-        loop = reach.filter("predecessor = successor").select(F.lit("cycle").alias("rule"), F.col("predecessor").alias("node"))
-        cyclic = loop if cyclic is None else cyclic.unionByName(loop)
-        a, b = reach.select("predecessor", F.col("successor").alias("m_")), reach.select(F.col("predecessor").alias("m_"), "successor")
-        reach = reach.unionByName(a.join(b, "m_").select("predecessor", "successor")).distinct()
-        steps *= 2
-    return several.unionByName(cyclic).distinct()
+    loops = closure(edges, "predecessor", "successor").filter("predecessor = successor")
+    return several.unionByName(loops.select(F.lit("cycle").alias("rule"), F.col("predecessor").alias("node")))
 
 
 def unit_reconcile(rows: DataFrame, contract: DataFrame, field: str = "field", unit: str = "unit") -> DataFrame:

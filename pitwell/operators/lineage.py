@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import tempfile
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -9,17 +11,25 @@ from pyspark.sql import functions as F
 TRANSITIONS = {"CREATED": ("RETRIEVED", "FAILED"), "RETRIEVED": ("STANDARDIZED", "FAILED"), "STANDARDIZED": ("VALIDATED", "QUARANTINED", "FAILED"), "VALIDATED": ("PROMOTED", "FAILED"), "PROMOTED": ("FINALIZED", "FAILED")}
 
 
-def ancestors(edges: DataFrame, most_depth: int = 64) -> DataFrame:
-    """edges: child, parent. All (artifact, ancestor) pairs, by doubling: depth d takes log2(d) joins."""
-    reach = edges.select(F.col("child").alias("artifact"), F.col("parent").alias("ancestor")).distinct()
-    depth = 1
-    while depth < most_depth:
-        a, b = reach.select("artifact", F.col("ancestor").alias("m_")), reach.select(F.col("artifact").alias("m_"), "ancestor")
-        reach = reach.unionByName(a.join(b, "m_").select("artifact", "ancestor")).distinct()
-        depth *= 2
+def closure(edges: DataFrame, start: str, end: str) -> DataFrame:
+    """All (start, end) pairs joined by a path, by doubling until a round adds none: depth d takes log2(d) joins. Each round is checkpointed."""
+    sc = edges.sparkSession.sparkContext
+    if not sc.getCheckpointDir():
+        sc.setCheckpointDir(tempfile.mkdtemp(prefix="spark-", dir="/tmp"))
+    reach = edges.select(start, end).distinct().checkpoint()
+    known, found = -1, reach.count()
+    while found != known:
+        a, b = reach.select(start, F.col(end).alias("m_")), reach.select(F.col(start).alias("m_"), end)
+        reach = reach.unionByName(a.join(b, "m_").select(start, end)).distinct().checkpoint()
+        known, found = found, reach.count()
     return reach
 
 
+def ancestors(edges: DataFrame) -> DataFrame:
+    """edges: child, parent. All (artifact, ancestor) pairs, however deep."""
+    return closure(edges.select(F.col("child").alias("artifact"), F.col("parent").alias("ancestor")), "artifact", "ancestor")
+
+
 def illegal_steps(journal: DataFrame, key: str, order: str, state: str, allowed: dict[str, tuple[str, ...]]) -> DataFrame:
     """Rows of a journal whose step from the state before isn't allowed."""
     pairs = [F.struct(F.lit(a).alias("a"), F.lit(b).alias("b")) for a, bs in allowed.items() for b in bs]

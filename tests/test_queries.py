@@ -106,3 +106,13 @@ def test_publish_once(spark, tmp_path):
     assert publish(df, path) == publish(df, path)
     with pytest.raises(JoinError):
         publish(spark.range(6).toDF("k"), path)
+
+
+def test_deep_graphs(spark):
+    from pitwell.operators import checks, lineage
+
+    ring = spark.createDataFrame([(i, (i + 1) % 100) for i in range(100)] + [(200 + i, 201 + i) for i in range(100)] + [(200, 300)], "predecessor long, successor long")
+    found = {(x.rule, x.node) for x in checks.succession(ring).collect()}
+    assert found == {("cycle", i) for i in range(100)} | {("several_successors", 200)}
+    chain = spark.createDataFrame([(i, i + 1) for i in range(150)], "child long, parent long")
+    assert {tuple(x) for x in lineage.ancestors(chain).collect()} == {(i, j) for i in range(150) for j in range(i + 1, 151)}
