@@ -1,4 +1,5 @@
 import numpy as np
+from pyspark.sql import functions as F
 
 from pitwell.operators import alloc
 
@@ -27,3 +28,13 @@ def test_hierarchical_and_simplex():
     w = alloc.hierarchical(COV)
     assert abs(w.sum() - 1) < 1e-12 and (w > 0).all()
     assert np.allclose(alloc.to_simplex(np.array([0.5, 0.5, 3.0]), 0.6).sum(), 1)
+
+
+def test_every_whole_window(spark):
+    from pitwell.plans import allocation, tables
+    from pitwell.plans.portfolio import held
+
+    t = tables.Tables(spark, "/root/testdata/sf0.001")
+    dates = held(t).select("date").distinct().count()
+    got = allocation.problems(t).groupBy("problem").agg(F.count_distinct("date").alias("n")).collect()
+    assert sorted(x.problem for x in got) == list(range(24, dates + 1)) and {x.n for x in got} == {24}
