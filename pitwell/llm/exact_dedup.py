@@ -6,7 +6,8 @@ doubles: a bucket that holds more than `capacity` keys splits on the next bit.
 The index is written to the shared folder, ranged by bucket, so that an owner
 task holds whole key ranges. Keys held by two or more rows are chained: their
 texts are compared byte by byte (grouped by the text itself), so that hash
-collisions form separate chain entries.
+collisions form separate chain entries. The result comes from this group-by and
+a join by key and SHA-256; directory and buckets only order the written index.
 
 Defined results: a null text counts as empty; a null doc_id sorts after all
 others and keep_id is null only if all ids of the group are null; of rows that
