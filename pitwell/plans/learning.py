@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -96,14 +98,27 @@ register("l21_linear", lambda t: predictions(t, 0.0, ["turnover"]).select("fold"
 register("l21_ridge", lambda t: predictions(t, 1.0).select("fold", *K, F.round("prediction", 6).alias("prediction")))
 
 
-def ml(t: Tables, make, classifier: bool = False) -> DataFrame:
-    """One pyspark.ml model on the train rows of the first fold, scored on its test rows."""
+def by_fold(t: Tables, one, classifier: bool = False) -> DataFrame:
+    """one(rows, role) of every fold, rows with label and features, in one table; the number of folds is small."""
     from pyspark.ml.feature import VectorAssembler
 
-    rows = split(t).filter("fold = 0 AND role IN ('train', 'test')").na.drop(subset=["turnover", "momentum_1m", "y"]).withColumn("label", (F.col("y") > 0).cast("double") if classifier else F.col("y"))
+    rows = split(t).na.drop(subset=["turnover", "momentum_1m", "y"]).withColumn("label", (F.col("y") > 0).cast("double") if classifier else F.col("y"))
     rows = VectorAssembler(inputCols=["turnover", "momentum_1m"], outputCol="features").transform(rows)
-    out = make().fit(rows.filter("role = 'train'")).transform(rows.filter("role = 'test'"))
-    return out.select(*K, "label", F.col("prediction").cast("double").alias("prediction"))
+    ids = [r.fold for r in split(t).select("fold").distinct().orderBy("fold").collect()]
+    parts = []
+    for k in ids:
+        mine = rows.filter(F.col("fold") == k)
+        parts.append(one({role: mine.filter(F.col("role") == role) for role in ("train", "validation", "test")}))
+    return reduce(DataFrame.unionByName, parts)
+
+
+def ml(t: Tables, make, classifier: bool = False) -> DataFrame:
+    """A pyspark.ml model on the train rows of every fold, scored on its test rows."""
+
+    def one(rows: dict[str, DataFrame]) -> DataFrame:
+        return make().fit(rows["train"]).transform(rows["test"]).select("fold", *K, "label", F.col("prediction").cast("double").alias("prediction"))
+
+    return by_fold(t, one, classifier)
 
 
 def _models():
@@ -115,7 +130,7 @@ def _models():
         "l22_elastic_net": (lambda: M.LinearRegression(regParam=0.001, elasticNetParam=0.5, standardization=False), False),
         "l23_logistic": (lambda: C.LogisticRegression(regParam=0.01, standardization=False), True),
         "l24_random_forest": (lambda: M.RandomForestRegressor(numTrees=20, maxDepth=4, seed=1), False),
-        "l25_gradient_boosted_trees": (lambda: M.GBTRegressor(maxIter=10, maxDepth=3, stepSize=0.05, seed=1), False),
+        "l25_gradient_boosted_trees": (lambda: M.GBTRegressor(maxIter=100, maxDepth=3, stepSize=0.05, seed=1), False),
     }
 
 
@@ -137,12 +152,17 @@ def l26(t: Tables) -> DataFrame:
 
 @query("l27_calibrate_classifier")
 def l27(t: Tables) -> DataFrame:
-    """Isotonic calibration fitted on even documents, applied to odd ones."""
+    """Per fold: logistic regression on train rows, isotonic calibration on validation rows, both applied to test rows."""
+    from pyspark.ml.functions import vector_to_array
     from pyspark.ml.regression import IsotonicRegression
 
-    d = t.scored.select("doc_id", F.col("y").cast("double").alias("label"), "p")
-    model = IsotonicRegression(featuresCol="p", labelCol="label").fit(d.filter("doc_id % 2 = 0"))
-    return model.transform(d.filter("doc_id % 2 = 1")).select("doc_id", "label", "p", F.col("prediction").alias("calibrated"))
+    def one(rows: dict[str, DataFrame]) -> DataFrame:
+        model = _models()["l23_logistic"][0]().fit(rows["train"])
+        scored = {role: model.transform(rows[role]).withColumn("p", F.get(vector_to_array("probability"), F.lit(1))).drop("prediction") for role in ("validation", "test")}
+        out = IsotonicRegression(featuresCol="p", labelCol="label").fit(scored["validation"]).transform(scored["test"])
+        return out.select("fold", *K, "label", "p", F.col("prediction").alias("calibrated"))
+
+    return by_fold(t, one, True)
 
 
 @query("l28_coefficient_explanation", "SELECT fold, 'turnover' AS feature, round(regr_slope(y, turnover), 6) AS coefficient FROM split_ WHERE role = 'train' AND turnover IS NOT NULL AND momentum_1m IS NOT NULL GROUP BY 1", DATA)

@@ -116,3 +116,10 @@ def test_deep_graphs(spark):
     assert found == {("cycle", i) for i in range(100)} | {("several_successors", 200)}
     chain = spark.createDataFrame([(i, i + 1) for i in range(150)], "child long, parent long")
     assert {tuple(x) for x in lineage.ancestors(chain).collect()} == {(i, j) for i in range(150) for j in range(i + 1, 151)}
+
+
+def test_learning_of_every_fold(spark):
+    run = entry.queries()
+    folds = {x.fold for x in run["l11_temporal_folds"](spark, DATA).select("fold").distinct().collect()}
+    for name in ("l22_lasso", "l27_calibrate_classifier"):
+        assert {x.fold for x in run[name](spark, DATA).select("fold").distinct().collect()} == folds and len(folds) > 1
