@@ -35,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from pitwell.llm.shared import Words, as_long, documents, key_join, keyed, mix, one_of_equal, prefix_hash, slices, span_hash, stored
+from pitwell.llm.shared import Words, as_long, documents, key_join, keyed, mix, one_of_equal, slices, span_hash, stored
 
 SHINGLE = 5
 #: Share of a set's hash order that the screen looks at, in tenths, and the least shared part of a set (0.15 x 0.75).
@@ -53,7 +53,7 @@ def shingle_sets(texts: pa.Array, size: int = SHINGLE) -> list[np.ndarray]:
     short = np.flatnonzero((w.count > 0) & (w.count < size))
     out = [np.unique(hashes[a:b]) for a, b in zip(cut.tolist(), cut[1:].tolist())]
     if len(short):
-        whole = span_hash(prefix_hash(w.hash), w.first[short], w.first[short + 1])
+        whole = span_hash(w.hash, w.first[short], w.first[short + 1])
         for i, h in zip(short.tolist(), whole):
             out[i] = np.array([h], np.uint64)
     return out

@@ -14,8 +14,9 @@ chunks (a run of space marks with what follows up to the next mark or newline)
 that are encoded by themselves; tasks keep a bounded table of chunks seen.
 
 Only the vocabulary file is read with the sentencepiece library. Spark deals
-documents out; a task keeps one slice of texts and a table of at most
-MOST_CHUNKS chunks.
+documents out; a task keeps one slice of texts and a table of chunks that is
+bounded by TABLE_BYTES, counted while it is filled (chunks of more than
+LONG_CHUNK characters never enter it).
 
 Defined results: a null text counts as empty (one id, the end id); other
 columns are ignored; repeated rows give repeated results.
@@ -28,6 +29,7 @@ import re
 from collections.abc import Iterable, Iterator
 from functools import lru_cache
 from itertools import groupby
+from sys import getsizeof
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -35,7 +37,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pitwell.llm.shared import documents
 
 MARK = "▁"
-MOST_CHUNKS = 500_000
+#: Bytes of the table of chunks seen in a worker, about, and characters of a chunk that isn't kept there.
+TABLE_BYTES, LONG_CHUNK = 40 << 20, 64
+#: Pairs of pieces whose compatibility a worker remembers, about 250 bytes each.
+KNOWN_PAIRS = 1 << 16
 MODEL = "piece_bpe_32k.model"
 CHUNKS = re.compile(f"{MARK}+[^{MARK}\n]*|[^{MARK}\n]+|\n+")
 
@@ -67,15 +72,17 @@ class PieceCodec:
         self.rank = {p: r for r, p in enumerate(order)}
         self.known = {p for p in self.ids if len(p) == 1}
         self.halves: dict[str, tuple[str, str] | None] = {}
-        self.compatible = lru_cache(1 << 18)(self._compatible)
+        self.compatible = lru_cache(KNOWN_PAIRS)(self._compatible)
         self.automaton = ahocorasick.Automaton()
         # A piece that no merge makes never stands in an encoding.
         for p in self.ids:
             if len(p) == 1 or self.split(p):
                 self.automaton.add_word(p, (p, len(p)))
         self.automaton.make_automaton()
-        self.chunk_ids: dict[str, str] = {}
-        self.chunk_text: dict[str, str] = {}
+        #: Ids of chunks seen, as text; `odd` holds those whose decoded text isn't the chunk itself.
+        self.table: dict[str, str] = {}
+        self.odd: dict[str, str] = {}
+        self.held = 0
 
     def split(self, piece: str) -> tuple[str, str] | None:
         """The two halves whose merge makes the piece when it is encoded by itself; None if it never is, or is one character."""
@@ -156,25 +163,41 @@ class PieceCodec:
     def chunks(self, text: str) -> list[str]:
         return CHUNKS.findall(MARK + text.replace(" ", MARK)) if text else []
 
-    def learn(self, chunks: list[str]) -> None:
-        if len(self.chunk_ids) > MOST_CHUNKS:
-            self.chunk_ids.clear()
-            self.chunk_text.clear()
-        for c in set(chunks).difference(self.chunk_ids):
-            ids = self.encode_chunk(c)
-            self.chunk_ids[c] = " ".join(map(str, ids))
-            self.chunk_text[c] = self.decode_pieces(ids)
+    def learn(self, chunk: str) -> tuple[str, str]:
+        """Ids and decoded text of a chunk; short ones enter the table, which starts again when it is full."""
+        ids = self.encode_chunk(chunk)
+        listed, text = " ".join(map(str, ids)), self.decode_pieces(ids)
+        if len(chunk) <= LONG_CHUNK:
+            size = getsizeof(chunk) + getsizeof(listed) + 110
+            if self.held + size > TABLE_BYTES:
+                self.table.clear()
+                self.odd.clear()
+                self.held = 0
+            self.table[chunk] = listed
+            if text != chunk.replace(MARK, " "):
+                self.odd[chunk] = text
+                size += getsizeof(text) + 110
+            self.held += size
+        return listed, text
 
     def encode(self, text: str) -> list[int]:
         """Ids as the library gives them, with the end id."""
         return [i for c in self.chunks(text) for i in self.encode_chunk(c)] + [self.end]
 
     def digests(self, text: str) -> tuple[int, str, str]:
-        chunks = self.chunks(text)
-        self.learn(chunks)
-        ids = " ".join([*map(self.chunk_ids.__getitem__, chunks), str(self.end)])
-        decoded = "".join(map(self.chunk_text.__getitem__, chunks)).removeprefix(" ")
-        return ids.count(" ") + 1, hashlib.sha256(ids.encode()).hexdigest(), hashlib.sha256(decoded.encode("utf-8", "replace")).hexdigest()
+        get, odd = self.table.get, self.odd
+        ids, back = [], []
+        for c in self.chunks(text):
+            listed, plain = get(c), None
+            if listed is None:
+                listed, plain = self.learn(c)
+            elif odd:
+                plain = odd.get(c)
+            ids.append(listed)
+            back.append(c.replace(MARK, " ") if plain is None else plain)
+        ids.append(str(self.end))
+        joined, decoded = " ".join(ids), "".join(back).removeprefix(" ")
+        return joined.count(" ") + 1, hashlib.sha256(joined.encode()).hexdigest(), hashlib.sha256(decoded.encode("utf-8", "replace")).hexdigest()
 
 
 @lru_cache(2)

@@ -4,22 +4,27 @@ Base spans follow fixed patterns and checks and always stay. The method adds
 spans: looser patterns propose candidates, and five labelers (pattern, layout,
 gazetteer, context, border) vote yes, no or nothing on each candidate and each
 base span. Spark counts how often each combination of votes occurs for each
-kind, at most 4 x 3**5 rows whatever the input; expectation-maximisation over
+kind, at most 5 x 3**5 rows whatever the input; expectation-maximisation over
 that table estimates the labelers' reliabilities and the probability that a
 combination is personal data, and a logistic span classifier is trained on
 those probabilities, weighted by the counts. Candidates that the classifier
-accepts and that touch no base span are added.
+accepts and that touch no base span are added. Credentials (keys, tokens and
+passwords) are a fifth kind that has candidates only; they are reported beside
+the spans of the four kinds, in `secrets`, and count in `n_found`.
 
 Defined results: a null text counts as empty; positions are code points;
-repeated rows get equal results; other columns are ignored.
+repeated rows get equal results; a null doc_id is kept; other columns are
+ignored. All patterns run in time linear in the text.
 """
 
 from __future__ import annotations
 
 import hashlib
 import re
+from bisect import bisect_left
 from collections import Counter
 from collections.abc import Iterator
+from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
@@ -29,9 +34,11 @@ from pyspark.sql import functions as F
 from pitwell.llm.shared import documents
 
 KINDS = ("email", "ip", "card", "phone")
+SECRET = "secret"
 BASE = {
-    "email": re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+"),
-    "ip": re.compile(r"[0-9]+(?:\.[0-9]+)(?:\.[0-9]+)(?:\.[0-9]+)"),
+    "email": re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)+"),
+    # A match can only begin where a run of digits does; without that, long runs would be read again from each digit.
+    "ip": re.compile(r"(?<![0-9])[0-9]++(?:\.[0-9]++){3}"),
     "card": re.compile(r"[0-9](?:[\x20-]?[0-9])+"),
     "phone": re.compile(r"\+[0-9][\x20().0-9-]+[0-9]"),
 }
@@ -41,6 +48,13 @@ LOOSE = {
     "card": re.compile(r"(?<![0-9])(?:(?:[0-9]{4}[ -]){3}[0-9]{4}|[0-9]{13,16})(?![0-9])"),
     "phone": re.compile(r"\+[0-9]{1,3} ?\([0-9]{2,4}\) ?[0-9]{3,4}[ .-][0-9]{4}(?![0-9])|\+[0-9]{1,3}(?:[ .-][0-9]{2,4}){2,3}(?![.0-9])|(?<![0-9+])(?:\([0-9]{3}\) ?|[0-9]{3}[.-])[0-9]{3}[.-][0-9]{4}(?![0-9])"),
 }
+#: A credential: a quoted or assigned word of many letters and digits, or one with a well-known beginning.
+LOOSE_SECRET = re.compile(r"(?<![A-Za-z0-9_+/=-])[A-Za-z0-9_+/-]{16,512}={0,2}(?![A-Za-z0-9_+/=-])")
+#: Beginnings of keys of public services, and words that name a credential.
+KEY_STARTS = ("AKIA", "ASIA", "ghp_", "gho_", "ghs_", "github_pat_", "glpat-", "xoxb-", "xoxp-", "sk-", "sk_live_", "pk_live_", "AIza", "eyJ")
+SECRET_WORDS = re.compile(r"(?:token|secret|passw(?:or)?d|passwd|pwd|api[_-]?key|access[_-]?key|private[_-]?key|credential|bearer|authorization)", re.I)
+ASSIGNED = re.compile(r"(?:=|:|=>)\s*[\"'`]?$")
+HEX = re.compile(r"(?:[0-9a-f]{32}|[0-9a-f]{40}|[0-9a-f]{56}|[0-9a-f]{64})", re.I)
 LAYOUT = {
     "email": re.compile(r".{1,64}@[A-Za-z0-9.-]*[A-Za-z0-9]\.[A-Za-z]{2,24}|.*\b(?:at)\b.*", re.I),
     "ip": re.compile(r"(?:(?:0|[1-9][0-9]{0,2})\.){3}(?:0|[1-9][0-9]{0,2})"),
@@ -58,7 +72,8 @@ NEAR = {
 }
 FAR_WORDS = re.compile(r"\b(?:version|isbn|issn|doi|order|invoice|serial|build|commit|page|id|sha|hash)\b")
 REGION = re.compile(r"[+0-9][+0-9 ().-]*")
-MAIL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-@")
+LOCAL = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-"
+DOMAIN = re.compile(r"[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)+")
 NEAR_CHARS = 40
 LABELERS = ("pattern", "layout", "gazetteer", "context", "border")
 EM_STEPS = 50
@@ -78,30 +93,40 @@ def luhn(number: str) -> bool:
 
 def valid(kind: str, s: str) -> bool:
     if kind == "ip":
-        return all(len(p.lstrip("0")) <= 3 and int(p) <= 255 for p in s.split("."))
+        return all(len(x := p.lstrip("0")) <= 3 and int(x or 0) <= 255 for p in s.split("."))
     if kind == "card":
         d = digits(s)
         return 12 <= len(d) <= 19 and luhn(d)
     return kind == "email" or 9 <= len(digits(s)) <= 15
 
 
-def mail_regions(text: str) -> Iterator[tuple[int, int]]:
-    at, done = text.find("@"), 0
+def mails(text: str) -> Iterator[tuple[int, int]]:
+    """Leftmost non-overlapping matches of BASE["email"], looked for around each @, in linear time."""
+    done, at = 0, text.find("@")
     while at >= 0:
-        a, b = at, at + 1
-        while a > done and text[a - 1] in MAIL:
-            a -= 1
-        while b < len(text) and text[b] in MAIL:
-            b += 1
-        yield a, b
-        done, at = b, text.find("@", b)
+        start = done + len(text[done:at].rstrip(LOCAL))
+        found = DOMAIN.match(text, at + 1) if start < at else None
+        if found:
+            yield start, found.end()
+        done = found.end() if found else at + 1
+        at = text.find("@", at + 1)
+
+
+class Covered:
+    """Whether a span touches one of some spans that are sorted by their start."""
+
+    def __init__(self, spans: list[tuple[int, int, str]]):
+        self.starts = [s for s, _, _ in spans]
+        self.ends = list(accumulate((e for _, e, _ in spans), max))
+
+    def touches(self, start: int, end: int) -> bool:
+        k = bisect_left(self.starts, end)
+        return k > 0 and self.ends[k - 1] > start
 
 
 def found_spans(text: str) -> tuple[list[tuple[int, int, str]], list[tuple[int, int, str]]]:
     """(base spans, other candidates) as (start, end, kind). Patterns only run over stretches of their own characters."""
-    base, loose = [], []
-    for a, b in mail_regions(text):
-        base += [(m.start(), m.end(), "email") for m in BASE["email"].finditer(text, a, b)]
+    base, loose = [(a, b, "email") for a, b in mails(text)], []
     low = text.lower() if "@" not in text or "(" in text or "[" in text else ""
     if any(x in low for x in ("(at", "( at", "[at", "[ at")):
         loose += [(m.start(), m.end(), "email") for m in LOOSE["email"].finditer(text)]
@@ -116,13 +141,32 @@ def found_spans(text: str) -> tuple[list[tuple[int, int, str]], list[tuple[int,
             base += [(a + m.start(), a + m.end(), kind) for m in BASE[kind].finditer(part) if valid(kind, m.group())]
         for kind in ("ip", "card", "phone"):
             loose += [(a + m.start(), a + m.end(), kind) for m in LOOSE[kind].finditer(part)]
+    for m in LOOSE_SECRET.finditer(text):
+        word = m.group()
+        if word.startswith(KEY_STARTS) or any(map(str.isdigit, word)) and any(map(str.isalpha, word)):
+            loose.append((m.start(), m.end(), SECRET))
     base.sort(key=lambda x: (x[0], KINDS.index(x[2])))
     if loose:
-        loose = [c for c in sorted(set(loose)) if all(c[1] <= s or e <= c[0] for s, e, _ in base)]
+        held = Covered(base)
+        loose = [c for c in sorted(set(loose)) if not held.touches(c[0], c[1])]
     return base, loose
 
 
+def secret_votes(text: str, start: int, end: int) -> tuple[int, ...]:
+    s, before = text[start:end], text[max(0, start - NEAR_CHARS) : start]
+    kinds = sum(any(map(f, s)) for f in (str.isdigit, str.islower, str.isupper))
+    pattern = 1 if HEX.fullmatch(s) or kinds == 3 and len(set(s)) >= 12 else -1
+    layout = 1 if ASSIGNED.search(before) else -1
+    gazetteer = 1 if s.startswith(KEY_STARTS) else 0
+    context = 1 if SECRET_WORDS.search(before) else -1
+    quotes = text[max(0, start - 1) : start], text[end : end + 1]
+    border = 1 if quotes[0] == quotes[1] and quotes[0] in ("'", '"', "`") else 0
+    return pattern, layout, gazetteer, context, border
+
+
 def votes(text: str, start: int, end: int, kind: str) -> tuple[int, ...]:
+    if kind == SECRET:
+        return secret_votes(text, start, end)
     s = text[start:end]
     full = BASE[kind].fullmatch(s)
     pattern = 1 if full and valid(kind, s) else -1
@@ -149,7 +193,7 @@ class SpanModel:
     def __init__(self, table: list[tuple[str, tuple[int, ...], int]]):
         self.weights: dict[str, np.ndarray] = {}
         self.reliability: dict[str, np.ndarray] = {}
-        for kind in KINDS:
+        for kind in (*KINDS, SECRET):
             rows = sorted((v, n) for k, v, n in table if k == kind)
             if not rows:
                 continue
@@ -211,7 +255,7 @@ def joined(spans: list[tuple[int, int, str]]) -> str:
 
 
 def personal_data(docs: DataFrame, threshold: float = 0.9) -> DataFrame:
-    """doc_id, counts of base spans, their digest, and all spans."""
+    """doc_id, counts of base spans, their digest, all spans, credentials likewise, and n_found, the number of both."""
     model = SpanModel(vote_table(docs))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -226,17 +270,18 @@ def personal_data(docs: DataFrame, threshold: float = 0.9) -> DataFrame:
                     v = (k, *votes(text, s, e, k))
                     if v not in known:
                         known[v] = model.probability(k, v[1:]) >= threshold
-                    if known[v] and all(e <= a or z <= s for a, z, _ in more):
+                    if known[v] and (not more or more[-1][1] <= s):  # they come by their start
                         more.append((s, e, k))
                 n = Counter(k for _, _, k in base)
-                every = sorted(base + more, key=lambda x: (x[0], KINDS.index(x[2])))
-                out.append((*(n[k] for k in KINDS), hashlib.sha256(joined(base).encode()).hexdigest(), joined(every)))
+                secrets = [x for x in more if x[2] == SECRET]
+                every = sorted(base + [x for x in more if x[2] != SECRET], key=lambda x: (x[0], KINDS.index(x[2])))
+                out.append((*(n[k] for k in KINDS), hashlib.sha256(joined(base).encode()).hexdigest(), joined(every), joined(secrets), len(every) + len(secrets)))
             if out:
                 cols = list(zip(*out))
-                yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array(c, pa.int64()) for c in cols[:4]), pa.array(cols[4]), pa.array(cols[5])], names=["doc_id", *(f"n_{k}" for k in KINDS), "base_sha256", "spans"])
+                yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array(c, pa.int64()) for c in cols[:4]), *(pa.array(c, pa.string()) for c in cols[4:7]), pa.array(cols[7], pa.int64())], names=["doc_id", *(f"n_{k}" for k in KINDS), "base_sha256", "spans", "secrets", "n_found"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, " + ", ".join(f"n_{k} long" for k in KINDS) + ", base_sha256 string, spans string")
+    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, " + ", ".join(f"n_{k} long" for k in KINDS) + ", base_sha256 string, spans string, secrets string, n_found long")
 
 
 def op8_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:

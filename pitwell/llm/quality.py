@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pitwell.llm.shared import Words, covered, documents, key_join, keyed, mix, slices, span_hash, stored, sums
+from pitwell.llm.shared import Words, both, bytes_hash, covered, documents, key_join, keyed, slices, stored, sums
 
 LEAST_WORDS, REPEAT_WINDOW, MOST_REPEATED = 20, 8, 30
 #: Share of a group's rows that the scatter is estimated from, its consistency factor for five dimensions
@@ -56,13 +56,13 @@ def counts_of(texts: pa.Array) -> dict[str, np.ndarray]:
     end = np.minimum(np.append(breaks, len(w.data))[nxt], w.offsets[line_doc + 1])
     worded = np.searchsorted(w.start, end) > np.searchsorted(w.start, start)
     start, end, line_doc = start[worded], end[worded], line_doc[worded]
-    key = mix(span_hash(w.prefix, start, end) ^ mix(line_doc.astype(np.uint64)))
+    key = both(bytes_hash(w.data, start, end), line_doc.astype(np.uint64))
     once = np.unique(key, return_index=True)[1]
     n_lines = np.bincount(line_doc, minlength=n_docs)
     first, hashes = w.windows(REPEAT_WINDOW)
     repeats = np.zeros(len(w.start), bool)
     if len(first):
-        key = mix(hashes ^ mix(w.doc[first].astype(np.uint64)))
+        key = both(hashes, w.doc[first].astype(np.uint64))
         order = np.argsort(key, kind="stable")
         same = np.zeros(len(key) + 1, bool)
         same[1:-1] = key[order][1:] == key[order][:-1]

@@ -41,7 +41,7 @@ class Picked(NamedTuple):
     context: np.ndarray
 
 
-def runs_of_anchors(anchor: np.ndarray, window: np.ndarray, doc: np.ndarray, name: np.ndarray, prefix: np.ndarray, size: int) -> Picked:
+def runs_of_anchors(anchor: np.ndarray, window: np.ndarray, doc: np.ndarray, name: np.ndarray, codes: np.ndarray, size: int) -> Picked:
     """Groups consecutive windows of one document that picked the same anchor. anchor: id of the picked anchor of each window; name: name of it."""
     if not len(window):
         none = np.zeros(0, np.int64)
@@ -51,7 +51,7 @@ def runs_of_anchors(anchor: np.ndarray, window: np.ndarray, doc: np.ndarray, nam
     at = np.flatnonzero(new)
     n = np.diff(np.append(at, len(window)))
     start = window[at]
-    context = span_hash(prefix, start, start + n - 1 + size)
+    context = span_hash(codes, start, start + n - 1 + size)
     return Picked(start, n, doc[at], name[at], context)
 
 

@@ -6,6 +6,7 @@ memory of a task does not depend on the size of its partition.
 
 from __future__ import annotations
 
+import hashlib
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -18,13 +19,15 @@ from pyspark.sql import functions as F
 
 #: The white space of the operators' contracts, space and \t to \r, and a Java/DuckDB class for it.
 SPACE_CLASS = r"[\x20\x09-\x0D]+"
-SLICE_BYTES = 1 << 20
+SLICE_BYTES = 1 << 18
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The cluster's shared folder, spark.checkpoint.dir; a new temporary one only where none is set."""
+    """The cluster's shared folder, spark.checkpoint.dir; a new temporary one only where none is set and all runs in one process."""
     root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not root:
+        if not spark.sparkContext.master.startswith(("local[", "local ")) and spark.sparkContext.master != "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         root = "file://" + tempfile.mkdtemp(prefix="spark-", dir="/tmp")
         spark.conf.set("spark.checkpoint.dir", root)
     return root.rstrip("/")
@@ -94,21 +97,10 @@ def slices(batch: pa.RecordBatch, column: str = "text", limit: int = SLICE_BYTES
 
 
 _MUL = np.uint64(0x9E3779B97F4A7C15)
-_INV = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
-_powers = np.ones(1, np.uint64)
-_inverse = np.ones(1, np.uint64)
-
-
-def _tables(n: int) -> tuple[np.ndarray, np.ndarray]:
-    global _powers, _inverse
-    if len(_powers) < n:
-        n = max(n, 2 * len(_powers), 1 << 20)
-        _powers = np.full(n, _MUL)
-        _inverse = np.full(n, _INV)
-        _powers[0] = _inverse[0] = 1
-        np.cumprod(_powers, out=_powers)
-        np.cumprod(_inverse, out=_inverse)
-    return _powers[:n], _inverse[:n]
+#: Spans of more bytes are hashed one by one by blake2b; shorter ones 8 bytes a step, all at once.
+LONG_SPAN = 2048
+#: Bytes that belong to a last block of 0 to 8 bytes.
+BLOCK_MASKS = np.array([(1 << 8 * k) - 1 for k in range(9)], np.uint64)
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -120,21 +112,64 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-#: Odd pseudo-random values, one per byte.
-BYTE_CODES = mix(np.arange(1, 257, dtype=np.uint64) * _MUL) | np.uint64(1)
+#: Pseudo-random values, one per byte.
+BYTE_CODES = mix(np.arange(1, 257, dtype=np.uint64) * _MUL)
+
+
+def both(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Hashes of pairs of hashes, in this order. A full mix at every step: no sequences collide by their structure."""
+    return mix(mix(a + _MUL) * _MUL + b)
+
+
+def blocks8(data: np.ndarray) -> np.ndarray:
+    """The 8 bytes from every place of data on, zeros beyond its end, as one number each."""
+    padded = np.append(data, np.zeros(8, np.uint8))
+    return np.ndarray(len(data) + 1, "<u8", buffer=padded, strides=(1,))
 
 
-def prefix_hash(codes: np.ndarray) -> np.ndarray:
-    """Cumulative polynomial hash, one longer than codes; see span_hash."""
-    out = np.zeros(len(codes) + 1, np.uint64)
-    np.cumsum(codes * _tables(len(codes) + 1)[0][: len(codes)], out=out[1:])
+def bytes_hash(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """64-bit hashes of the byte spans [start, end), equal for equal bytes; spans of 8 bytes or fewer and of one length never collide."""
+    size = (end - start).astype(np.int64)
+    out = mix(size.astype(np.uint64) * _MUL)
+    eight = blocks8(data)
+    live = np.flatnonzero((size > 0) & (size <= LONG_SPAN))
+    at, left = start[live], size[live]
+    while len(live):
+        out[live] = mix((out[live] ^ (eight[at] & BLOCK_MASKS[np.minimum(left, 8)])) + _MUL)
+        more = left > 8
+        live, at, left = live[more], at[more] + 8, left[more] - 8
+    for i in np.flatnonzero(size > LONG_SPAN).tolist():
+        out[i] = int.from_bytes(hashlib.blake2b(data[start[i] : end[i]], digest_size=8).digest(), "little")
     return out
 
 
-def span_hash(prefix: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-    """64-bit hashes of the spans [start, end) of the coded sequence, equal for equal content."""
-    raw = (prefix[end] - prefix[start]) * _tables(len(prefix))[1][start]
-    return mix(raw + (end - start).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
+def window_hash(codes: np.ndarray, size: int) -> np.ndarray:
+    """Hashes of all runs of `size` codes, by their first place."""
+    count, out, at, level, length = max(0, len(codes) - size + 1), None, size, codes, 1
+    while count:
+        if size & length:  # the blocks of a run, the smallest last
+            at -= length
+            block = level[at : at + count]
+            out = block if out is None else both(block, out)
+        if 2 * length > size:
+            break
+        level, length = both(level[:-length], level[length:]), 2 * length
+    return mix(codes[:0]) if out is None else mix(out)
+
+
+def span_hash(codes: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """64-bit hashes of the spans [start, end) of the coded sequence, equal for equal content: two blocks of a power of two cover each."""
+    size = (end - start).astype(np.int64)
+    out = np.zeros(len(size), np.uint64)
+    level, length, most = codes, 1, int(size.max(initial=0))
+    while length <= most:
+        mine = np.flatnonzero((size >= length) & (size < 2 * length))
+        if len(mine):
+            out[mine] = both(level[start[mine]], level[end[mine] - length])
+        if 2 * length <= most:
+            level = both(level[:-length], level[length:])
+        length *= 2
+    return mix(out + size.astype(np.uint64) * _MUL)
 
 
 _SPACE = np.zeros(256, bool)
@@ -163,8 +198,7 @@ class Words:
         self.first = np.searchsorted(self.start, self.offsets)
         self.count = np.diff(self.first)
         self.doc = np.repeat(np.arange(len(self.count)), self.count)
-        self.prefix = prefix_hash(BYTE_CODES[self.data])
-        self.hash = span_hash(self.prefix, self.start, self.end)
+        self.hash = bytes_hash(self.data, self.start, self.end)
 
     def windows(self, size: int) -> tuple[np.ndarray, np.ndarray]:
         """First words and hashes of all windows of `size` words that lie in one document."""
@@ -172,7 +206,7 @@ class Words:
         if n < size:
             return np.zeros(0, np.int64), np.zeros(0, np.uint64)
         first = np.flatnonzero(self.doc[: n - size + 1] == self.doc[size - 1 :])
-        return first, span_hash(prefix_hash(self.hash), first, first + size)
+        return first, window_hash(self.hash, size)[first]
 
 
 def raw_bytes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:

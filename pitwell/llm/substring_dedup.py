@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pitwell.llm.repeats import Picked, anchor_rows, range_minimum, runs_of_anchors, shared_anchors, windows_in, with_marks
-from pitwell.llm.shared import Words, as_long, covered, documents, mix, prefix_hash, span_hash, stored
+from pitwell.llm.shared import Words, as_long, both, covered, documents, mix, span_hash, stored, window_hash
 
 WINDOW = 20
 ROUNDS = 2
@@ -78,12 +78,11 @@ def recompress(name: np.ndarray, doc: np.ndarray, rounds: int = ROUNDS) -> tuple
 def pick(texts: pa.Array, size: int = WINDOW, rounds: int = ROUNDS) -> tuple[Picked, np.ndarray]:
     w = Words(texts)
     window, hashes = w.windows(size)
-    prefix = prefix_hash(w.hash)
     name, low, high = recompress(w.hash, w.doc, rounds)
     sound = (low >= 0) & (high < FAR)
     low, high = low[sound], high[sound]
     # A short symbol is common by itself; with all the words that decide it, it is as rare as a long one.
-    name = mix(name[sound] ^ span_hash(prefix, low, high))
+    name = both(name[sound], span_hash(w.hash, low, high))
     a = np.searchsorted(low, window)
     b = np.searchsorted(high, window + size, "right")
     some = b > a
@@ -95,7 +94,7 @@ def pick(texts: pa.Array, size: int = WINDOW, rounds: int = ROUNDS) -> tuple[Pic
         chosen[some] = (best & ((np.uint64(1) << bits) - np.uint64(1))).astype(np.int64)
     names = np.where(some, name[np.maximum(chosen, 0)] if len(name) else hashes, mix(hashes))
     anchor = np.where(some, chosen, -1 - window)
-    return runs_of_anchors(anchor, window, w.doc[window], names, prefix, size), w.first
+    return runs_of_anchors(anchor, window, w.doc[window], names, w.hash, size), w.first
 
 
 def representative_windows(docs: DataFrame, runs: DataFrame, size: int) -> DataFrame:
@@ -106,7 +105,7 @@ def representative_windows(docs: DataFrame, runs: DataFrame, size: int) -> DataF
             for i in range(b.num_rows):
                 w = Words(b.column(1).slice(i, 1))
                 at = windows_in(b.column(2)[i].as_py(), b.column(3)[i].as_py(), max(0, len(w.start) - size + 1))
-                hashes = span_hash(prefix_hash(w.hash), at, at + size)
+                hashes = window_hash(w.hash, size)[at]
                 yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(np.full(len(at), i))), pa.array(at.astype(np.int32)), as_long(hashes)], names=["doc_id", "start", "window"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()

@@ -26,11 +26,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pitwell.llm.repeats import BROADCAST_DOCUMENTS, BROADCAST_MARKS, Picked, anchor_rows, runs_of_anchors, shared_anchors, windows_in, with_marks
-from pitwell.llm.shared import BYTE_CODES, as_long, covered, documents, prefix_hash, raw_bytes, span_hash, stored
+from pitwell.llm.shared import BLOCK_MASKS, BYTE_CODES, as_long, blocks8, covered, documents, raw_bytes, stored, window_hash
 
 LENGTH, GRAM = 200, 32
 #: Windows handled at once, bytes of a block, and surroundings of one name beyond which strings are counted instead.
-PIECE, BLOCK, MOST_CONTEXTS = 1 << 20, 1 << 19, 2048
+PIECE, BLOCK, MOST_CONTEXTS = 1 << 18, 1 << 19, 2048
 
 
 def pick(texts: pa.Array, size: int = LENGTH, gram: int = GRAM) -> tuple[Picked, np.ndarray]:
@@ -41,9 +41,9 @@ def pick(texts: pa.Array, size: int = LENGTH, gram: int = GRAM) -> tuple[Picked,
         piece = data[at : at + PIECE + size - 1]
         if len(piece) < size:
             break
-        prefix = prefix_hash(BYTE_CODES[piece])
+        codes = BYTE_CODES[piece]
         place = np.arange(len(piece) - gram + 1)
-        hashes = span_hash(prefix, place, place + gram)
+        hashes = window_hash(codes, gram)
         bits = np.uint64(len(piece).bit_length())
         least = (hashes >> bits << bits) | place.astype(np.uint64)
         width, reach = size - gram + 1, 1
@@ -55,10 +55,10 @@ def pick(texts: pa.Array, size: int = LENGTH, gram: int = GRAM) -> tuple[Picked,
         window = np.flatnonzero(place[: len(least)] + at + size <= ends[at : at + len(least)])
         chosen = (least[window] & ((np.uint64(1) << bits) - np.uint64(1))).astype(np.int64)
         doc = np.searchsorted(offsets, window + at, "right") - 1
-        p = runs_of_anchors(chosen, window, doc, hashes[chosen], prefix, size)
+        p = runs_of_anchors(chosen, window, doc, hashes[chosen], codes, size)
         parts.append(p._replace(start=p.start + at))
     if not parts:
-        parts = [runs_of_anchors(np.zeros(0), np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint64), np.zeros(1, np.uint64), size)]
+        parts = [runs_of_anchors(np.zeros(0), np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint64), np.zeros(0, np.uint64), size)]
     return Picked(*map(np.concatenate, zip(*parts))), offsets
 
 
@@ -111,11 +111,16 @@ def repeated_in_block(contexts: list[bytes], size: int = LENGTH) -> list[np.ndar
     codes[start + length] = 1
     order = suffix_array(codes)
     order = order[valid[order]]
-    hashes = span_hash(prefix_hash(BYTE_CODES[data]), order, order + size)
-    same = hashes[1:] == hashes[:-1]
+    # Neighbours are compared byte by byte over `size` bytes, eight at a time.
+    a, b, eight = order[:-1], order[1:], blocks8(data)
+    same = np.arange(len(a))
+    for k in range(0, size, 8):
+        k = min(k, max(0, size - 8))
+        mask = BLOCK_MASKS[min(8, size)]
+        same = same[(eight[a[same] + k] & mask) == (eight[b[same] + k] & mask)]
     twice = np.zeros(len(data), bool)
-    twice[order[1:][same]] = True
-    twice[order[:-1][same]] = True
+    twice[a[same]] = True
+    twice[b[same]] = True
     return [twice[s : s + max(0, n - size + 1)] for s, n in zip(start.tolist(), length.tolist())]
 
 
@@ -184,7 +189,7 @@ def counted_strings(docs: DataFrame, contexts: DataFrame, size: int) -> DataFram
             for i in range(b.num_rows):
                 data, _ = raw_bytes(b.column(1).slice(i, 1))
                 at = windows_in(b.column(2)[i].as_py(), b.column(3)[i].as_py(), max(0, len(data) - size + 1))
-                hashes = span_hash(prefix_hash(BYTE_CODES[data]), at, at + size)
+                hashes = window_hash(BYTE_CODES[data], size)[at]
                 yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(np.full(len(at), i))), pa.array(at.astype(np.int32)), as_long(hashes)], names=["doc_id", "start", "window"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
