@@ -1,41 +1,55 @@
 """Operator 4: quality rules with robust multivariate outliers.
 
 Counts are taken from whole texts, a slice of documents at a time. The verdict
-of the method: for each language and source, location and scatter of five
-transformed statistics are estimated by minimum covariance determinant
-(concentration steps from a median and MAD start, as sums over all rows of the
-group), and documents whose squared Mahalanobis distance exceeds the chi-square
-cut on the bad side are rejected. Groups of fewer than LEAST rows use their
-language's estimate, or that of all rows.
+of the method is a regularised minimum covariance determinant for each language
+and source over five transformed statistics, rounded to a grid of 1/32:
+
+1. Rows that pass the base rule collapse to cells (group, grid point, count), so
+   that the later passes don't grow with repeated statistics.
+2. Four deterministic starts for each group: median with quartile ranges, plain
+   mean and covariance, spatial signs, and hyperbolic tangents.
+3. Concentration steps for all groups and starts at once: squared distances fall
+   into narrow bins, sums by bin give the mean and covariance of the nearest
+   INNER share (whole bins), until no start's determinant falls any more.
+4. The start with the smallest determinant is the group's estimate. Documents
+   whose squared Mahalanobis distance exceeds CUT are rejected.
+
+An estimate is the group's own at every size: its sums are joined by those of
+PRIOR rows that look like the estimate over all rows, which decides little in a
+large group and most in a group of few; RIDGE is added to the diagonal because
+clean documents often have no symbol or repeated line at all (variance 0).
+Estimates are rounded, so that the order in which tasks add up changes nothing.
 
 Defined results: a null text has no words and fails the base rule; null
-language or source is a group of its own; repeated rows get equal results;
+language or source is a group of its own; repeated rows get equal results; a
+group without a row that passes the base rule has no estimate and no kept row;
 other columns are kept by `kept_documents` and ignored elsewhere.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from pitwell.llm.shared import Words, both, bytes_hash, covered, documents, key_join, keyed, slices, stored, sums
 
 LEAST_WORDS, REPEAT_WINDOW, MOST_REPEATED = 20, 8, 30
 #: Share of a group's rows that the scatter is estimated from, its consistency factor for five dimensions
-#: (0.75 / P(chi2_7 <= chi2_5's 75 % point)), and the chi2_5 point with 1e-10 beyond it.
-INNER, CONSISTENCY, CUT = 0.75, 1.41, 55.5
-STEPS = 3
-LEAST = 50
-#: Most groups whose estimates are sent to all executors at once (about 400 bytes each).
-BROADCAST_GROUPS = 20_000
+#: (0.75 / P(chi2_7 <= chi2_5's 75 % point)), and the chi2_5 point with 1e-8 beyond it.
+INNER, CONSISTENCY, CUT = 0.75, 1.41, 45.1
 STATS = ("x_words", "x_length", "x_symbols", "x_lines", "x_repeats")
-#: Least standard deviations: variation below them is no sign of a bad document.
-FLOORS = (1.0, 0.12, 0.12, 0.15, 0.12)
+#: Standard deviations added to each statistic's own, rows that the estimate over all rows counts for, and grid points to one.
+RIDGE, PRIOR, GRID = (0.3, 0.05, 0.12, 0.15, 0.12), 50, 32
+#: Bins of squared distances for each doubling of 1 + distance.
+BINS = 8
+#: Most groups whose estimates are sent to all executors at once (about 1 KB each).
+BROADCAST_GROUPS = 20_000
+PAIRS = [(i, j) for i in range(len(STATS)) for j in range(i, len(STATS))]
+STARTS = 4
 
 _SYMBOL = np.zeros(256, bool)
 _SYMBOL[list(b"#*$%&|<>")] = True
@@ -92,27 +106,24 @@ def text_counts(docs: DataFrame, keys: tuple[str, ...] = ("doc_id", "lang", "sou
 
 
 def transformed(counts: DataFrame) -> DataFrame:
+    """The counts with the five statistics on the grid, and group, a digest of language and source."""
     words = F.greatest(F.col("n_words"), F.lit(1))
-    return counts.withColumns({
-        "x_words": F.log1p("n_words"),
-        "x_length": F.log(F.greatest(F.col("word_chars"), F.lit(1)) / words),
-        "x_symbols": F.sqrt(F.col("n_symbols") / words),
-        "x_lines": F.sqrt(F.col("n_dup_lines") / F.greatest(F.col("n_lines"), F.lit(1))),
-        "x_repeats": F.sqrt(F.col("n_repeat_words") / words),
-    })
+    stats = (
+        F.log1p("n_words"),
+        F.log(F.greatest(F.col("word_chars"), F.lit(1)) / words),
+        F.sqrt(F.col("n_symbols") / words),
+        F.sqrt(F.col("n_dup_lines") / F.greatest(F.col("n_lines"), F.lit(1))),
+        F.sqrt(F.col("n_repeat_words") / words),
+    )
+    told = [F.coalesce(F.concat(F.lit("+"), F.col(c).cast("string")), F.lit("-")) for c in ("lang", "source")]
+    group = F.md5(F.concat_ws("\x1f", F.length(told[0]).cast("string"), *told))
+    return counts.withColumns({name: F.round(x * GRID) / GRID for name, x in zip(STATS, stats)} | {"key": group})
 
 
-def grouped(rows: DataFrame) -> DataFrame:
-    """Every row three times, under the keys of its language and source, its language, and all rows."""
-    lang, source = (F.coalesce(F.col(c).cast("string"), F.lit("\x00")) for c in ("lang", "source"))
-    keys = F.array(F.concat_ws("\x1f", F.lit("2"), lang, source), F.concat_ws("\x1f", F.lit("1"), lang), F.lit("0"))
-    return rows.select(*STATS, F.explode(keys).alias("key"))
-
-
-def squared_distance(centre: Column, precision: Column) -> Column:
-    diffs = F.array(*(F.col(s) - F.element_at(centre, i + 1) for i, s in enumerate(STATS)))
-    p = len(STATS)
-    return F.aggregate(F.transform(F.sequence(F.lit(0), F.lit(p * p - 1)), lambda k: F.get(diffs, (k / p).cast("int")) * F.get(diffs, k % p) * F.get(precision, k)), F.lit(0.0), lambda a, b: a + b)
+def squared_distance() -> Column:
+    """From the columns of STATS, c0.. (centre) and p0.. (precision, in the order of PAIRS)."""
+    gap = [F.col(s) - F.col(f"c{i}") for i, s in enumerate(STATS)]
+    return sum((F.col(f"p{k}") * gap[i] * gap[j] * (1.0 if i == j else 2.0) for k, (i, j) in enumerate(PAIRS)), F.lit(0.0))
 
 
 def with_group(rows: DataFrame, side: DataFrame) -> DataFrame:
@@ -129,67 +140,152 @@ def with_group(rows: DataFrame, side: DataFrame) -> DataFrame:
     return rows.join(F.broadcast(large), "key").unionByName(small.join(side, "key"))
 
 
-def estimates(rows: DataFrame) -> DataFrame:
-    """key, n, centre, precision (row-major): minimum-covariance-determinant estimates of all groups."""
-    many = grouped(rows)
-    middle = stored(many.groupBy("key").agg(F.count("*").alias("n"), *(F.percentile_approx(s, 0.5, 1000).alias(f"m_{s}") for s in STATS)), "op4-middle")
-    spread = with_group(many, middle).groupBy("key").agg(F.first("n").alias("n"), *(F.first(f"m_{s}").alias(f"m_{s}") for s in STATS), *(F.percentile_approx(F.abs(F.col(s) - F.col(f"m_{s}")), 0.5, 1000).alias(f"d_{s}") for s in STATS))
+ESTIMATE = "key string, start int, n long, det double, " + ", ".join(f"c{i} double" for i in range(len(STATS))) + ", " + ", ".join(f"p{k} double" for k in range(len(PAIRS))) + ", " + ", ".join(f"s{k} double" for k in range(len(PAIRS)))
+
+
+def square(values: np.ndarray) -> np.ndarray:
+    """The symmetric matrix of its entries in the order of PAIRS."""
+    out = np.zeros((len(STATS), len(STATS)))
+    for (i, j), x in zip(PAIRS, values):
+        out[i, j] = out[j, i] = x
+    return out
+
+
+def flat(matrix: np.ndarray) -> list[float]:
+    return [float(matrix[i, j]) for i, j in PAIRS]
+
+
+def estimate(key: str, start: int, n: int, centre: np.ndarray, scatter: np.ndarray) -> tuple:
+    """A row of ESTIMATE, rounded so that the last digits of sums don't show."""
+    centre, scatter = np.round(centre, 9), np.round(scatter, 9)
+    return (key, start, n, round(float(np.linalg.slogdet(scatter)[1]), 7), *centre.tolist(), *flat(np.linalg.inv(scatter)), *flat(scatter))
+
+
+def shrunk(held: float, centre: np.ndarray, scatter: np.ndarray, prior: tuple[np.ndarray, np.ndarray] | None) -> tuple[np.ndarray, np.ndarray]:
+    """Mean and scatter of the rows held, joined by PRIOR rows like the prior, or without one with the ridge."""
+    if prior is None:
+        return centre, scatter + np.diag(np.square(RIDGE))
+    share = held / (held + PRIOR)
+    return share * centre + (1 - share) * prior[0], share * scatter + (1 - share) * prior[1] + share * np.diag(np.square(RIDGE))
+
+
+def rows_of(make: Callable[[dict], list[tuple]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """A mapInArrow function that makes rows of ESTIMATE from each row."""
+    kinds = [pa.string(), pa.int32(), pa.int64()] + [pa.float64()] * (1 + len(STATS) + 2 * len(PAIRS))
+    names = [c.split()[0] for c in ESTIMATE.split(", ")]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            out = [x for row in b.to_pylist() for x in make(row)]
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out) if out else [()] * len(kinds), kinds)], names=names)
+
+    return run
+
+
+def middles(cells: DataFrame) -> DataFrame:
+    """key, n, m0.. (medians), w0.. (robust standard deviations from the quartiles, the ridge at least): exact, from counts by grid point."""
+    each = cells.select("key", "n", F.posexplode(F.array(*STATS)).alias("i", "x")).groupBy("key", "i", "x").agg(F.sum("n").alias("n"))
+    up = Window.partitionBy("key", "i").orderBy("x")
+    each = each.withColumn("below", F.sum("n").over(up)).withColumn("total", F.sum("n").over(Window.partitionBy("key", "i")))
+    point = lambda q: F.min(F.when(F.col("below") >= q * F.col("total"), F.col("x")))
+    each = each.groupBy("key", "i").agg(F.max("total").alias("n"), point(0.5).alias("m"), ((point(0.75) - point(0.25)) / 1.349).alias("w"))
+    pick = lambda c, i: F.max(F.when(F.col("i") == i, F.col(c)))
+    return each.groupBy("key").agg(F.max("n").alias("n"), *(pick("m", i).alias(f"m{i}") for i in range(len(STATS))), *(F.greatest(pick("w", i), F.lit(r)).alias(f"w{i}") for i, r in enumerate(RIDGE)))
+
+
+def starts(cells: DataFrame, prior: tuple[np.ndarray, np.ndarray] | None) -> DataFrame:
+    """The starting estimates of all groups, STARTS rows a key."""
+    middle = stored(middles(cells), "op4-middles")
     p = len(STATS)
-    inverse = [F.lit(0.0) if i != j else 1 / F.pow(F.greatest(F.col(f"d_{s}") * 1.4826, F.lit(FLOORS[i])), 2) for i, s in enumerate(STATS) for j in range(p)]
-    now = stored(spread.select("key", "n", F.array(*(F.col(f"m_{s}").cast("double") for s in STATS)).alias("centre"), F.array(*inverse).alias("precision")), "op4-start")
-
-    def inverted(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for f in frames:
-            out = []
-            for r in f.itertuples():
-                mean = np.array(r.first) / r.held
-                cov = np.array(r.second).reshape(p, p) / r.held - np.outer(mean, mean)
-                cov = CONSISTENCY * cov
-                # Variances reach their floors; a tenth of the floors more keeps the matrix regular for tiny or constant groups.
-                cov[np.diag_indices(p)] = np.maximum(np.diag(cov), np.square(FLOORS)) + 0.1 * np.square(FLOORS)
-                out.append((r.key, r.n, mean.tolist(), np.linalg.inv(cov).ravel().tolist()))
-            yield pd.DataFrame(out, columns=["key", "n", "centre", "precision"])
-
-    for _ in range(STEPS):
-        far = with_group(many, now).withColumn("d", squared_distance(F.col("centre"), F.col("precision"))).select("key", "d", *STATS)
-        radius = stored(far.groupBy("key").agg(F.count("*").alias("n"), F.percentile_approx("d", INNER, 1000).alias("radius")), "op4-radius")
-        inner = with_group(far, radius).filter("d <= radius")
-        first = F.array(*(F.sum(s) for s in STATS))
-        second = F.array(*(F.sum(F.col(a) * F.col(b)) for a in STATS for b in STATS))
-        sums_ = inner.groupBy("key").agg(F.first("n").alias("n"), F.count("*").alias("held"), first.alias("first"), second.alias("second"))
-        now = stored(sums_.mapInPandas(inverted, "key string, n long, centre array<double>, precision array<double>"), "op4-step")
-    return now
+    z = [(F.col(s) - F.col(f"m{i}")) / F.col(f"w{i}") for i, s in enumerate(STATS)]
+    rows = with_group(cells.withColumnRenamed("n", "rows"), middle)
+    rows = rows.withColumn("length", F.greatest(F.sqrt(sum((x * x for x in z), F.lit(0.0))), F.lit(1e-9)))
+    weigh = lambda xs: [F.sum(F.col("rows") * x) for x in xs]
+    cross = lambda xs: weigh(xs[i] * xs[j] for i, j in PAIRS)
+    plain, sign, bent = [F.col(s) for s in STATS], [x / F.col("length") for x in z], [F.tanh(x) for x in z]
+    sums_ = rows.groupBy("key", "n", *(f"{c}{i}" for c in "mw" for i in range(p))).agg(
+        F.array(*weigh(plain)).alias("first"), F.array(*cross(plain)).alias("second"), F.array(*cross(sign)).alias("signs"), F.array(*weigh(bent)).alias("bent1"), F.array(*cross(bent)).alias("bent2")
+    )
+
+    def make(r: dict) -> list[tuple]:
+        n, m, w = r["n"], np.array([r[f"m{i}"] for i in range(p)]), np.array([r[f"w{i}"] for i in range(p)])
+        scale = np.diag(w)
+        mean, bent_ = np.array(r["first"]) / n, np.array(r["bent1"]) / n
+        found = [
+            (m, scale @ scale),
+            (mean, square(r["second"]) / n - np.outer(mean, mean)),
+            (m, scale @ (square(r["signs"]) / n * p) @ scale),
+            (m, scale @ (square(r["bent2"]) / n - np.outer(bent_, bent_)) @ scale),
+        ]
+        # Starts have no place in the search for the smallest determinant, only where they lead to.
+        return [(*(e := estimate(r["key"], k, n, *shrunk(n, c, s, prior)))[:3], float("inf"), *e[4:]) for k, (c, s) in enumerate(found)]
+
+    return stored(sums_.mapInArrow(rows_of(make), ESTIMATE), "op4-starts")
+
+
+def concentrated(cells: DataFrame, now: DataFrame, prior: tuple[np.ndarray, np.ndarray] | None) -> DataFrame:
+    """One concentration step from every row of `now`."""
+    rows = with_group(cells.withColumnRenamed("n", "rows"), now.select("key", "start", "n", *(c for c in now.columns if c[0] in "cp" and c[1:].isdigit())))
+    rows = rows.withColumn("bin", F.floor(F.log2(1 + F.greatest(squared_distance(), F.lit(0.0))) * BINS).cast("int"))
+    weigh = lambda xs: F.array(*(F.sum(F.col("rows") * x) for x in xs))
+    bins = rows.groupBy("key", "start", "n", "bin").agg(F.sum("rows").alias("rows"), weigh(F.col(s) for s in STATS).alias("first"), weigh(F.col(STATS[i]) * F.col(STATS[j]) for i, j in PAIRS).alias("second"))
+    listed = bins.groupBy("key", "start", "n").agg(F.array_sort(F.collect_list(F.struct("bin", "rows", "first", "second"))).alias("bins"))
+
+    def make(r: dict) -> list[tuple]:
+        held, first, second = 0, np.zeros(len(STATS)), np.zeros(len(PAIRS))
+        for x in r["bins"]:
+            held, first, second = held + x["rows"], first + x["first"], second + x["second"]
+            if held >= INNER * r["n"]:
+                break
+        mean = first / held
+        return [estimate(r["key"], r["start"], r["n"], *shrunk(held, mean, CONSISTENCY * (square(second / held) - np.outer(mean, mean)), prior))]
+
+    return listed.mapInArrow(rows_of(make), ESTIMATE)
+
+
+def smallest_determinants(cells: DataFrame, prior: tuple[np.ndarray, np.ndarray] | None) -> DataFrame:
+    """One row of ESTIMATE for each key: where the start with the smallest determinant leads to. cells: key, STATS, n."""
+    now = starts(cells, prior)
+    done, open_ = None, now
+    while True:
+        new = concentrated(cells, open_, prior).select(*now.columns)
+        old = open_.select("key", "start", F.col("det").alias("was"))
+        new = stored(new.join(old, ["key", "start"]), "op4-step")
+        better = new.filter("det < was - 1e-6").drop("was")
+        # Starts whose determinant fell no further are done, with the estimate before.
+        ended = open_.join(new.filter("NOT det < was - 1e-6").select("key", "start"), ["key", "start"], "left_semi")
+        done = ended if done is None else done.unionByName(ended)
+        if better.isEmpty():
+            break
+        open_ = better
+    best = done.groupBy("key").agg(F.min(F.struct("det", "start")).alias("b")).select("key", F.col("b.start").alias("start"))
+    return stored(done.join(best, ["key", "start"], "left_semi"), "op4-best")
+
+
+def estimates(rows: DataFrame) -> DataFrame:
+    """The estimate of every group of rows (key, STATS)."""
+    cells = stored(rows.groupBy("key", *STATS).agg(F.count("*").alias("n")), "op4-cells")
+    every = cells.groupBy(*STATS).agg(F.sum("n").alias("n")).withColumn("key", F.lit(""))
+    over_all = smallest_determinants(stored(every, "op4-all"), None).collect()  # one row
+    if not over_all:
+        return smallest_determinants(cells, None)
+    r = over_all[0]
+    return smallest_determinants(cells, (np.array([r[f"c{i}"] for i in range(len(STATS))]), square([r[f"s{k}"] for k in range(len(PAIRS))])))
 
 
 def verdicts(docs: DataFrame) -> DataFrame:
     """Counts of every row with base_failed, distance2 and kept."""
-    rows = stored(transformed(text_counts(docs)), "op4-counts")
+    rows = transformed(text_counts(docs))
     # Rows that fail the base rule are gone anyway and would only blur the estimates.
     failed = (F.col("n_words") < LEAST_WORDS) | (100 * F.col("n_repeat_words") > MOST_REPEATED * F.col("n_words"))
-    rows = rows.withColumn("base_failed", failed)
-    found = estimates(rows.filter("NOT base_failed"))
-    found = found.select("key", "n", F.struct("n", "centre", "precision").alias("used"))
-    lang, source = (F.coalesce(F.col(c).cast("string"), F.lit("\x00")) for c in ("lang", "source"))
-    keys = [F.concat_ws("\x1f", F.lit("2"), lang, source), F.concat_ws("\x1f", F.lit("1"), lang), F.lit("0")]
-    # The name of the estimate a group uses: its own, or with fewer than LEAST rows its language's, or that of all rows.
-    sizes = found.filter(F.col("n") >= LEAST).select("key", "n")
-    keyed = rows.withColumns({f"k{2 - i}": k for i, k in enumerate(keys)})
-    groups = keyed.groupBy("k2", "k1", "k0").agg(F.count("*").alias("rows"))
-    for level in (2, 1):
-        groups = groups.join(sizes.select(F.col("key").alias(f"k{level}"), F.lit(True).alias(f"has{level}")), f"k{level}", "left")
-    which = F.when(F.col("has2"), F.col("k2")).when(F.col("has1"), F.col("k1")).otherwise(F.col("k0"))
-    chosen = groups.select(F.col("k2").alias("key"), F.col("rows").alias("n"), which.alias("name"))
-    chosen = chosen.join(found.select(F.col("key").alias("name"), "used"), "name", "left")
-    chosen = stored(chosen.select("key", "n", "used"), "op4-chosen")
-    keyed = with_group(keyed.withColumnRenamed("k2", "key"), chosen)
-    distance = F.coalesce(squared_distance(F.col("used.centre"), F.col("used.precision")), F.lit(0.0))
-    # Only the bad side: more symbols, repeated lines or words, or odd word lengths than the group's centre.
-    worse = F.lit(False)
-    for i, s in enumerate(STATS):
-        gap = (F.col(s) - F.element_at("used.centre", i + 1)) / FLOORS[i]
-        worse = worse | ((F.abs(gap) if s == "x_length" else gap if s != "x_words" else F.lit(0.0)) > 3)
-    kept = ~F.col("base_failed") & ~((distance > CUT) & F.coalesce(worse, F.lit(False)))
-    return keyed.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", kept.alias("kept"), distance.alias("distance2"))
+    rows = stored(rows.withColumn("base_failed", failed), "op4-counts")
+    found = estimates(rows.filter("NOT base_failed")).drop("n", "start", "det")
+    groups = rows.groupBy("key").agg(F.count("*").alias("n"))
+    chosen = stored(groups.join(found, "key", "left"), "op4-chosen")
+    distance = F.coalesce(squared_distance(), F.lit(0.0))
+    out = with_group(rows, chosen).withColumn("distance2", distance)
+    kept = ~F.col("base_failed") & (F.col("distance2") <= CUT)
+    return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", kept.alias("kept"), "distance2")
 
 
 def kept_documents(docs: DataFrame) -> DataFrame:
