@@ -1,31 +1,39 @@
 """Operator 5: exact duplicates by an extendible-hash index on shared files (DataFrame functions only).
 
-Every distinct key (64-bit hash of the normalised text) belongs to the bucket
-named by the leading bits of the key. The directory starts with one bucket and
-doubles: a bucket that holds more than `capacity` keys splits on the next bit.
-The index is written to the shared folder, ranged by bucket, so that an owner
-task holds whole key ranges. Keys held by two or more rows are chained: their
-texts are compared byte by byte (grouped by the text itself), so that hash
-collisions form separate chain entries. The result comes from this group-by and
-a join by key and SHA-256; directory and buckets only order the written index.
+A text's key is a 64-bit hash of its normalised form; the leading bits of a key
+name its slot in the directory, and the directory names the slot's bucket. The
+directory starts at the depth that the mean load asks for and doubles as long as
+a bucket holds more than `capacity` keys: overfull buckets split on the next bit,
+the others keep their depth. All keys are entered: those of one row as they are;
+keys of several rows as a chain of texts, told apart byte by byte, so that a
+collision of hashes only makes the chain longer. The index is ranged by bucket
+and key on shared files, so that each owner task holds whole key ranges. Every
+document is then looked up by its bucket and key, and in a chain by SHA-256.
+
+Equal texts are added up before they are dealt out, and entries of very many
+rows (few, by their size) meet the rows by broadcast, so that no group of copies
+lands in one task.
 
 Defined results: a null text counts as empty; a null doc_id sorts after all
-others and keep_id is null only if all ids of the group are null; of rows that
-repeat an id and a text, only one stays (`deduplicated`); other columns are
-ignored.
+others and keep_id is null only if all ids of the group are null; where the
+smallest id stands on several rows, each of them is `kept` (`deduplicated` keeps
+one of them); other columns are ignored.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from pitwell.llm.shared import SPACE_CLASS, documents, key_join, keyed, one_of_equal, stored
 
-DIRECTORY_BITS = 16
-CAPACITY = 65_536
+#: Bits of a key that the directory can tell apart: 2**20 slots of about 24 bytes at most are broadcast.
+DIRECTORY_BITS = 20
+CAPACITY = 4096
 #: Most keys sent to all executors at once (8 bytes each); beyond it the join shuffles.
 BROADCAST_KEYS = 500_000
+#: Entries of more than 1 / HOT of all rows meet the rows by broadcast; there are fewer than HOT of them.
+HOT = 1000
 
 
 def normalised(docs: DataFrame) -> DataFrame:
@@ -33,46 +41,58 @@ def normalised(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", text.alias("norm")).withColumn("key", F.xxhash64("norm"))
 
 
+def slot(bits: int) -> Column:
+    return F.shiftrightunsigned("key", 64 - bits)
+
+
 def directory(keys: DataFrame, capacity: int = CAPACITY, bits: int = DIRECTORY_BITS) -> DataFrame:
-    """One row per slot (leading `bits` bits of a key): the local depth and the bucket after all splits.
-
-    The histogram has 2**bits rows at most, whatever the input.
-    """
-    slots = keys.groupBy(F.shiftrightunsigned("key", 64 - bits).alias("slot")).agg(F.count("*").alias("n"))
-    levels = slots.withColumn("depth", F.explode(F.sequence(F.lit(0), F.lit(bits))))
-    levels = levels.withColumn("bucket", F.expr(f"shiftright(slot, {bits} - depth)"))
-    held = levels.groupBy("depth", "bucket").agg(F.sum("n").alias("held"))
-    fits = levels.join(held, ["depth", "bucket"]).filter((F.col("held") <= capacity) | (F.col("depth") == bits))
-    return fits.groupBy("slot").agg(F.min("depth").alias("depth")).withColumn("bucket", F.expr(f"shiftleft(shiftright(slot, {bits} - depth), {bits} - depth)"))
-
-
-def build_index(docs: DataFrame, capacity: int = CAPACITY, bits: int = DIRECTORY_BITS) -> DataFrame:
-    """The index table: bucket, key, text_sha256, keep_id, group_size; one row per distinct text held twice or more."""
-    spark = docs.sparkSession
-    base = normalised(docs)
-    keys = stored(base.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1").select("key"), "op5-keys")
-    chained = F.broadcast(keys) if keys.count() <= BROADCAST_KEYS else keys
-    entries = base.join(chained, "key", "left_semi").groupBy("key", "norm").agg(F.min("doc_id").alias("keep_id"), F.count("*").alias("group_size"))
-    entries = entries.withColumn("text_sha256", F.sha2("norm", 256)).drop("norm")
-    entries = entries.withColumn("slot", F.shiftrightunsigned("key", 64 - bits))
-    owned = entries.join(F.broadcast(directory(keys, capacity, bits)), "slot").drop("slot")
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    return stored(owned.repartitionByRange(parts, "bucket", "key").sortWithinPartitions("bucket", "key"), "op5-index")
+    """One row per slot in use: slot, depth (of its bucket, after all splits), bucket (the first slot of it)."""
+    now = stored(keys.groupBy(slot(bits).alias("slot")).agg(F.count("*").alias("n")), "op5-slots")
+    total = now.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    now = now.withColumn("depth", F.lit(min(bits, max(0, (total // capacity).bit_length() - 1))))
+    bucket = F.expr(f"shiftleft(shiftright(slot, {bits} - depth), {bits} - depth)")
+    while True:
+        placed = now.withColumn("bucket", bucket)
+        full = placed.groupBy("depth", "bucket").agg(F.sum("n").alias("held")).filter((F.col("held") > capacity) & (F.col("depth") < bits))
+        full = stored(full.select("depth", "bucket", F.lit(1).alias("split")), "op5-full")
+        if full.isEmpty():
+            return placed.select("slot", "depth", "bucket")
+        now = stored(placed.join(full, ["depth", "bucket"], "left").select("slot", "n", (F.col("depth") + F.coalesce("split", F.lit(0))).alias("depth")), "op5-slots")
+
+
+def in_buckets(rows: DataFrame, slots: DataFrame, bits: int) -> DataFrame:
+    """Rows with the bucket that the directory names for their key."""
+    return rows.withColumn("slot", slot(bits)).join(F.broadcast(slots.select("slot", "bucket")), "slot").drop("slot")
+
+
+def build_index(docs: DataFrame, keys: DataFrame, slots: DataFrame, bits: int) -> DataFrame:
+    """bucket, key, link (place in the chain), text_sha256 (null for a key of one row), keep_id, group_size."""
+    repeated = keys.filter("n > 1").select("key")
+    repeated = F.broadcast(repeated) if repeated.count() <= BROADCAST_KEYS else repeated
+    chains = normalised(docs).join(repeated, "key", "left_semi").groupBy("key", "norm").agg(F.min("doc_id").alias("keep_id"), F.count("*").alias("group_size"))
+    chains = chains.select("key", F.sha2("norm", 256).alias("text_sha256"), "keep_id", "group_size")
+    chains = chains.withColumn("link", F.row_number().over(Window.partitionBy("key").orderBy("text_sha256")))
+    single = keys.filter("n = 1").select("key", F.lit(None).cast("string").alias("text_sha256"), "keep_id", F.col("n").alias("group_size"), F.lit(1).alias("link"))
+    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    entries = in_buckets(chains.unionByName(single), slots, bits)
+    return stored(entries.repartitionByRange(parts, "bucket", "key").sortWithinPartitions("bucket", "key", "link"), "op5-index")
 
 
 def exact_duplicates(docs: DataFrame, capacity: int = CAPACITY, bits: int = DIRECTORY_BITS) -> DataFrame:
     """doc_id, keep_id, group_size, kept, text_sha256 of every row."""
-    index = build_index(docs, capacity, bits).select("key", "text_sha256", "keep_id", "group_size")
-    rows = normalised(docs).withColumn("text_sha256", F.sha2("norm", 256)).drop("norm")
-    found = rows.join(index, ["key", "text_sha256"], "left")
-    alone = F.col("group_size").isNull()
-    return found.select(
-        "doc_id",
-        F.when(alone, F.col("doc_id")).otherwise(F.col("keep_id")).alias("keep_id"),
-        F.coalesce("group_size", F.lit(1)).cast("long").alias("group_size"),
-        (alone | F.col("doc_id").eqNullSafe(F.col("keep_id"))).alias("kept"),
-        "text_sha256",
-    )
+    rows = stored(normalised(docs).select("doc_id", "key", F.sha2("norm", 256).alias("sha")), "op5-rows")
+    keys = stored(rows.groupBy("key").agg(F.count("*").alias("n"), F.min("doc_id").alias("keep_id")), "op5-keys")
+    slots = stored(directory(keys, capacity, bits), "op5-directory")
+    index = build_index(docs, keys, slots, bits)
+    rows = in_buckets(rows, slots, bits)
+    entry = index.select(F.col("bucket").alias("of"), F.col("key").alias("entry"), "text_sha256", "keep_id", "group_size")
+    at = (F.col("bucket") == F.col("of")) & (F.col("key") == F.col("entry"))
+    chained = F.col("text_sha256").isNull() | (F.col("text_sha256") == F.col("sha"))
+    most = rows.count() // HOT
+    hot = entry.filter(F.col("group_size") > most)
+    seldom = rows.join(F.broadcast(hot.select(F.col("entry").alias("key"), F.col("text_sha256").alias("sha"))), ["key", "sha"], "left_anti")
+    found = rows.join(F.broadcast(hot), at & chained).unionByName(seldom.join(entry.filter(F.col("group_size") <= most), at & chained))
+    return found.select("doc_id", "keep_id", "group_size", F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"), F.col("sha").alias("text_sha256"))
 
 
 def deduplicated(docs: DataFrame) -> DataFrame:
