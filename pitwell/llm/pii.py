@@ -148,7 +148,7 @@ def found_spans(text: str) -> tuple[list[tuple[int, int, str]], list[tuple[int,
     base.sort(key=lambda x: (x[0], KINDS.index(x[2])))
     if loose:
         held = Covered(base)
-        loose = [c for c in sorted(set(loose)) if not held.touches(c[0], c[1])]
+        loose = [c for c in sorted(set(loose)) if c[2] == SECRET or not held.touches(c[0], c[1])]
     return base, loose
 
 
@@ -265,16 +265,16 @@ def personal_data(docs: DataFrame, threshold: float = 0.9) -> DataFrame:
             for t in b.column(1):
                 text = t.as_py() or ""
                 base, loose = found_spans(text)
-                more: list[tuple[int, int, str]] = []
+                more, secrets = [], []
                 for s, e, k in loose:
                     v = (k, *votes(text, s, e, k))
                     if v not in known:
                         known[v] = model.probability(k, v[1:]) >= threshold
-                    if known[v] and (not more or more[-1][1] <= s):  # they come by their start
-                        more.append((s, e, k))
+                    kept = secrets if k == SECRET else more
+                    if known[v] and (not kept or kept[-1][1] <= s):  # they come by their start
+                        kept.append((s, e, k))
                 n = Counter(k for _, _, k in base)
-                secrets = [x for x in more if x[2] == SECRET]
-                every = sorted(base + [x for x in more if x[2] != SECRET], key=lambda x: (x[0], KINDS.index(x[2])))
+                every = sorted(base + more, key=lambda x: (x[0], KINDS.index(x[2])))
                 out.append((*(n[k] for k in KINDS), hashlib.sha256(joined(base).encode()).hexdigest(), joined(every), joined(secrets), len(every) + len(secrets)))
             if out:
                 cols = list(zip(*out))

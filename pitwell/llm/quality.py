@@ -35,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from pitwell.llm.shared import Words, both, bytes_hash, covered, documents, key_join, keyed, slices, stored, sums
+from pitwell.llm.shared import Words, both, bytes_hash, covered, documents, key_join, keyed, slices, spread_join, stored, sums
 
 LEAST_WORDS, REPEAT_WINDOW, MOST_REPEATED = 20, 8, 30
 #: Share of a group's rows that the scatter is estimated from, its consistency factor for five dimensions
@@ -46,8 +46,6 @@ STATS = ("x_words", "x_length", "x_symbols", "x_lines", "x_repeats")
 RIDGE, PRIOR, GRID = (0.3, 0.05, 0.12, 0.15, 0.12), 50, 32
 #: Bins of squared distances for each doubling of 1 + distance.
 BINS = 8
-#: Most groups whose estimates are sent to all executors at once (about 1 KB each).
-BROADCAST_GROUPS = 20_000
 PAIRS = [(i, j) for i in range(len(STATS)) for j in range(i, len(STATS))]
 STARTS = 4
 
@@ -126,20 +124,6 @@ def squared_distance() -> Column:
     return sum((F.col(f"p{k}") * gap[i] * gap[j] * (1.0 if i == j else 2.0) for k, (i, j) in enumerate(PAIRS)), F.lit(0.0))
 
 
-def with_group(rows: DataFrame, side: DataFrame) -> DataFrame:
-    """Rows joined with the stored table `side` of one row a key, which holds the group's size n.
-
-    A key of many rows is never dealt out: few groups are broadcast; of many, those with more than
-    1 / BROADCAST_GROUPS of all rows are (no more than BROADCAST_GROUPS), and the rest is shuffled.
-    """
-    groups, total = side.agg(F.count("*"), F.sum("n")).first()
-    if groups <= BROADCAST_GROUPS:
-        return rows.join(F.broadcast(side), "key")
-    large = side.filter(F.col("n") > total / BROADCAST_GROUPS)
-    small = rows.join(F.broadcast(large.select("key")), "key", "left_anti")
-    return rows.join(F.broadcast(large), "key").unionByName(small.join(side, "key"))
-
-
 ESTIMATE = "key string, start int, n long, det double, " + ", ".join(f"c{i} double" for i in range(len(STATS))) + ", " + ", ".join(f"p{k} double" for k in range(len(PAIRS))) + ", " + ", ".join(f"s{k} double" for k in range(len(PAIRS)))
 
 
@@ -198,7 +182,7 @@ def starts(cells: DataFrame, prior: tuple[np.ndarray, np.ndarray] | None) -> Dat
     middle = stored(middles(cells), "op4-middles")
     p = len(STATS)
     z = [(F.col(s) - F.col(f"m{i}")) / F.col(f"w{i}") for i, s in enumerate(STATS)]
-    rows = with_group(cells.withColumnRenamed("n", "rows"), middle)
+    rows = spread_join(cells.withColumnRenamed("n", "rows"), middle, "key")
     rows = rows.withColumn("length", F.greatest(F.sqrt(sum((x * x for x in z), F.lit(0.0))), F.lit(1e-9)))
     weigh = lambda xs: [F.sum(F.col("rows") * x) for x in xs]
     cross = lambda xs: weigh(xs[i] * xs[j] for i, j in PAIRS)
@@ -225,7 +209,7 @@ def starts(cells: DataFrame, prior: tuple[np.ndarray, np.ndarray] | None) -> Dat
 
 def concentrated(cells: DataFrame, now: DataFrame, prior: tuple[np.ndarray, np.ndarray] | None) -> DataFrame:
     """One concentration step from every row of `now`."""
-    rows = with_group(cells.withColumnRenamed("n", "rows"), now.select("key", "start", "n", *(c for c in now.columns if c[0] in "cp" and c[1:].isdigit())))
+    rows = spread_join(cells.withColumnRenamed("n", "rows"), now.select("key", "start", "n", *(c for c in now.columns if c[0] in "cp" and c[1:].isdigit())), "key")
     rows = rows.withColumn("bin", F.floor(F.log2(1 + F.greatest(squared_distance(), F.lit(0.0))) * BINS).cast("int"))
     weigh = lambda xs: F.array(*(F.sum(F.col("rows") * x) for x in xs))
     bins = rows.groupBy("key", "start", "n", "bin").agg(F.sum("rows").alias("rows"), weigh(F.col(s) for s in STATS).alias("first"), weigh(F.col(STATS[i]) * F.col(STATS[j]) for i, j in PAIRS).alias("second"))
@@ -283,7 +267,7 @@ def verdicts(docs: DataFrame) -> DataFrame:
     groups = rows.groupBy("key").agg(F.count("*").alias("n"))
     chosen = stored(groups.join(found, "key", "left"), "op4-chosen")
     distance = F.coalesce(squared_distance(), F.lit(0.0))
-    out = with_group(rows, chosen).withColumn("distance2", distance)
+    out = spread_join(rows, chosen, "key").withColumn("distance2", distance)
     kept = ~F.col("base_failed") & (F.col("distance2") <= CUT)
     return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", kept.alias("kept"), "distance2")
 

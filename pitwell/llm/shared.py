@@ -80,6 +80,33 @@ def one_of_equal(docs: DataFrame, most: int) -> DataFrame:
     return key_join(docs, again, "left_anti", most).unionByName(repeated)
 
 
+#: Keys of more than 1 / HOT_KEYS of all rows are met by broadcast in `spread_join`; there are fewer than HOT_KEYS of them.
+HOT_KEYS = 2000
+
+
+def spread_join(rows: DataFrame, side: DataFrame, key: str, how: str = "inner") -> DataFrame:
+    """Joins rows with the stored table `side` of one row a key, which holds the number n of rows of each key.
+
+    No key of many rows is dealt out whole: sides of few rows and the keys of many rows are broadcast,
+    and in the shuffle for the other keys their rows are spread by a hash of all their columns.
+    """
+    side = side.filter(F.col(key).isNotNull())
+    few, total = side.agg(F.count("*"), F.coalesce(F.sum("n"), F.lit(0))).first()
+    if few <= HOT_KEYS:
+        return rows.join(F.broadcast(side), key, how)
+    packed = side.select(F.col(key).alias("__k"), F.struct(*(c for c in side.columns if c != key)).alias("__s"), F.col("n").alias("__n"))
+    large = packed.filter(F.col("__n") > total / HOT_KEYS).select(F.col("__k").alias("__h"), F.col("__s").alias("__large"))
+    small = packed.filter(F.col("__n") <= total / HOT_KEYS).select("__k", F.col("__s").alias("__small"))
+    spread = F.xxhash64(*rows.columns)
+    spread = spread if dict(rows.dtypes)[key] == "bigint" else F.concat(F.lit("~"), spread.cast("string"))
+    out = rows.join(F.broadcast(large), F.col(key) == F.col("__h"), "left")
+    out = out.withColumn("__at", F.when(F.col("__large").isNull(), F.col(key)).otherwise(spread))
+    out = out.join(small, F.col("__at") == F.col("__k"), "left").withColumn("__both", F.coalesce("__large", "__small"))
+    if how == "inner":
+        out = out.filter("__both IS NOT NULL")
+    return out.select(*rows.columns, "__both.*")
+
+
 def columns_of(df: DataFrame, *names: str) -> list[Column]:
     """The named columns, by exact name, whatever else the table holds."""
     return [F.col(f"`{n}`") for n in names]

@@ -10,7 +10,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from pitwell.llm import exact_dedup, language_id, line_dedup, mixing, near_dedup, piece_codec, pii, quality, substring_dedup, suffix_dedup
+from pitwell.llm import exact_dedup, language_id, line_dedup, mixing, near_dedup, piece_codec, pii, quality, shared, substring_dedup, suffix_dedup
 
 WORD = r"[^\x20\x09-\x0D]+"
 r = random.Random(11)
@@ -91,12 +91,113 @@ def test_near(spark):
     assert {i: (x.n_shingles, x.component_id) for i, x in got.items()} == {i: (len(s), find(i)) for i, s in enumerate(sets)}
 
 
-def test_near_long_lists(spark, monkeypatch):
-    monkeypatch.setattr(near_dedup, "SHORT_LIST", 1)
+def test_near_small_parts(spark, monkeypatch):
+    """Lists of many parts, tries of few sets, keys of many rows met by broadcast, and tasks that settle little at once."""
     monkeypatch.setattr(near_dedup, "BLOCK", 4)
+    monkeypatch.setattr(near_dedup, "LIST_PART", 3)
+    monkeypatch.setattr(near_dedup, "LOCAL_ROWS", 50)
+    monkeypatch.setattr(near_dedup, "PAIRS_AT_ONCE", 10)
+    monkeypatch.setattr(shared, "HOT_KEYS", 5)
     test_near(spark)
 
 
+def test_trie_join():
+    for _ in range(60):
+        make = lambda: [np.array(sorted(r.sample(range(30), r.randint(1, 20))), np.int64) for _ in range(r.randint(0, 12))]
+        a, b = make(), make()
+        groups = [[r.randint(0, 2) for _ in x] for x in (a, b)]
+        lone = [[r.randint(0, 2) for _ in x] for x in (a, b)]
+        sizes = [[len(s) + k for s, k in zip(x, e)] for x, e in zip((a, b), lone)]
+        want = {(i, j) for i in range(len(a)) for j in range(len(b)) if groups[0][i] == groups[1][j] and 7 * len(set(a[i]) & set(b[j])) >= 3 * (sizes[0][i] + sizes[1][j])}
+        p, m = near_dedup.trie_join(near_dedup.Sets(groups[0], sizes[0], a), near_dedup.Sets(groups[1], sizes[1], b))
+        assert len(p) == len(want) and set(zip(p.tolist(), m.tolist())) == want
+
+
+THUE = "".join("ab"[bin(i).count("1") % 2] for i in range(2048))
+OTHER = THUE.translate(str.maketrans("ab", "ba"))
+
+
+def test_hashes_tell_structured_texts_apart(spark):
+    """A Thue-Morse string and its complement collide under polynomial hashes modulo 2**64."""
+    assert quality.counts_of(pa.array([THUE + "\n" + OTHER, THUE + "\n" + THUE]))["n_dup_lines"].tolist() == [0, 1]
+    a, b = (near_dedup.shingle_sets(pa.array([t + " b c d e f"]))[0].tolist() for t in (THUE, OTHER))
+    assert set(a) != set(b) and len(set(a) & set(b)) == 1
+    words = " ".join(map(str, range(19)))
+    got = by_id(substring_dedup.without_repeats(table(spark, [THUE + " " + words, OTHER + " " + words])))
+    assert got[0].n_removed == got[1].n_removed == 0
+    data = np.frombuffer((THUE + OTHER).encode(), np.uint8)
+    for n in (1, 7, 8, 9, 1024, 2048):
+        x, y = shared.bytes_hash(data, np.array([0, 2048]), np.array([n, 2048 + n]))
+        assert x != y and shared.bytes_hash(data, np.array([0]), np.array([n]))[0] == x
+    codes = shared.BYTE_CODES[data]
+    assert (shared.window_hash(codes, 200)[:1800] != shared.window_hash(codes, 200)[2048:3848]).all()
+
+
+def test_exact_with_splits(spark):
+    docs = spark.range(600).select(F.col("id").alias("doc_id"), F.concat(F.lit("t "), (F.col("id") % 400).cast("string")).alias("text"))
+    got = by_id(exact_dedup.exact_duplicates(docs, capacity=10, bits=8))
+    assert {i: (x.keep_id, x.group_size) for i, x in got.items()} == {i: (i % 400, 2 if i % 400 < 200 else 1) for i in range(600)}
+    keys = exact_dedup.normalised(docs).groupBy("key").agg(F.count("*").alias("n"), F.min("doc_id").alias("keep_id"))
+    slots = exact_dedup.directory(keys, 10, 8)
+    index = exact_dedup.build_index(docs, keys, slots, 8)
+    held = index.groupBy("bucket").agg(F.countDistinct("key").alias("n"))
+    assert index.count() == 400 and held.count() > 40 and held.agg(F.max("n")).first()[0] <= 10
+    assert slots.agg(F.max("depth") - F.min("depth")).first()[0] > 0
+    # A document whose bucket has no entry for it isn't found anywhere else.
+    rows = exact_dedup.in_buckets(exact_dedup.normalised(docs).select("doc_id", "key"), slots, 8)
+    assert rows.join(index, ["bucket", "key"]).count() == 600
+
+
+def mcd(x, prior):
+    """A plain minimum covariance determinant of one group, by the operator's starts, bins and regularisation."""
+    p, (i, j) = 5, np.array(quality.PAIRS).T
+    n, ridge = len(x), np.diag(np.square(quality.RIDGE))
+    at = lambda q: np.sort(x, axis=0)[int(np.ceil(q * n)) - 1]
+    m, w = at(0.5), np.maximum((at(0.75) - at(0.25)) / 1.349, quality.RIDGE)
+    z, s = (x - m) / w, np.diag(w)
+    u, t = z / np.maximum(np.linalg.norm(z, axis=1, keepdims=True), 1e-9), np.tanh(z)
+    cov = lambda v: v.T @ v / len(v) - np.outer(v.mean(0), v.mean(0))
+
+    def shrunk(held, c, v):
+        if prior is None:
+            return c, v + ridge
+        a = held / (held + quality.PRIOR)
+        return a * c + (1 - a) * prior[0], a * v + (1 - a) * prior[1] + a * ridge
+
+    best = None
+    for c, v in ((m, s @ s), (x.mean(0), cov(x)), (m, s @ (u.T @ u / n * p) @ s), (m, s @ cov(t) @ s)):
+        (c, v), det = shrunk(n, c, v), np.inf
+        while True:
+            d = np.einsum("ij,jk,ik->i", x - c, np.linalg.inv(v), x - c)
+            bin_ = np.floor(np.log2(1 + d) * quality.BINS)
+            inner = x[bin_ <= np.sort(bin_)[int(np.ceil(quality.INNER * n)) - 1]]
+            c2, v2 = shrunk(len(inner), inner.mean(0), quality.CONSISTENCY * cov(inner))
+            new = np.linalg.slogdet(v2)[1]
+            if not new < det - 1e-6:
+                break
+            c, v, det = c2, v2, new
+        if best is None or det < best[0] - 1e-7:
+            best = (det, c, v)
+    return best[1], best[2]
+
+
+def test_quality_against_plain_estimates(spark):
+    rng = np.random.default_rng(5)
+    rows = []
+    for i in range(900):
+        lang, source = ("en", "s1") if i < 500 else ("de", None) if i < 893 else (None, "s2")
+        x = rng.normal([5, 1.6, 0.1, 0.1, 0.05], [1, 0.1, 0.05, 0.1, 0.05]) if rng.random() < 0.85 else rng.normal([5, 2.2, 1.5, 0.5, 0.4], 0.3)
+        rows.append((lang or "", source or "", *(np.round(np.abs(x) * 32) / 32).tolist()))
+    docs = spark.createDataFrame([(a + b, *x) for a, b, *x in rows], "key string, " + ", ".join(f"{s} double" for s in quality.STATS))
+    got = {x.key: x for x in quality.estimates(docs).collect()}
+    every = mcd(np.array([x[2:] for x in rows]), None)
+    for key in got:
+        c, v = mcd(np.array([x[2:] for x in rows if x[0] + x[1] == key]), every)
+        assert np.allclose([got[key][f"c{i}"] for i in range(5)], c, atol=1e-6)
+        assert np.allclose(quality.square([got[key][f"s{i}"] for i in range(15)]), v, atol=1e-6)
+    assert len(got) == 3
+
+
 def test_quality_counts():
     got = quality.counts_of(pa.array(TEXTS))
     for i, t in enumerate(TEXTS):
@@ -108,14 +209,15 @@ def test_quality_counts():
         assert tuple(int(got[k][i]) for k in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")) == want
 
 
-def test_quality_many_groups(spark, monkeypatch):
-    """With more groups than may be broadcast, large ones are and the others are shuffled; the joined rows are the same."""
-    rows = spark.createDataFrame([("big", float(i)) for i in range(90)] + [(f"k{i % 10}", float(i)) for i in range(60)], "key string, x double")
-    side = quality.stored(rows.groupBy("key").agg(F.count("*").alias("n"), F.max("x").alias("most")), "groups")
-    want = sorted(map(tuple, rows.join(side, "key").collect()))
-    for limit in (1, 4, 100):
-        monkeypatch.setattr(quality, "BROADCAST_GROUPS", limit)
-        assert sorted(map(tuple, quality.with_group(rows, side).collect())) == want
+def test_spread_join(spark, monkeypatch):
+    """With more keys than may be broadcast, those of many rows are and the others are shuffled; the joined rows are the same."""
+    rows = spark.createDataFrame([("big", float(i)) for i in range(90)] + [(f"k{i % 10}", float(i)) for i in range(60)] + [("none", 0.0), (None, 0.0)], "key string, x double")
+    side = shared.stored(rows.filter("key <> 'none'").groupBy("key").agg(F.count("*").alias("n"), F.max("x").alias("most")), "groups")
+    for how in ("inner", "left"):
+        want = sorted(map(str, rows.join(side, "key", how).collect()))
+        for limit in (1, 4, 100):
+            monkeypatch.setattr(shared, "HOT_KEYS", limit)
+            assert sorted(map(str, shared.spread_join(rows, side, "key", how).collect())) == want
 
 
 def test_quality_verdict(spark):
@@ -208,6 +310,45 @@ def test_personal_data(spark):
     assert (got[i + 1].n_card, got[i + 1].n_ip) == (1, 0)
 
 
+def naive_base(text):
+    """The contract's patterns, read plainly."""
+    spans = []
+    for kind, pattern in (("email", r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+"), ("ip", r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)"), ("card", r"[0-9]([\x20-]?[0-9])+"), ("phone", r"\+[0-9][\x20().0-9-]+[0-9]")):
+        for m in re.finditer(pattern, text):
+            d = re.sub("[^0-9]", "", m.group())
+            luhn = sum(sum(divmod(int(c) * (1 + k % 2), 10)) for k, c in enumerate(reversed(d))) % 10 == 0
+            if kind == "email" or kind == "ip" and all(int(x) <= 255 for x in m.group().split(".")) or kind == "card" and 12 <= len(d) <= 19 and luhn or kind == "phone" and 9 <= len(d) <= 15:
+                spans.append((m.start(), m.end(), kind))
+    return sorted(spans, key=lambda x: (x[0], pii.KINDS.index(x[2])))
+
+
+def test_personal_data_base():
+    for _ in range(4000):
+        t = "".join(r.choice(["1", "4", "25", "0.", ".", "@", "a", "b.c", "-", " ", "+", "(", ")", "4111 1111 1111 1111", "10.0.0.1", "%x", "é"]) for _ in range(r.randint(0, 30)))
+        assert pii.found_spans(t)[0] == naive_base(t), t
+
+
+def test_personal_data_long_runs(spark):
+    """Long stretches of one kind of character take linear time, and a part of an address may have any number of digits."""
+    long = ["0" * 5000 + ".1.1.1", "a" * 2_000_000 + "@", "a@" * 300_000, "1" * 1_000_000 + "-1.1.1.1", "1." * 500_000, "+" + "(" * 500_000, "(at" * 100_000, "a1" * 500_000, ""]
+    got = by_id(pii.personal_data(table(spark, long)))
+    assert got[0].n_ip == 1 and got[0].spans == "ip:0:5006" and got[3].n_ip == 1 and [got[i].n_email for i in (1, 2)] == [0, 0]
+
+
+def test_personal_data_model(spark):
+    """Expectation-maximisation against a plain one over each span, and credentials apart from the four kinds."""
+    texts = [f"my phone +1 ({i}) 555-{1000 + i} and token = \"{hashlib.sha1(str(i).encode()).hexdigest()}\" end" for i in range(100, 160)] + ["order 1234567890123456 serial 99 a1b2c3d4e5f6g7h8i9 word"] * 20
+    docs = table(spark, texts)
+    got = by_id(pii.personal_data(docs))
+    assert all(x.secrets.startswith("secret:") and x.n_found >= 2 for i, x in got.items() if i < 60) and all(x.n_found == 0 for i, x in got.items() if i >= 60)
+    rows = pii.vote_table(docs)
+    assert sum(n for k, _, n in rows if k == "phone") == 60
+    model = pii.SpanModel(rows)
+    one_by_one = pii.SpanModel([(k, v, 1) for k, v, n in rows for _ in range(n)])
+    for k, v, _ in rows:
+        assert abs(model.probability(k, v) - one_by_one.probability(k, v)) < 1e-6
+
+
 def test_pieces(spark):
     import sentencepiece
 
