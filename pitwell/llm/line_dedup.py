@@ -1,78 +1,106 @@
 """Operator 6: repeated line runs by distributed prefix doubling over line ids.
 
 Suffixes of the corpus' line-id sequences are named by their first 1, 2, 4, ...
-lines: the name of 2k lines is the pair of the names of k lines at a line and k
+lines: the name of 2k lines is a digest of the names of k lines at a line and k
 lines further on. Only suffixes whose name occurs twice go on, so that rounds
-shrink quickly and stop when no longer run repeats; the last round in which a
-suffix still shares its name bounds its longest common prefix from below.
-Suffixes that share the name of `min_lines` lines form one interval; all but
-its first (smallest doc_id, line) mark `min_lines` lines for removal, which
-together cover the maximal repeated runs.
+shrink quickly; they end when no run repeats any more, however long runs are.
+Suffixes of one name form an interval of the suffix array whose longest common
+prefix has that many lines at least; the first place of each (smallest doc_id,
+line) stays. Two names that overlap tell a run of any length, so that intervals
+of every length are known from the rounds.
+
+What goes: a line with a word whose content stands earlier, and lines without a
+word between two such lines where the whole stretch, from word line to word
+line, stands earlier: together the maximal repeated runs, which begin and end
+with a word. Lines without a word are never repeats by themselves. Names are 128
+bits of SHA-256.
 
 Defined results: lines are split at \\n; a null text has no line, an empty text
 has one empty line; runs never cross documents; rows that repeat a doc_id with
-the same text are one document; a null doc_id is left out of the comparison and
-keeps all its lines; other columns are ignored.
+the same text are one document; a null doc_id comes after all others (of several,
+by a digest of the row); other columns are ignored.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from pitwell.llm.shared import documents, stored
+from pitwell.llm.shared import documents, spread_join, stored, told_apart
 
-MIN_LINES = 2
-#: Rounds of doubling: runs of up to 2**20 lines are told apart.
-MOST_ROUNDS = 20
+WORDED = r"[^\x20\x09-\x0D]"
+
+
+def digest(text: Column) -> Column:
+    return F.unhex(F.substring(F.sha2(text, 256), 1, 32))
 
 
 def line_table(docs: DataFrame) -> DataFrame:
-    """doc_id, line (from 0), name: a 64-bit content name of each line."""
-    named = F.transform(F.split("text", "\n", -1), lambda x: F.xxhash64(x))
-    return docs.filter("doc_id IS NOT NULL").select("doc_id", F.posexplode(named).alias("line", "name")).distinct()
+    """doc_id, line (from 0), name (digest of its content), word (whether it has one)."""
+    named = F.transform(F.split("text", "\n", -1), lambda x: F.struct(digest(x).alias("name"), x.rlike(WORDED).alias("word")))
+    return docs.select("doc_id", F.posexplode(named).alias("line", "x")).select("doc_id", "line", "x.name", "x.word").distinct()
 
 
 def shared_names(suffixes: DataFrame) -> DataFrame:
     """Suffixes whose name occurs at two places or more, with the first place."""
-    place = F.struct("doc_id", "line")
-    names = suffixes.groupBy("name").agg(F.count("*").alias("n"), F.min(place).alias("first")).filter("n > 1")
-    return suffixes.join(names.select("name", "first"), "name")
+    names = suffixes.groupBy("name").agg(F.count("*").alias("n"), F.min(F.struct("doc_id", "line")).alias("first")).filter("n > 1")
+    names = stored(names.select(F.hex("name").alias("hex"), "n", "first"), "op6-names")
+    return spread_join(suffixes.withColumn("hex", F.hex("name")), names, "hex").drop("hex", "n")
 
 
 def doubled(shared: DataFrame, lines: int) -> DataFrame:
     """Names of 2 * lines lines from names of lines lines; suffixes without a shared second half fall out."""
     ahead = shared.select("doc_id", (F.col("line") - lines).cast("int").alias("line"), F.col("name").alias("next"))
-    both = shared.join(ahead, ["doc_id", "line"])
-    return both.select("doc_id", "line", F.xxhash64("name", "next").alias("name"))
-
-
-def repeated_suffixes(docs: DataFrame, min_lines: int = MIN_LINES) -> tuple[DataFrame, DataFrame]:
-    """(doc_id, line) of the suffixes that are not the first of their interval at min_lines lines, and each document's longest shared run known from doubling."""
-    if min_lines < 1 or min_lines & (min_lines - 1):
-        raise ValueError("min_lines must be a power of two")
-    suffixes, later, longest, lines = line_table(docs), None, None, 1
-    for _ in range(MOST_ROUNDS):
-        shared = stored(shared_names(suffixes), "op6-round")
-        if lines == min_lines:
-            later = shared.filter(F.struct("doc_id", "line") != F.col("first")).select("doc_id", "line")
-        reach = shared.groupBy("doc_id").agg(F.lit(lines).alias("run"))
-        longest = reach if longest is None else longest.unionByName(reach)
-        if lines >= min_lines and shared.isEmpty():
-            break
-        suffixes, lines = doubled(shared, lines), 2 * lines
-    return later, longest.groupBy("doc_id").agg(F.max("run").cast("long").alias("shared_run"))
-
-
-def drop_lines(docs: DataFrame, min_lines: int = MIN_LINES) -> DataFrame:
+    both = shared.select("doc_id", "line", "name").join(ahead, ["doc_id", "line"])
+    return both.select("doc_id", "line", digest(F.concat("name", "next")).alias("name"))
+
+
+def intervals(lines: DataFrame) -> list[DataFrame]:
+    """For 1, 2, 4, ... lines: doc_id, line, name, first of the suffixes that share so many lines with another; the last one is empty."""
+    rounds, suffixes, length = [], lines, 1
+    while not rounds or not rounds[-1].isEmpty():
+        rounds.append(stored(shared_names(suffixes), "op6-round"))
+        suffixes, length = doubled(rounds[-1], length), 2 * length
+    return rounds
+
+
+def later_lines(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(doc_id, low, high) of the stretches of lines to delete, and doc_id with shared_run, the power of two of lines that its longest shared run has at least."""
+    lines = stored(line_table(docs), "op6-lines")
+    rounds = intervals(lines)
+    later = F.col("first") != F.struct("doc_id", "line")
+    singles = rounds[0].filter(later & F.col("word")).select("doc_id", F.col("line").alias("low"), F.col("line").alias("high"))
+    # Stretches from a word line over lines without a word to the next word line.
+    up = Window.partitionBy("doc_id").orderBy("line")
+    gaps = lines.filter("word").select("doc_id", "line", F.lead("line").over(up).alias("end")).filter("end > line + 1")
+    gaps = gaps.select("doc_id", "line", "end", (F.col("end") - F.col("line") + 1).alias("lines"))
+    level = F.length(F.bin(F.col("lines").cast("long"))) - 1
+    names = None
+    for k, r in enumerate(rounds[:-1]):
+        named = r.select(F.lit(k).alias("level"), "doc_id", "line", "name")
+        names = named if names is None else names.unionByName(named)
+    if names is None:
+        return singles, rounds[0].select("doc_id", F.lit(0).cast("long").alias("shared_run"))
+    gaps = gaps.withColumn("level", level).join(names.withColumnRenamed("name", "head"), ["level", "doc_id", "line"])
+    gaps = gaps.withColumn("at", (F.col("end") + 1 - F.expr("shiftleft(1, level)")).cast("int"))
+    gaps = gaps.join(names.select("level", "doc_id", F.col("line").alias("at"), F.col("name").alias("tail")), ["level", "doc_id", "at"])
+    gaps = stored(gaps.select("doc_id", "line", "end", digest(F.concat(F.encode(F.col("lines").cast("string"), "utf-8"), "head", "tail")).alias("name")), "op6-gaps")
+    again = stored(shared_names(gaps), "op6-stretches").filter(later)
+    stretches = again.select("doc_id", (F.col("line") + 1).alias("low"), (F.col("end") - 1).alias("high"))
+    longest = names.groupBy("doc_id").agg(F.expr("cast(shiftleft(1, max(level)) as long)").alias("shared_run"))
+    return singles.unionByName(stretches), longest
+
+
+def drop_lines(docs: DataFrame) -> DataFrame:
     """doc_id, lines, kept (arrays), shared_run: documents without the later copies of repeated runs."""
-    later, longest = repeated_suffixes(docs, min_lines)
-    marks = later.groupBy("doc_id").agg(F.collect_set("line").alias("starts")).join(longest, "doc_id", "full")
-    marks = marks.select(F.col("doc_id").alias("marked"), "starts", "shared_run")
+    docs, out = told_apart(docs)
+    later, longest = later_lines(docs)
+    marks = later.groupBy("doc_id").agg(F.collect_set(F.struct("low", "high")).alias("runs")).join(longest, "doc_id", "full")
+    marks = marks.select(F.col("doc_id").alias("marked"), "runs", "shared_run")
     joined = docs.select("doc_id", "text").join(marks, F.col("doc_id") == F.col("marked"), "left")
-    gone = F.array_distinct(F.flatten(F.transform("starts", lambda s: F.sequence(s, s + min_lines - 1))))
+    gone = F.flatten(F.transform("runs", lambda r: F.sequence(r["low"], r["high"])))
     lines = F.when(F.col("text").isNull(), F.array().cast("array<string>")).otherwise(F.split("text", "\n", -1))
-    joined = joined.select("doc_id", lines.alias("lines"), F.coalesce(gone, F.array().cast("array<int>")).alias("gone"), F.coalesce("shared_run", F.lit(0)).cast("long").alias("shared_run"))
+    joined = joined.select(out.alias("doc_id"), lines.alias("lines"), F.coalesce(gone, F.array().cast("array<int>")).alias("gone"), F.coalesce("shared_run", F.lit(0)).cast("long").alias("shared_run"))
     # Flags by place, so that the kept lines need no search in `gone` for each line.
     flags = F.map_from_entries(F.transform("gone", lambda g: F.struct(g.alias("k"), F.lit(True).alias("v"))))
     kept = F.when(F.size("gone") == 0, F.col("lines")).otherwise(F.filter("lines", lambda x, i: F.isnull(F.element_at(F.col("flags"), i))))
@@ -90,10 +118,13 @@ def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 SQL = r"""
-WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS x, generate_subscripts(string_split(text, chr(10)), 1) AS i FROM documents),
-p AS (SELECT doc_id, i, x, lead(x) OVER (PARTITION BY doc_id ORDER BY i) AS y FROM l),
-r AS (SELECT doc_id, i, row_number() OVER (PARTITION BY x, y ORDER BY doc_id, i) AS place FROM p WHERE y IS NOT NULL),
-g AS (SELECT DISTINCT doc_id, unnest([i, i + 1]) AS i FROM r WHERE place > 1),
+WITH t AS (SELECT doc_id, string_split(text, chr(10)) AS a FROM documents),
+l AS (SELECT doc_id, unnest(a) AS x, generate_subscripts(a, 1) AS i FROM t),
+w AS (SELECT doc_id, i, x, lead(i) OVER (PARTITION BY doc_id ORDER BY i) AS e FROM l WHERE regexp_matches(x, '[^\x20\x09-\x0D]')),
+s AS (SELECT doc_id, i, row_number() OVER (PARTITION BY x ORDER BY doc_id, i) AS place FROM w),
+r AS (SELECT w.doc_id, i, e, array_to_string(a[i:e], chr(10)) AS y FROM w JOIN t USING (doc_id) WHERE e > i + 1),
+q AS (SELECT doc_id, i, e, row_number() OVER (PARTITION BY y ORDER BY doc_id, i) AS place FROM r),
+g AS (SELECT doc_id, i FROM s WHERE place > 1 UNION SELECT doc_id, unnest(range(i + 1, e)) AS i FROM q WHERE place > 1),
 k AS (SELECT l.doc_id, count(*) AS n_lines, count(g.i) AS n_removed, coalesce(string_agg(l.x, chr(10) ORDER BY l.i) FILTER (g.i IS NULL), '') AS t
       FROM l LEFT JOIN g USING (doc_id, i) GROUP BY l.doc_id)
 SELECT d.doc_id, coalesce(n_lines, 0) AS n_lines, coalesce(n_removed, 0) AS n_removed, sha256(coalesce(t, '')) AS kept_sha256

@@ -44,7 +44,7 @@ SHINGLE = 5
 #: Share of a set's hash order that the screen looks at, in tenths, and the least shared part of a set (0.15 x 0.75).
 SCREEN_TENTHS, LEAST_SHARED = 4, 0.1125
 #: Sets of a trie; postings of one shingle that a task orders; rows that a task settles by itself at once.
-BLOCK, LIST_PART, LOCAL_ROWS = 256, 4096, 1 << 20
+BLOCK, LIST_PART, LOCAL_ROWS = 256, 512, 1 << 20
 #: Pairs of a probe and a set, and shingles, that are compared at once.
 PAIRS_AT_ONCE, SHINGLES_AT_ONCE = 1 << 18, 1 << 20
 BROADCAST_IDS = 500_000
@@ -86,7 +86,7 @@ def screened(docs: DataFrame, classes: DataFrame) -> DataFrame:
     """sig, doc_id of the classes (sig, n, doc_id) that share enough of their first shingles with other sets."""
 
     def settled(shingle: np.ndarray, sig: np.ndarray) -> Iterator[pa.RecordBatch]:
-        """Sets that share a shingle here get their hits now (shingle null); a shingle leaves with one set, `open` if that has no hit for it yet."""
+        """Sets that share a shingle here get their hits now (a row dealt by the set, open = -hits); a shingle leaves with one set, open = 1 if that has no hit for it yet."""
         order = np.lexsort((sig, shingle))
         shingle, sig = shingle[order], sig[order]
         new = np.ones(len(shingle), bool)
@@ -98,7 +98,7 @@ def screened(docs: DataFrame, classes: DataFrame) -> DataFrame:
         alone = size == 1
         yield pa.RecordBatch.from_arrays([as_long(shingle[first]), as_long(sig[first]), pa.array(alone.astype(np.int32))], names=["shingle", "sig", "open"])
         hit, count = np.unique(sig[np.repeat(~alone, size)], return_counts=True)
-        yield pa.RecordBatch.from_arrays([pa.nulls(len(hit), pa.int64()), as_long(hit), pa.array(count.astype(np.int32))], names=["shingle", "sig", "open"])
+        yield pa.RecordBatch.from_arrays([as_long(hit), as_long(hit), pa.array(-count.astype(np.int32))], names=["shingle", "sig", "open"])
 
     def first_part(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingles, sigs, held = [], [], 0
@@ -120,13 +120,15 @@ def screened(docs: DataFrame, classes: DataFrame) -> DataFrame:
         """Hits of the open rows whose shingle another set has too. Rows come sorted by shingle and set; the last shingle waits."""
 
         def counted(s: np.ndarray, g: np.ndarray, o: np.ndarray) -> pa.RecordBatch:
+            own, own_hits = g[o < 0], -o[o < 0]
+            s, g, o = s[o >= 0], g[o >= 0], o[o >= 0]
             first = np.ones(len(s), bool)
             first[1:] = s[1:] != s[:-1]
             at = np.flatnonzero(first)
             size = np.diff(np.append(at, len(s)))
-            several = np.repeat(np.minimum.reduceat(g, at) != np.maximum.reduceat(g, at), size)
+            several = np.repeat(np.minimum.reduceat(g, at) != np.maximum.reduceat(g, at), size) if len(s) else first
             sig, count = np.unique(g[several & (o == 1)], return_counts=True)
-            return pa.RecordBatch.from_arrays([pa.array(sig), pa.array(count.astype(np.int64))], names=["sig", "hits"])
+            return pa.RecordBatch.from_arrays([pa.array(np.append(sig, own)), pa.array(np.append(count, own_hits).astype(np.int64))], names=["sig", "hits"])
 
         held: list[tuple] = []
         for b in batches:
@@ -143,10 +145,8 @@ def screened(docs: DataFrame, classes: DataFrame) -> DataFrame:
             yield counted(*map(np.concatenate, zip(*held)))
 
     rows = docs.filter("text IS NOT NULL").select("text").mapInArrow(first_part, "shingle long, sig long, open int")
-    rows = stored(rows, "op2-screen")
-    dealt = rows.filter("shingle IS NOT NULL").repartition("shingle").sortWithinPartitions("shingle", "sig")
-    near = rows.filter("shingle IS NULL").select("sig", F.col("open").cast("long").alias("hits"))
-    counts = dealt.mapInArrow(shared, "sig long, hits long").unionByName(near).groupBy("sig").agg(F.sum("hits").alias("hits"))
+    dealt = rows.repartition("shingle").sortWithinPartitions("shingle", "sig")
+    counts = dealt.mapInArrow(shared, "sig long, hits long").groupBy("sig").agg(F.sum("hits").alias("hits"))
     return counts.join(classes, "sig").filter(F.col("hits") >= F.greatest(F.lit(1), F.floor(F.col("n") * LEAST_SHARED))).select("sig", "doc_id")
 
 

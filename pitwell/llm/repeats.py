@@ -22,7 +22,7 @@ from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from pitwell.llm.shared import as_long, slices, span_hash, stored
@@ -86,7 +86,11 @@ def shared_anchors(rows: DataFrame, label: str) -> Shared:
 
 
 def with_marks(docs: DataFrame, marks: DataFrame, how: str = "left") -> DataFrame:
-    """doc_id, text, starts, ns: the documents with the runs of windows marked in them."""
+    """doc_id, text, starts, ns: the documents with the runs of windows marked in them, overlapping ones as one."""
+    up = Window.partitionBy("doc_id").orderBy("start")
+    before = F.max(F.col("start") + F.col("n")).over(up.rowsBetween(Window.unboundedPreceding, -1))
+    marks = marks.withColumn("new", F.coalesce(F.col("start") > before, F.lit(True)).cast("int")).withColumn("run", F.sum("new").over(up))
+    marks = marks.groupBy("doc_id", "run").agg(F.min("start").alias("start"), (F.max(F.col("start") + F.col("n")) - F.min("start")).cast("int").alias("n"))
     listed = marks.groupBy("doc_id").agg(F.collect_list(F.struct("start", "n")).alias("m"))
     listed = listed.select(F.col("doc_id").alias("marked"), F.col("m.start").alias("starts"), F.col("m.n").alias("ns"))
     if how == "inner":  # a few documents are asked for; a left join needs all texts and always shuffles

@@ -61,6 +61,11 @@ def keyed(docs: DataFrame) -> DataFrame:
     return docs.withColumn("doc_id", row_key(docs))
 
 
+def told_apart(docs: DataFrame) -> tuple[DataFrame, Column]:
+    """docs for operators that compare places by doc_id, and the id to hand out: where ids are null, row_key stands in for doc_id."""
+    return (docs, F.col("doc_id")) if docs.filter("doc_id IS NULL").isEmpty() else (keyed(docs), F.col("doc_id.id"))
+
+
 def key_join(docs: DataFrame, keys: DataFrame, how: str, most: int) -> DataFrame:
     """Joins docs with a stored table that has row keys as doc_id; up to `most` keys are broadcast."""
     flat = keys.select(F.col("doc_id.id").alias("__id"), F.col("doc_id.digest").alias("__digest"), *(c for c in keys.columns if c != "doc_id"))

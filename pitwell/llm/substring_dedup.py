@@ -10,9 +10,14 @@ mixed name among them (a window without one, as inside a long run of one word,
 picks itself). Symbols that occur twice or more reveal the windows that may
 repeat; equal contexts and then the windows' own words verify them.
 
-Defined results: a null text has no words; a null doc_id neither compares nor
-loses words; rows that repeat a doc_id are one document given again and do not
-count as earlier; windows do not cross documents; other columns are ignored.
+Windows count as equal by 64-bit hashes that mix at every step; only windows of
+one symbol name or of one window hash are held together, so that a wrong hit has
+a chance of 2**-64 for each pair of different windows.
+
+Defined results: a null text has no words; a null doc_id comes after all others
+(of several, by a digest of the row); rows that repeat a doc_id are one document
+given again and do not count as earlier; windows do not cross documents; other
+columns are ignored.
 """
 
 from __future__ import annotations
@@ -25,7 +30,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pitwell.llm.repeats import Picked, anchor_rows, range_minimum, runs_of_anchors, shared_anchors, windows_in, with_marks
-from pitwell.llm.shared import Words, as_long, both, covered, documents, mix, span_hash, stored, window_hash
+from pitwell.llm.shared import Words, as_long, both, covered, documents, mix, span_hash, stored, told_apart, window_hash
 
 WINDOW = 20
 ROUNDS = 2
@@ -142,8 +147,10 @@ def without_repeats(docs: DataFrame, size: int = WINDOW) -> DataFrame:
             n, gone, kept = zip(*out) if out else ((), (), ())
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), pa.array(gone, pa.int64()), pa.array(kept, pa.string())], names=["doc_id", "n_words", "n_removed", "kept"])
 
+    docs, out = told_apart(docs)
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return with_marks(docs, later_windows(docs, size)).mapInArrow(run, f"doc_id {kind}, n_words long, n_removed long, kept string")
+    found = with_marks(docs, later_windows(docs, size)).mapInArrow(run, f"doc_id {kind}, n_words long, n_removed long, kept string")
+    return found.select(out.alias("doc_id"), "n_words", "n_removed", "kept")
 
 
 def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

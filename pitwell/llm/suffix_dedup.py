@@ -11,8 +11,9 @@ the other suffixes are merged in, and neighbours are compared over 200 bytes.
 Names with very many different surroundings skip the blocks and compare their
 strings' hashes by a distributed count, so that no block grows with a group.
 
-Defined results: a null text counts as empty; a null doc_id neither compares nor
-loses bytes; rows that repeat a doc_id are one more occurrence each; other
+Defined results: a null text counts as empty; rows with a null doc_id are told
+apart by a digest of the row; rows that repeat a doc_id are one more occurrence
+each; other
 columns are ignored. Texts of any length are cut into overlapping pieces.
 """
 
@@ -26,7 +27,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pitwell.llm.repeats import BROADCAST_DOCUMENTS, BROADCAST_MARKS, Picked, anchor_rows, runs_of_anchors, shared_anchors, windows_in, with_marks
-from pitwell.llm.shared import BLOCK_MASKS, BYTE_CODES, as_long, blocks8, covered, documents, raw_bytes, stored, window_hash
+from pitwell.llm.shared import BLOCK_MASKS, BYTE_CODES, as_long, blocks8, covered, documents, raw_bytes, stored, told_apart, window_hash
 
 LENGTH, GRAM = 200, 32
 #: Windows handled at once, bytes of a block, and surroundings of one name beyond which strings are counted instead.
@@ -225,8 +226,10 @@ def without_repeats(docs: DataFrame, size: int = LENGTH) -> DataFrame:
             n, gone, spans, kept = zip(*out) if out else ((), (), (), ())
             yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array(x, pa.int64()) for x in (n, gone, spans)), pa.array(kept, pa.binary())], names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept"])
 
+    docs, out = told_apart(docs)
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return with_marks(docs, repeated_strings(docs, size)).mapInArrow(run, f"doc_id {kind}, n_bytes long, n_removed long, n_spans long, kept binary")
+    found = with_marks(docs, repeated_strings(docs, size)).mapInArrow(run, f"doc_id {kind}, n_bytes long, n_removed long, n_spans long, kept binary")
+    return found.select(out.alias("doc_id"), "n_bytes", "n_removed", "n_spans", "kept")
 
 
 def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -254,20 +254,46 @@ def test_language_many_grams():
         assert np.allclose(got[i], language_id.Letters().bundle([t])[0][0], atol=1e-6)
 
 
+def plain_line_dedup(texts):
+    """Deletes what the longest earlier copy of a run covers, where runs begin and end with a word."""
+    lines = [t.split("\n") if t is not None else [] for t in texts]
+    seen, out = set(), []
+    for x in lines:
+        gone, word = set(), [bool(re.search(WORD, y)) for y in x]
+        for i in range(len(x)):
+            for j in range(i + 1, len(x) + 1):
+                run = tuple(x[i:j])
+                if word[i] and word[j - 1] and run in seen:
+                    gone.update(range(i, j))
+                seen.add(run)
+        out.append([y for k, y in enumerate(x) if k not in gone])
+    return out
+
+
 def test_lines(spark):
-    docs = table(spark)
-    got = by_id(line_dedup.drop_lines(docs))
-    seen, want = {}, {}
-    for i, t in enumerate(TEXTS):
-        lines = t.split("\n") if t is not None else []
-        gone = set()
-        for k in range(len(lines) - 1):
-            pair = (lines[k], lines[k + 1])
-            if pair in seen:
-                gone |= {k, k + 1}
-            seen.setdefault(pair, (i, k))
-        want[i] = [x for k, x in enumerate(lines) if k not in gone]
-    assert {i: x.kept for i, x in got.items()} == want
+    nine = [f"line {i}" if i % 4 else "" for i in range(1, 10)]
+    more = ["\n".join(nine), "x\n" + "\n".join(nine[2:7]) + "\ny", "\n".join(nine) + "\nz", "a\n\nb\n\n\nc", "a\n\nb\n\nc", "q\n\n\nq", "b\n\n\nc\n", "a\n \nb", "one line that stands alone", "k\none line that stands alone\nm"]
+    more += ["\n".join(r.choice(["u", "v", "", " ", "w w"]) for _ in range(r.randint(1, 14))) for _ in range(30)]
+    texts = TEXTS + more
+    got = by_id(line_dedup.drop_lines(table(spark, texts)))
+    assert {i: x.kept for i, x in got.items()} == dict(enumerate(plain_line_dedup(texts)))
+
+
+@pytest.mark.parametrize("run", (lambda d: line_dedup.drop_lines(d), lambda d: substring_dedup.without_repeats(d), lambda d: suffix_dedup.without_repeats(d)))
+def test_null_ids_take_part(spark, run):
+    """Texts of rows without an id are compared; they come after all rows with one."""
+    text = " ".join(f"word{i}" for i in range(40))
+    docs = spark.createDataFrame([(None, text, "en", "s"), (None, "lone " + text, "en", "s"), (5, text, "en", "s"), (6, None, "en", "s")], NEEDED)
+    rows = sorted(run(docs).collect(), key=lambda x: (x.doc_id is None, x.doc_id or 0))
+    kept = [x.kept if not isinstance(x.kept, list) else "\n".join(x.kept) for x in rows]
+    kept = [x.decode() if isinstance(x, (bytes, bytearray)) else x for x in kept]
+    assert [x.doc_id for x in rows] == [5, 6, None, None]
+    if "n_bytes" in rows[0]:
+        assert kept[0] == kept[1] == "" and sorted(kept[2:]) in (["", "lone "], ["", "lone"])
+    elif "n_words" in rows[0]:
+        assert kept[0] == text and sorted(kept[1:]) == ["", "", "lone"]
+    else:
+        assert kept[0] == text and sorted(kept[1:]) == ["", "", "lone " + text]
 
 
 def test_word_windows(spark):
