@@ -100,8 +100,7 @@ def filing_times(df: DataFrame, key: str) -> DataFrame:
 
 def calendar_coverage(observed: DataFrame, sessions: DataFrame, listings: DataFrame, key: str = "security_id", warn: float = 0.99, fail: float = 0.9) -> DataFrame:
     """Per security: expected sessions in its listing window, observed, ratio, severity, first ten missing dates."""
-    one = F.lit(1).alias("k_")
-    expected = interval_join(sessions.select("date", one), listings.select(key, "first", "last", one), ["k_"], "date", "first", "last").drop("k_")
+    expected = interval_join(sessions.select("date"), listings.select(key, "first", "last"), [], "date", "first", "last")
     seen = expected.join(observed.select(key, "date").distinct().withColumn("seen_", F.lit(True)), [key, "date"], "left")
     missing = F.slice(F.array_sort(F.collect_list(F.when(F.col("seen_").isNull(), F.col("date").cast("string")))), 1, 10)
     out = seen.groupBy(key).agg(F.count("*").alias("expected"), F.count("seen_").alias("observed"), missing.alias("missing"))
@@ -161,6 +160,44 @@ def succession(edges: DataFrame) -> DataFrame:
     return several.unionByName(loops.select(F.lit("cycle").alias("rule"), F.col("predecessor").alias("node")))
 
 
+def lineage_graph(artifacts: DataFrame, edges: DataFrame, required: DataFrame) -> DataFrame:
+    """(rule, artifact) of a lineage graph: artifacts must be unique, edges (child, parent) must join known, different
+    artifacts once and form no cycle, and required artifacts must be there."""
+    finding = lambda df, rule, c="artifact": df.select(F.lit(rule).alias("rule"), F.col(c).alias("artifact")).distinct()
+    ends = edges.select(F.explode(F.array("child", "parent")).alias("artifact")).distinct()
+    parts = [
+        finding(artifacts.groupBy("artifact").count().filter("count > 1"), "duplicate_artifact"),
+        finding(ends.join(artifacts, "artifact", "left_anti"), "unknown_endpoint"),
+        finding(edges.filter("child = parent"), "self_edge", "child"),
+        finding(edges.groupBy("child", "parent").count().filter("count > 1"), "duplicate_edge", "child"),
+        finding(closure(edges.filter("child <> parent"), "child", "parent").filter("child = parent"), "cycle", "child"),
+        finding(required.join(artifacts, "artifact", "left_anti"), "missing_required"),
+    ]
+    return reduce(DataFrame.unionByName, parts)
+
+
+def temporal_folds_audit(rows: DataFrame, sessions: DataFrame, embargo: int, date: str = "date", label_end: str = "label_end") -> DataFrame:
+    """Per fold, from rows with a role: labels of training end before validation begins, those of validation before the
+    test begins, and `embargo` sessions lie between the roles. sessions: date, session (a number without gaps)."""
+    span = rows.filter(F.col("role").isin("train", "validation", "test")).groupBy("fold", "role").agg(F.min(date).alias("first"), F.max(date).alias("last"), F.max(label_end).alias("end"))
+    at = sessions.select(F.col("date").alias("d_"), "session")
+    for c in ("first", "last"):
+        span = span.join(at.withColumnRenamed("session", f"{c}_session"), F.col(c) == F.col("d_"), "left").drop("d_")
+    of = lambda role, c: F.max(F.when(F.col("role") == role, F.col(c)))
+    gap = lambda a, b: (of(b, "first_session") - of(a, "last_session") - 1)
+    return span.groupBy("fold").agg(
+        F.coalesce(of("train", "end") < of("validation", "first"), F.lit(True)).alias("train_before_validation"),
+        F.coalesce(of("validation", "end") < of("test", "first"), F.lit(True)).alias("validation_before_test"),
+        F.coalesce((gap("train", "validation") >= embargo) & (gap("validation", "test") >= embargo), F.lit(True)).alias("embargo_kept"),
+    )
+
+
+def benchmark_conflict(df: DataFrame, date: str = "date", benchmark: str = "benchmark_return", tolerance: float = 1e-12) -> DataFrame:
+    """Dates on which the benchmark has more than one value: date, values, spread."""
+    out = df.groupBy(date).agg(F.count_distinct(benchmark).alias("values"), (F.max(benchmark) - F.min(benchmark)).alias("spread"))
+    return out.filter(F.col("spread") > tolerance)
+
+
 def unit_reconcile(rows: DataFrame, contract: DataFrame, field: str = "field", unit: str = "unit") -> DataFrame:
     """Fields whose units are mixed, or differ from the contract (field, unit), or have no contract."""
     seen = rows.groupBy(field).agg(F.array_sort(F.collect_set(unit)).alias("units"))

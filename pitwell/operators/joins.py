@@ -48,11 +48,17 @@ def asof_single(left: DataFrame, right: DataFrame, keys: list[str], left_time: s
     return both.withColumn(value, F.last("v_", ignorenulls=True).over(w)).filter("kind_ = 1").drop("at_", "kind_", "v_")
 
 
+#: Days of a bucket of a join by time alone.
+DAY_BUCKETS = 7
+
+
 def interval_join(rows: DataFrame, intervals: DataFrame, keys: list[str], at: str, start: str, end: str, open_start: bool = False, bucket_days: int = 366, how: str = "inner", horizon: str = "2100-01-01") -> DataFrame:
     """Rows with the intervals [start, end] (or (start, end]) that hold `at`; a NULL end is open.
 
-    Open ends reach to the rows' own last day, so that an interval spans few buckets.
+    Open ends reach to the rows' own last day, so that an interval spans few buckets. Without keys, rows meet by
+    buckets of DAY_BUCKETS days, so that no long stretch of rows is one join key.
     """
+    bucket_days = bucket_days if keys else DAY_BUCKETS
     bucket = lambda c: F.floor(F.datediff(c, F.lit("1970-01-01")) / bucket_days).cast("long")
     last = rows.agg(F.max(at).alias("last_"))
     iv = intervals.crossJoin(F.broadcast(last)).withColumn("to_", F.coalesce(F.least(F.col(end), F.col("last_")), F.col("last_")))
@@ -61,8 +67,8 @@ def interval_join(rows: DataFrame, intervals: DataFrame, keys: list[str], at: st
     after = F.col(at) > F.col(start) if open_start else F.col(at) >= F.col(start)
     within = after & (F.col(end).isNull() | (F.col(at) <= F.col(end)))
     keyed = [F.col(f"l.{k}") == F.col(f"r.{k}") for k in keys] + [F.col("l.b_") == F.col("r.b_")]
-    condition = keyed[0]
-    for c in keyed[1:]:
+    condition = keyed[-1]
+    for c in keyed[:-1]:
         condition = condition & c
     joined = left.alias("l").join(iv.alias("r"), condition & within, how)
     extra = [c for c in intervals.columns if c not in keys]
@@ -102,8 +108,7 @@ def successor_at(rows: DataFrame, successions: DataFrame, key: str, at: str, str
 
 def holding_rows(daily: DataFrame, intervals: DataFrame, at: str = "date", start: str = "start", end: str = "end", strict: bool = False) -> DataFrame:
     """Daily rows with each interval (start, end] that holds them. Strict: an interval without rows is an error."""
-    one = F.lit(1).alias("k_")
-    out = interval_join(daily.select("*", one), intervals.select("*", one), ["k_"], at, start, end, open_start=True).drop("k_")
+    out = interval_join(daily, intervals, [], at, start, end, open_start=True)
     if strict:
         require_none(intervals.join(out.select(start, end).distinct(), [start, end], "left_anti"), "an interval has no rows")
     return out

@@ -234,6 +234,10 @@ def drift(reference: DataFrame, current: DataFrame, features: list[str], bins: i
     return base.join(psi, "feature").join(cdf, "feature")
 
 
+#: Rows among which permutation_importance deals values anew.
+CELL_ROWS = 10_000
+
+
 def permutation_importance(df: DataFrame, features: list[str], target: str, predict, repeats: int = 3, seed: int = 1) -> DataFrame:
     """feature, importance: mean drop of R2 when the feature's values are dealt anew by a seeded order. predict: df -> df with prediction."""
     from functools import reduce
@@ -242,12 +246,16 @@ def permutation_importance(df: DataFrame, features: list[str], target: str, pred
         e = F.col("prediction") - F.col(target)
         return predict(d).agg((1 - F.sum(e * e) / (F.var_pop(target) * F.count("*"))).alias("r2"))
 
+    # Values are dealt anew within cells of about CELL_ROWS rows that a hash draws from the whole table.
+    cells = max(1, df.count() // CELL_ROWS)
+    cell = F.pmod(F.xxhash64(F.lit("cell"), *df.columns), F.lit(cells))
     base, parts = r2(df), []
-    keyed = df.withColumn("k_", F.row_number().over(Window.orderBy(F.xxhash64(*df.columns))))
+    keyed = df.withColumn("c_", cell).withColumn("k_", F.row_number().over(Window.partitionBy("c_").orderBy(F.xxhash64(*df.columns))))
     for f in features:
         for r in range(repeats):
-            other = keyed.select(F.col(f).alias("f_"), F.row_number().over(Window.orderBy(F.xxhash64(F.lit(seed), F.lit(r), "k_"))).alias("k_"))
-            shuffled = keyed.join(other, "k_").withColumn(f, F.col("f_")).drop("f_", "k_")
+            anew = Window.partitionBy("c_").orderBy(F.xxhash64(F.lit(seed), F.lit(r), "k_"))
+            other = keyed.select("c_", F.col(f).alias("f_"), F.row_number().over(anew).alias("k_"))
+            shuffled = keyed.join(other, ["c_", "k_"]).withColumn(f, F.col("f_")).drop("f_", "k_", "c_")
             parts.append(r2(shuffled).select(F.lit(f).alias("feature"), "r2"))
     all_ = reduce(DataFrame.unionByName, parts)
     return all_.crossJoin(F.broadcast(base.withColumnRenamed("r2", "base"))).groupBy("feature").agg((F.max("base") - F.avg("r2")).alias("importance"))

@@ -34,8 +34,7 @@ def verified_paths(quotes: DataFrame, cycles: DataFrame, key: str = "security_id
 
     quotes: key, date, price, ret; cycles: entry, exit. One range join, then one window by security and cycle.
     """
-    one = F.lit(1).alias("k_")
-    rows = interval_join(quotes.select(key, "date", "price", "ret", one), cycles.select("entry", "exit", one), ["k_"], "date", "entry", "exit").drop("k_")
+    rows = interval_join(quotes.select(key, "date", "price", "ret"), cycles.select("entry", "exit"), [], "date", "entry", "exit")
     w = Window.partitionBy(key, "entry").orderBy("date")
     chain = F.abs(F.try_divide(F.col("price"), F.lag("price").over(w)) - 1 - F.col("ret")) <= tolerance
     good = finite(F.col("price")) & (F.col("price") > 0)

@@ -7,6 +7,7 @@ from functools import reduce
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from pitwell.operators import checks as B
 from pitwell.operators import learning as L
 from pitwell.operators import portfolios as P
 from pitwell.operators import windows as W
@@ -78,6 +79,10 @@ def l10(t: Tables) -> DataFrame:
 
 register("l11_temporal_folds", folds, "SELECT fold, 'train' AS role, 0 AS first, shift + 35 AS last FROM fold_ UNION ALL SELECT fold, 'validation', shift + 37, shift + 42 FROM fold_ UNION ALL SELECT fold, 'test', shift + 44, shift + 49 FROM fold_", DATA)
 register("l12_assign_and_purge", lambda t: split(t).groupBy("fold", "role").agg(F.count("*").alias("n")), "SELECT fold, role, count(*) AS n FROM split_ GROUP BY 1, 2", DATA)
+register("b29_temporal_fold_audit", lambda t: B.temporal_folds_audit(split(t), learning_set(t).select("date").distinct().withColumn("session", F.dense_rank().over(Window.orderBy("date"))), 1),
+         """WITH m AS (SELECT fold, role, min(s.date) AS a, max(s.date) AS b, max(label_end) AS e, min(d.i) AS ai, max(d.i) AS bi FROM split_ s JOIN days_ d USING (date) WHERE role IN ('train', 'validation', 'test') GROUP BY 1, 2),
+f AS (SELECT fold, max(e) FILTER (role = 'train') AS te, max(bi) FILTER (role = 'train') AS tb, min(a) FILTER (role = 'validation') AS va, min(ai) FILTER (role = 'validation') AS vi, max(e) FILTER (role = 'validation') AS ve, max(bi) FILTER (role = 'validation') AS vb, min(a) FILTER (role = 'test') AS sa, min(ai) FILTER (role = 'test') AS si FROM m GROUP BY 1)
+SELECT fold, coalesce(te < va, true) AS train_before_validation, coalesce(ve < sa, true) AS validation_before_test, coalesce(vi - tb > 1 AND si - vb > 1, true) AS embargo_kept FROM f""", DATA)
 register("l14_impute_training_median", lambda t: L.train_statistics(split(t), ["fold"], ["turnover"]).select("fold", F.round(F.get("turnover_q", F.lit(2)), 6).alias("median")), "SELECT fold, round(median(turnover), 6) AS median FROM split_ WHERE role = 'train' GROUP BY 1", DATA)
 register("l15_impute_cross_sectional_median", lambda t: L.cross_sectional_median(t.panel_m, ["ret"]).select(*K, F.round("ret", 8).alias("ret")), "SELECT security_id, date, round(coalesce(ret, median(ret) OVER (PARTITION BY date)), 8) AS ret FROM panel_m")
 register("l16_winsorize_train_bounds", lambda t: L.train_statistics(split(t), ["fold"], ["turnover"]).select("fold", F.round(F.get("turnover_q", F.lit(0)), 6).alias("low"), F.round(F.get("turnover_q", F.lit(4)), 6).alias("high")), "SELECT fold, round(quantile_cont(turnover, 0.01), 6) AS low, round(quantile_cont(turnover, 0.99), 6) AS high FROM split_ WHERE role = 'train' GROUP BY 1", DATA)

@@ -363,6 +363,5 @@ def h08(t: Tables) -> DataFrame:
 
 @query("j14_interval_cash", """SELECT start, round(product(1 + risk_free) - 1, 9) AS cash, count(*) AS sessions FROM market_m JOIN intervals ON date > start AND date <= "end" GROUP BY 1""")
 def j14(t: Tables) -> DataFrame:
-    one = F.lit(1).alias("k")
-    inside = interval_join(t.market_m.select("date", "risk_free", one), t.intervals.select("start", "end", one), ["k"], "date", "start", "end", open_start=True)
+    inside = interval_join(t.market_m.select("date", "risk_free"), t.intervals.select("start", "end"), [], "date", "start", "end", open_start=True)
     return inside.groupBy("start").agg(F.round(W.compound(F.col("risk_free")), 9).alias("cash"), F.count("*").alias("sessions"))

@@ -31,8 +31,7 @@ def resid(t: Tables) -> DataFrame:
 
 @query("i01_holding_period_market", 'SELECT start, round(product(1 + market_return) - 1, 6) AS market, round(product(1 + risk_free) - 1, 6) AS cash, round(product(1 + market_return) - product(1 + risk_free), 6) AS excess FROM market_m JOIN intervals ON date > start AND date <= "end" GROUP BY 1')
 def i01(t: Tables) -> DataFrame:
-    one = F.lit(1).alias("k")
-    inside = interval_join(t.market_m.select("*", one), t.intervals.select("*", one), ["k"], "date", "start", "end", open_start=True)
+    inside = interval_join(t.market_m, t.intervals, [], "date", "start", "end", open_start=True)
     out = inside.groupBy("start").agg(W.compound(F.col("market_return")).alias("m"), W.compound(F.col("risk_free")).alias("c"))
     return rounded(out, ["start"], market=F.col("m"), cash=F.col("c"), excess=F.col("m") - F.col("c"))
 

@@ -318,6 +318,26 @@ register("b13_succession_graph_check", lambda t: B.succession(edges(t)), RECURSI
 register("m01_lineage_ancestors", lambda t: M.ancestors(edges(t).select(F.col("predecessor").alias("child"), F.col("successor").alias("parent"))), RECURSIVE + "SELECT predecessor AS artifact, successor AS ancestor FROM r")
 
 
+ARTIFACTS = "SELECT n_nationkey::BIGINT AS artifact FROM nation WHERE n_nationkey <> 24 UNION ALL SELECT r_regionkey::BIGINT FROM region WHERE r_regionkey < 2"
+FLOWS = "SELECT s_nationkey::BIGINT AS child, ((s_nationkey * 7 + s_suppkey % 2) % 25)::BIGINT AS parent FROM supplier"
+NEEDED = "SELECT DISTINCT p_size::BIGINT AS artifact FROM part WHERE p_size <= 30"
+
+
+@query("b25_lineage_graph_check", f"""WITH RECURSIVE art AS ({ARTIFACTS}), e AS ({FLOWS}), d AS (SELECT DISTINCT child, parent FROM e WHERE child <> parent), r AS (SELECT child, parent FROM d UNION SELECT r.child, d.parent FROM r JOIN d ON r.parent = d.child), ends AS (SELECT child AS artifact FROM e UNION SELECT parent FROM e)
+SELECT 'duplicate_artifact' AS rule, artifact FROM art GROUP BY 2 HAVING count(*) > 1 UNION ALL SELECT 'unknown_endpoint', artifact FROM ends WHERE artifact NOT IN (SELECT artifact FROM art) UNION ALL SELECT DISTINCT 'self_edge', child FROM e WHERE child = parent
+UNION ALL SELECT DISTINCT 'duplicate_edge', child FROM (SELECT child, parent FROM e GROUP BY 1, 2 HAVING count(*) > 1) UNION ALL SELECT 'cycle', child FROM r WHERE child = parent UNION ALL SELECT 'missing_required', artifact FROM ({NEEDED}) WHERE artifact NOT IN (SELECT artifact FROM art)""")
+def b25(t: Tables) -> DataFrame:
+    artifacts = t.nation.filter("n_nationkey <> 24").select(F.col("n_nationkey").cast("long").alias("artifact")).unionAll(t.region.filter("r_regionkey < 2").select(F.col("r_regionkey").cast("long")))
+    flows = t.supplier.select(F.col("s_nationkey").cast("long").alias("child"), ((F.col("s_nationkey") * 7 + F.col("s_suppkey") % 2) % 25).cast("long").alias("parent"))
+    return B.lineage_graph(artifacts, flows, t.part.filter("p_size <= 30").select(F.col("p_size").cast("long").alias("artifact")).distinct())
+
+
+@query("b30_benchmark_conflict", 'SELECT date, count(DISTINCT b) AS "values", round(max(b) - min(b), 8) AS spread FROM (SELECT date, benchmark_return + CASE WHEN security_id = 5 AND month(date) = 7 THEN 0.5 ELSE 0 END AS b FROM panel) GROUP BY date HAVING max(b) - min(b) > 1e-12')
+def b30(t: Tables) -> DataFrame:
+    odd = F.col("benchmark_return") + F.when((F.col("security_id") == 5) & (F.month("date") == 7), 0.5).otherwise(0.0)
+    return B.benchmark_conflict(t.panel.withColumn("benchmark_return", odd)).withColumn("spread", F.round("spread", 8))
+
+
 @query("b14_unit_reconcile", "SELECT o_orderpriority AS field, CASE WHEN o_orderpriority IN ('1-URGENT', '2-HIGH') THEN 'mixed' ELSE 'no_contract' END AS status FROM orders GROUP BY 1 HAVING o_orderpriority NOT IN ('3-MEDIUM') UNION ALL SELECT '3-MEDIUM', 'mixed' UNION ALL SELECT 'zz', 'unused'")
 def b14(t: Tables) -> DataFrame:
     contract = t.spark.createDataFrame([("1-URGENT", "F"), ("2-HIGH", "O"), ("3-MEDIUM", "P"), ("zz", "F")], "field string, unit string")

@@ -9,7 +9,7 @@ import pytest
 import __spark_entry__ as entry
 
 DATA = "/root/testdata/sf0.001"
-SAMPLE = ("a10_column_arrays_to_rows", "a16_immutable_publish", "a23_quarantine_sink", "i09_rolling_hac", "b02_daily_market_rules", "b10_mapping_overlap_conflicts", "c01_pit_asof_panel", "c03_effective_dated_lookup", "c06_holding_interval_join", "d03_prior_year_lags", "e09_quote_chain_verify", "e12_forward_targets_frame",
+SAMPLE = ("a10_column_arrays_to_rows", "a16_immutable_publish", "a23_quarantine_sink", "i09_rolling_hac", "b02_daily_market_rules", "b06_calendar_coverage", "b25_lineage_graph_check", "b29_temporal_fold_audit", "b30_benchmark_conflict", "h02_holding_coverage_gate", "i01_holding_period_market", "b10_mapping_overlap_conflicts", "c01_pit_asof_panel", "c03_effective_dated_lookup", "c06_holding_interval_join", "d03_prior_year_lags", "e09_quote_chain_verify", "e12_forward_targets_frame",
           "f18_momentum_12_1m", "g08_score_factors", "h01_month_end_quantile_portfolios", "i04_ols_fit", "i07_cov_hac", "j10_backtest_accounting", "k16_risk_summary", "l08_future_drawdown", "m04_symmetric_difference", "n01_scalar_strings")
 
 
@@ -61,11 +61,11 @@ def test_quote_path(spark):
         c = spark.createDataFrame([(days[0], days[-1])], "entry date, exit date")
         return verified_paths(q, c).first()
 
-    good = status([100.0, 90.0, 99.0, 110.0], [0.0, -0.1, 0.1, 110 / 99 - 1])
-    assert good.status == "COMPLETE_VALID" and abs(good.realized - 0.1) < 1e-12
-    assert status([100.0, 90.0, 99.0, None], [0.0, -0.1, 0.1, 0.0]).status == "MISSING_ENDPOINT_NO_AUTHENTIC_TERMINAL"
-    assert status([100.0, 0.0, 99.0, 110.0], [0.0, -0.1, 0.1, 110 / 99 - 1]).status == "INVALID_QUOTE"
-    assert status([100.0, 90.0, 99.0, 110.0], [0.0, -0.1, 0.5, 110 / 99 - 1]).status == "UNRECONCILED_QUOTE_RETURN_CHAIN"
+    good = status([40.0, 50.0, 45.0, 54.0], [0.0, 0.25, -0.1, 0.2])
+    assert good.status == "COMPLETE_VALID" and abs(good.realized - 0.35) < 1e-12
+    assert status([40.0, 50.0, 45.0, None], [0.0, 0.25, -0.1, 0.0]).status == "MISSING_ENDPOINT_NO_AUTHENTIC_TERMINAL"
+    assert status([40.0, 0.0, 45.0, 54.0], [0.0, 0.25, -0.1, 0.2]).status == "INVALID_QUOTE"
+    assert status([40.0, 50.0, 45.0, 54.0], [0.0, 0.25, 0.3, 0.2]).status == "UNRECONCILED_QUOTE_RETURN_CHAIN"
 
 
 def test_trade_costs(spark):
