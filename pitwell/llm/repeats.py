@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from pitwell.llm.shared import as_long, slices, span_hash, stored
+from pitwell.llm.shared import as_long, slices, span_hash, spread_join, stored
 
 #: Most documents whose marks are sent to all executors instead of shuffling all texts, and most marks in all.
 BROADCAST_DOCUMENTS, BROADCAST_MARKS = 200_000, 4_000_000
@@ -41,8 +41,8 @@ class Picked(NamedTuple):
     context: np.ndarray
 
 
-def runs_of_anchors(anchor: np.ndarray, window: np.ndarray, doc: np.ndarray, name: np.ndarray, codes: np.ndarray, size: int) -> Picked:
-    """Groups consecutive windows of one document that picked the same anchor. anchor: id of the picked anchor of each window; name: name of it."""
+def runs_of_anchors(anchor: np.ndarray, window: np.ndarray, doc: np.ndarray, name: np.ndarray, codes: np.ndarray, size: int, base: int = 1) -> Picked:
+    """Groups consecutive windows of one document that picked the same anchor. anchor: id of the picked anchor of each window; name: name of it; codes: hashes of `base` units from each place."""
     if not len(window):
         none = np.zeros(0, np.int64)
         return Picked(none, none, none, none.view(np.uint64), none.view(np.uint64))
@@ -51,7 +51,7 @@ def runs_of_anchors(anchor: np.ndarray, window: np.ndarray, doc: np.ndarray, nam
     at = np.flatnonzero(new)
     n = np.diff(np.append(at, len(window)))
     start = window[at]
-    context = span_hash(codes, start, start + n - 1 + size)
+    context = span_hash(codes, start, start + n - 1 + size, base)
     return Picked(start, n, doc[at], name[at], context)
 
 
@@ -76,13 +76,15 @@ class Shared(NamedTuple):
     contexts: DataFrame  #: name, context, copies, first (doc_id, start, n), contexts (of the name)
 
 
-def shared_anchors(rows: DataFrame, label: str) -> Shared:
-    names = stored(rows.groupBy("name").agg(F.count("*").alias("c")).filter("c > 1").select("name"), f"{label}-names")
-    members = stored(rows.join(names, "name"), f"{label}-members")
+def shared_anchors(rows: DataFrame, label: str, keep: bool = False) -> Shared:
+    """keep: writes all anchors once instead of finding them twice."""
+    rows = stored(rows, f"{label}-anchors") if keep else rows
+    names = stored(rows.groupBy("name").agg(F.count("*").alias("held")).filter("held > 1"), f"{label}-names")
+    members = stored(spread_join(rows, names, "name", count="held").drop("held"), f"{label}-members")
     contexts = members.groupBy("name", "context").agg(F.count("*").alias("copies"), F.min(F.struct("doc_id", "start", "n")).alias("first"))
     contexts = stored(contexts, f"{label}-contexts")
-    several = contexts.groupBy("name").agg(F.count("*").alias("contexts"))
-    return Shared(members, stored(contexts.join(several, "name"), f"{label}-groups"))
+    several = stored(contexts.groupBy("name").agg(F.count("*").alias("contexts")), f"{label}-several")
+    return Shared(members, stored(spread_join(contexts, several, "name", count="contexts"), f"{label}-groups"))
 
 
 def with_marks(docs: DataFrame, marks: DataFrame, how: str = "left") -> DataFrame:

@@ -10,6 +10,7 @@ import hashlib
 import tempfile
 import uuid
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -89,24 +90,26 @@ def one_of_equal(docs: DataFrame, most: int) -> DataFrame:
 HOT_KEYS = 2000
 
 
-def spread_join(rows: DataFrame, side: DataFrame, key: str, how: str = "inner") -> DataFrame:
-    """Joins rows with the stored table `side` of one row a key, which holds the number n of rows of each key.
+def spread_join(rows: DataFrame, side: DataFrame, keys: str | list[str], how: str = "inner", count: str = "n") -> DataFrame:
+    """Joins rows with the stored table `side`, which holds the number of rows of each key in the column `count`.
 
     No key of many rows is dealt out whole: sides of few rows and the keys of many rows are broadcast,
     and in the shuffle for the other keys their rows are spread by a hash of all their columns.
     """
-    side = side.filter(F.col(key).isNotNull())
-    few, total = side.agg(F.count("*"), F.coalesce(F.sum("n"), F.lit(0))).first()
+    keys = [keys] if isinstance(keys, str) else keys
+    side = side.filter(" AND ".join(f"{k} IS NOT NULL" for k in keys))
+    few, total = side.agg(F.count("*"), F.coalesce(F.sum(count), F.lit(0))).first()
     if few <= HOT_KEYS:
-        return rows.join(F.broadcast(side), key, how)
-    packed = side.select(F.col(key).alias("__k"), F.struct(*(c for c in side.columns if c != key)).alias("__s"), F.col("n").alias("__n"))
-    large = packed.filter(F.col("__n") > total / HOT_KEYS).select(F.col("__k").alias("__h"), F.col("__s").alias("__large"))
-    small = packed.filter(F.col("__n") <= total / HOT_KEYS).select("__k", F.col("__s").alias("__small"))
+        return rows.join(F.broadcast(side), keys, how)
+    packed = side.select(*(F.col(k).alias(f"__k{i}") for i, k in enumerate(keys)), F.struct(*(c for c in side.columns if c not in keys)).alias("__s"), F.col(count).alias("__n"))
+    large = packed.filter(F.col("__n") > total / HOT_KEYS).select(*(F.col(f"__k{i}").alias(f"__h{i}") for i in range(len(keys))), F.col("__s").alias("__large"))
+    small = packed.filter(F.col("__n") <= total / HOT_KEYS).withColumnRenamed("__s", "__small").drop("__n")
+    equal = lambda left, right: reduce(Column.__and__, (F.col(x) == F.col(f"{right}{i}") for i, x in enumerate(left)))
     spread = F.xxhash64(*rows.columns)
-    spread = spread if dict(rows.dtypes)[key] == "bigint" else F.concat(F.lit("~"), spread.cast("string"))
-    out = rows.join(F.broadcast(large), F.col(key) == F.col("__h"), "left")
-    out = out.withColumn("__at", F.when(F.col("__large").isNull(), F.col(key)).otherwise(spread))
-    out = out.join(small, F.col("__at") == F.col("__k"), "left").withColumn("__both", F.coalesce("__large", "__small"))
+    spread = spread if dict(rows.dtypes)[keys[0]] == "bigint" else F.concat(F.lit("~"), spread.cast("string"))
+    out = rows.join(F.broadcast(large), equal(keys, "__h"), "left")
+    out = out.withColumn("__at", F.when(F.col("__large").isNull(), F.col(keys[0])).otherwise(spread))
+    out = out.join(small, equal(["__at", *keys[1:]], "__k"), "left").withColumn("__both", F.coalesce("__large", "__small"))
     if how == "inner":
         out = out.filter("__both IS NOT NULL")
     return out.select(*rows.columns, "__both.*")
@@ -138,19 +141,16 @@ BLOCK_MASKS = np.array([(1 << 8 * k) - 1 for k in range(9)], np.uint64)
 def mix(x: np.ndarray) -> np.ndarray:
     """A bijective 64-bit finaliser."""
     x = x ^ (x >> np.uint64(30))
-    x = x * np.uint64(0xBF58476D1CE4E5B9)
-    x = x ^ (x >> np.uint64(27))
-    x = x * np.uint64(0x94D049BB133111EB)
-    return x ^ (x >> np.uint64(31))
-
-
-#: Pseudo-random values, one per byte.
-BYTE_CODES = mix(np.arange(1, 257, dtype=np.uint64) * _MUL)
+    x *= np.uint64(0xBF58476D1CE4E5B9)
+    x ^= x >> np.uint64(27)
+    x *= np.uint64(0x94D049BB133111EB)
+    x ^= x >> np.uint64(31)
+    return x
 
 
 def both(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """Hashes of pairs of hashes, in this order. A full mix at every step: no sequences collide by their structure."""
-    return mix(mix(a + _MUL) * _MUL + b)
+    return mix(a * _MUL + b)
 
 
 def blocks8(data: np.ndarray) -> np.ndarray:
@@ -189,11 +189,25 @@ def window_hash(codes: np.ndarray, size: int) -> np.ndarray:
     return mix(codes[:0]) if out is None else mix(out)
 
 
-def span_hash(codes: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-    """64-bit hashes of the spans [start, end) of the coded sequence, equal for equal content: two blocks of a power of two cover each."""
+def gram_hash(data: np.ndarray, size: int) -> np.ndarray:
+    """Hashes of all runs of `size` bytes, by their first place: from 8 bytes on by doubling, two overlapping blocks at the end."""
+    count = max(0, len(data) - size + 1)
+    if size <= 8 or not count:
+        return mix((blocks8(data)[:count] & BLOCK_MASKS[min(size, 8)]) + _MUL)
+    level, length = mix(blocks8(data)[: len(data) - 7] + _MUL), 8
+    while 2 * length <= size:
+        level, length = both(level[:-length], level[length:]), 2 * length
+    return level if length == size else both(level[:count], level[size - length : size - length + count])
+
+
+def span_hash(codes: np.ndarray, start: np.ndarray, end: np.ndarray, base: int = 1) -> np.ndarray:
+    """64-bit hashes of the spans [start, end), equal for equal content: two overlapping blocks of base * 2**k units cover each.
+
+    codes: hashes of the `base` units from each place on; no span is shorter than that.
+    """
     size = (end - start).astype(np.int64)
     out = np.zeros(len(size), np.uint64)
-    level, length, most = codes, 1, int(size.max(initial=0))
+    level, length, most = codes, base, int(size.max(initial=0))
     while length <= most:
         mine = np.flatnonzero((size >= length) & (size < 2 * length))
         if len(mine):

@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pitwell.llm.repeats import Picked, anchor_rows, range_minimum, runs_of_anchors, shared_anchors, windows_in, with_marks
-from pitwell.llm.shared import Words, as_long, both, covered, documents, mix, span_hash, stored, told_apart, window_hash
+from pitwell.llm.shared import Words, as_long, both, covered, documents, mix, span_hash, spread_join, stored, told_apart, window_hash
 
 WINDOW = 20
 ROUNDS = 2
@@ -121,12 +121,12 @@ def later_windows(docs: DataFrame, size: int = WINDOW) -> DataFrame:
     """doc_id, start, n: runs of windows whose word sequence also starts earlier."""
     shared = shared_anchors(anchor_rows(docs, lambda texts: pick(texts, size)), "op7")
     place = F.struct("doc_id", "start")
-    firsts = shared.contexts.filter("copies > 1").select("name", "context", F.struct("first.doc_id", "first.start").alias("earliest"))
-    copies = shared.members.join(firsts, ["name", "context"]).filter(place != F.col("earliest")).select("doc_id", "start", "n")
+    firsts = shared.contexts.filter("copies > 1").select("name", "context", "copies", F.struct("first.doc_id", "first.start").alias("earliest"))
+    copies = spread_join(shared.members, firsts, ["name", "context"], count="copies").filter(place != F.col("earliest")).select("doc_id", "start", "n")
     runs = shared.contexts.filter("contexts > 1").select("first.*")
     windows = stored(representative_windows(docs, runs, size).distinct(), "op7-windows")
-    earliest = windows.groupBy("window").agg(F.count("*").alias("c"), F.min(place).alias("earliest")).filter("c > 1").select("window", "earliest")
-    later = windows.join(earliest, "window").filter(place != F.col("earliest")).select("doc_id", "start", F.lit(1).alias("n"))
+    earliest = windows.groupBy("window").agg(F.count("*").alias("c"), F.min(place).alias("earliest")).filter("c > 1")
+    later = spread_join(windows, stored(earliest, "op7-earliest"), "window", count="c").filter(place != F.col("earliest")).select("doc_id", "start", F.lit(1).alias("n"))
     return copies.unionByName(later)
 
 

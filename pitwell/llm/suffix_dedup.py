@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pitwell.llm.repeats import BROADCAST_DOCUMENTS, BROADCAST_MARKS, Picked, anchor_rows, runs_of_anchors, shared_anchors, windows_in, with_marks
-from pitwell.llm.shared import BLOCK_MASKS, BYTE_CODES, as_long, blocks8, covered, documents, raw_bytes, stored, told_apart, window_hash
+from pitwell.llm.shared import BLOCK_MASKS, as_long, blocks8, covered, documents, gram_hash, raw_bytes, spread_join, stored, told_apart
 
 LENGTH, GRAM = 200, 32
 #: Windows handled at once, bytes of a block, and surroundings of one name beyond which strings are counted instead.
@@ -37,14 +37,14 @@ PIECE, BLOCK, MOST_CONTEXTS = 1 << 18, 1 << 19, 2048
 def pick(texts: pa.Array, size: int = LENGTH, gram: int = GRAM) -> tuple[Picked, np.ndarray]:
     data, offsets = raw_bytes(texts)
     ends = np.repeat(offsets[1:], np.diff(offsets))
+    owner = np.repeat(np.arange(len(offsets) - 1, dtype=np.int32), np.diff(offsets))
     parts = []
     for at in range(0, max(1, len(data) - size + 1), PIECE):
         piece = data[at : at + PIECE + size - 1]
         if len(piece) < size:
             break
-        codes = BYTE_CODES[piece]
         place = np.arange(len(piece) - gram + 1)
-        hashes = window_hash(codes, gram)
+        hashes = gram_hash(piece, gram)
         bits = np.uint64(len(piece).bit_length())
         least = (hashes >> bits << bits) | place.astype(np.uint64)
         width, reach = size - gram + 1, 1
@@ -55,8 +55,8 @@ def pick(texts: pa.Array, size: int = LENGTH, gram: int = GRAM) -> tuple[Picked,
             least = np.minimum(least[: reach - width], least[width - reach :])
         window = np.flatnonzero(place[: len(least)] + at + size <= ends[at : at + len(least)])
         chosen = (least[window] & ((np.uint64(1) << bits) - np.uint64(1))).astype(np.int64)
-        doc = np.searchsorted(offsets, window + at, "right") - 1
-        p = runs_of_anchors(chosen, window, doc, hashes[chosen], codes, size)
+        doc = owner[window + at].astype(np.int64)
+        p = runs_of_anchors(chosen, window, doc, hashes[chosen], hashes, size, gram)
         parts.append(p._replace(start=p.start + at))
     if not parts:
         parts = [runs_of_anchors(np.zeros(0), np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint64), np.zeros(0, np.uint64), size)]
@@ -190,21 +190,21 @@ def counted_strings(docs: DataFrame, contexts: DataFrame, size: int) -> DataFram
             for i in range(b.num_rows):
                 data, _ = raw_bytes(b.column(1).slice(i, 1))
                 at = windows_in(b.column(2)[i].as_py(), b.column(3)[i].as_py(), max(0, len(data) - size + 1))
-                hashes = window_hash(BYTE_CODES[data], size)[at]
+                hashes = gram_hash(data, size)[at]
                 yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(np.full(len(at), i))), pa.array(at.astype(np.int32)), as_long(hashes)], names=["doc_id", "start", "window"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
     strings = with_marks(docs, contexts.select("first.*"), "inner").mapInArrow(run, f"doc_id {kind}, start int, window long")
     strings = stored(strings.distinct(), "op10-strings")
-    twice = strings.groupBy("window").agg(F.count("*").alias("c")).filter("c > 1").select("window")
-    return strings.join(twice, "window").select("doc_id", "start", F.lit(1).alias("n"))
+    twice = strings.groupBy("window").agg(F.count("*").alias("c")).filter("c > 1")
+    return spread_join(strings, stored(twice, "op10-twice"), "window", count="c").select("doc_id", "start", F.lit(1).alias("n"))
 
 
 def repeated_strings(docs: DataFrame, size: int = LENGTH) -> DataFrame:
     """doc_id, start, n: runs of windows that also start anywhere else."""
-    shared = shared_anchors(anchor_rows(docs, lambda texts: pick(texts, size, min(GRAM, size))), "op10")
-    twice = shared.contexts.filter("copies > 1").select("name", "context")
-    copies = shared.members.join(twice, ["name", "context"]).select("doc_id", "start", "n")
+    shared = shared_anchors(anchor_rows(docs, lambda texts: pick(texts, size, min(GRAM, size))), "op10", keep=True)
+    twice = shared.contexts.filter("copies > 1").select("name", "context", "copies")
+    copies = spread_join(shared.members, twice, ["name", "context"], count="copies").select("doc_id", "start", "n")
     several = shared.contexts.filter("contexts > 1")
     texts = context_texts(docs, several.filter(F.col("contexts") <= MOST_CONTEXTS), size)
     marks = copies.unionByName(sorted_blocks(texts, size))

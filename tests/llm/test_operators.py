@@ -129,8 +129,13 @@ def test_hashes_tell_structured_texts_apart(spark):
     for n in (1, 7, 8, 9, 1024, 2048):
         x, y = shared.bytes_hash(data, np.array([0, 2048]), np.array([n, 2048 + n]))
         assert x != y and shared.bytes_hash(data, np.array([0]), np.array([n]))[0] == x
-    codes = shared.BYTE_CODES[data]
-    assert (shared.window_hash(codes, 200)[:1800] != shared.window_hash(codes, 200)[2048:3848]).all()
+    for n in (3, 8, 32, 200, 1024):
+        h = shared.gram_hash(data, n)
+        same = np.array([(data[i : i + n] == data[2048 + i : 2048 + i + n]).all() for i in range(1000)])
+        assert len(h) == 4096 - n + 1 and ((h[:1000] == h[2048:3048]) == same).all()
+    start, size = np.arange(500), 200 + np.arange(500) % 190
+    h = shared.gram_hash(data, 32)
+    assert len(np.unique(shared.span_hash(h, start, start + size, 32))) == len({(data[a : a + n].tobytes()) for a, n in zip(start, size)})
 
 
 def test_exact_with_splits(spark):
