@@ -8,8 +8,10 @@ one representative. The surroundings that are left are dealt by name into
 blocks, and each block is sorted by the difference-cover algorithm: triples at
 two of three residues are sorted and named, their names are sorted by recursion,
 the other suffixes are merged in, and neighbours are compared over 200 bytes.
-Names with very many different surroundings skip the blocks and compare their
-strings' hashes by a distributed count, so that no block grows with a group.
+For names with very many different surroundings other anchors are chosen among
+those surroundings, which tells most of them apart and leaves shorter ones, as
+often as needed; what little is left after ROUNDS is counted by its strings'
+hashes. So no block grows with a group.
 
 Defined results: a null text counts as empty; rows with a null doc_id are told
 apart by a digest of the row; rows that repeat a doc_id are one more occurrence
@@ -27,14 +29,17 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pitwell.llm.repeats import BROADCAST_DOCUMENTS, BROADCAST_MARKS, Picked, anchor_rows, runs_of_anchors, shared_anchors, windows_in, with_marks
-from pitwell.llm.shared import BLOCK_MASKS, as_long, blocks8, covered, documents, gram_hash, raw_bytes, spread_join, stored, told_apart
+from pitwell.llm.shared import BLOCK_MASKS, as_long, blocks8, covered, documents, gram_hash, mix, raw_bytes, spread_join, stored, told_apart
 
 LENGTH, GRAM = 200, 32
-#: Windows handled at once, bytes of a block, and surroundings of one name beyond which strings are counted instead.
+#: Windows handled at once, bytes of a block, and surroundings of one name beyond which other anchors are chosen.
 PIECE, BLOCK, MOST_CONTEXTS = 1 << 18, 1 << 19, 2048
+#: Choices of anchors; each halves what is left of surroundings of a very common name, about. The last is counted string by string.
+ROUNDS = 6
 
 
-def pick(texts: pa.Array, size: int = LENGTH, gram: int = GRAM) -> tuple[Picked, np.ndarray]:
+def pick(texts: pa.Array, size: int = LENGTH, gram: int = GRAM, seed: int = 0) -> tuple[Picked, np.ndarray]:
+    """The anchors of all windows; another seed chooses other anchors."""
     data, offsets = raw_bytes(texts)
     ends = np.repeat(offsets[1:], np.diff(offsets))
     owner = np.repeat(np.arange(len(offsets) - 1, dtype=np.int32), np.diff(offsets))
@@ -46,7 +51,8 @@ def pick(texts: pa.Array, size: int = LENGTH, gram: int = GRAM) -> tuple[Picked,
         place = np.arange(len(piece) - gram + 1)
         hashes = gram_hash(piece, gram)
         bits = np.uint64(len(piece).bit_length())
-        least = (hashes >> bits << bits) | place.astype(np.uint64)
+        order = mix(hashes + np.uint64(seed)) if seed else hashes
+        least = (order >> bits << bits) | place.astype(np.uint64)
         width, reach = size - gram + 1, 1
         while 2 * reach <= width:
             least = np.minimum(least[:-reach], least[reach:])
@@ -200,16 +206,37 @@ def counted_strings(docs: DataFrame, contexts: DataFrame, size: int) -> DataFram
     return spread_join(strings, stored(twice, "op10-twice"), "window", count="c").select("doc_id", "start", F.lit(1).alias("n"))
 
 
+def anchored_again(texts: DataFrame, size: int, gram: int, seed: int) -> DataFrame:
+    """doc_id, name, context, start, n: the windows of surroundings (context_texts) by anchors of another seed."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            p, first = pick(b.column("bytes"), size, gram, seed)
+            row = pa.array(p.doc)
+            start = b.column("start").to_numpy()[p.doc] + p.start - first[p.doc]
+            yield pa.RecordBatch.from_arrays([b.column("doc_id").take(row), as_long(p.name), as_long(p.context), pa.array(start.astype(np.int32)), pa.array(p.n.astype(np.int32))], names=["doc_id", "name", "context", "start", "n"])
+
+    return texts.mapInArrow(run, f"doc_id {texts.schema['doc_id'].dataType.simpleString()}, name long, context long, start int, n int")
+
+
 def repeated_strings(docs: DataFrame, size: int = LENGTH) -> DataFrame:
     """doc_id, start, n: runs of windows that also start anywhere else."""
-    shared = shared_anchors(anchor_rows(docs, lambda texts: pick(texts, size, min(GRAM, size))), "op10", keep=True)
-    twice = shared.contexts.filter("copies > 1").select("name", "context", "copies")
-    copies = spread_join(shared.members, twice, ["name", "context"], count="copies").select("doc_id", "start", "n")
-    several = shared.contexts.filter("contexts > 1")
-    texts = context_texts(docs, several.filter(F.col("contexts") <= MOST_CONTEXTS), size)
-    marks = copies.unionByName(sorted_blocks(texts, size))
-    many = several.filter(F.col("contexts") > MOST_CONTEXTS)
-    return marks if many.isEmpty() else marks.unionByName(counted_strings(docs, many, size))
+    gram = min(GRAM, size)
+    rows, marks = anchor_rows(docs, lambda texts: pick(texts, size, gram)), None
+    for seed in range(1, ROUNDS + 1):
+        shared = shared_anchors(rows, "op10", keep=True)
+        twice = shared.contexts.filter("copies > 1").select("name", "context", "copies")
+        copies = spread_join(shared.members, twice, ["name", "context"], count="copies").select("doc_id", "start", "n")
+        several = shared.contexts.filter("contexts > 1")
+        texts = context_texts(docs, several.filter(F.col("contexts") <= MOST_CONTEXTS), size)
+        found = copies.unionByName(sorted_blocks(texts, size))
+        marks = found if marks is None else marks.unionByName(found)
+        many = several.filter(F.col("contexts") > MOST_CONTEXTS)
+        if many.isEmpty():
+            return marks
+        if seed < ROUNDS:
+            rows = anchored_again(context_texts(docs, many, size), size, gram, seed)
+    return marks.unionByName(counted_strings(docs, many, size))
 
 
 def without_repeats(docs: DataFrame, size: int = LENGTH) -> DataFrame:

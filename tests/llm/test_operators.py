@@ -313,9 +313,11 @@ def test_word_windows(spark):
         assert (got[i].n_words, got[i].n_removed, got[i].kept) == (len(w), len(gone), " ".join(x for k, x in enumerate(w) if k not in gone))
 
 
-@pytest.mark.parametrize("most", (2048, 1))
-def test_byte_windows(spark, monkeypatch, most):
+@pytest.mark.parametrize("most,rounds", ((2048, 6), (1, 1), (1, 3)))
+def test_byte_windows(spark, monkeypatch, most, rounds):
+    """By blocks, by counts, and by other anchors before that."""
     monkeypatch.setattr(suffix_dedup, "MOST_CONTEXTS", most)
+    monkeypatch.setattr(suffix_dedup, "ROUNDS", rounds)
     data = [(t or "").encode() for t in TEXTS]
     count = Counter(b[k : k + 200] for b in data for k in range(len(b) - 199))
     got = by_id(suffix_dedup.without_repeats(table(spark)))
@@ -324,7 +326,8 @@ def test_byte_windows(spark, monkeypatch, most):
         for k in range(len(b) - 199):
             if count[b[k : k + 200]] > 1:
                 gone[k : k + 200] = True
-        assert (got[i].n_removed, bytes(got[i].kept)) == (int(gone.sum()), bytes(np.frombuffer(b, np.uint8)[~gone]))
+        spans = int((np.diff(np.append(0, gone.astype(int))) == 1).sum())
+        assert (got[i].n_removed, got[i].n_spans, bytes(got[i].kept)) == (int(gone.sum()), spans, bytes(np.frombuffer(b, np.uint8)[~gone]))
 
 
 def test_suffix_array():
