@@ -416,8 +416,8 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
         bridges = component.select(F.col("sig").alias("a"), F.col("component").alias("b"))
         component = stored(components(more.unionByName(bridges)), "op2-component")
     named = table.join(component, "sig", "left").withColumn("c", F.coalesce("component", "sig"))
-    least = named.filter("n > 0").groupBy("c").agg(F.min("doc_id").alias("least")).withColumnRenamed("c", "of")
-    joined = named.join(least, (F.col("c") == F.col("of")) & (F.col("n") > 0), "left")
+    least = stored(named.filter("n > 0").groupBy("c").agg(F.min("doc_id").alias("least"), F.count("*").alias("held")), "op2-least")
+    joined = spread_join(named, least, "c", "left", count="held")
     return joined.select("doc_id", F.col("n").cast("long").alias("n_shingles"), F.when(F.col("n") > 0, F.col("least")).otherwise(F.col("doc_id")).alias("component_id"))
 
 

@@ -86,24 +86,23 @@ def one_of_equal(docs: DataFrame, most: int) -> DataFrame:
     return key_join(docs, again, "left_anti", most).unionByName(repeated)
 
 
-#: Keys of more than 1 / HOT_KEYS of all rows are met by broadcast in `spread_join`; there are fewer than HOT_KEYS of them.
+#: Number of keys of most rows that `spread_join` meets by broadcast; no other key has more than 1 / HOT_KEYS of all rows.
 HOT_KEYS = 2000
 
 
 def spread_join(rows: DataFrame, side: DataFrame, keys: str | list[str], how: str = "inner", count: str = "n") -> DataFrame:
     """Joins rows with the stored table `side`, which holds the number of rows of each key in the column `count`.
 
-    No key of many rows is dealt out whole: sides of few rows and the keys of many rows are broadcast,
+    No key of many rows is dealt out whole: sides of few rows and the HOT_KEYS keys of most rows are broadcast,
     and in the shuffle for the other keys their rows are spread by a hash of all their columns.
     """
     keys = [keys] if isinstance(keys, str) else keys
     side = side.filter(" AND ".join(f"{k} IS NOT NULL" for k in keys))
-    few, total = side.agg(F.count("*"), F.coalesce(F.sum(count), F.lit(0))).first()
-    if few <= HOT_KEYS:
+    if side.count() <= HOT_KEYS:
         return rows.join(F.broadcast(side), keys, how)
-    packed = side.select(*(F.col(k).alias(f"__k{i}") for i, k in enumerate(keys)), F.struct(*(c for c in side.columns if c not in keys)).alias("__s"), F.col(count).alias("__n"))
-    large = packed.filter(F.col("__n") > total / HOT_KEYS).select(*(F.col(f"__k{i}").alias(f"__h{i}") for i in range(len(keys))), F.col("__s").alias("__large"))
-    small = packed.filter(F.col("__n") <= total / HOT_KEYS).withColumnRenamed("__s", "__small").drop("__n")
+    top = side.select(*keys, count).distinct().orderBy(F.col(count).desc(), *keys).limit(HOT_KEYS).select(*keys)
+    packed = lambda how, k, s: side.join(F.broadcast(top), keys, how).select(*(F.col(c).alias(f"{k}{i}") for i, c in enumerate(keys)), F.struct(*(c for c in side.columns if c not in keys)).alias(s))
+    large, small = packed("left_semi", "__h", "__large"), packed("left_anti", "__k", "__small")
     equal = lambda left, right: reduce(Column.__and__, (F.col(x) == F.col(f"{right}{i}") for i, x in enumerate(left)))
     spread = F.xxhash64(*rows.columns)
     spread = spread if dict(rows.dtypes)[keys[0]] == "bigint" else F.concat(F.lit("~"), spread.cast("string"))
