@@ -238,27 +238,28 @@ def drift(reference: DataFrame, current: DataFrame, features: list[str], bins: i
 CELL_ROWS = 10_000
 
 
-def permutation_importance(df: DataFrame, features: list[str], target: str, predict, repeats: int = 3, seed: int = 1) -> DataFrame:
-    """feature, importance: mean drop of R2 when the feature's values are dealt anew by a seeded order. predict: df -> df with prediction."""
-    from functools import reduce
-
-    def r2(d: DataFrame) -> DataFrame:
-        e = F.col("prediction") - F.col(target)
-        return predict(d).agg((1 - F.sum(e * e) / (F.var_pop(target) * F.count("*"))).alias("r2"))
-
-    # Values are dealt anew within cells of about CELL_ROWS rows that a hash draws from the whole table.
-    cells = max(1, df.count() // CELL_ROWS)
-    cell = F.pmod(F.xxhash64(F.lit("cell"), *df.columns), F.lit(cells))
-    base, parts = r2(df), []
-    keyed = df.withColumn("c_", cell).withColumn("k_", F.row_number().over(Window.partitionBy("c_").orderBy(F.xxhash64(*df.columns))))
-    for f in features:
-        for r in range(repeats):
-            anew = Window.partitionBy("c_").orderBy(F.xxhash64(F.lit(seed), F.lit(r), "k_"))
-            other = keyed.select("c_", F.col(f).alias("f_"), F.row_number().over(anew).alias("k_"))
-            shuffled = keyed.join(other, ["c_", "k_"]).withColumn(f, F.col("f_")).drop("f_", "k_", "c_")
-            parts.append(r2(shuffled).select(F.lit(f).alias("feature"), "r2"))
-    all_ = reduce(DataFrame.unionByName, parts)
-    return all_.crossJoin(F.broadcast(base.withColumnRenamed("r2", "base"))).groupBy("feature").agg((F.max("base") - F.avg("r2")).alias("importance"))
+def permutation_importance(df: DataFrame, keys: list[str], features: list[str], target: str, predict, repeats: int = 3, seed: int = 1) -> DataFrame:
+    """keys, feature, importance: mean drop of R2 when the feature's values are dealt anew within each key by a seeded order. predict: df -> df with prediction.
+
+    Values are dealt anew within cells of about CELL_ROWS rows that a hash draws from all rows of a key.
+    """
+    own = F.xxhash64(*df.columns)
+    sizes = df.groupBy(*keys).agg(F.greatest(F.lit(1), F.floor(F.count("*") / CELL_ROWS)).alias("cells_"))
+    dealt = df.withColumn("own_", own).join(sizes, keys).withColumn("c_", F.pmod(F.xxhash64(F.lit("cell"), "own_"), "cells_")).drop("cells_")
+    keyed = dealt.withColumn("k_", F.row_number().over(Window.partitionBy(*keys, "c_").orderBy("own_"))).drop("own_")
+    # Every row once for each feature and repeat, and once as it is (feature empty).
+    draws = [F.struct(F.lit(f).alias("feature"), F.lit(r).alias("repeat")) for f in features for r in range(repeats)]
+    draws.append(F.struct(F.lit("").alias("feature"), F.lit(0).alias("repeat")))
+    each = keyed.withColumn("d_", F.explode(F.array(*draws))).select("*", "d_.*").drop("d_")
+    cell = [*keys, "c_", "feature", "repeat"]
+    values = F.struct(*(F.col(f) for f in features)).alias("v_")
+    anew = F.row_number().over(Window.partitionBy(*cell).orderBy(F.xxhash64(F.lit(seed), "repeat", "k_"), "k_"))
+    other = each.select(*cell, values, anew.alias("k_"))
+    both = each.join(other, [*cell, "k_"]).withColumns({f: F.when(F.col("feature") == f, F.col(f"v_.{f}")).otherwise(F.col(f)) for f in features})
+    e = F.col("prediction") - F.col(target)
+    r2 = predict(both).groupBy(*keys, "feature", "repeat").agg((1 - F.sum(e * e) / (F.var_pop(target) * F.count("*"))).alias("r2"))
+    base = F.max(F.when(F.col("feature") == "", F.col("r2"))).over(Window.partitionBy(*keys))
+    return r2.withColumn("base", base).filter("feature <> ''").groupBy(*keys, "feature").agg((F.max("base") - F.avg("r2")).alias("importance"))
 
 
 def overlap_of_tests(rows: DataFrame, fold: str, start: str, end: str) -> DataFrame:

@@ -100,7 +100,24 @@ def predictions(t: Tables, l2: float = 0.0, names=("momentum_1m", "turnover")) -
 
 ONE = DATA | {"pred_": "SELECT s.*, a + b * turnover AS prediction FROM split_ s JOIN (SELECT fold, regr_intercept(y, turnover) AS a, regr_slope(y, turnover) AS b FROM split_ WHERE role = 'train' AND turnover IS NOT NULL AND momentum_1m IS NOT NULL GROUP BY 1) USING (fold) WHERE role = 'test' AND turnover IS NOT NULL AND momentum_1m IS NOT NULL"}
 register("l21_linear", lambda t: predictions(t, 0.0, ["turnover"]).select("fold", *K, F.round("prediction", 6).alias("prediction")), "SELECT fold, security_id, date, round(prediction, 6) AS prediction FROM pred_", ONE)
-register("l21_ridge", lambda t: predictions(t, 1.0).select("fold", *K, F.round("prediction", 6).alias("prediction")))
+
+
+def ridge_sql(l2: float, role: str) -> str:
+    """Rows of a role with the prediction of the two-feature ridge: centred normal equations, so that the constant isn't shrunk."""
+    known = "turnover IS NOT NULL AND momentum_1m IS NOT NULL"
+    return f"""SELECT s.*, b1, b2, my + b1 * (momentum_1m - m1) + b2 * (turnover - m2) AS prediction FROM split_ s JOIN (
+ SELECT fold, my, m1, m2, (c1 * (v2 + {l2}) - c2 * c12) / ((v1 + {l2}) * (v2 + {l2}) - c12 * c12) AS b1, (c2 * (v1 + {l2}) - c1 * c12) / ((v1 + {l2}) * (v2 + {l2}) - c12 * c12) AS b2
+ FROM (SELECT fold, avg(y) AS my, avg(momentum_1m) AS m1, avg(turnover) AS m2, var_pop(momentum_1m) * count(*) AS v1, var_pop(turnover) * count(*) AS v2, covar_pop(y, momentum_1m) * count(*) AS c1, covar_pop(y, turnover) * count(*) AS c2, covar_pop(momentum_1m, turnover) * count(*) AS c12
+ FROM split_ WHERE role = 'train' AND {known} GROUP BY 1)) USING (fold) WHERE role = '{role}' AND {known}"""
+
+
+def measures_sql(table: str, head: str) -> str:
+    """RMSE and Spearman per fold of a table with y and prediction."""
+    ranks = ", ".join(f"rank() OVER (PARTITION BY fold ORDER BY {c}) + (count(*) OVER (PARTITION BY fold, {c}) - 1) / 2 AS {r}" for c, r in (("y", "ry"), ("prediction", "rp")))
+    return f"SELECT {head}, fold, round(sqrt(avg(pow(prediction - y, 2))), 6) AS rmse, round(corr(ry, rp), 6) AS spearman FROM (SELECT *, {ranks} FROM {table}) GROUP BY fold"
+
+
+register("l21_ridge", lambda t: predictions(t, 1.0).select("fold", *K, F.round("prediction", 6).alias("prediction")), f"SELECT fold, security_id, date, round(prediction, 6) AS prediction FROM ({ridge_sql(1.0, 'test')})", DATA)
 
 
 def by_fold(t: Tables, one, classifier: bool = False) -> DataFrame:
@@ -143,14 +160,18 @@ for _n in ("l22_lasso", "l22_elastic_net", "l23_logistic", "l24_random_forest",
     register(_n, (lambda n: lambda t: ml(t, *_models()[n]))(_n))
 
 
-@query("l26_bounded_grid_search")
+PENALTIES = (0.0, 1.0, 100.0)
+TRIALS = " UNION ALL ".join(measures_sql(f"({ridge_sql(l2, 'validation')})", f"{k} AS trial, {l2}::DOUBLE AS l2") for k, l2 in enumerate(PENALTIES))
+
+
+@query("l26_bounded_grid_search", f"SELECT fold, trial, l2, spearman FROM ({TRIALS}) QUALIFY row_number() OVER (PARTITION BY fold ORDER BY coalesce(spearman, -2) DESC, trial) = 1", DATA)
 def l26(t: Tables) -> DataFrame:
-    """Ridge penalties scored by Spearman on validation rows; the first strict best per fold."""
+    """Ridge penalties scored by Spearman (to 6 digits) on validation rows; the first strict best per fold."""
     d = split(t).filter("turnover IS NOT NULL AND momentum_1m IS NOT NULL").withColumn("role", F.when(F.col("role") == "validation", "test").when(F.col("role") == "test", "held").otherwise(F.col("role")))
     out = None
-    for trial, l2 in enumerate((0.0, 1.0, 100.0)):
+    for trial, l2 in enumerate(PENALTIES):
         m = L.regression_metrics(L.linear_model(d, "fold", ["momentum_1m", "turnover"], "y", l2), ["fold"], "y", "prediction")
-        part = m.select("fold", F.lit(trial).alias("trial"), F.lit(l2).alias("l2"), "spearman")
+        part = m.select("fold", F.lit(trial).alias("trial"), F.lit(l2).alias("l2"), F.round("spearman", 6).alias("spearman"))
         out = part if out is None else out.unionByName(part)
     return out.groupBy("fold").agg(F.max_by(F.struct("trial", "l2", "spearman"), F.struct(F.coalesce("spearman", F.lit(-2.0)), -F.col("trial"))).alias("b")).select("fold", "b.*")
 
@@ -177,9 +198,9 @@ def l28(t: Tables) -> DataFrame:
 
 @query("l29_permutation_importance")
 def l29(t: Tables) -> DataFrame:
-    p = predictions(t).filter("fold = 0").select("turnover", "momentum_1m", "y", "beta").cache()
+    p = predictions(t).select("fold", "turnover", "momentum_1m", "y", "beta").cache()
     predict = lambda d: d.withColumn("prediction", F.get("beta", F.lit(0)) + F.get("beta", F.lit(1)) * F.col("momentum_1m") + F.get("beta", F.lit(2)) * F.col("turnover"))
-    return L.permutation_importance(p, ["momentum_1m", "turnover"], "y", predict)
+    return L.permutation_importance(p, ["fold"], ["momentum_1m", "turnover"], "y", predict)
 
 
 DRIFT = "WITH r AS (SELECT o_totalprice AS x FROM orders WHERE o_orderkey % 2 = 0), c AS (SELECT o_totalprice * 1.1 AS x FROM orders WHERE o_orderkey % 2 = 1), u AS (SELECT x, 1 AS a, 0 AS b FROM r UNION ALL SELECT x, 0, 1 FROM c), g AS (SELECT x, sum(a) AS a, sum(b) AS b FROM u GROUP BY x), k AS (SELECT x, abs(sum(a) OVER (ORDER BY x) / (SELECT count(*) FROM r) - sum(b) OVER (ORDER BY x) / (SELECT count(*) FROM c)) AS gap, lead(x) OVER (ORDER BY x) - x AS dx FROM g) SELECT 'x' AS feature, round((SELECT avg(x) FROM c) - (SELECT avg(x) FROM r), 2) AS mean_shift, round(max(gap), 6) AS ks, round(sum(gap * dx), 2) AS wasserstein FROM k"
@@ -192,11 +213,18 @@ def l30(t: Tables) -> DataFrame:
     return L.drift(r, c, ["x"]).select("feature", F.round("mean_shift", 2).alias("mean_shift"), F.round("ks", 6).alias("ks"), F.round("wasserstein", 2).alias("wasserstein"))
 
 
-@query("l31_feature_ablations")
+def single_sql(x: str) -> str:
+    return f"(SELECT s.fold, y, a + b * {x} AS prediction FROM split_ s JOIN (SELECT fold, regr_intercept(y, {x}) AS a, regr_slope(y, {x}) AS b FROM split_ WHERE role = 'train' AND turnover IS NOT NULL AND momentum_1m IS NOT NULL GROUP BY 1) USING (fold) WHERE role = 'test' AND turnover IS NOT NULL AND momentum_1m IS NOT NULL)"
+
+
+ABLATIONS = {"complete": f"({ridge_sql(0.0, 'test')})", "without_turnover": single_sql("momentum_1m"), "without_momentum": single_sql("turnover")}
+
+
+@query("l31_feature_ablations", " UNION ALL ".join(measures_sql(v, f"'{k}' AS features") for k, v in ABLATIONS.items()), DATA)
 def l31(t: Tables) -> DataFrame:
     out = None
     for name, xs in (("complete", ["momentum_1m", "turnover"]), ("without_turnover", ["momentum_1m"]), ("without_momentum", ["turnover"])):
-        m = L.regression_metrics(predictions(t, 0.0, xs), ["fold"], "y", "prediction").select(F.lit(name).alias("features"), "fold", "rmse", "spearman")
+        m = L.regression_metrics(predictions(t, 0.0, xs), ["fold"], "y", "prediction").select(F.lit(name).alias("features"), "fold", F.round("rmse", 6).alias("rmse"), F.round("spearman", 6).alias("spearman"))
         out = m if out is None else out.unionByName(m)
     return out
 
@@ -226,13 +254,21 @@ register("l36_block_bootstrap_ic", lambda t: L.block_bootstrap(L.daily_ic(learni
 register("l37_prediction_table", lambda t: predictions(t, 0.0, ["turnover"]).select("fold", *K, F.round("y", 6).alias("y"), F.round("prediction", 6).alias("prediction"), F.lit("linear").alias("model")), "SELECT fold, security_id, date, round(y, 6) AS y, round(prediction, 6) AS prediction, 'linear' AS model FROM pred_", ONE)
 
 
-@query("l38_economic_check")
+TOP = """WITH k AS (SELECT fold, security_id, date, row_number() OVER (PARTITION BY fold, date ORDER BY prediction DESC, security_id) AS k, count(*) OVER (PARTITION BY fold, date) AS n FROM pred_),
+w AS (SELECT fold, security_id, date, 1 / count(*) OVER (PARTITION BY fold, date) AS weight FROM k WHERE k <= ceil(n * 0.1::DOUBLE)),
+b AS (SELECT w.*, next_ret AS ret, sum(weight * next_ret) OVER (PARTITION BY fold, date) AS gross FROM w JOIN next_ USING (security_id, date) WHERE next_ret IS NOT NULL),
+d AS (SELECT *, abs(weight - coalesce(lag(weight * (1 + ret) / (1 + gross)) OVER (PARTITION BY fold, security_id ORDER BY date), 0)) AS trade FROM b),
+e AS (SELECT fold, date, sum(trade) AS turnover, sum(trade * 14.5 / 1e4) AS cost, max(gross) AS gross FROM d GROUP BY 1, 2)
+SELECT fold, round(sum(gross), 6) AS gross, round(sum(gross - cost), 6) AS net, round(sum(turnover), 6) AS turnover FROM e GROUP BY 1"""
+
+
+@query("l38_economic_check", TOP, ONE)
 def l38(t: Tables) -> DataFrame:
     """Top tenth by prediction at each date, held one period, with costs, per fold."""
     nxt = t.panel.select(*K, F.lead("ret").over(Window.partitionBy("security_id").orderBy("date")).alias("ret"), "benchmark_return")
     w = P.ranked_signal_weights(predictions(t, 0.0, ["turnover"]), ["fold", "date"], "prediction", 0.1, "security_id")
     book = w.select("fold", *K, "weight").join(nxt.filter("ret IS NOT NULL"), K).withColumnRenamed("security_id", "asset_id")
-    return P.backtest(book, ["fold"], "benchmark_return", P.trade_costs(10, 5, 2)).groupBy("fold").agg(F.sum("gross").alias("gross"), F.sum("net").alias("net"), F.sum("turnover").alias("turnover"))
+    return P.backtest(book, ["fold"], "benchmark_return", P.trade_costs(10, 5, 2)).groupBy("fold").agg(*(F.round(F.sum(c), 6).alias(c) for c in ("gross", "net", "turnover")))
 
 
 @query("l39_challenger_comparison", "SELECT fold, 'train_mean' AS model, round(sqrt(avg(pow(y - m, 2))), 6) AS rmse FROM pred_ JOIN (SELECT fold, avg(y) AS m FROM split_ WHERE role = 'train' AND turnover IS NOT NULL AND momentum_1m IS NOT NULL GROUP BY 1) USING (fold) GROUP BY 1 UNION ALL SELECT fold, 'linear', round(sqrt(avg(pow(y - prediction, 2))), 6) FROM pred_ GROUP BY 1", ONE)
@@ -246,5 +282,5 @@ def l39(t: Tables) -> DataFrame:
 
 register("l40_retrain_cadence", lambda t: folds(t).select("fold", (F.floor(F.col("fold") / 3) * 3).cast("long").alias("fit_fold")).distinct(), "SELECT fold, fold // 3 * 3 AS fit_fold FROM fold_", DATA)
 register("l41_build_dataset", lambda t: learning_set(t).select(*K, F.round("y", 6).alias("y"), "label_end"), "SELECT security_id, date, round(y, 6) AS y, label_end FROM set_", DATA)
-register("l42_explanation_disagreement", lambda t: predictions(t).groupBy("fold").agg(F.first("beta").alias("b"), F.stddev_samp("momentum_1m").alias("s1"), F.stddev_samp("turnover").alias("s2")).select("fold", (F.abs(F.get("b", F.lit(1))) > F.abs(F.get("b", F.lit(2)))).alias("raw_top"), (F.abs(F.get("b", F.lit(1)) * F.col("s1")) > F.abs(F.get("b", F.lit(2)) * F.col("s2"))).alias("scaled_top")).withColumn("disagree", F.col("raw_top") != F.col("scaled_top")))
+register("l42_explanation_disagreement", lambda t: predictions(t).groupBy("fold").agg(F.first("beta").alias("b"), F.stddev_samp("momentum_1m").alias("s1"), F.stddev_samp("turnover").alias("s2")).select("fold", (F.abs(F.get("b", F.lit(1))) > F.abs(F.get("b", F.lit(2)))).alias("raw_top"), (F.abs(F.get("b", F.lit(1)) * F.col("s1")) > F.abs(F.get("b", F.lit(2)) * F.col("s2"))).alias("scaled_top")).withColumn("disagree", F.col("raw_top") != F.col("scaled_top")), f"SELECT fold, abs(b1) > abs(b2) AS raw_top, abs(b1 * s1) > abs(b2 * s2) AS scaled_top, (abs(b1) > abs(b2)) <> (abs(b1 * s1) > abs(b2 * s2)) AS disagree FROM (SELECT fold, max(b1) AS b1, max(b2) AS b2, stddev_samp(momentum_1m) AS s1, stddev_samp(turnover) AS s2 FROM ({ridge_sql(0.0, 'test')}) GROUP BY 1)", DATA)
 register("l43_overlap_of_test_targets", lambda t: L.overlap_of_tests(split(t), "fold", "date", "label_end"), "SELECT fold, first_start, last_end, coalesce(lead(first_start) OVER (ORDER BY fold) <= last_end, false) AS overlaps_next FROM (SELECT fold, min(date) AS first_start, max(label_end) AS last_end FROM split_ WHERE role = 'test' GROUP BY 1)", DATA)

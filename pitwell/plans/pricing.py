@@ -10,7 +10,7 @@ from pitwell.operators import regress as R
 from pitwell.operators import windows as W
 from pitwell.operators.joins import interval_join, reconcile
 from pitwell.plans.features import rounded
-from pitwell.plans.portfolio import MORE, held, rows
+from pitwell.plans.portfolio import FORMED, MORE, formed, held, rows
 from pitwell.plans.registry import query, register
 from pitwell.plans.tables import Tables
 
@@ -36,14 +36,19 @@ def i01(t: Tables) -> DataFrame:
     return rounded(out, ["start"], market=F.col("m"), cash=F.col("c"), excess=F.col("m") - F.col("c"))
 
 
-@query("i02_research_panel")
+SPREADS = ", ".join(f"max(vw) FILTER (factor_id = '{f}' AND quantile = 3) - max(vw) FILTER (factor_id = '{f}' AND quantile = 1) AS {f}" for f in ("market_cap", "momentum_1m", "turnover"))
+PANEL = f"WITH s AS (SELECT date, {SPREADS} FROM h_ GROUP BY 1) SELECT factor_id || ':Q' || quantile AS asset, date, round(vw, 6) AS ret, market_return, benchmark_return, risk_free, round(market_cap, 6) AS market_cap, round(momentum_1m, 6) AS momentum_1m, round(turnover, 6) AS turnover, round(vw - risk_free, 6) AS excess_return FROM h_ JOIN market_m USING (date) JOIN s USING (date)"
+
+
+@query("i02_research_panel", PANEL, FORMED)
 def i02(t: Tables) -> DataFrame:
     """Assets factor:Qk with the market and the spreads of the factors as columns."""
     h = held(t)
     leg = lambda q: F.max(F.when(F.col("quantile") == q, F.col("value_weighted_return")))
     spreads = h.groupBy("factor_id", "date").agg((leg(3) - leg(1)).alias("s")).groupBy("date").pivot("factor_id", ["market_cap", "momentum_1m", "turnover"]).agg(F.first("s"))
     assets = h.select(F.concat_ws(":Q", "factor_id", "quantile").alias("asset"), "date", F.col("value_weighted_return").alias("ret"))
-    return assets.join(t.market_m, "date").join(spreads, "date").withColumn("excess_return", F.col("ret") - F.col("risk_free"))
+    out = assets.join(t.market_m, "date").join(spreads, "date").withColumn("excess_return", F.col("ret") - F.col("risk_free"))
+    return out.withColumns({c: F.round(c, 6) for c in ("ret", "market_cap", "momentum_1m", "turnover", "excess_return")})
 
 
 @query("i03_model_registry", "SELECT * FROM (VALUES ('CAPM', 1), ('FF3', 3), ('CARHART4', 4), ('FF5', 5), ('Q', 4)) v(model_id, regressors), (SELECT count(DISTINCT date) AS dates FROM market_m)")
@@ -163,7 +168,8 @@ def i18(t: Tables) -> DataFrame:
 
 
 register("i19_breusch_pagan", lambda t: R.breusch_pagan(resid(t), S, X).select("security_id", F.round("lm", 5).alias("lm")), "SELECT security_id, round(count(*) * regr_r2(e * e, market_return), 5) AS lm FROM e_ GROUP BY 1", FIT)
-register("i20_white_test", lambda t: R.white_test(resid(t), S, X).select("security_id", F.round("lm", 5).alias("lm"), F.round("p", 6).alias("p")))
+WHITE = "WITH c AS (SELECT security_id, count(*) AS n, corr(e * e, market_return) AS c1, corr(e * e, pow(market_return, 2)) AS c2, corr(market_return, pow(market_return, 2)) AS c12 FROM e_ GROUP BY 1), l AS (SELECT security_id, n * (c1 * c1 + c2 * c2 - 2 * c1 * c2 * c12) / (1 - c12 * c12) AS lm FROM c WHERE n > 6) SELECT security_id, round(lm, 5) AS lm, round(exp(-lm / 2), 6) AS p FROM l"
+register("i20_white_test", lambda t: R.white_test(resid(t), S, X).select("security_id", F.round("lm", 5).alias("lm"), F.round("p", 6).alias("p")), WHITE, FIT)
 register("i21_durbin_watson", lambda t: rounded(R.durbin_watson(resid(t), S, "date"), S, 5, dw=F.col("dw")), "SELECT security_id, round(sum(pow(e - l, 2)) / sum(e * e), 5) AS dw FROM (SELECT *, lag(e) OVER (PARTITION BY security_id ORDER BY date) AS l FROM e_) GROUP BY 1", FIT)
 LB = ", ".join(f"lag(e, {k}) OVER (PARTITION BY security_id ORDER BY date) AS l{k}" for k in range(1, 6))
 register("i22_ljung_box", lambda t: rounded(R.ljung_box(resid(t), S, "date"), S, 4, q=F.col("q")), "SELECT security_id, round(count(*) * (count(*) + 2) * (" + " + ".join(f"pow(sum(e * l{k}) / sum(e * e), 2) / (count(*) - {k})" for k in range(1, 6)) + f"), 4) AS q FROM (SELECT *, {LB} FROM e_) GROUP BY 1", FIT)
@@ -206,12 +212,35 @@ def grid_fits(t: Tables) -> DataFrame:
     return out
 
 
-@query("i28_self_exclusion_refit")
+EXCLUDED = """WITH m AS (SELECT factor_id, date, quantile, security_id, cap, next_ret FROM q_ JOIN next_ USING (security_id, date) WHERE next_ret IS NOT NULL AND cap > 0),
+a AS (SELECT DISTINCT factor_id AS f, quantile AS q FROM q_),
+g AS (SELECT f, q, m.factor_id AS factor, m.date, sum(cap * next_ret) FILTER (m.quantile = 3 AND o.security_id IS NULL) / sum(cap) FILTER (m.quantile = 3 AND o.security_id IS NULL) - sum(cap * next_ret) FILTER (m.quantile = 1 AND o.security_id IS NULL) / sum(cap) FILTER (m.quantile = 1 AND o.security_id IS NULL) AS without,
+ sum(cap * next_ret) FILTER (m.quantile = 3) / sum(cap) FILTER (m.quantile = 3) - sum(cap * next_ret) FILTER (m.quantile = 1) / sum(cap) FILTER (m.quantile = 1) AS whole
+ FROM a JOIN m ON m.factor_id <> f LEFT JOIN (SELECT factor_id, date, quantile, security_id FROM q_) o ON o.factor_id = f AND o.quantile = q AND o.date = m.date AND o.security_id = m.security_id GROUP BY 1, 2, 3, 4),
+r AS (SELECT f || ':Q' || q AS asset, factor, vw - risk_free AS y, market_return AS x, whole, without FROM g JOIN h_ ON h_.factor_id = f AND h_.quantile = q AND h_.date = g.date JOIN market_m ON market_m.date = g.date WHERE whole IS NOT NULL AND without IS NOT NULL)
+SELECT asset, factor, count(*) AS n, round((covar_pop(y, whole) * var_pop(x) - covar_pop(y, x) * covar_pop(x, whole)) / (var_pop(x) * var_pop(whole) - pow(covar_pop(x, whole), 2)), 5) AS whole,
+ round((covar_pop(y, without) * var_pop(x) - covar_pop(y, x) * covar_pop(x, without)) / (var_pop(x) * var_pop(without) - pow(covar_pop(x, without), 2)), 5) AS without FROM r GROUP BY 1, 2"""
+
+
+@query("i28_self_exclusion_refit", EXCLUDED, FORMED)
 def i28(t: Tables) -> DataFrame:
-    """CAPM per factor leg on the market without and with the leg's own sector mean removed."""
-    base = rows(t).withColumn("own", F.avg("ret").over(Window.partitionBy("date", "sector"))).withColumn("other", F.col("market_return") - F.col("own"))
-    a = R.ols_fit(base, S, "ret", ["market_return"]).select("security_id", F.get("beta", F.lit(1)).alias("full"))
-    return a.join(R.ols_fit(base, S, "ret", ["other"]).select("security_id", F.get("beta", F.lit(1)).alias("excluded")), "security_id")
+    """Formed assets on the market and each other factor's spread, with and without the asset's own members in the spread, on the matched sample."""
+    w = Window.partitionBy("security_id").orderBy("date")
+    nxt = t.panel.select("security_id", "date", (F.col("price") * F.col("shares")).alias("cap"), F.lead("ret").over(w).alias("next_ret")).filter("next_ret IS NOT NULL AND cap > 0")
+    q = formed(t).select("security_id", "date", "factor_id", "quantile")
+    names = q.select(F.col("factor_id").alias("f")).distinct()
+    # Cells by the security's own quantile in the asset's factor, so that leaving an asset out is leaving a cell out.
+    members = q.join(nxt, ["security_id", "date"]).withColumnRenamed("factor_id", "factor").filter("quantile <> 2").join(F.broadcast(names), F.col("factor") != F.col("f"))
+    own = q.select("security_id", "date", F.col("factor_id").alias("f"), F.col("quantile").alias("mine"))
+    cells = members.join(own, ["security_id", "date", "f"], "left").groupBy("f", "factor", "date", "quantile", "mine").agg(F.sum(F.col("cap") * F.col("next_ret")).alias("gain"), F.sum("cap").alias("cap"))
+    cells = cells.withColumn("q", F.explode(F.array(*(F.lit(k).cast("long") for k in (1, 2, 3)))))
+    other = F.col("mine").isNull() | (F.col("mine") != F.col("q"))
+    leg = lambda k, held: F.try_divide(F.sum(F.when(held & (F.col("quantile") == k), F.col("gain"))), F.sum(F.when(held & (F.col("quantile") == k), F.col("cap"))))
+    spreads = cells.groupBy("f", "q", "factor", "date").agg((leg(3, F.lit(True)) - leg(1, F.lit(True))).alias("whole"), (leg(3, other) - leg(1, other)).alias("without")).filter("whole IS NOT NULL AND without IS NOT NULL")
+    h = held(t).select(F.col("factor_id").alias("f"), F.col("quantile").alias("q"), "date", "value_weighted_return").join(t.market_m, "date")
+    r = spreads.join(h, ["f", "q", "date"]).select(F.concat_ws(":Q", "f", "q").alias("asset"), "factor", (F.col("value_weighted_return") - F.col("risk_free")).alias("y"), "market_return", "whole", "without")
+    fit = lambda c: R.ols_fit(r, ["asset", "factor"], "y", ["market_return", c]).select("asset", "factor", "n", F.round(F.get("beta", F.lit(2)), 5).alias(c))
+    return fit("whole").join(fit("without").drop("n"), ["asset", "factor"])
 
 
 SUM = FIT | {"fit_": "SELECT security_id, max(a) AS alpha, sqrt(sum(e * e) / (max(n) - 2) * (1 / max(n) + pow(max(mx), 2) / max(sxx))) AS se, max(r2) AS r2 FROM e_ GROUP BY 1"}
