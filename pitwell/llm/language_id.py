@@ -135,8 +135,9 @@ def prototypes(docs: DataFrame) -> tuple[list[str], np.ndarray]:
         yield pa.RecordBatch.from_arrays([pa.array(names, pa.string()), pa.array([total[n].tolist() for n in names], pa.list_(pa.float64()))], names=["lang", "v"])
 
     parts = docs.filter("lang IS NOT NULL AND text IS NOT NULL").select("text", "lang").mapInArrow(run, "lang string, v array<double>")
-    added = F.transform(F.sequence(F.lit(0), F.lit(DIMENSIONS - 1)), lambda i: F.lit(0.0))
-    total = parts.groupBy("lang").agg(F.reduce(F.collect_list("v"), added, lambda a, v: F.zip_with(a, v, lambda x, y: x + y)).alias("v")).orderBy("lang").collect()
+    # Summed by place before and after the shuffle: no row holds the vectors of several tasks, the result has the size of the model.
+    places = parts.select("lang", F.posexplode("v").alias("i", "x")).groupBy("lang", "i").agg(F.sum("x").alias("x"))
+    total = places.groupBy("lang").agg(F.array_sort(F.collect_list(F.struct("i", "x"))).alias("p")).select("lang", F.col("p.x").alias("v")).orderBy("lang").collect()
     m = np.array([r.v for r in total], np.float64).reshape(len(total), DIMENSIONS)
     return [r.lang for r in total], m / np.maximum(np.linalg.norm(m, axis=1, keepdims=True), 1e-9)
 
