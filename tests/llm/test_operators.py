@@ -456,3 +456,22 @@ def test_stages_keep_rows_of_odd_ids(spark):
     assert len(left) == 80 and set(left) <= {*clean, clean[2] + " tail"}
     mix = corpus_pipeline.STAGES[3][1](spark, docs, None)
     assert corpus_pipeline.STAGES[4][1](spark, mix, None).count() == mix.count() == sum(x.copies for x in mixing.mix_plan(docs, by_row=True).collect())
+
+
+def test_language_held_out(spark):
+    """Documents that were not learnt from, of the given tables."""
+    sf = "/root/testdata/sf0.001"
+    found = language_id.op3_language(spark, sf).join(spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "lang"), "doc_id")
+    held = [(x.lang, x.lang_pred) for x in found.filter("held_out AND lang IS NOT NULL").collect()]
+    assert len(held) > 20 and sum(a == b for a, b in held) >= 0.95 * len(held)
+
+
+def test_language_of_empty_tables_and_null_ids(spark):
+    empty = spark.createDataFrame([], "doc_id long, text string, lang string")
+    assert language_id.predicted(empty, *language_id.prototypes(empty)).count() == 0
+    rows = [(None, "the house", "en"), (None, None, "en"), (1, "", None), (1, "das Haus", "de")]
+    docs = spark.createDataFrame(rows, empty.schema)
+    got = sorted((x.doc_id or 0, x.lang_pred) for x in language_id.predicted(docs, *language_id.prototypes(docs)).collect())
+    assert got == [(0, "en"), (0, "und"), (1, "de"), (1, "und")]
+    # Without anything to learn from, every text is undetermined.
+    assert {x.lang_pred for x in language_id.predicted(docs, *language_id.prototypes(docs.filter("lang = 'xx'"))).collect()} == {"und"}
