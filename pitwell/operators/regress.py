@@ -55,22 +55,58 @@ def ols_fit(df: DataFrame, keys: list[str], y: str, xs: list[str], weight: str |
         for f in frames:
             out = []
             for r in f.to_dict("records"):
-                a, b, n = np.array(r["xtx"]).reshape(k, k), np.array(r["xty"]), r["n"]
-                scale = np.sqrt(np.maximum(np.diag(a), 1e-300))
-                unit = a / np.outer(scale, scale)
-                if n <= k or np.linalg.matrix_rank(unit, tol=1e-11) < k:
-                    continue
-                inv = np.linalg.inv(unit) / np.outer(scale, scale)
-                beta = inv @ b
-                rss = max(r["yty"] - beta @ b, 0.0)
-                tss = r["yty"] - (r["sy"] ** 2 / r["sw"] if constant else 0.0)
-                r2 = 1 - rss / tss if tss > 0 else None
-                loglik = -n / 2 * (np.log(2 * np.pi) + np.log(max(rss, 1e-300) / n) + 1)
-                adj = None if r2 is None else 1 - (1 - r2) * (n - constant) / (n - k)
-                out.append((*(r[c] for c in keys), n, n - k, beta.tolist(), inv.ravel().tolist(), rss, r2, adj, 2 * k - 2 * loglik, k * np.log(n) - 2 * loglik, float(np.sqrt(rss / (n - k)))))
-            yield pd.DataFrame(out, columns=[*keys, "n", "df_resid", "beta", "inv", "rss", "r2", "adj_r2", "aic", "bic", "se_resid"])
-
-    return m.mapInPandas(solve, key_schema(df, keys) + "n long, df_resid long, beta array<double>, inv array<double>, rss double, r2 double, adj_r2 double, aic double, bic double, se_resid double")
+                fit = solution(r, np.arange(k), constant)
+                if fit:
+                    out.append((*(r[c] for c in keys), *fit))
+            yield pd.DataFrame(out, columns=[*keys, *FIT_COLUMNS])
+
+    return m.mapInPandas(solve, key_schema(df, keys) + FIT_SCHEMA)
+
+
+FIT_SCHEMA = "n long, df_resid long, beta array<double>, inv array<double>, rss double, r2 double, adj_r2 double, aic double, bic double, se_resid double"
+FIT_COLUMNS = [c.split()[0] for c in FIT_SCHEMA.split(", ")]
+
+
+def solution(r: dict, use: np.ndarray, constant: bool = True) -> tuple | None:
+    """FIT_COLUMNS of one row of `moments` with the design columns `use`; beta and inv have zeros for the others."""
+    b, n, k = np.array(r["xty"]), r["n"], len(use)
+    whole = len(b)
+    a, b = np.array(r["xtx"]).reshape(whole, whole)[np.ix_(use, use)], b[use]
+    scale = np.sqrt(np.maximum(np.diag(a), 1e-300))
+    unit = a / np.outer(scale, scale)
+    if n <= k or np.linalg.matrix_rank(unit, tol=1e-11) < k:
+        return None
+    inv = np.linalg.inv(unit) / np.outer(scale, scale)
+    beta = inv @ b
+    rss = max(r["yty"] - beta @ b, 0.0)
+    tss = r["yty"] - (r["sy"] ** 2 / r["sw"] if constant else 0.0)
+    r2 = 1 - rss / tss if tss > 0 else None
+    loglik = -n / 2 * (np.log(2 * np.pi) + np.log(max(rss, 1e-300) / n) + 1)
+    adj = None if r2 is None else 1 - (1 - r2) * (n - constant) / (n - k)
+    all_beta, all_inv = np.zeros(whole), np.zeros((whole, whole))
+    all_beta[use], all_inv[np.ix_(use, use)] = beta, inv
+    return n, n - k, all_beta.tolist(), all_inv.ravel().tolist(), rss, r2, adj, 2 * k - 2 * loglik, k * np.log(n) - 2 * loglik, float(np.sqrt(rss / (n - k)))
+
+
+def model_fits(df: DataFrame, keys: list[str], y: str, xs: list[str], models: dict[str, tuple[str, ...]]) -> DataFrame:
+    """One row a group and model, on the rows that are complete for all of xs: the columns of `ols_fit`.
+
+    The moments of all regressors are gathered once. beta and inv have a place for each of xs, zeros where a model
+    leaves it out, so that `residuals` and `covariance` take them with rows by group and model.
+    """
+    places = {m: np.array([0, *(1 + xs.index(x) for x in used)]) for m, used in models.items()}
+
+    def solve(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for f in frames:
+            out = []
+            for r in f.to_dict("records"):
+                for model, use in places.items():
+                    fit = solution(r, use)
+                    if fit:
+                        out.append((*(r[c] for c in keys), model, *fit))
+            yield pd.DataFrame(out, columns=[*keys, "model", *FIT_COLUMNS])
+
+    return moments(df, keys, y, xs).mapInPandas(solve, key_schema(df, keys) + "model string, " + FIT_SCHEMA)
 
 
 def residuals(df: DataFrame, fits: DataFrame, keys: list[str], y: str, xs: list[str], constant: bool = True) -> DataFrame:

@@ -6,10 +6,12 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from pitwell.operators import aggregates as A
+from pitwell.operators import portfolios as P
 from pitwell.operators import regress as R
 from pitwell.operators import windows as W
+from pitwell.operators.characteristics import characteristics
 from pitwell.operators.joins import interval_join, reconcile
-from pitwell.plans.features import rounded
+from pitwell.plans.features import ASOF, F_SQL, H, rounded, wide_panel
 from pitwell.plans.portfolio import FORMED, MORE, formed, held, rows
 from pitwell.plans.registry import query, register
 from pitwell.plans.tables import Tables
@@ -198,20 +200,72 @@ def i27(t: Tables) -> DataFrame:
     return reconcile(a, b, S, ["slope"]).agg(F.count("*").alias("fits"), F.bool_and((F.col("side") == "both") & (F.col("diff_slope") < 1e-8)).alias("agrees"))
 
 
-@query("i29_pricing_grid", "SELECT 'CAPM' AS model, security_id, round(r2, 6) AS r2 FROM m_ UNION ALL SELECT 'BENCH', security_id, round(regr_r2(ret, benchmark_return), 6) FROM rows_ GROUP BY 2", FIT)
-def i29(t: Tables) -> DataFrame:
-    return grid_fits(t).withColumn("r2", F.round("r2", 6))
+REGRESSORS = ["market", "size", "value", "momentum", "profitability", "investment"]
+#: Characteristic and sign behind each spread of the models.
+BEHIND = {"size": ("market_cap", -1), "value": ("book_to_market", 1), "momentum": ("momentum_12_1m", 1), "profitability": ("roe", 1), "investment": ("asset_growth", -1)}
+_TEXT = {name[4:]: sql for name, sql in F_SQL.items()}
+_LEGS = ", ".join(f"max(vw) FILTER (factor = '{f}' AND quantile = 3) - max(vw) FILTER (factor = '{f}' AND quantile = 1) AS \"{f}\"" for f in BEHIND)
+_ALL = ", ".join(f'"{x}"' for x in REGRESSORS)
+PRICED = ASOF | {
+    "sorted_": " UNION ALL ".join(f"SELECT security_id, date, '{f}' AS factor, {sign} * ({_TEXT[c]}) AS score FROM wide_" for f, (c, sign) in BEHIND.items()),
+    "cut_": "SELECT *, least(3, greatest(1, ceil(rk / n * 3)))::BIGINT AS quantile FROM (SELECT *, row_number() OVER (PARTITION BY factor, date ORDER BY score, security_id) AS rk, count(*) OVER (PARTITION BY factor, date) AS n FROM sorted_ WHERE score IS NOT NULL) WHERE n >= 3",
+    "ahead_": "SELECT * FROM (SELECT security_id, date, risk_free, price * shares AS cap, lead(ret) OVER (PARTITION BY security_id ORDER BY date) AS r FROM panel) WHERE r IS NOT NULL AND cap > 0",
+    "leg_": "SELECT factor, quantile, date, sum(cap * r) / sum(cap) AS vw FROM cut_ JOIN ahead_ USING (security_id, date) GROUP BY 1, 2, 3",
+    "spread_": f"SELECT * FROM (SELECT date, {_LEGS} FROM leg_ GROUP BY 1) JOIN (SELECT date, max(risk_free) AS rf, sum(cap * r) / sum(cap) - max(risk_free) AS market FROM ahead_ GROUP BY 1) USING (date)",
+    "pf_": f"SELECT factor || ':Q' || quantile AS asset, date, vw - rf AS y, {_ALL} FROM leg_ JOIN spread_ USING (date) WHERE " + " AND ".join(f'"{x}" IS NOT NULL' for x in REGRESSORS),
+}
 
 
-def grid_fits(t: Tables) -> DataFrame:
-    grid = {"CAPM": ["market_return"], "BENCH": ["benchmark_return"]}
-    out = None
-    for name, xs in grid.items():
-        part = R.ols_fit(rows(t), S, "ret", xs).select(F.lit(name).alias("model"), "security_id", "r2")
-        out = part if out is None else out.unionByName(part)
+def orthogonal(prefix: str, xs: list[str]) -> dict[str, str]:
+    """Views prefix1_, prefix2_, ...: the constant c and y less their parts along the first regressors, step by step."""
+    out, last = {}, f"SELECT asset, date, 1.0::DOUBLE AS c, y, {_ALL} FROM pf_"
+    for i, x in enumerate(xs):
+        rest = ["c", "y", *(f'"{v}"' for v in xs[i + 1 :])]
+        less = ", ".join(f'{r} - "{x}" * (sum({r} * "{x}") OVER w / sum("{x}" * "{x}") OVER w) AS {r}' for r in rest)
+        out[f"{prefix}{i + 1}_"] = f"SELECT asset, date, {less} FROM ({last}) WINDOW w AS (PARTITION BY asset)"
+        last = f"SELECT * FROM {prefix}{i + 1}_"
     return out
 
 
+_FITTED = {"CAPM": ("va1_", 1), "FF3": ("va3_", 3), "CARHART4": ("va4_", 4), "Q": ("vb4_", 4), "FF5": ("vb5_", 5)}
+GRID = PRICED | orthogonal("va", ["market", "size", "value", "momentum"]) | orthogonal("vb", ["market", "size", "investment", "profitability", "value"]) | {
+    "each_": " UNION ALL ".join(f"SELECT '{m}' AS model, {k} + 1 AS k, asset, date, c, y FROM {v}" for m, (v, k) in _FITTED.items()),
+    "alpha_": "SELECT *, y - a * c AS e, c * (y - a * c) / cc AS u FROM (SELECT *, sum(y * c) OVER w / sum(c * c) OVER w AS a, sum(c * c) OVER w AS cc FROM each_ WINDOW w AS (PARTITION BY model, asset))",
+    "late_": "SELECT *, " + ", ".join(f"lag(u, {k}) OVER (PARTITION BY model, asset ORDER BY date) AS u{k}" for k in (1, 2, 3)) + " FROM alpha_",
+    "grid_": "SELECT model, asset, n, alpha, sqrt(rss / (n - k) / cc) AS se, sqrt(greatest(meat * n / (n - k), 0)) AS hac_se, 1 - rss / tss AS r2, 1 - rss / tss * (n - 1) / (n - k) AS adj_r2 FROM (SELECT model, asset, max(k) AS k, count(*) AS n, max(a) AS alpha, max(cc) AS cc, sum(e * e) AS rss, sum(u * u) + 1.5 * coalesce(sum(u * u1), 0) + coalesce(sum(u * u2), 0) + 0.5 * coalesce(sum(u * u3), 0) AS meat FROM late_ GROUP BY 1, 2) JOIN (SELECT asset, var_pop(y) * count(*) AS tss FROM pf_ GROUP BY 1) USING (asset) WHERE n > 6",
+}
+
+
+def priced(t: Tables) -> DataFrame:
+    """asset (spread:Qk), date, y (excess return to the next date) and REGRESSORS: the dates on which all spreads are known."""
+    names = {c: f for f, (c, _) in BEHIND.items()}
+    wide = characteristics(wide_panel(t), H).select("security_id", "date", *((F.col(c) * sign).alias(names[c]) for c, sign in BEHIND.values()))
+    scores = wide.unpivot(["security_id", "date"], list(BEHIND), "factor", "score").filter("score IS NOT NULL")
+    ahead = t.panel.withColumns({"cap": F.col("price") * F.col("shares"), "r": F.lead("ret").over(Window.partitionBy("security_id").orderBy("date"))}).filter("r IS NOT NULL AND cap > 0").select("security_id", "date", "risk_free", "cap", "r")
+    mean = F.sum(F.col("cap") * F.col("r")) / F.sum("cap")
+    legs = P.formed_quantiles(scores, ["factor", "date"]).join(ahead, ["security_id", "date"]).groupBy("factor", "quantile", "date").agg(mean.alias("vw"))
+    leg = lambda f, q: F.max(F.when((F.col("factor") == f) & (F.col("quantile") == q), F.col("vw")))
+    spreads = legs.groupBy("date").agg(*((leg(f, 3) - leg(f, 1)).alias(f) for f in BEHIND))
+    market = ahead.groupBy("date").agg(F.max("risk_free").alias("rf"), (mean - F.max("risk_free")).alias("market"))
+    out = legs.join(market, "date").join(spreads, "date").select(F.concat_ws(":Q", "factor", "quantile").alias("asset"), "date", (F.col("vw") - F.col("rf")).alias("y"), *REGRESSORS)
+    return out.dropna(subset=REGRESSORS)
+
+
+def grid_fits(t: Tables) -> DataFrame:
+    """Every formed asset under every registered model, on one matched sample."""
+    return R.model_fits(priced(t), ["asset"], "y", REGRESSORS, R.MODELS).filter("n > 6")
+
+
+@query("i29_pricing_grid", "SELECT model, asset, n, round(alpha, 6) AS alpha, round(se, 6) AS se, round(hac_se, 6) AS hac_se, round(r2, 6) AS r2, round(adj_r2, 6) AS adj_r2 FROM grid_", GRID)
+def i29(t: Tables) -> DataFrame:
+    """Alphas with classical and HAC errors of all models: moments once an asset, residuals once an asset and model."""
+    fits = grid_fits(t)
+    rows = priced(t).withColumn("model", F.explode(F.array(*map(F.lit, R.MODELS))))
+    robust = R.covariance(rows, fits, ["asset", "model"], "y", REGRESSORS, "HAC", 3)
+    se, hac = F.col("se_resid") * F.sqrt(F.get("inv", F.lit(0))), F.sqrt(F.greatest(F.get("cov", F.lit(0)), F.lit(0.0)))
+    return robust.select("model", "asset", "n", *(F.round(c, 6).alias(n) for n, c in (("alpha", F.get("beta", F.lit(0))), ("se", se), ("hac_se", hac), ("r2", F.col("r2")), ("adj_r2", F.col("adj_r2")))))
+
+
 EXCLUDED = """WITH m AS (SELECT factor_id, date, quantile, security_id, cap, next_ret FROM q_ JOIN next_ USING (security_id, date) WHERE next_ret IS NOT NULL AND cap > 0),
 a AS (SELECT DISTINCT factor_id AS f, quantile AS q FROM q_),
 g AS (SELECT f, q, m.factor_id AS factor, m.date, sum(cap * next_ret) FILTER (m.quantile = 3 AND o.security_id IS NULL) / sum(cap) FILTER (m.quantile = 3 AND o.security_id IS NULL) - sum(cap * next_ret) FILTER (m.quantile = 1 AND o.security_id IS NULL) / sum(cap) FILTER (m.quantile = 1 AND o.security_id IS NULL) AS without,
@@ -258,6 +312,8 @@ def d23(t: Tables) -> DataFrame:
     return A.residual_dependence(resid(t).select("security_id", "date", "e"), "security_id", "date", "e").select("pairs", F.round("mean_corr", 6).alias("mean_corr"), F.round("max_corr", 6).alias("max_corr"))
 
 
-@query("d25_paired_model_difference", "SELECT security_id, 'BENCH' AS a, 'CAPM' AS b, round(r2 - regr_r2(ret, benchmark_return), 6) AS d_r2 FROM rows_ JOIN m_ USING (security_id) GROUP BY security_id, r2", FIT)
+@query("d25_paired_model_difference", "SELECT a.asset, a.model AS a, b.model AS b, round(b.adj_r2 - a.adj_r2, 6) AS d_adj_r2, round(b.alpha - a.alpha, 6) AS d_alpha FROM grid_ a JOIN grid_ b ON a.asset = b.asset AND a.model < b.model", GRID)
 def d25(t: Tables) -> DataFrame:
-    return A.model_differences(grid_fits(t), "security_id", "model", ["r2"]).select("security_id", "a", "b", F.round("d_r2", 6).alias("d_r2"))
+    fits = grid_fits(t).withColumn("alpha", F.get("beta", F.lit(0)))
+    out = A.model_differences(fits, "asset", "model", ["adj_r2", "alpha"])
+    return out.select("asset", "a", "b", F.round("d_adj_r2", 6).alias("d_adj_r2"), F.round("d_alpha", 6).alias("d_alpha"))
