@@ -10,9 +10,10 @@ mixed name among them (a window without one, as inside a long run of one word,
 picks itself). Symbols that occur twice or more reveal the windows that may
 repeat; equal contexts and then the windows' own words verify them.
 
-Windows count as equal by 64-bit hashes that mix at every step; only windows of
-one symbol name or of one window hash are held together, so that a wrong hit has
-a chance of 2**-64 for each pair of different windows.
+Windows count as equal by two 64-bit hashes that mix at every step: the symbol's
+name and its context, or two hashes of the window that differ in their seeds, so
+that a wrong hit has a chance of 2**-128 for each pair of different windows
+(2**-64 where two words of more than 8 bytes share a hash and all others agree).
 
 Defined results: a null text has no words; a null doc_id comes after all others
 (of several, by a digest of the row); rows that repeat a doc_id are one document
@@ -103,18 +104,18 @@ def pick(texts: pa.Array, size: int = WINDOW, rounds: int = ROUNDS) -> tuple[Pic
 
 
 def representative_windows(docs: DataFrame, runs: DataFrame, size: int) -> DataFrame:
-    """doc_id, start, window: hashes of the windows of the given runs (doc_id, start, n)."""
+    """doc_id, start, window, check: two hashes of the windows of the given runs (doc_id, start, n)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for i in range(b.num_rows):
                 w = Words(b.column(1).slice(i, 1))
                 at = windows_in(b.column(2)[i].as_py(), b.column(3)[i].as_py(), max(0, len(w.start) - size + 1))
-                hashes = window_hash(w.hash, size)[at]
-                yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(np.full(len(at), i))), pa.array(at.astype(np.int32)), as_long(hashes)], names=["doc_id", "start", "window"])
+                hashes, check = window_hash(w.hash, size)[at], window_hash(mix(w.hash + _ODD), size)[at]
+                yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(np.full(len(at), i))), pa.array(at.astype(np.int32)), as_long(hashes), as_long(check)], names=["doc_id", "start", "window", "check"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return with_marks(docs, runs, "inner").mapInArrow(run, f"doc_id {kind}, start int, window long")
+    return with_marks(docs, runs, "inner").mapInArrow(run, f"doc_id {kind}, start int, window long, check long")
 
 
 def later_windows(docs: DataFrame, size: int = WINDOW) -> DataFrame:
@@ -125,8 +126,8 @@ def later_windows(docs: DataFrame, size: int = WINDOW) -> DataFrame:
     copies = spread_join(shared.members, firsts, ["name", "context"], count="copies").filter(place != F.col("earliest")).select("doc_id", "start", "n")
     runs = shared.contexts.filter("contexts > 1").select("first.*")
     windows = stored(representative_windows(docs, runs, size).distinct(), "op7-windows")
-    earliest = windows.groupBy("window").agg(F.count("*").alias("c"), F.min(place).alias("earliest")).filter("c > 1")
-    later = spread_join(windows, stored(earliest, "op7-earliest"), "window", count="c").filter(place != F.col("earliest")).select("doc_id", "start", F.lit(1).alias("n"))
+    earliest = windows.groupBy("window", "check").agg(F.count("*").alias("c"), F.min(place).alias("earliest")).filter("c > 1")
+    later = spread_join(windows, stored(earliest, "op7-earliest"), ["window", "check"], count="c").filter(place != F.col("earliest")).select("doc_id", "start", F.lit(1).alias("n"))
     return copies.unionByName(later)
 
 
