@@ -217,8 +217,8 @@ def span_hash(codes: np.ndarray, start: np.ndarray, end: np.ndarray, base: int =
     return mix(out + size.astype(np.uint64) * _MUL)
 
 
-_SPACE = np.zeros(256, bool)
-_SPACE[[32, 9, 10, 11, 12, 13]] = True
+SPACE = np.zeros(256, bool)
+SPACE[[32, 9, 10, 11, 12, 13]] = True
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
 
@@ -231,7 +231,7 @@ class Words:
         if lower:
             self.data = LOWER[self.data]
         n = len(self.data)
-        inside = ~_SPACE[self.data]
+        inside = ~SPACE[self.data]
         edge = np.zeros(n + 1, bool)
         edge[self.offsets] = True
         first, last = inside.copy(), inside
