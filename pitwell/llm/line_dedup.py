@@ -16,9 +16,10 @@ with a word. Lines without a word are never repeats by themselves. Names are 128
 bits of SHA-256.
 
 Defined results: lines are split at \\n; a null text has no line, an empty text
-has one empty line; runs never cross documents; rows that repeat a doc_id with
-the same text are one document; a null doc_id comes after all others (of several,
-by a digest of the row); other columns are ignored.
+has one empty line; runs never cross documents; rows of one doc_id with different
+texts are different documents, in the order of a digest of the row, and equal rows
+are one; a null doc_id comes after all others (of several, by that digest); other
+columns are ignored.
 """
 
 from __future__ import annotations

@@ -16,8 +16,9 @@ that a wrong hit has a chance of 2**-128 for each pair of different windows
 (2**-64 where two words of more than 8 bytes share a hash and all others agree).
 
 Defined results: a null text has no words; a null doc_id comes after all others
-(of several, by a digest of the row); rows that repeat a doc_id are one document
-given again and do not count as earlier; windows do not cross documents; other
+(of several, by a digest of the row); rows of one doc_id with different texts are
+different documents in the order of that digest; equal rows are one document given
+again and do not count as earlier; windows do not cross documents; other
 columns are ignored.
 """
 

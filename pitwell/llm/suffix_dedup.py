@@ -13,10 +13,10 @@ those surroundings, which tells most of them apart and leaves shorter ones, as
 often as needed; what little is left after ROUNDS is counted by its strings'
 hashes. So no block grows with a group.
 
-Defined results: a null text counts as empty; rows with a null doc_id are told
-apart by a digest of the row; rows that repeat a doc_id are one more occurrence
-each; other
-columns are ignored. Texts of any length are cut into overlapping pieces.
+Defined results: a null text counts as empty; rows with a null doc_id and rows of
+one doc_id with different texts are different documents, told apart by a digest of
+the row; each of several equal rows is one more occurrence; other columns are
+ignored. Texts of any length are cut into overlapping pieces.
 """
 
 from __future__ import annotations
