@@ -9,6 +9,7 @@ from pitwell.functions import scalar as S
 from pitwell.operators.joins import JoinError
 from pitwell.plans.registry import query, register
 from pitwell.plans.tables import Tables
+from pitwell.sources import filings as X
 from pitwell.sources import readers as A
 from pitwell.sources import sinks as K
 
@@ -62,9 +63,73 @@ def a11(t: Tables) -> DataFrame:
     return t.orders.select("o_orderkey", F.date_format(at, "yyyy-MM-dd HH:mm:ss").alias("available"), quality.alias("quality"))
 
 
-register("a12_tagged_html_facts", lambda t: A.tagged_elements(t.pages.select("page_id", "html"), "html", ["h1", "title"]))
-register("a13_xml_instance_facts", lambda t: A.xml_blocks(t.pages.select("page_id", F.concat(F.lit("<DOCUMENT><TYPE>EX-101.INS "), "html", F.lit("</DOCUMENT>")).alias("text")), "text", "EX-101.INS").select("page_id", F.length("block").alias("size")), "SELECT page_id, length('<DOCUMENT><TYPE>EX-101.INS ' || html || '</DOCUMENT>') AS size FROM pages")
-register("a14_filing_header_fields", lambda t: A.header_fields(t.orders.select("o_orderkey", F.concat(F.lit("ACCESSION NUMBER: 0001-"), F.col("o_orderkey").cast("string"), F.lit("\nFILED AS OF DATE: 20200131\nOTHER")).alias("text")), "text", {"accession": "ACCESSION NUMBER", "filed": "FILED AS OF DATE", "form": "FORM TYPE"}).drop("text"), "SELECT o_orderkey, '0001-' || o_orderkey AS accession, '20200131' AS filed, NULL::VARCHAR AS form FROM orders")
+# A filing made of each page: its own markup with tags of facts around parts of it.
+_COVER = "<ix:header><xbrli:context id='c{p}'><xbrli:period><xbrli:startDate>2019-01-01</xbrli:startDate><xbrli:endDate>{d}</xbrli:endDate></xbrli:period></xbrli:context><xbrli:context id=\"i{p}\"><xbrli:entity><xbrli:segment><xbrldi:explicitMember dimension=\"us-gaap:StatementClassOfStockAxis\">us-gaap:CommonClass{c}Member</xbrldi:explicitMember><xbrldi:explicitMember dimension=\"dei:LegalEntityAxis\">x:{u}</xbrldi:explicitMember></xbrli:segment></xbrli:entity><xbrli:period><xbrli:instant>{d}</xbrli:instant></xbrli:period></xbrli:context></ix:header>"
+_TITLE = r"(?s)<title>(.*?)</title>"
+
+
+def tagged_pages(t: Tables) -> DataFrame:
+    """page_id, html: the title is a fact continued in the first and the second paragraph, a chain against the order of reading."""
+    p = F.col("page_id").cast("string")
+    day = F.date_format(F.date_add(F.lit("2020-01-01").cast("date"), (F.col("page_id") % 365).cast("int")), "yyyy-MM-dd")
+    head = F.lit(_COVER)
+    for name, value in (("{p}", p), ("{d}", day), ("{c}", F.when(F.col("page_id") % 2 == 0, "A").otherwise("B")), ("{u}", F.sha2("url", 256))):
+        head = F.replace(head, F.lit(name), value)
+    fact = F.concat(F.lit("<title><ix:nonNumeric name='dei:EntityRegistrantName' contextRef='"), F.when(F.col("page_id") % 7 == 3, "gone").otherwise("c"), p, F.lit("' continuedAt='k1'>$1</ix:nonNumeric></title>"))
+    symbol = F.concat(F.lit("<IX:NONNUMERIC contextref=\"i"), p, F.lit("\" name=\"dei:TradingSymbol\"><b>S&amp;</b>&#"), (F.col("page_id") % 26 + 65).cast("string"), F.lit(";<!-- <ix:nonNumeric> --></IX:NONNUMERIC>"))
+    html = F.regexp_replace(F.col("html"), F.lit(_TITLE), fact)
+    html = F.regexp_replace(html, F.lit(r"(?s)<h1>(.*?)</h1>"), F.lit("<h1><ix:continuation id='k1' continuedAt='k2'>$1</ix:continuation></h1>"))
+    html = F.regexp_replace(html, F.lit(r"(?s)<ul>(.*?)</ul>"), F.lit("<ix:continuation id='k2'><ul>$1</ul></ix:continuation>"))
+    return t.pages.select("page_id", F.concat(head, symbol, html).alias("html"))
+
+
+A12 = r"""WITH p AS (SELECT page_id, url, html, ('2020-01-01'::DATE + (page_id % 365)::INT)::DATE AS d,
+ regexp_extract(html, '(?s)<title>(.*?)</title>', 1) AS a, regexp_extract(html, '(?s)<h1>(.*?)</h1>', 1) AS b, array_to_string(regexp_extract_all(html, '(?s)<ul>(.*?)</ul>', 1), '') AS c FROM pages),
+v AS (SELECT *, trim(regexp_replace(replace(replace(replace(replace(replace(regexp_replace(a || ' ' || b || ' ' || c, '<[^>]*>', '', 'g'), '&nbsp;', ' '), '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&amp;', '&'), '[\s\x{00A0}]+', ' ', 'g')) AS name FROM p WHERE page_id % 7 <> 3)
+SELECT page_id, 'EntityRegistrantName' AS concept, 'c' || page_id AS context_ref, '2019-01-01'::DATE AS period_start, d AS period_end, NULL::DATE AS instant, '{}' AS dimensions_json, name AS value FROM v
+UNION ALL SELECT page_id, 'TradingSymbol', 'i' || page_id, NULL, NULL, d, '{"dei:LegalEntityAxis":"x:' || sha256(url) || '","us-gaap:StatementClassOfStockAxis":"us-gaap:CommonClass' || CASE WHEN page_id % 2 = 0 THEN 'A' ELSE 'B' END || 'Member"}', 'S&' || chr((page_id % 26 + 65)::INT) FROM v"""
+register("a12_tagged_html_facts", lambda t: X.accepted(X.tagged_facts(tagged_pages(t), "page_id", "html"), "page_id").drop("at"), A12)
+register("a12_rejected_filings", lambda t: X.tagged_facts(tagged_pages(t), "page_id", "html").filter("reason IS NOT NULL").select("page_id", "concept", "context_ref", "reason"), "SELECT page_id, 'EntityRegistrantName' AS concept, 'gone' || page_id AS context_ref, 'missing_context' AS reason FROM pages WHERE page_id % 7 = 3")
+
+
+def submissions(t: Tables) -> DataFrame:
+    """o_orderkey, o_custkey, form, text: an order as a submission whose instance holds its values, some of them faulty."""
+    k, key = F.col("o_orderkey"), F.col("o_orderkey").cast("string")
+    amount = F.format_string("%.2f", F.col("o_totalprice"))
+    context = lambda name, segment: F.concat(F.lit(f"<context id='{name}'><entity><identifier scheme='cik'>"), F.lpad(F.col("o_custkey").cast("string"), 10, "0"), F.lit(f"</identifier>{segment}</entity><period><instant>"), F.date_format("o_orderdate", "yyyy-MM-dd"), F.lit("</instant></period></context>"))
+    member = "<segment><d:explicitMember dimension='us-gaap:ClassAxis'> x:A&amp;B </d:explicitMember><d:typedMember dimension='a:Lot'><a:n>7</a:n></d:typedMember></segment>"
+    fact = lambda name, ref, value, more="": F.concat(F.lit(f"<dei:{name} contextRef='{ref}'{more}>"), value, F.lit(f"</dei:{name}>"))
+    float_ = fact("EntityPublicFloat", "c1", amount, " unitRef='u' decimals='2'")
+    xml = F.concat(
+        F.lit("<XBRL><xbrl xmlns='http://www.xbrl.org/2003/instance' xmlns:dei='urn:dei' xmlns:d='urn:d' xmlns:a='urn:a'>"), context("c1", ""), context("c2", member), F.lit("<unit id='u'><measure>iso4217:USD</measure></unit>"),
+        fact("DocumentType", "c1", F.when(k % 11 == 5, "8-K").otherwise(F.col("o_orderstatus"))), float_, float_, F.when(k % 5 == 0, fact("EntityPublicFloat", "c1", F.lit("1"), " unitRef='u'")).otherwise(""),
+        fact("Security12bTitle", "c2", F.concat(F.lit("  Lot\n "), F.col("o_orderpriority"))), F.when(k % 13 == 1, fact("TradingSymbol", "c9", F.lit("T"))).otherwise(""), F.lit("</xbrl></XBRL>"))
+    block = lambda kind, body: F.concat(F.lit(f"<DOCUMENT>\n<TYPE>{kind}\n<FILENAME>f-1.xml\n<TEXT>\n"), body, F.lit("\n</TEXT>\n</DOCUMENT>\n"))
+    head = F.concat(F.lit("<SEC-HEADER>\n<ACCEPTANCE-DATETIME>\nACCESSION NUMBER:\t"), F.when(k % 9 == 4, "other").otherwise(key), F.lit("\nCONFORMED SUBMISSION TYPE: "), F.col("o_orderstatus"), F.lit("\nFILED AS OF DATE: "), F.date_format("o_orderdate", "yyyyMMdd"), F.when(k % 8 == 2, "x").otherwise(""),
+                    F.lit("\nACCEPTANCE-DATETIME: "), F.date_format("o_orderdate", "yyyyMMddHHmmss"), F.lit("\nFILER:\n  CENTRAL INDEX KEY: "), F.lpad(F.col("o_custkey").cast("string"), 10, "0"), F.lit("\nFILER:\n  CENTRAL INDEX KEY: 42\n</SEC-HEADER>\n"))
+    text = F.concat(head, block("10-K", F.col("o_comment") if "o_comment" in t.orders.columns else F.col("o_clerk") if "o_clerk" in t.orders.columns else key), block("EX-101.INS", xml), F.when(k % 17 == 2, block("EX-101.INS", xml)).otherwise(""))
+    return t.orders.select("o_orderkey", "o_custkey", F.col("o_orderstatus").alias("form"), key.alias("asked"), text.alias("text"))
+
+
+A13 = """WITH o AS (SELECT *, o_orderkey AS k, o_orderdate::DATE AS d FROM orders), good AS (SELECT * FROM o WHERE k % 17 <> 2 AND k % 5 <> 0 AND k % 13 <> 1 AND (k % 11 <> 5))
+SELECT o_orderkey, 1 AS ordinal, 'DocumentType' AS concept, 'c1' AS context_ref, NULL::VARCHAR AS unit_ref, NULL::VARCHAR AS unit_measure, NULL::VARCHAR AS decimals, d AS instant, '{}' AS dimensions_json, o_orderstatus AS value FROM good
+UNION ALL SELECT o_orderkey, 2, 'EntityPublicFloat', 'c1', 'u', 'iso4217:USD', '2', d, '{}', printf('%.2f', o_totalprice) FROM good
+UNION ALL SELECT o_orderkey, 3, 'Security12bTitle', 'c2', NULL, NULL, NULL, d, '{"a:Lot":"7","us-gaap:ClassAxis":"x:A&B"}', 'Lot ' || o_orderpriority FROM good"""
+A13_BAD = """WITH o AS (SELECT o_orderkey, o_orderkey AS k FROM orders)
+SELECT o_orderkey, reason, count(*) AS rows FROM (
+ SELECT o_orderkey, 'several_instances' AS reason FROM o WHERE k % 17 = 2 UNION ALL SELECT o_orderkey, 'missing_context' FROM o WHERE k % 17 <> 2 AND k % 13 = 1
+ UNION ALL SELECT o_orderkey, 'conflicting_facts' FROM o WHERE k % 17 <> 2 AND k % 5 = 0
+ UNION ALL SELECT o_orderkey, 'form_mismatch' FROM (SELECT o_orderkey, k, unnest(['DocumentType', 'EntityPublicFloat', 'Security12bTitle']) AS c FROM o WHERE k % 17 <> 2 AND k % 11 = 5) WHERE NOT (c = 'EntityPublicFloat' AND k % 5 = 0)) GROUP BY 1, 2"""
+
+
+def a13_facts(t: Tables) -> DataFrame:
+    return X.instance_facts(submissions(t), "o_orderkey", "text", "o_custkey", "form")
+
+
+register("a13_xml_instance_facts", lambda t: X.accepted(a13_facts(t), "o_orderkey").drop("period_start", "period_end"), A13)
+register("a13_rejected_instances", lambda t: a13_facts(t).filter("reason IS NOT NULL").groupBy("o_orderkey", "reason").agg(F.count("*").alias("rows")), A13_BAD)
+register("a14_filing_header_fields", lambda t: X.filing_headers(submissions(t), "o_orderkey", "text", "asked", "o_custkey").withColumn("ciks", F.array_join("ciks", ",")),
+         "SELECT o_orderkey, CASE WHEN k % 9 = 4 THEN 'other' ELSE k::VARCHAR END AS accession, o_orderstatus AS form, CASE WHEN k % 8 <> 2 THEN o_orderdate::DATE END AS filed, strftime(o_orderdate, '%Y%m%d%H%M%S') AS acceptance, array_to_string(list_sort(list_distinct([o_custkey::VARCHAR, '42'])), ',') AS ciks, CASE WHEN k % 9 = 4 THEN 'other_accession' WHEN k % 8 = 2 THEN 'bad_filing_date' END AS reason FROM (SELECT *, o_orderkey AS k FROM orders)")
 register("a15_inventory_reconcile", lambda t: A.reconcile_inventories(t.customer.filter("c_custkey % 3 <> 0"), t.customer.filter("c_custkey % 5 <> 0"), "c_custkey", "c_mktsegment", "BUILDING").groupBy("reason").agg(F.count("*").alias("n")), "SELECT CASE WHEN c_custkey % 5 = 0 THEN 'missing_in_second' WHEN c_custkey % 3 = 0 THEN 'missing_in_first' WHEN c_mktsegment <> 'BUILDING' THEN 'other_class' ELSE 'selected' END AS reason, count(*) AS n FROM customer WHERE NOT (c_custkey % 3 = 0 AND c_custkey % 5 = 0) GROUP BY 1")
 
 

@@ -95,26 +95,6 @@ def availability(text: Column, filed: Column) -> tuple[Column, Column]:
     return F.coalesce(exact, end_of_day(filed)), F.when(exact.isNotNull(), "SOURCE_TIMESTAMP").otherwise("INFERRED_DATE_LEVEL")
 
 
-def tagged_elements(docs: DataFrame, html: str, tags: list[str]) -> DataFrame:
-    """Elements of the given tags: position, tag, attributes text and collapsed inner text."""
-    pattern = rf"(?is)<({'|'.join(tags)})\b([^>]*)>(.*?)</\1\s*>"
-    found = docs.select(*(c for c in docs.columns if c != html), F.posexplode(F.expr(f"regexp_extract_all({html}, r'{pattern}', 0)")).alias("at", "raw"))
-    inner = F.regexp_replace(F.regexp_extract("raw", pattern, 3), "(?s)<[^>]*>", " ")
-    return found.select(*(c for c in found.columns if c != "raw"), F.lower(F.regexp_extract("raw", pattern, 1)).alias("tag"), F.trim(F.regexp_replace(inner, r"\s+", " ")).alias("content"))
-
-
-def xml_blocks(docs: DataFrame, text: str, kind: str) -> DataFrame:
-    """The single <DOCUMENT> block of a type; none or several give NULL."""
-    blocks = F.expr(f"regexp_extract_all({text}, r'(?s)<DOCUMENT>\\s*<TYPE>{kind}\\b.*?</DOCUMENT>', 0)")
-    return docs.withColumn("blocks_", blocks).withColumn("block", F.when(F.size("blocks_") == 1, F.get("blocks_", F.lit(0)))).drop("blocks_")
-
-
-def header_fields(docs: DataFrame, text: str, fields: dict[str, str]) -> DataFrame:
-    """Labelled header lines of filing texts as columns (NULL if absent)."""
-    got = {n: F.nullif(F.trim(F.regexp_extract(text, rf"(?m)^\s*{label}:\s*(.+)$", 1)), F.lit("")) for n, label in fields.items()}
-    return docs.withColumns(got)
-
-
 def reconcile_inventories(a: DataFrame, b: DataFrame, key: str, kind: str, wanted: str) -> DataFrame:
     both = a.select(key, kind, F.lit(True).alias("a_")).join(b.select(key, F.lit(True).alias("b_")), key, "full_outer")
     reason = F.when(F.col("b_").isNull(), "missing_in_second").when(F.col("a_").isNull(), "missing_in_first").when(F.col(kind) != wanted, "other_class").otherwise("selected")

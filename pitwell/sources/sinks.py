@@ -2,19 +2,11 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pitwell.operators.joins import JoinError
-
-
-def new_folder(spark: SparkSession, name: str) -> str:
-    """A folder not used yet, below spark.checkpoint.dir; a temporary one only where that is unset."""
-    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    return f"{root.rstrip('/') if root else 'file://' + tempfile.mkdtemp(prefix='spark-', dir='/tmp')}/{name}-{uuid.uuid4().hex}"
+from pitwell.operators.storage import new_folder  # noqa: F401  a sink's folder
 
 
 def fingerprint(df: DataFrame) -> DataFrame:
