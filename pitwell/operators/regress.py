@@ -7,7 +7,9 @@ back and stay in the JVM.
 
 from __future__ import annotations
 
+from collections import deque
 from collections.abc import Iterator
+from statistics import NormalDist
 
 import numpy as np
 import pandas as pd
@@ -211,6 +213,92 @@ def window_covariance(df: DataFrame, keys: list[str], order: str, y: str, xs: li
     return covariance(rows, fits, groups, y, xs, kind, lags, order).select(*groups, "n", "beta", "cov")
 
 
+class MovingMoments:
+    """Sums of one series over a window that moves on row by row, enough for fits with HAC errors of any of its regressors.
+
+    z holds y, the constant and the regressors of a row, p all products of z with the design. Besides the moments the
+    sums of p p' at distance 0 to `lags` are kept: scores are p times known coefficients, so the window's own residuals
+    need no second pass. A row enters and leaves with its partners inside the window.
+    """
+
+    def __init__(self, k: int, lags: int, size: int | None):
+        self.k, self.size = k, size
+        self.moments = np.zeros((k + 1, k + 1))
+        self.lagged = np.zeros((lags + 1, k * (k + 1), k * (k + 1)))
+        self.rows: deque = deque()
+        self.n = 0
+
+    def step(self, z: np.ndarray) -> None:
+        p = np.outer(z[1:], z).ravel()
+        if self.size is not None and self.n == self.size:
+            old, gone = self.rows.popleft()
+            self.moments -= np.outer(old, old)
+            self.lagged[0] -= np.outer(gone, gone)
+            for lag in range(1, min(len(self.lagged), self.n)):
+                self.lagged[lag] -= np.outer(self.rows[lag - 1][1], gone)
+            self.n -= 1
+        self.rows.append((z, p))
+        self.n += 1
+        self.moments += np.outer(z, z)
+        for lag in range(min(len(self.lagged), len(self.rows))):
+            self.lagged[lag] += np.outer(p, self.rows[-1 - lag][1])
+        if self.size is None and len(self.rows) >= len(self.lagged):
+            self.rows.popleft()
+
+    def fit(self, use: np.ndarray) -> tuple | None:
+        """beta, HAC standard errors, r2 of the design columns `use` (0 is the constant)."""
+        k, n, at = len(use), self.n, use + 1
+        xtx, xty = self.moments[np.ix_(at, at)], self.moments[at, 0]
+        scale = np.sqrt(np.maximum(np.diag(xtx), 1e-300))
+        unit = xtx / np.outer(scale, scale)
+        if n <= k or np.linalg.cond(unit) > 1e11:
+            return None
+        inverse = np.linalg.inv(unit) / np.outer(scale, scale)
+        beta = inverse @ xty
+        g = np.zeros(self.k + 1)
+        g[0], g[at] = 1.0, -beta
+        cells = self.lagged.reshape(-1, self.k, self.k + 1, self.k, self.k + 1)[:, use][:, :, :, use]
+        part = np.einsum("laibj,i,j->lab", cells, g, g)
+        lags = len(part) - 1
+        meat = part[0] + sum((1 - lag / (lags + 1)) * (part[lag] + part[lag].T) for lag in range(1, lags + 1))
+        se = np.sqrt(np.maximum(np.diag(inverse @ meat @ inverse) * n / (n - k), 0))
+        tss = self.moments[0, 0] - self.moments[0, 1] ** 2 / n
+        rss = self.moments[0, 0] - beta @ xty
+        return beta, se, 1 - rss / tss if tss > 0 else None
+
+
+def window_models(df: DataFrame, keys: list[str], order: str, y: str, xs: list[str], models: dict[str, tuple[str, ...]], size: int | None, least: int, lags: int = 3) -> DataFrame:
+    """keys, order (the window's last row), model, n, beta, se (HAC), r2 of every model over rolling (size rows) or expanding (None) windows of at least `least` rows.
+
+    A series is read once in its order; what a task holds is the sums of one series, however long it is. beta and se
+    have a place for each of xs behind the constant, zeros where a model leaves it out.
+    """
+    places = {m: np.array([0, *(1 + xs.index(x) for x in used)]) for m, used in models.items()}
+    rows = complete(df, [y, *xs]).select(*keys, order, *(F.col(c).cast("double").alias(c) for c in [y, *xs]))
+    names = [*keys, order, "model", "n", "beta", "se", "r2"]
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        series, state = None, None
+        for f in frames:
+            out = []
+            values = f[[y, *xs]].to_numpy(float)
+            for key, at, v in zip(f[keys].itertuples(index=False, name=None), f[order], values):
+                if key != series:
+                    series, state = key, MovingMoments(len(xs) + 1, lags, size)
+                state.step(np.concatenate([v[:1], [1.0], v[1:]]))
+                if state.n < least:
+                    continue
+                for model, use in places.items():
+                    if fit := state.fit(use):
+                        whole = np.zeros((2, len(xs) + 1))
+                        whole[:, use] = fit[:2]
+                        out.append((*key, at, model, state.n, whole[0].tolist(), whole[1].tolist(), fit[2]))
+            yield pd.DataFrame(out, columns=names)
+
+    dealt = rows.repartition(*keys).sortWithinPartitions(*keys, order)
+    return dealt.mapInPandas(run, key_schema(rows, [*keys, order]) + "model string, n long, beta array<double>, se array<double>, r2 double")
+
+
 def within(df: DataFrame, columns: list[str], entity: str, time: str | None = None, rounds: int = 20) -> DataFrame:
     """Columns less their entity means, and for two ways alternately less their time means."""
     for _ in range(rounds if time else 1):
@@ -304,20 +392,101 @@ def ljung_box(rows: DataFrame, keys: list[str], order: str, lags: int = 5) -> Da
     return with_tail(s.select(*keys, q.alias("q")), "q", "chi2", lags)
 
 
-def adf_statistic(df: DataFrame, keys: list[str], order: str, x: str, most_lags: int = 2) -> DataFrame:
-    """t of the lagged level in the Dickey-Fuller regression, with the number of lagged differences of least AIC."""
-    w = Window.partitionBy(*keys).orderBy(order)
-    rows = df.withColumn("level", F.lag(x).over(w)).withColumn("dx", F.col(x) - F.lag(x).over(w))
-    rows = rows.withColumns({f"d{i}": F.lag("dx", i).over(w) for i in range(1, most_lags + 1)})
-    common = complete(rows, ["dx", "level", *(f"d{i}" for i in range(1, most_lags + 1))])
-    tried = None
-    for lags in range(most_lags + 1):
-        fit = ols_fit(common, keys, "dx", ["level", *(f"d{i}" for i in range(1, lags + 1))])
-        k = lags + 2
-        t = F.get("beta", F.lit(1)) / (F.col("se_resid") * F.sqrt(F.get("inv", F.lit(k + 1))))
-        part = fit.select(*keys, F.lit(lags).cast("long").alias("lags"), "aic", t.alias("statistic"))
-        tried = part if tried is None else tried.unionByName(part)
-    return tried.groupBy(*keys).agg(F.min_by("lags", "aic").alias("lags"), F.min_by("statistic", "aic").alias("statistic"))
+#: Response surface of the unit-root law with a constant: bounds of the statistic, where its form changes, and the
+#: polynomials of both forms from the constant term on (fixed values, MacKinnon 1994).
+ADF_LEAST, ADF_MOST, ADF_TURN = -18.83, 2.74, -1.61
+ADF_SMALL, ADF_LARGE = (2.1659, 1.4412, 0.038269), (1.7339, 0.93202, -0.12745, -0.010368)
+
+
+def adf_tail(statistic: float) -> float:
+    """p of a unit-root statistic (regression with a constant) from the response surface."""
+    if statistic >= ADF_MOST:
+        return 1.0
+    if statistic <= ADF_LEAST:
+        return 0.0
+    surface = ADF_SMALL if statistic <= ADF_TURN else ADF_LARGE
+    return NormalDist().cdf(sum(c * statistic**i for i, c in enumerate(surface)))
+
+
+def adf_system(r: dict) -> tuple[np.ndarray, np.ndarray]:
+    """Cross products of (1, level, d1 ... dL, dx) over the sample common to all lags, and the rows that smaller lags add (NaN beyond)."""
+    most, head, tail = r["most"], np.array([x["x"] for x in r["head"]]), np.array([x["d"] for x in r["tail"]])
+    product, first = np.zeros((most + 3, most + 3)), np.diff(head)
+    d = np.arange(2, most + 2)
+    product[0, 0] = r["held"]
+    product[0, 1], product[1, 1], product[0, -1], product[1, -1] = r["level"], r["level2"], r["sums"][0], r["crosses"][0]
+    product[0, d], product[1, d], product[d, -1] = r["sums"][1 : most + 1], r["crosses"][1 : most + 1], r["lagged"][1 : most + 1]
+    product[-1, -1] = r["lagged"][0]
+    for h in range(most):
+        # Sums of products h apart, moved back by one place: one product enters at the start, one leaves at the end.
+        now = r["lagged"][h]
+        for i in range(1, most - h + 1):
+            now += first[most - i] * first[most - i - h] - tail[len(tail) - i] * tail[len(tail) - i - h]
+            product[1 + i, 1 + i + h] = now
+    product = np.triu(product) + np.triu(product, 1).T
+    early = np.full((most, most + 3), np.nan)
+    for t in range(1, most + 1):
+        early[t - 1, : t + 1] = [1.0, head[t - 1] - head[0], *first[: t - 1][::-1]]
+        early[t - 1, -1] = first[t - 1]
+    return product, early
+
+
+def adf_choice(product: np.ndarray, early: np.ndarray, lags: int | None = None) -> tuple[int, int, float] | None:
+    """Lags of least AIC (or those asked for), observations and statistic: one factorisation tells the residual sums of all lags."""
+    most = len(product) - 3
+    scale = np.sqrt(np.diag(product)[:-1])
+    if not (scale > 0).all():
+        return None
+    unit = product[:-1, :-1] / np.outer(scale, scale)
+    try:
+        z = np.linalg.solve(np.linalg.cholesky(unit), product[:-1, -1] / scale)
+    except np.linalg.LinAlgError:
+        return None
+    if lags is None:
+        held, rss = product[0, 0], product[-1, -1] - np.cumsum(z * z)[1:]
+        lags = int(np.argmin(held * np.log(np.maximum(rss, 1e-300)) + 2 * np.arange(most + 1)))
+    use = np.array([*range(lags + 2), most + 2])
+    p = product[np.ix_(use, use)] + early[lags:, use].T @ early[lags:, use]
+    held, beta, inverse = p[0, 0], np.linalg.solve(p[:-1, :-1], p[:-1, -1]), np.linalg.inv(p[:-1, :-1])
+    rss = p[-1, -1] - beta @ p[:-1, -1]
+    if held <= lags + 2 or rss <= 0:
+        return None
+    return lags, round(held), float(beta[1] / np.sqrt(rss / (held - lags - 2) * inverse[1, 1]))
+
+
+def adf_test(df: DataFrame, keys: list[str], order: str, x: str, lags: int | None = None) -> DataFrame:
+    """keys, lags, n_obs, statistic, p of the Dickey-Fuller test with a constant.
+
+    Lags up to 12 (n / 100)^(1/4) (n / 2 - 2 at most) are compared by AIC on one common sample, then the chosen
+    number is fitted on all rows it can use; `lags` fixes the number instead. A group is aggregated to sums of
+    products at each distance and its first and last few values, from which the cross products of all lags follow.
+    """
+    whole, up = Window.partitionBy(*keys), Window.partitionBy(*keys).orderBy("order_")
+    rows = complete(df, [x]).select(*keys, F.col(order).alias("order_"), F.col(x).cast("double").alias("x_"))
+    rows = rows.withColumns({"n_": F.count("*").over(whole), "i_": F.row_number().over(up), "first_": F.first("x_").over(up)})
+    bound = F.least(F.ceil(12 * F.pow(F.col("n_") / 100, 0.25)), F.floor(F.col("n_") / 2) - 2).cast("int") if lags is None else F.when(F.col("n_") >= 2 * lags + 5, F.lit(lags))
+    rows = rows.withColumn("most", bound).filter("most >= 0")
+    most = rows.agg(F.max("most")).first()[0] or 0
+    d = F.col("x_") - F.lag("x_").over(up)
+    rows = rows.withColumn("d0", d).withColumn("level_", F.lag("x_").over(up) - F.col("first_")).withColumns({f"d{h}": F.lag("d0", h).over(up) for h in range(1, most + 1)})
+    held = F.col("i_") >= F.col("most") + 2
+    total = lambda c: F.coalesce(F.sum(F.when(held, c)), F.lit(0.0))
+    every = [F.col(f"d{h}") for h in range(most + 1)]
+    gathered = rows.groupBy(*keys, "most").agg(
+        F.count(F.when(held, 1)).alias("held"), total(F.col("level_")).alias("level"), total(F.col("level_") * F.col("level_")).alias("level2"),
+        F.array(*map(total, every)).alias("sums"), F.array(*(total(F.col("level_") * c) for c in every)).alias("crosses"), F.array(*(total(every[0] * c) for c in every)).alias("lagged"),
+        F.array_sort(F.collect_list(F.when(F.col("i_") <= F.col("most") + 1, F.struct("i_", F.col("x_").alias("x"))))).alias("head"),
+        F.array_sort(F.collect_list(F.when(F.col("i_") > F.col("n_") - F.col("most"), F.struct("i_", F.col("d0").alias("d"))))).alias("tail"))
+
+    def solve(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for f in frames:
+            out = []
+            for r in f.to_dict("records"):
+                if found := adf_choice(*adf_system(r), lags):
+                    out.append((*(r[k] for k in keys), *found, adf_tail(found[2])))
+            yield pd.DataFrame(out, columns=[*keys, "lags", "n_obs", "statistic", "p"])
+
+    return gathered.mapInPandas(solve, key_schema(df, keys) + "lags long, n_obs long, statistic double, p double")
 
 
 def holm(df: DataFrame, family: list[str], p: str, ties: str) -> DataFrame:

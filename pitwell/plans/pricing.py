@@ -175,7 +175,38 @@ register("i20_white_test", lambda t: R.white_test(resid(t), S, X).select("securi
 register("i21_durbin_watson", lambda t: rounded(R.durbin_watson(resid(t), S, "date"), S, 5, dw=F.col("dw")), "SELECT security_id, round(sum(pow(e - l, 2)) / sum(e * e), 5) AS dw FROM (SELECT *, lag(e) OVER (PARTITION BY security_id ORDER BY date) AS l FROM e_) GROUP BY 1", FIT)
 LB = ", ".join(f"lag(e, {k}) OVER (PARTITION BY security_id ORDER BY date) AS l{k}" for k in range(1, 6))
 register("i22_ljung_box", lambda t: rounded(R.ljung_box(resid(t), S, "date"), S, 4, q=F.col("q")), "SELECT security_id, round(count(*) * (count(*) + 2) * (" + " + ".join(f"pow(sum(e * l{k}) / sum(e * e), 2) / (count(*) - {k})" for k in range(1, 6)) + f"), 4) AS q FROM (SELECT *, {LB} FROM e_) GROUP BY 1", FIT)
-register("i23_adf_unit_root", lambda t: R.adf_statistic(rows(t), S, "date", "price").select("security_id", "lags", F.round("statistic", 5).alias("statistic")))
+#: Most lags of the SQL form; series of up to 100 rows need no more.
+ADF_LAGS = 12
+
+
+def adf_sql(fixed: int | None = None) -> dict[str, str]:
+    """Views that take the constant, the level and the lagged differences out of dx step by step, then refit with the level last."""
+    lags = range(1, ADF_LAGS + 1)
+    most = str(fixed) if fixed is not None else f"least(ceil(12 * pow(n / 100, 0.25)), n // 2 - 2, {ADF_LAGS})::BIGINT"
+    after = f"n >= {2 * fixed + 5}" if fixed is not None else "most >= 0"
+    less = lambda r, x: f"{r} - {x} * coalesce(sum({r} * {x}) OVER w / nullif(sum({x} * {x}) OVER w, 0), 0) AS {r}"
+    views = {
+        "adfx_": f"SELECT *, {most} AS most FROM (SELECT security_id, row_number() OVER w AS i, count(*) OVER (PARTITION BY security_id) AS n, price - lag(price) OVER w AS y, lag(price) OVER w - first(price) OVER w AS v FROM rows_ WINDOW w AS (PARTITION BY security_id ORDER BY date))",
+        "adfd_": f"SELECT * FROM (SELECT *, 1.0::DOUBLE AS c, {', '.join(f'lag(y, {h}) OVER (PARTITION BY security_id ORDER BY i) AS l{h}' for h in lags)} FROM adfx_) WHERE {after}",
+        "adf0_": "SELECT security_id, n, most, c, v, y, " + ", ".join(f"CASE WHEN {h} <= most THEN l{h} ELSE 0 END AS d{h}" for h in lags) + " FROM adfd_ WHERE i >= most + 2",
+    }
+    order, last = ["c", "v", *(f"d{h}" for h in lags)], "adf0_"
+    for k, x in enumerate(order):
+        views[f"adf{k + 1}_"] = f"SELECT security_id, n, most, {', '.join(less(r, x) for r in ['y', *order[k + 1 :]])} FROM {last} WINDOW w AS (PARTITION BY security_id)"
+        last = f"adf{k + 1}_"
+    tried = " UNION ALL ".join(f"SELECT security_id, {h}::BIGINT AS lags, count(*) * ln(sum(y * y)) + {2 * h} AS aic FROM adf{h + 2}_ GROUP BY 1 HAVING max(most) >= {h} AND sum(y * y) > 0" for h in [0, *lags])
+    views["adfb_"] = f"SELECT security_id, arg_min(lags, (aic, lags)) AS best FROM ({tried}) GROUP BY 1" if fixed is None else f"SELECT DISTINCT security_id, {fixed}::BIGINT AS best FROM adf0_"
+    views["adfr0_"] = "SELECT security_id, n, best, c, v, y, " + ", ".join(f"CASE WHEN {h} <= best THEN l{h} ELSE 0 END AS d{h}" for h in lags) + " FROM adfd_ JOIN adfb_ USING (security_id) WHERE i >= best + 2"
+    order, last = ["c", *(f"d{h}" for h in lags)], "adfr0_"
+    for k, x in enumerate(order):
+        views[f"adfr{k + 1}_"] = f"SELECT security_id, n, best, {', '.join(less(r, x) for r in ['y', 'v', *order[k + 1 :]])} FROM {last} WINDOW w AS (PARTITION BY security_id)"
+        last = f"adfr{k + 1}_"
+    views["adfs_"] = f"SELECT security_id, best AS lags, n - 1 - best AS n_obs, sum(v * y) / sum(v * v) / sqrt((sum(y * y) - pow(sum(v * y), 2) / sum(v * v)) / (n - 1 - best - best - 2) / sum(v * v)) AS statistic FROM {last} GROUP BY 1, 2, 3, n, best HAVING n - 1 - best > best + 2"
+    return views
+
+
+register("i23_adf_unit_root", lambda t: R.adf_test(rows(t), S, "date", "price").select("security_id", "lags", "n_obs", F.round("statistic", 4).alias("statistic")), "SELECT security_id, lags, n_obs, round(statistic, 4) AS statistic FROM adfs_", MORE | adf_sql())
+register("i23_adf_fixed_lag", lambda t: R.adf_test(rows(t), S, "date", "price", lags=2).select("security_id", "n_obs", F.round("statistic", 4).alias("statistic")), "SELECT security_id, n_obs, round(statistic, 4) AS statistic FROM adfs_", MORE | adf_sql(2))
 register("i24_prediction_interval", lambda t: rounded(resid(t).withColumn("se", F.col("se_resid") * F.sqrt(1 + F.col("h"))), ["security_id", "date"], lower=F.col("fitted") - 1.959963984540054 * F.col("se"), upper=F.col("fitted") + 1.959963984540054 * F.col("se")),
          "SELECT security_id, date, round(a + b * market_return - 1.959963984540054 * s * sqrt(1 + h), 6) AS lower, round(a + b * market_return + 1.959963984540054 * s * sqrt(1 + h), 6) AS upper FROM (SELECT *, sqrt(sum(e * e) OVER (PARTITION BY security_id) / (n - 2)) AS s FROM e_)", FIT)
 
@@ -216,13 +247,13 @@ PRICED = ASOF | {
 }
 
 
-def orthogonal(prefix: str, xs: list[str]) -> dict[str, str]:
-    """Views prefix1_, prefix2_, ...: the constant c and y less their parts along the first regressors, step by step."""
-    out, last = {}, f"SELECT asset, date, 1.0::DOUBLE AS c, y, {_ALL} FROM pf_"
+def orthogonal(prefix: str, xs: list[str], source: str = "pf_", group: str = "asset") -> dict[str, str]:
+    """Views prefix1_, prefix2_, ...: the constant c and y less their parts along the first regressors, step by step, in each group."""
+    out, last = {}, f"SELECT {group}, date, 1.0::DOUBLE AS c, y, {_ALL} FROM {source}"
     for i, x in enumerate(xs):
         rest = ["c", "y", *(f'"{v}"' for v in xs[i + 1 :])]
         less = ", ".join(f'{r} - "{x}" * (sum({r} * "{x}") OVER w / sum("{x}" * "{x}") OVER w) AS {r}' for r in rest)
-        out[f"{prefix}{i + 1}_"] = f"SELECT asset, date, {less} FROM ({last}) WINDOW w AS (PARTITION BY asset)"
+        out[f"{prefix}{i + 1}_"] = f"SELECT {group}, date, {less} FROM ({last}) WINDOW w AS (PARTITION BY {group})"
         last = f"SELECT * FROM {prefix}{i + 1}_"
     return out
 
@@ -266,6 +297,44 @@ def i29(t: Tables) -> DataFrame:
     return robust.select("model", "asset", "n", *(F.round(c, 6).alias(n) for n, c in (("alpha", F.get("beta", F.lit(0))), ("se", se), ("hac_se", hac), ("r2", F.col("r2")), ("adj_r2", F.col("adj_r2")))))
 
 
+WINDOW_ROWS = 24
+_AT = "asset, wend"
+
+
+def windowed_grid(name: str, size: int | None) -> dict[str, str]:
+    """The grid's views with a row for each window and member: orthogonal steps, alphas and their errors by window."""
+    span = f"r.i BETWEEN e.i - {size - 1} AND e.i" if size else "r.i <= e.i"
+    views = {
+        f"{name}i_": "SELECT *, row_number() OVER (PARTITION BY asset ORDER BY date) AS i FROM pf_",
+        f"{name}w_": f"SELECT e.asset, e.date AS wend, r.date, r.y, {', '.join('r.' + chr(34) + x + chr(34) for x in REGRESSORS)} FROM {name}i_ e JOIN {name}i_ r ON r.asset = e.asset AND {span} WHERE e.i >= {WINDOW_ROWS}",
+    }
+    views |= orthogonal(f"{name}a", ["market", "size", "value", "momentum"], f"{name}w_", _AT) | orthogonal(f"{name}b", ["market", "size", "investment", "profitability", "value"], f"{name}w_", _AT)
+    fitted = {m: (v.replace("v", name, 1), k) for m, (v, k) in _FITTED.items()}
+    views[f"{name}e_"] = " UNION ALL ".join(f"SELECT '{m}' AS model, {k} + 1 AS k, {_AT}, date, c, y FROM {v}" for m, (v, k) in fitted.items())
+    views[f"{name}u_"] = f"SELECT *, y - a * c AS e, c * (y - a * c) / cc AS u FROM (SELECT *, sum(y * c) OVER w / sum(c * c) OVER w AS a, sum(c * c) OVER w AS cc FROM {name}e_ WINDOW w AS (PARTITION BY model, {_AT}))"
+    views[f"{name}l_"] = "SELECT *, " + ", ".join(f"lag(u, {k}) OVER (PARTITION BY model, {_AT} ORDER BY date) AS u{k}" for k in (1, 2, 3)) + f" FROM {name}u_"
+    views[f"{name}g_"] = f"SELECT model, {_AT}, n, alpha, sqrt(greatest(meat * n / (n - k), 0)) AS se, 1 - rss / tss AS r2 FROM (SELECT model, {_AT}, max(k) AS k, count(*) AS n, max(a) AS alpha, sum(e * e) AS rss, sum(u * u) + 1.5 * coalesce(sum(u * u1), 0) + coalesce(sum(u * u2), 0) + 0.5 * coalesce(sum(u * u3), 0) AS meat FROM {name}l_ GROUP BY ALL) JOIN (SELECT {_AT}, var_pop(y) * count(*) AS tss FROM {name}w_ GROUP BY ALL) USING ({_AT})"
+    return views
+
+
+def windowed(size: int | None):
+    def build(t: Tables) -> DataFrame:
+        out = R.window_models(priced(t), ["asset"], "date", "y", REGRESSORS, R.MODELS, size, WINDOW_ROWS)
+        return out.select("model", "asset", F.col("date").alias("wend"), "n", F.round(F.get("beta", F.lit(0)), 6).alias("alpha"), F.round(F.get("se", F.lit(0)), 6).alias("se"), F.round("r2", 6).alias("r2"))
+
+    return build
+
+
+for _n, _size, _name in (("i09_rolling_models", WINDOW_ROWS, "vr"), ("i10_expanding_models", None, "vx")):
+    register(_n, windowed(_size), f"SELECT model, asset, wend, n, round(alpha, 6) AS alpha, round(se, 6) AS se, round(r2, 6) AS r2 FROM {_name}g_", PRICED | windowed_grid(_name, _size))
+
+
+@query("i09_rolling_market_slopes", "SELECT * FROM (SELECT asset, date AS wend, count(*) OVER w AS n, round(regr_slope(y, market) OVER w, 5) AS beta, round(regr_intercept(y, market) OVER w, 6) AS alpha FROM pf_ WINDOW w AS (PARTITION BY asset ORDER BY date ROWS BETWEEN 23 PRECEDING AND CURRENT ROW)) WHERE n >= 24", PRICED)
+def i09_slopes(t: Tables) -> DataFrame:
+    out = R.window_models(priced(t), ["asset"], "date", "y", REGRESSORS, {"CAPM": R.MODELS["CAPM"]}, WINDOW_ROWS, WINDOW_ROWS)
+    return out.select("asset", F.col("date").alias("wend"), "n", F.round(F.get("beta", F.lit(1)), 5).alias("beta"), F.round(F.get("beta", F.lit(0)), 6).alias("alpha"))
+
+
 EXCLUDED = """WITH m AS (SELECT factor_id, date, quantile, security_id, cap, next_ret FROM q_ JOIN next_ USING (security_id, date) WHERE next_ret IS NOT NULL AND cap > 0),
 a AS (SELECT DISTINCT factor_id AS f, quantile AS q FROM q_),
 g AS (SELECT f, q, m.factor_id AS factor, m.date, sum(cap * next_ret) FILTER (m.quantile = 3 AND o.security_id IS NULL) / sum(cap) FILTER (m.quantile = 3 AND o.security_id IS NULL) - sum(cap * next_ret) FILTER (m.quantile = 1 AND o.security_id IS NULL) / sum(cap) FILTER (m.quantile = 1 AND o.security_id IS NULL) AS without,
