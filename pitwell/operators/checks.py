@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from pitwell.functions.scalar import end_of_day, finite
 from pitwell.operators.joins import JoinError, interval_join
-from pitwell.operators.lineage import closure
+from pitwell.operators.lineage import cyclic_nodes
 
 SEVERITIES = ("INFO", "WARNING", "ERROR", "CRITICAL")
 SAMPLES = 5
@@ -156,8 +156,7 @@ def overlaps(df: DataFrame, keys: list[str], value: str, start: str = "valid_fro
 def succession(edges: DataFrame) -> DataFrame:
     """edges: predecessor, successor. Nodes with two successors, and nodes on a cycle of any length."""
     several = edges.groupBy("predecessor").agg(F.count_distinct("successor").alias("n")).filter("n > 1").select(F.lit("several_successors").alias("rule"), F.col("predecessor").alias("node"))
-    loops = closure(edges, "predecessor", "successor").filter("predecessor = successor")
-    return several.unionByName(loops.select(F.lit("cycle").alias("rule"), F.col("predecessor").alias("node")))
+    return several.unionByName(cyclic_nodes(edges, "predecessor", "successor").select(F.lit("cycle").alias("rule"), "node"))
 
 
 def lineage_graph(artifacts: DataFrame, edges: DataFrame, required: DataFrame) -> DataFrame:
@@ -170,7 +169,7 @@ def lineage_graph(artifacts: DataFrame, edges: DataFrame, required: DataFrame) -
         finding(ends.join(artifacts, "artifact", "left_anti"), "unknown_endpoint"),
         finding(edges.filter("child = parent"), "self_edge", "child"),
         finding(edges.groupBy("child", "parent").count().filter("count > 1"), "duplicate_edge", "child"),
-        finding(closure(edges.filter("child <> parent"), "child", "parent").filter("child = parent"), "cycle", "child"),
+        finding(cyclic_nodes(edges.filter("child <> parent"), "child", "parent"), "cycle", "node"),
         finding(required.join(artifacts, "artifact", "left_anti"), "missing_required"),
     ]
     return reduce(DataFrame.unionByName, parts)

@@ -148,12 +148,17 @@ def pairwise(df: DataFrame, key: str, time: str, value: str, least: int = 2) ->
 
 
 def constituent_overlap(members: DataFrame, legs: DataFrame, portfolio: list[str], signal: str = "factor_id", member: str = "security_id", weight: str = "weight") -> DataFrame:
-    """For each portfolio and signal: share of members, by count and weight, that are also in the signal's legs."""
-    distinct = legs.select(signal, member).distinct()
-    signals = distinct.select(F.col(signal).alias("signal")).distinct()
-    flagged = members.join(F.broadcast(signals)).join(distinct.select(F.col(signal).alias("signal"), member, F.lit(1.0).alias("hit_")), ["signal", member], "left")
-    hit = F.coalesce("hit_", F.lit(0.0))
-    return flagged.groupBy(*portfolio, "signal").agg(F.avg(hit).alias("count_share"), (F.sum(F.col(weight) * hit) / F.sum(weight)).alias("weight_share"))
+    """For each portfolio and signal: share of members, by count and weight, that are also in the signal's legs.
+
+    Members meet only the signals whose legs hold them; the shares of all others are 0. The list of signals is one row.
+    """
+    distinct = legs.select(F.col(signal).alias("signal"), member).distinct()
+    hits = members.join(distinct, member).groupBy(*portfolio, "signal").agg(F.count("*").alias("hits_"), F.sum(weight).alias("hit_weight_"))
+    totals = members.groupBy(*portfolio).agg(F.count("*").alias("n_"), F.sum(weight).alias("weight_"))
+    signals = distinct.agg(F.collect_set("signal").alias("signals_"))
+    every = totals.crossJoin(F.broadcast(signals)).withColumn("signal", F.explode("signals_"))
+    share = lambda a, b: F.coalesce(F.col(a), F.lit(0.0)) / F.col(b)
+    return every.join(hits, [*portfolio, "signal"], "left").select(*portfolio, "signal", share("hits_", "n_").alias("count_share"), share("hit_weight_", "weight_").alias("weight_share"))
 
 
 def spread_without(legs: DataFrame, excluded: DataFrame, keys: list[str], member: str = "security_id", quantile: str = "quantile", weight: str = "weight", ret: str = "ret", top: int = 3) -> DataFrame:

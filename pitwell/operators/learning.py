@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from pitwell.functions.scalar import ratio
 from pitwell.operators import regress as R
 from pitwell.operators import windows as W
+from pitwell.operators.joins import interval_join
 
 
 def assemble(scores: DataFrame, factors: list[str], least_coverage: float, value: str = "raw", banned: tuple[str, ...] = ("target", "future", "label")) -> DataFrame:
@@ -64,18 +65,37 @@ def temporal_folds(df: DataFrame, date: str, train: int, validation: int, test:
     return starts.select(F.col("fold").cast("long").alias("fold"), F.explode(parts).alias("p")).select("fold", "p.*")
 
 
+def fold_spans(folds: DataFrame, index: DataFrame, date: str) -> DataFrame:
+    """fold, role, start, end, limit: day ranges that tile the calendar of each fold, 'unused' ones included.
+
+    index: date, session (from 0). limit: the date from which on a label ends too late for the role.
+    """
+    wide = folds.groupBy("fold").pivot("role", ["train", "validation", "test"]).agg(F.first(F.struct("first", "last")))
+    wide = wide.crossJoin(F.broadcast(index.agg(F.max("session").alias("end_"))))
+    part = lambda role, a, b, limit=None: F.struct(F.lit(role).alias("role"), a.cast("long").alias("a_"), b.cast("long").alias("b_"), (limit if limit is not None else F.lit(None)).cast("long").alias("c_"))
+    t, v, s = (lambda e, r=r: F.col(f"{r}.{e}") for r in ("train", "validation", "test"))
+    tiles = F.array(
+        part("unused", F.lit(0), t("first") - 1), part("train", t("first"), t("last"), v("first")), part("unused", t("last") + 1, v("first") - 1), part("validation", v("first"), v("last"), s("first")),
+        part("unused", v("last") + 1, s("first") - 1), part("test", s("first"), s("last")), part("unused", s("last") + 1, F.col("end_")))
+    spans = wide.select("fold", F.explode(tiles).alias("p")).select("fold", "p.*").filter("a_ <= b_")
+    for number, name in (("a_", "start_"), ("b_", "stop_"), ("c_", "limit_")):
+        spans = spans.join(index.select(F.col("session").alias(number), F.col(date).alias(name)), number, "left")
+    return spans.select("fold", "role", "start_", "stop_", "limit_")
+
+
 def assign_and_purge(df: DataFrame, folds: DataFrame, date: str, label_end: str) -> DataFrame:
-    """Every row once per fold with its role: train, validation, test, purged or unused. df's label_end is a date."""
+    """Every row once per fold with its role: train, validation, test, purged or unused. df's label_end is a date.
+
+    Rows are collapsed to their dates, the dates meet the folds' day ranges in day buckets, and rows take the roles of
+    their dates; there is no join without a key.
+    """
     index = W.session_positions(df, date).withColumn("session", F.col("session") - 1)
-    wide = folds.groupBy("fold").pivot("role", ["train", "validation", "test"]).agg(F.first(F.struct("first", "last")))
-    starts = [F.col(f"{r}.first") for r in ("validation", "test")]
-    days = index.select(F.col("session").alias("s_"), F.col(date).alias("d_"))
-    wide = wide.join(F.broadcast(days), starts[0] == F.col("s_")).drop("s_").withColumnRenamed("d_", "v_date").join(F.broadcast(days), starts[1] == F.col("s_")).drop("s_").withColumnRenamed("d_", "t_date")
-    rows = df.join(F.broadcast(index), date).join(F.broadcast(wide))
-    inside = lambda r: F.col("session").between(F.col(f"{r}.first"), F.col(f"{r}.last"))
-    role = (F.when(inside("train"), F.when(F.col(label_end) >= F.col("v_date"), "purged").otherwise("train"))
-            .when(inside("validation"), F.when(F.col(label_end) >= F.col("t_date"), "purged").otherwise("validation")).when(inside("test"), "test").otherwise("unused"))
-    return rows.withColumn("role", role).drop("train", "validation", "test", "v_date", "t_date", "session")
+    spans = fold_spans(folds, index, date)
+    days = df.select(F.col(date).alias("d_"), F.col(label_end).alias("e_")).distinct()
+    placed = interval_join(days, spans, [], "d_", "start_", "stop_")
+    role = F.when(F.col("e_") >= F.col("limit_"), "purged").otherwise(F.col("role"))
+    placed = placed.select("d_", "e_", "fold", role.alias("role"))
+    return df.join(placed, (F.col(date) == F.col("d_")) & F.col(label_end).eqNullSafe(F.col("e_"))).drop("d_", "e_")
 
 
 def train_statistics(df: DataFrame, keys: list[str], features: list[str]) -> DataFrame:
@@ -234,32 +254,44 @@ def drift(reference: DataFrame, current: DataFrame, features: list[str], bins: i
     return base.join(psi, "feature").join(cdf, "feature")
 
 
-#: Rows among which permutation_importance deals values anew.
+#: Rows that `numbered` sorts in one task, about.
 CELL_ROWS = 10_000
 
 
-def permutation_importance(df: DataFrame, keys: list[str], features: list[str], target: str, predict, repeats: int = 3, seed: int = 1) -> DataFrame:
-    """keys, feature, importance: mean drop of R2 when the feature's values are dealt anew within each key by a seeded order. predict: df -> df with prediction.
+def numbered(df: DataFrame, keys: list[str], order: Column, name: str, cell_rows: int = CELL_ROWS) -> DataFrame:
+    """df with the number of each row (from 1) within its keys, in the order of a hexadecimal digest.
+
+    Ranges of digests are counted, the counts are summed up to offsets, and only rows of one range are sorted together:
+    no task holds a whole key.
+    """
+    rows = df.withColumn("digest_", order)
+    sizes = df.groupBy(*keys).agg(F.greatest(F.lit(1), F.floor(F.count("*") / cell_rows)).alias("cells_"))
+    share = F.conv(F.substring("digest_", 1, 8), 16, 10).cast("long")
+    rows = rows.join(sizes, keys).withColumn("cell_", F.floor(share * F.col("cells_") / (1 << 32))).drop("cells_")
+    ahead = Window.partitionBy(*keys).orderBy("cell_").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = rows.groupBy(*keys, "cell_").agg(F.count("*").alias("held_")).select(*keys, "cell_", F.coalesce(F.sum("held_").over(ahead), F.lit(0)).alias("ahead_"))
+    place = F.row_number().over(Window.partitionBy(*keys, "cell_").orderBy("digest_"))
+    return rows.withColumn("place_", place).join(offsets, [*keys, "cell_"]).withColumn(name, F.col("ahead_") + F.col("place_")).drop("digest_", "cell_", "place_", "ahead_")
+
+
+def permutation_importance(df: DataFrame, keys: list[str], ids: list[str], features: list[str], target: str, predict, repeats: int = 3, seed: int = 1, cell_rows: int = CELL_ROWS) -> DataFrame:
+    """keys, feature, importance: mean drop of R2 when a feature's values are dealt anew among all rows of a key. predict: df -> df with prediction.
 
-    Values are dealt anew within cells of about CELL_ROWS rows that a hash draws from all rows of a key.
+    ids tell the rows of a key apart. The row that stands k-th by the digest of its ids takes the value of the row that
+    stands k-th by the digest of seed, repeat and ids.
     """
-    own = F.xxhash64(*df.columns)
-    sizes = df.groupBy(*keys).agg(F.greatest(F.lit(1), F.floor(F.count("*") / CELL_ROWS)).alias("cells_"))
-    dealt = df.withColumn("own_", own).join(sizes, keys).withColumn("c_", F.pmod(F.xxhash64(F.lit("cell"), "own_"), "cells_")).drop("cells_")
-    keyed = dealt.withColumn("k_", F.row_number().over(Window.partitionBy(*keys, "c_").orderBy("own_"))).drop("own_")
-    # Every row once for each feature and repeat, and once as it is (feature empty).
-    draws = [F.struct(F.lit(f).alias("feature"), F.lit(r).alias("repeat")) for f in features for r in range(repeats)]
-    draws.append(F.struct(F.lit("").alias("feature"), F.lit(0).alias("repeat")))
-    each = keyed.withColumn("d_", F.explode(F.array(*draws))).select("*", "d_.*").drop("d_")
-    cell = [*keys, "c_", "feature", "repeat"]
-    values = F.struct(*(F.col(f) for f in features)).alias("v_")
-    anew = F.row_number().over(Window.partitionBy(*cell).orderBy(F.xxhash64(F.lit(seed), "repeat", "k_"), "k_"))
-    other = each.select(*cell, values, anew.alias("k_"))
-    both = each.join(other, [*cell, "k_"]).withColumns({f: F.when(F.col("feature") == f, F.col(f"v_.{f}")).otherwise(F.col(f)) for f in features})
+    text = [F.col(c).cast("string") for c in ids]
+    once = numbered(df, keys, F.md5(F.concat_ws("|", *text)), "k_", cell_rows)
+    again = once.select(*keys, *ids, *features, F.explode(F.array(*map(F.lit, range(1, repeats + 1)))).alias("repeat"))
+    other = numbered(again, [*keys, "repeat"], F.md5(F.concat_ws("|", F.lit(str(seed)), F.col("repeat").cast("string"), *text)), "k_", cell_rows)
+    other = other.select(*keys, "repeat", "k_", F.struct(*features).alias("v_"))
+    both = once.join(other, [*keys, "k_"]).withColumn("feature", F.explode(F.array(*map(F.lit, features))))
+    both = both.withColumns({f: F.when(F.col("feature") == f, F.col(f"v_.{f}")).otherwise(F.col(f)) for f in features})
     e = F.col("prediction") - F.col(target)
-    r2 = predict(both).groupBy(*keys, "feature", "repeat").agg((1 - F.sum(e * e) / (F.var_pop(target) * F.count("*"))).alias("r2"))
-    base = F.max(F.when(F.col("feature") == "", F.col("r2"))).over(Window.partitionBy(*keys))
-    return r2.withColumn("base", base).filter("feature <> ''").groupBy(*keys, "feature").agg((F.max("base") - F.avg("r2")).alias("importance"))
+    r2 = (1 - F.sum(e * e) / (F.var_pop(target) * F.count("*"))).alias("r2")
+    base = predict(df).groupBy(*keys).agg(r2).withColumnRenamed("r2", "base")
+    dealt = predict(both).groupBy(*keys, "feature", "repeat").agg(r2)
+    return dealt.join(base, keys).groupBy(*keys, "feature").agg((F.max("base") - F.avg("r2")).alias("importance"))
 
 
 def overlap_of_tests(rows: DataFrame, fold: str, start: str, end: str) -> DataFrame:

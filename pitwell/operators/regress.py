@@ -23,6 +23,16 @@ from pitwell.functions.tails import chi2_upper, f_upper, t_two_sided
 MODELS = {"CAPM": ("market",), "FF3": ("market", "size", "value"), "CARHART4": ("market", "size", "value", "momentum"), "FF5": ("market", "size", "value", "profitability", "investment"), "Q": ("market", "size", "investment", "profitability")}
 
 
+def registered(own: dict[str, tuple[str, ...]], known: list[str]) -> dict[str, tuple[str, ...]]:
+    """MODELS with models of the caller's own; a name that is taken and a regressor that isn't known or comes twice are refused."""
+    for name, xs in own.items():
+        if not name or name in MODELS:
+            raise ValueError(f"model {name!r} is registered")
+        if not xs or len(set(xs)) < len(xs) or not set(xs) <= set(known):
+            raise ValueError(f"model {name!r} has regressors {xs}, not different ones of {known}")
+    return MODELS | own
+
+
 def design(xs: list[str], constant: bool = True) -> list[Column]:
     return ([F.lit(1.0)] if constant else []) + [F.col(x).cast("double") for x in xs]
 

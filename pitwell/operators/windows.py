@@ -111,6 +111,20 @@ def session_positions(calendar: DataFrame, date: str = "date") -> DataFrame:
     return calendar.select(date).distinct().withColumn("session", F.dense_rank().over(Window.orderBy(date)).cast("long"))
 
 
+def missing_sessions(df: DataFrame, key: str, date: str = "date") -> DataFrame:
+    """key, date of the calendar's sessions that a key has no row on; the calendar is all dates of df.
+
+    Rows carry the number of their session, so that gaps are ranges of numbers between a key's neighbouring rows, before
+    its first and behind its last; only missing sessions become rows.
+    """
+    calendar = session_positions(df, date)
+    rows = df.select(key, date).distinct().join(calendar, date)
+    up = Window.partitionBy(key).orderBy("session")
+    last = calendar.agg(F.max("session").alias("last_"))
+    rows = rows.crossJoin(F.broadcast(last)).select(key, "session", F.lag("session", 1, 0).over(up).alias("was_"), F.when(F.lead("session").over(up).isNull(), F.col("last_")).alias("last_"))
+    span = lambda a, b: F.when(a <= b, F.sequence(a, b)).otherwise(F.array().cast("array<bigint>"))
+    gaps = F.concat(span(F.col("was_") + 1, F.col("session") - 1), F.when(F.col("last_").isNull(), F.array().cast("array<bigint>")).otherwise(span(F.col("session") + 1, F.col("last_"))))
+    return rows.select(key, F.explode(gaps).alias("session")).join(calendar, "session").select(key, date)
 
 
 def drawdown_path(df: DataFrame, keys: list[str], order: list[str], r: str) -> DataFrame:

@@ -11,6 +11,7 @@ from pitwell.operators import checks as B
 from pitwell.operators import learning as L
 from pitwell.operators import portfolios as P
 from pitwell.operators import windows as W
+from pitwell.operators.storage import new_folder, settled
 from pitwell.plans.features import rounded, scores
 from pitwell.plans.portfolio import FORMED
 from pitwell.plans.registry import query, register
@@ -53,10 +54,10 @@ def learning_set(t: Tables) -> DataFrame:
 
 
 def split(t: Tables) -> DataFrame:
-    """Purged rows of all folds; kept, as several fits of one query read them."""
+    """Purged rows of all folds; written once, as several fits of one query read them."""
     if "split" not in t.__dict__:
-        d = learning_set(t).cache()
-        t.__dict__["split"] = L.assign_and_purge(d, folds(t, d), "date", "label_end").cache()
+        d = settled(learning_set(t), "learning-set")
+        t.__dict__["split"] = settled(L.assign_and_purge(d, folds(t, d), "date", "label_end"), "split")
     return t.__dict__["split"]
 
 
@@ -89,6 +90,24 @@ register("l16_winsorize_train_bounds", lambda t: L.train_statistics(split(t), ["
 TR = "(SELECT fold, avg(turnover) AS m, stddev_pop(turnover) AS s, quantile_cont(turnover, 0.25) AS a, median(turnover) AS b, quantile_cont(turnover, 0.75) AS c FROM split_ WHERE role = 'train' GROUP BY 1)"
 register("l17_scale_standard", lambda t: L.preprocess(split(t), ["fold"], ["turnover"], clip=False).filter("role = 'test'").select("fold", *K, F.round("turnover", 5).alias("value")), f"SELECT fold, security_id, date, round((coalesce(turnover, b) - m) / s, 5) AS value FROM split_ JOIN {TR} USING (fold) WHERE role = 'test'", DATA)
 register("l17_scale_robust", lambda t: L.preprocess(split(t), ["fold"], ["turnover"], clip=False, scale="robust").filter("role = 'test'").select("fold", *K, F.round("turnover", 5).alias("value")), f"SELECT fold, security_id, date, round((coalesce(turnover, b) - b) / (c - a), 5) AS value FROM split_ JOIN {TR} USING (fold) WHERE role = 'test'", DATA)
+
+
+@query("l17_saved_pipeline", f"SELECT fold, security_id, date, round((coalesce(turnover, b) - m) / s, 5) AS value FROM split_ JOIN {TR} USING (fold) WHERE role = 'test'", DATA)
+def l17_saved(t: Tables) -> DataFrame:
+    """Each fold's scaler fitted, saved, loaded and applied; the number of folds is small."""
+    from pyspark.ml import Pipeline, PipelineModel
+
+    from pitwell.operators.estimators import TrainingScaler
+
+    rows, parts = split(t), []
+    for fold in sorted(r.fold for r in rows.select("fold").distinct().collect()):
+        path = new_folder(t.spark, "pipeline")
+        one = rows.filter(F.col("fold") == fold)
+        Pipeline(stages=[TrainingScaler(inputCols=["turnover"], clip=False)]).fit(one.filter("role = 'train'")).write().save(path)
+        parts.append(PipelineModel.load(path).transform(one.filter("role = 'test'")))
+    return reduce(DataFrame.unionByName, parts).select("fold", *K, F.round("turnover", 5).alias("value"))
+
+
 register("l18_scale_rank", lambda t: features(t).select(*K, F.round(W.percentile_rank("turnover", ["date"]), 6).alias("value")), "SELECT security_id, date, round((rank() OVER (PARTITION BY date ORDER BY turnover) + (count(*) OVER (PARTITION BY date, turnover) - 1) / 2) / count(*) OVER (PARTITION BY date), 6) AS value FROM feat_", DATA)
 register("l19_fit_window_gate", lambda t: split(t).filter("role = 'train'").groupBy("fold").agg(F.max("date").alias("last_fit"), (F.max("label_end") > F.max("date")).alias("label_after")), "SELECT fold, max(date) AS last_fit, max(label_end) > max(date) AS label_after FROM split_ WHERE role = 'train' GROUP BY 1", DATA)
 register("l20_baseline_models", lambda t: split(t).filter("role = 'train'").groupBy("fold").agg(F.lit(0.0).alias("zero"), F.round(F.avg("y"), 6).alias("train_mean")), "SELECT fold, 0.0::DOUBLE AS zero, round(avg(y), 6) AS train_mean FROM split_ WHERE role = 'train' GROUP BY 1", DATA)
@@ -196,11 +215,19 @@ def l28(t: Tables) -> DataFrame:
     return predictions(t, 0.0, ["turnover"]).groupBy("fold").agg(F.round(F.first(F.get("beta", F.lit(1))), 6).alias("coefficient")).withColumn("feature", F.lit("turnover"))
 
 
-@query("l29_permutation_importance")
+_DEALT = {
+    "fit_": ridge_sql(0.0, "test"),
+    "own_": "SELECT *, row_number() OVER (PARTITION BY fold ORDER BY md5(security_id || '|' || date)) AS k FROM fit_",
+    "anew_": "SELECT fold, r AS repeat, turnover, momentum_1m, row_number() OVER (PARTITION BY fold, r ORDER BY md5('1|' || r || '|' || security_id || '|' || date)) AS k FROM fit_, range(1, 4) t(r)",
+    "dealt_": "SELECT o.fold, repeat, feature, o.y, o.prediction + CASE feature WHEN 'turnover' THEN b2 * (a.turnover - o.turnover) ELSE b1 * (a.momentum_1m - o.momentum_1m) END AS p FROM own_ o JOIN anew_ a USING (fold, k), (VALUES ('turnover'), ('momentum_1m')) f(feature)",
+}
+
+
+@query("l29_permutation_importance", "SELECT fold, feature, round(max(base) - avg(r2), 6) AS importance FROM (SELECT fold, feature, repeat, 1 - sum(pow(p - y, 2)) / (var_pop(y) * count(*)) AS r2 FROM dealt_ GROUP BY ALL) JOIN (SELECT fold, 1 - sum(pow(prediction - y, 2)) / (var_pop(y) * count(*)) AS base FROM fit_ GROUP BY 1) USING (fold) GROUP BY 1, 2", DATA | _DEALT)
 def l29(t: Tables) -> DataFrame:
-    p = predictions(t).select("fold", "turnover", "momentum_1m", "y", "beta").cache()
+    p = settled(predictions(t).select("fold", *K, "turnover", "momentum_1m", "y", "beta"))
     predict = lambda d: d.withColumn("prediction", F.get("beta", F.lit(0)) + F.get("beta", F.lit(1)) * F.col("momentum_1m") + F.get("beta", F.lit(2)) * F.col("turnover"))
-    return L.permutation_importance(p, ["fold"], ["momentum_1m", "turnover"], "y", predict)
+    return L.permutation_importance(p, ["fold"], K, ["momentum_1m", "turnover"], "y", predict).withColumn("importance", F.round("importance", 6))
 
 
 DRIFT = "WITH r AS (SELECT o_totalprice AS x FROM orders WHERE o_orderkey % 2 = 0), c AS (SELECT o_totalprice * 1.1 AS x FROM orders WHERE o_orderkey % 2 = 1), u AS (SELECT x, 1 AS a, 0 AS b FROM r UNION ALL SELECT x, 0, 1 FROM c), g AS (SELECT x, sum(a) AS a, sum(b) AS b FROM u GROUP BY x), k AS (SELECT x, abs(sum(a) OVER (ORDER BY x) / (SELECT count(*) FROM r) - sum(b) OVER (ORDER BY x) / (SELECT count(*) FROM c)) AS gap, lead(x) OVER (ORDER BY x) - x AS dx FROM g) SELECT 'x' AS feature, round((SELECT avg(x) FROM c) - (SELECT avg(x) FROM r), 2) AS mean_shift, round(max(gap), 6) AS ks, round(sum(gap * dx), 2) AS wasserstein FROM k"

@@ -282,9 +282,18 @@ def priced(t: Tables) -> DataFrame:
     return out.dropna(subset=REGRESSORS)
 
 
-def grid_fits(t: Tables) -> DataFrame:
-    """Every formed asset under every registered model, on one matched sample."""
-    return R.model_fits(priced(t), ["asset"], "y", REGRESSORS, R.MODELS).filter("n > 6")
+def grid_fits(t: Tables, own: dict[str, tuple[str, ...]] | None = None) -> DataFrame:
+    """Every formed asset under every registered model and those of the caller's own, on one matched sample."""
+    return R.model_fits(priced(t), ["asset"], "y", REGRESSORS, R.registered(own or {}, REGRESSORS)).filter("n > 6")
+
+
+OWN = {"MARKET_MOMENTUM": ("market", "momentum")}
+
+
+@query("i29_custom_model", "SELECT 'MARKET_MOMENTUM' AS model, asset, n, round(alpha, 6) AS alpha, round(1 - rss / tss, 6) AS r2 FROM (SELECT asset, count(*) AS n, max(a) AS alpha, sum(pow(y - a * c, 2)) AS rss FROM (SELECT *, sum(y * c) OVER w / sum(c * c) OVER w AS a FROM vo2_ WINDOW w AS (PARTITION BY asset)) GROUP BY 1) JOIN (SELECT asset, var_pop(y) * count(*) AS tss FROM pf_ GROUP BY 1) USING (asset) WHERE n > 6", PRICED | orthogonal("vo", ["market", "momentum"]))
+def i29_own(t: Tables) -> DataFrame:
+    fits = grid_fits(t, OWN).filter(F.col("model").isin(*OWN))
+    return fits.select("model", "asset", "n", F.round(F.get("beta", F.lit(0)), 6).alias("alpha"), F.round("r2", 6).alias("r2"))
 
 
 @query("i29_pricing_grid", "SELECT model, asset, n, round(alpha, 6) AS alpha, round(se, 6) AS se, round(hac_se, 6) AS hac_se, round(r2, 6) AS r2, round(adj_r2, 6) AS adj_r2 FROM grid_", GRID)

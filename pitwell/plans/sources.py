@@ -133,17 +133,27 @@ register("a14_filing_header_fields", lambda t: X.filing_headers(submissions(t),
 register("a15_inventory_reconcile", lambda t: A.reconcile_inventories(t.customer.filter("c_custkey % 3 <> 0"), t.customer.filter("c_custkey % 5 <> 0"), "c_custkey", "c_mktsegment", "BUILDING").groupBy("reason").agg(F.count("*").alias("n")), "SELECT CASE WHEN c_custkey % 5 = 0 THEN 'missing_in_second' WHEN c_custkey % 3 = 0 THEN 'missing_in_first' WHEN c_mktsegment <> 'BUILDING' THEN 'other_class' ELSE 'selected' END AS reason, count(*) AS n FROM customer WHERE NOT (c_custkey % 3 = 0 AND c_custkey % 5 = 0) GROUP BY 1")
 
 
-@query("a16_immutable_publish", "SELECT count(*) AS rows, true AS same, true AS refused FROM orders")
+_SUMS = "count(*) AS rows, round(sum({p}o_totalprice), 2) AS total, min(o_orderkey) AS first, max(o_orderkey) AS last, count(DISTINCT o_custkey) AS customers"
+
+
+def order_sums(df: DataFrame) -> DataFrame:
+    return df.agg(F.count("*").alias("rows"), F.round(F.sum("o_totalprice"), 2).alias("total"), F.min("o_orderkey").alias("first"), F.max("o_orderkey").alias("last"), F.count_distinct("o_custkey").alias("customers"))
+
+
+@query("a16_immutable_publish", f"SELECT 'as published' AS step, true AS taken, {_SUMS.format(p='')} FROM orders UNION ALL SELECT 'the same again', true, {_SUMS.format(p='')} FROM orders UNION ALL SELECT 'other content', false, {_SUMS.format(p='')} FROM orders UNION ALL SELECT 'other place', true, {_SUMS.format(p='-')} FROM orders")
 def a16(t: Tables) -> DataFrame:
-    """Published twice (same content) and once with other content, which is refused."""
-    path = K.new_folder(t.spark, "a16")
-    same = K.publish(t.orders, path) == K.publish(t.orders, path)
-    try:
-        K.publish(t.orders.withColumn("o_totalprice", -F.col("o_totalprice")), path)
-        refused = False
-    except JoinError:
-        refused = True
-    return t.spark.read.parquet(path).agg(F.count("*").alias("rows")).select("rows", F.lit(same).alias("same"), F.lit(refused).alias("refused"))
+    """What stands at a path after each attempt to publish there: other content never replaces what was published."""
+    path, other = K.new_folder(t.spark, "a16"), K.new_folder(t.spark, "a16")
+    changed = t.orders.withColumn("o_totalprice", -F.col("o_totalprice"))
+    out = None
+    for step, df, at in (("as published", t.orders, path), ("the same again", t.orders.orderBy("o_custkey"), path), ("other content", changed, path), ("other place", changed, other)):
+        try:
+            taken = bool(K.publish(df, at))
+        except JoinError:
+            taken = False
+        now = order_sums(t.spark.read.parquet(at)).select(F.lit(step).alias("step"), F.lit(taken).alias("taken"), "*")
+        out = now if out is None else out.unionByName(now)
+    return out
 
 
 @query("a23_quarantine_sink", "SELECT o_orderkey, CASE WHEN o_totalprice > 200000 THEN 'PRICE' END AS reason FROM orders")
@@ -153,7 +163,22 @@ def a23(t: Tables) -> DataFrame:
     return good.select("o_orderkey", F.lit(None).cast("string").alias("reason")).unionByName(t.spark.read.parquet(path).select("o_orderkey", "reason"))
 
 
-register("a17_content_fingerprint", lambda t: K.fingerprint(t.orders).select("rows", (F.col("content_id") == K.fingerprint(t.orders.orderBy(F.col("o_orderkey").desc())).first().content_id).alias("same")), "SELECT count(*) AS rows, true AS same FROM orders")
+
+
+@query("a17_content_fingerprint", """WITH r AS (SELECT n_nationkey, n_name, n_regionkey, '{"n_name":"' || n_name || '","n_nationkey":' || n_nationkey || ',"n_regionkey":' || n_regionkey || '}' AS j FROM nation),
+p AS (SELECT n_regionkey, ('0x' || sha256(j)[1:15])::HUGEINT AS part FROM r), s AS (SELECT n_regionkey, count(*) AS rows, sum(part)::HUGEINT AS s FROM p GROUP BY 1)
+SELECT n_regionkey AS region, rows, sha256(rows || '|' || s || '|' || '[(''n_name'', ''string''), (''n_nationkey'', ''{key}''), (''n_regionkey'', ''{region}'')]') AS content_id FROM s""".replace("{key}", "bigint").replace("{region}", "bigint"))
+def a17(t: Tables) -> DataFrame:
+    """The identity of each region's nations: from their content alone, whatever the order of rows and columns."""
+    nations = t.nation.select("n_regionkey", F.col("n_nationkey").cast("long").alias("n_nationkey"), "n_name").orderBy(F.col("n_name").desc())
+    out = None
+    for key in sorted(r.n_regionkey for r in nations.select("n_regionkey").distinct().collect()):
+        one = nations.filter(F.col("n_regionkey") == key).withColumn("n_regionkey", F.col("n_regionkey").cast("long"))
+        found = K.fingerprint(one).select(F.lit(key).cast("long").alias("region"), "rows", "content_id")
+        out = found if out is None else out.unionByName(found)
+    return out
+
+
 register("a18_filtered_factor_read", lambda t: K.filtered_read(t.spark, f"{t.sf_dir}/lineitem.parquet", ["l_orderkey", "l_quantity"], F.col("l_returnflag") == "R"), "SELECT l_orderkey, l_quantity FROM lineitem WHERE l_returnflag = 'R'")
 
 

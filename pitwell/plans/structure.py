@@ -81,7 +81,9 @@ register("c10_membership_semi_join", lambda t: J.semi(t.orders, t.customer.filte
 @query("c11_endpoint_gather", 'SELECT s.security_id, start AS entry, "end" AS exit, round(b.price / a.price - 1, 8) AS path_return FROM intervals JOIN (SELECT DISTINCT security_id FROM panel_m) s ON true LEFT JOIN panel_m a ON a.security_id = s.security_id AND a.date = start LEFT JOIN panel_m b ON b.security_id = s.security_id AND b.date = "end"')
 def c11(t: Tables) -> DataFrame:
     names = t.panel_m.select("security_id").distinct()
-    iv = names.join(F.broadcast(t.intervals.select(F.col("start").alias("entry"), F.col("end").alias("exit"))))
+    # One row holds the intervals, a few for each year, and is made rows again beside each name.
+    listed = t.intervals.agg(F.collect_list(F.struct(F.col("start").alias("entry"), F.col("end").alias("exit"))).alias("iv"))
+    iv = names.crossJoin(F.broadcast(listed)).select("security_id", F.inline("iv"))
     return J.endpoint_return(iv, t.panel_m, "security_id").select("security_id", "entry", "exit", F.round("path_return", 8).alias("path_return"))
 
 
@@ -213,8 +215,7 @@ def d21(t: Tables) -> DataFrame:
 
 @query("d22_missing_sessions", "SELECT s.security_id, d.date FROM (SELECT DISTINCT security_id FROM panel_m) s, (SELECT DISTINCT date FROM panel_m) d WHERE NOT EXISTS (SELECT 1 FROM panel_m p WHERE p.security_id = s.security_id AND p.date = d.date)")
 def d22(t: Tables) -> DataFrame:
-    grid = t.panel_m.select("security_id").distinct().join(F.broadcast(t.panel_m.select("date").distinct()))
-    return J.anti(grid, t.panel_m.select("security_id", "date"), ["security_id", "date"])
+    return W.missing_sessions(t.panel_m, "security_id")
 
 
 register("d24_month_gap_count", lambda t: A.month_gaps(t.panel_m, ["security_id"], "date"), "SELECT security_id, count(*) FILTER (m - lag <> 1) AS gaps FROM (SELECT security_id, year(date) * 12 + month(date) AS m, lag(year(date) * 12 + month(date)) OVER (PARTITION BY security_id ORDER BY date) AS lag FROM panel_m) GROUP BY 1")
