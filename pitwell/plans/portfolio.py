@@ -339,7 +339,7 @@ def h02(t: Tables) -> DataFrame:
 
 
 REBUILT = FORMED | {
-    "counted_": "SELECT s.factor_id, s.date, s.security_id, count(*) FILTER (o.score < s.score OR o.score = s.score AND o.security_id < s.security_id) + 1 AS k, count(*) AS n FROM scores_ s JOIN scores_ o ON o.factor_id = s.factor_id AND o.date = s.date WHERE s.score IS NOT NULL AND o.score IS NOT NULL GROUP BY 1, 2, 3",
+    "counted_": "SELECT s.factor_id, s.date, s.security_id, count(*) FILTER (o.score < s.score OR o.score = s.score AND o.security_id < s.security_id) + 1 AS k, count(*) AS n FROM score1_ s JOIN score1_ o ON o.factor_id = s.factor_id AND o.date = s.date WHERE s.score IS NOT NULL AND o.score IS NOT NULL GROUP BY 1, 2, 3",
     "again_": "SELECT factor_id, date, security_id, least(3, greatest(1, ceil(k / n * 3)))::BIGINT AS again FROM counted_",
 }
 
