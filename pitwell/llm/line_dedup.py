@@ -1,19 +1,21 @@
-"""Operator 6: repeated line runs by distributed prefix doubling over line ids.
-
-Suffixes of the corpus' line-id sequences are named by their first 1, 2, 4, ...
-lines: the name of 2k lines is a digest of the names of k lines at a line and k
-lines further on. Only suffixes whose name occurs twice go on, so that rounds
-shrink quickly; they end when no run repeats any more, however long runs are.
-Suffixes of one name form an interval of the suffix array whose longest common
-prefix has that many lines at least; the first place of each (smallest doc_id,
-line) stays. Two names that overlap tell a run of any length, so that intervals
-of every length are known from the rounds.
-
-What goes: a line with a word whose content stands earlier, and lines without a
-word between two such lines where the whole stretch, from word line to word
-line, stands earlier: together the maximal repeated runs, which begin and end
-with a word. Lines without a word are never repeats by themselves. Names are 128
-bits of SHA-256.
+"""Operator 6: repeated line runs by a suffix array over line ids, ranked by distributed prefix doubling.
+
+A document is the sequence of its lines with a word; what stands between two of
+them (lines without a word) belongs to the step from one to the next. Line ids are
+ranks of the lines' digests. Doubling ranks the suffixes of all sequences by their
+first 1, 2, 4, ... lines: the pairs (rank at a line, step, rank k lines further on)
+are sorted over the cluster and numbered in that order, so that equal prefixes share
+a rank and ranks rise along the suffix array. A rank that only one suffix has can
+never repeat and falls out, so rounds shrink quickly. Once the ranks reach the least
+run asked for, neighbours of one rank are an interval whose common prefixes have that
+many lines; its first place (smallest doc_id, line) stays, all others are later
+copies. Later copies that touch or overlap are one maximal run, and runs are deleted.
+Longer prefixes decide nothing more, so doubling ends there, however long runs are.
+
+`least` counts lines with a word. With 1, a line with a word goes if it stands
+earlier, and the lines without a word after it go if the whole stretch to the next
+line with a word stands earlier. Lines without a word are never repeats by
+themselves. Line ids are 128 bits of SHA-256.
 
 Defined results: lines are split at \\n; a null text has no line, an empty text
 has one empty line; runs never cross documents; rows of one doc_id with different
@@ -30,82 +32,82 @@ from pyspark.sql import functions as F
 from pitwell.llm.shared import documents, spread_join, stored, told_apart
 
 WORDED = r"[^\x20\x09-\x0D]"
+LEAST_RUN = 1
 
 
 def digest(text: Column) -> Column:
-    return F.unhex(F.substring(F.sha2(text, 256), 1, 32))
-
-
-def line_table(docs: DataFrame) -> DataFrame:
-    """doc_id, line (from 0), name (digest of its content), word (whether it has one)."""
-    named = F.transform(F.split("text", "\n", -1), lambda x: F.struct(digest(x).alias("name"), x.rlike(WORDED).alias("word")))
-    return docs.select("doc_id", F.posexplode(named).alias("line", "x")).select("doc_id", "line", "x.name", "x.word").distinct()
-
-
-def shared_names(suffixes: DataFrame) -> DataFrame:
-    """Suffixes whose name occurs at two places or more, with the first place."""
-    names = suffixes.groupBy("name").agg(F.count("*").alias("n"), F.min(F.struct("doc_id", "line")).alias("first")).filter("n > 1")
-    names = stored(names.select(F.hex("name").alias("hex"), "n", "first"), "op6-names")
-    return spread_join(suffixes.withColumn("hex", F.hex("name")), names, "hex").drop("hex", "n")
-
-
-def doubled(shared: DataFrame, lines: int) -> DataFrame:
-    """Names of 2 * lines lines from names of lines lines; suffixes without a shared second half fall out."""
-    ahead = shared.select("doc_id", (F.col("line") - lines).cast("int").alias("line"), F.col("name").alias("next"))
-    both = shared.select("doc_id", "line", "name").join(ahead, ["doc_id", "line"])
-    return both.select("doc_id", "line", digest(F.concat("name", "next")).alias("name"))
-
-
-def intervals(lines: DataFrame) -> list[DataFrame]:
-    """For 1, 2, 4, ... lines: doc_id, line, name, first of the suffixes that share so many lines with another; the last one is empty."""
-    rounds, suffixes, length = [], lines, 1
-    while not rounds or not rounds[-1].isEmpty():
-        rounds.append(stored(shared_names(suffixes), "op6-round"))
-        suffixes, length = doubled(rounds[-1], length), 2 * length
-    return rounds
-
-
-def later_lines(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(doc_id, low, high) of the stretches of lines to delete, and doc_id with shared_run, the power of two of lines that its longest shared run has at least."""
-    lines = stored(line_table(docs), "op6-lines")
-    rounds = intervals(lines)
-    later = F.col("first") != F.struct("doc_id", "line")
-    singles = rounds[0].filter(later & F.col("word")).select("doc_id", F.col("line").alias("low"), F.col("line").alias("high"))
-    # Stretches from a word line over lines without a word to the next word line.
-    up = Window.partitionBy("doc_id").orderBy("line")
-    gaps = lines.filter("word").select("doc_id", "line", F.lead("line").over(up).alias("end")).filter("end > line + 1")
-    gaps = gaps.select("doc_id", "line", "end", (F.col("end") - F.col("line") + 1).alias("lines"))
-    level = F.length(F.bin(F.col("lines").cast("long"))) - 1
-    names = None
-    for k, r in enumerate(rounds[:-1]):
-        named = r.select(F.lit(k).alias("level"), "doc_id", "line", "name")
-        names = named if names is None else names.unionByName(named)
-    if names is None:
-        return singles, rounds[0].select("doc_id", F.lit(0).cast("long").alias("shared_run"))
-    gaps = gaps.withColumn("level", level).join(names.withColumnRenamed("name", "head"), ["level", "doc_id", "line"])
-    gaps = gaps.withColumn("at", (F.col("end") + 1 - F.expr("shiftleft(1, level)")).cast("int"))
-    gaps = gaps.join(names.select("level", "doc_id", F.col("line").alias("at"), F.col("name").alias("tail")), ["level", "doc_id", "at"])
-    gaps = stored(gaps.select("doc_id", "line", "end", digest(F.concat(F.encode(F.col("lines").cast("string"), "utf-8"), "head", "tail")).alias("name")), "op6-gaps")
-    again = stored(shared_names(gaps), "op6-stretches").filter(later)
-    stretches = again.select("doc_id", (F.col("line") + 1).alias("low"), (F.col("end") - 1).alias("high"))
-    longest = names.groupBy("doc_id").agg(F.expr("cast(shiftleft(1, max(level)) as long)").alias("shared_run"))
-    return singles.unionByName(stretches), longest
-
-
-def drop_lines(docs: DataFrame) -> DataFrame:
-    """doc_id, lines, kept (arrays), shared_run: documents without the later copies of repeated runs."""
+    return F.substring(F.sha2(text, 256), 1, 32)
+
+
+def line_table(docs: DataFrame, step: int) -> DataFrame:
+    """doc_id, place (among lines with a word, from 0), line (from 0), stop (the line `step` places further on), name, gap (what follows before the next one; empty: nothing)."""
+    # The array of lines is one column, so that it isn't split anew for each line.
+    split = docs.filter("text IS NOT NULL").select("doc_id", F.split("text", "\n", -1).alias("lines"))
+    numbered = F.transform("lines", lambda x, i: F.when(x.rlike(WORDED), i))
+    split = split.select("doc_id", "lines", F.array_compact(numbered).alias("at"))
+
+    def unit(i: Column, place: Column) -> Column:
+        after = F.get("at", place + 1)
+        between = F.when(after > i + 1, digest(F.array_join(F.slice("lines", i + 2, after - i - 1), "\n"))).otherwise("")
+        return F.struct(place.alias("place"), i.alias("line"), F.get("at", place + step).alias("stop"), digest(F.get("lines", i)).alias("name"), between.alias("gap"))
+
+    return split.select("doc_id", F.explode(F.transform("at", unit)).alias("x")).select("doc_id", "x.*").distinct()
+
+
+def ranked(windows: DataFrame, keys: list[str]) -> DataFrame:
+    """doc_id, place, rank, first of the windows that stand at two places or more; ranks rise in the order of the keys."""
+    names = windows.groupBy(*keys).agg(F.count("*").alias("n"), F.min(F.struct("doc_id", "place")).alias("first")).filter("n > 1")
+    names = stored(names.orderBy(*keys).withColumn("rank", F.monotonically_increasing_id()), "op6-ranks")
+    return stored(spread_join(windows, names, keys).select("doc_id", "place", "rank", "first"), "op6-windows")
+
+
+def paired(ranks: DataFrame, ahead: int) -> DataFrame:
+    """doc_id, place, here, then: the ranks at a place and `ahead` places further on."""
+    other = ranks.select("doc_id", (F.col("place") - ahead).cast("int").alias("place"), F.col("rank").alias("then"))
+    return ranks.select("doc_id", "place", F.col("rank").alias("here")).join(other, ["doc_id", "place"])
+
+
+def suffix_ranks(lines: DataFrame, sizes: list[int]) -> dict[int, DataFrame]:
+    """For each of the sizes: doc_id, place, rank, first of the suffixes that share their first lines, so many, with another."""
+    now, length, out = ranked(lines, ["name"]), 1, {}
+    for size in sorted(set(sizes)):
+        while 2 * length <= size:
+            steps = lines.select("doc_id", (F.col("place") - (length - 1)).cast("int").alias("place"), "gap")
+            now, length = ranked(paired(now, length).join(steps, ["doc_id", "place"]), ["here", "gap", "then"]), 2 * length
+        # Two overlapping prefixes cover any length between two powers of two.
+        out[size] = now if size == length else ranked(paired(now, size - length), ["here", "then"])
+    return out
+
+
+def later_runs(docs: DataFrame, least: int = LEAST_RUN) -> DataFrame:
+    """doc_id, low, high: the maximal runs of lines that are later copies."""
+    sizes = sorted({least, max(least, 2)})
+    lines = stored(line_table(docs, sizes[-1] - 1), "op6-lines")
+    covered = None
+    for size, ranks in suffix_ranks(lines, sizes).items():
+        again = ranks.filter(F.col("first") != F.struct("doc_id", "place")).select("doc_id", "place")
+        high = "line" if size == 1 else "stop"
+        part = again.join(lines.select("doc_id", "place", F.col("line").alias("low"), F.col(high).alias("high")), ["doc_id", "place"]).select("doc_id", "low", "high")
+        covered = part if covered is None else covered.unionByName(part)
+    up = Window.partitionBy("doc_id").orderBy("low", "high")
+    reach = F.max("high").over(up.rowsBetween(Window.unboundedPreceding, -1))
+    runs = covered.withColumn("run", F.coalesce(F.col("low") > reach + 1, F.lit(True)).cast("int")).withColumn("run", F.sum("run").over(up))
+    return runs.groupBy("doc_id", "run").agg(F.min("low").alias("low"), F.max("high").alias("high")).drop("run")
+
+
+def drop_lines(docs: DataFrame, least: int = LEAST_RUN) -> DataFrame:
+    """doc_id, lines, kept (arrays), runs (low, high of each run deleted): documents without the later copies of repeated runs."""
     docs, out = told_apart(docs)
-    later, longest = later_lines(docs)
-    marks = later.groupBy("doc_id").agg(F.collect_set(F.struct("low", "high")).alias("runs")).join(longest, "doc_id", "full")
-    marks = marks.select(F.col("doc_id").alias("marked"), "runs", "shared_run")
-    joined = docs.select("doc_id", "text").join(marks, F.col("doc_id") == F.col("marked"), "left")
-    gone = F.flatten(F.transform("runs", lambda r: F.sequence(r["low"], r["high"])))
+    marks = later_runs(docs, least).groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("low", "high"))).alias("runs"))
+    joined = docs.select("doc_id", "text").join(marks.withColumnRenamed("doc_id", "marked"), F.col("doc_id") == F.col("marked"), "left")
     lines = F.when(F.col("text").isNull(), F.array().cast("array<string>")).otherwise(F.split("text", "\n", -1))
-    joined = joined.select(out.alias("doc_id"), lines.alias("lines"), F.coalesce(gone, F.array().cast("array<int>")).alias("gone"), F.coalesce("shared_run", F.lit(0)).cast("long").alias("shared_run"))
-    # Flags by place, so that the kept lines need no search in `gone` for each line.
-    flags = F.map_from_entries(F.transform("gone", lambda g: F.struct(g.alias("k"), F.lit(True).alias("v"))))
-    kept = F.when(F.size("gone") == 0, F.col("lines")).otherwise(F.filter("lines", lambda x, i: F.isnull(F.element_at(F.col("flags"), i))))
-    return joined.withColumn("flags", flags).select("doc_id", "lines", kept.alias("kept"), "shared_run")
+    joined = joined.select(out.alias("doc_id"), lines.alias("lines"), "runs")
+    # What stays are the stretches between runs.
+    low = F.concat(F.array(F.lit(0)), F.transform("runs", lambda x: x["high"] + 1))
+    high = F.concat(F.transform("runs", lambda x: x["low"]), F.array(F.size("lines")))
+    stays = F.flatten(F.transform(F.arrays_zip(low.alias("low"), high.alias("high")), lambda x: F.slice("lines", x["low"] + 1, x["high"] - x["low"])))
+    none = F.array().cast("array<struct<low: int, high: int>>")
+    return joined.select("doc_id", "lines", F.when(F.col("runs").isNull(), F.col("lines")).otherwise(stays).alias("kept"), F.coalesce("runs", none).alias("runs"))
 
 
 def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -259,8 +259,8 @@ def test_language_many_grams():
         assert np.allclose(got[i], language_id.Letters().bundle([t])[0][0], atol=1e-6)
 
 
-def plain_line_dedup(texts):
-    """Deletes what the longest earlier copy of a run covers, where runs begin and end with a word."""
+def plain_line_dedup(texts, least=1):
+    """Deletes what the longest earlier copy of a run covers, where runs begin and end with a word and have `least` lines with one."""
     lines = [t.split("\n") if t is not None else [] for t in texts]
     seen, out = set(), []
     for x in lines:
@@ -268,20 +268,35 @@ def plain_line_dedup(texts):
         for i in range(len(x)):
             for j in range(i + 1, len(x) + 1):
                 run = tuple(x[i:j])
-                if word[i] and word[j - 1] and run in seen:
+                if word[i] and word[j - 1] and sum(word[i:j]) >= least and run in seen:
                     gone.update(range(i, j))
                 seen.add(run)
         out.append([y for k, y in enumerate(x) if k not in gone])
     return out
 
 
-def test_lines(spark):
+@pytest.mark.parametrize("least", (1, 2, 3, 5, 8))
+def test_lines(spark, least):
     nine = [f"line {i}" if i % 4 else "" for i in range(1, 10)]
     more = ["\n".join(nine), "x\n" + "\n".join(nine[2:7]) + "\ny", "\n".join(nine) + "\nz", "a\n\nb\n\n\nc", "a\n\nb\n\nc", "q\n\n\nq", "b\n\n\nc\n", "a\n \nb", "one line that stands alone", "k\none line that stands alone\nm"]
     more += ["\n".join(r.choice(["u", "v", "", " ", "w w"]) for _ in range(r.randint(1, 14))) for _ in range(30)]
     texts = TEXTS + more
-    got = by_id(line_dedup.drop_lines(table(spark, texts)))
-    assert {i: x.kept for i, x in got.items()} == dict(enumerate(plain_line_dedup(texts)))
+    got = by_id(line_dedup.drop_lines(table(spark, texts), least))
+    assert {i: x.kept for i, x in got.items()} == dict(enumerate(plain_line_dedup(texts, least)))
+
+
+def test_line_runs(spark):
+    """A run of 5 lines nested in one of 9 is one maximal run of each copy; the least run decides what counts."""
+    nine = [f"line {i}" for i in range(9)]
+    texts = ["\n".join(nine), "\n".join(["x", *nine[2:7], "y"]), "\n".join(["z", *nine, *nine[:2]])]
+    runs = {n: [[tuple(x) for x in d.runs] for _, d in sorted(by_id(line_dedup.drop_lines(table(spark, texts), n)).items())] for n in (1, 3, 6, 10)}
+    assert runs == {1: [[], [(1, 5)], [(1, 11)]], 3: [[], [(1, 5)], [(1, 9)]], 6: [[], [], [(1, 9)]], 10: [[], [], []]}
+
+
+def test_many_equal_lines(spark):
+    n = 50_000
+    got = by_id(line_dedup.drop_lines(table(spark, ["same\n" * n, "other"])))
+    assert got[0].kept == ["same", ""] and [tuple(x) for x in got[0].runs] == [(1, n - 1)] and got[1].kept == ["other"]
 
 
 @pytest.mark.parametrize("run", (lambda d: line_dedup.drop_lines(d), lambda d: substring_dedup.without_repeats(d), lambda d: suffix_dedup.without_repeats(d)))
