@@ -6,7 +6,8 @@ gazetteer, context, border) vote yes, no or nothing on each candidate and each
 base span. Spark counts how often each combination of votes occurs for each
 kind, at most 5 x 3**5 rows whatever the input; expectation-maximisation over
 that table estimates the labelers' reliabilities and the probability that a
-combination is personal data, and a logistic span classifier is trained on
+combination is personal data (with a prior belief that labelers are rather right than
+wrong, so that the two classes keep their meaning where nearly all spans are of one), and a logistic span classifier is trained on
 those probabilities, weighted by the counts. Candidates that the classifier
 accepts and that touch no base span are added. Credentials (keys, tokens and
 passwords) are a fifth kind that has candidates only; they are reported beside
@@ -49,17 +50,19 @@ LOOSE = {
     "phone": re.compile(r"\+[0-9]{1,3} ?\([0-9]{2,4}\) ?[0-9]{3,4}[ .-][0-9]{4}(?![0-9])|\+[0-9]{1,3}(?:[ .-][0-9]{2,4}){2,3}(?![.0-9])|(?<![0-9+])(?:\([0-9]{3}\) ?|[0-9]{3}[.-])[0-9]{3}[.-][0-9]{4}(?![0-9])"),
 }
 #: A credential: a quoted or assigned word of many letters and digits, or one with a well-known beginning.
-LOOSE_SECRET = re.compile(r"(?<![A-Za-z0-9_+/=-])[A-Za-z0-9_+/-]{16,512}={0,2}(?![A-Za-z0-9_+/=-])")
+LOOSE_SECRET = re.compile(r"(?<![A-Za-z0-9_+/-])[A-Za-z0-9_+/-]{16,512}={0,2}(?![A-Za-z0-9_+/=-])")
 #: Beginnings of keys of public services, and words that name a credential.
 KEY_STARTS = ("AKIA", "ASIA", "ghp_", "gho_", "ghs_", "github_pat_", "glpat-", "xoxb-", "xoxp-", "sk-", "sk_live_", "pk_live_", "AIza", "eyJ")
 SECRET_WORDS = re.compile(r"(?:token|secret|passw(?:or)?d|passwd|pwd|api[_-]?key|access[_-]?key|private[_-]?key|credential|bearer|authorization)", re.I)
 ASSIGNED = re.compile(r"(?:=|:|=>)\s*[\"'`]?$")
+#: The ten digits of a North American number, without the country's.
+NATIONAL = re.compile(r"(?:\([2-9][0-9]{2}\) ?|[2-9][0-9]{2}[.-])[2-9][0-9]{2}[.-][0-9]{4}")
 HEX = re.compile(r"(?:[0-9a-f]{32}|[0-9a-f]{40}|[0-9a-f]{56}|[0-9a-f]{64})", re.I)
 LAYOUT = {
     "email": re.compile(r".{1,64}@[A-Za-z0-9.-]*[A-Za-z0-9]\.[A-Za-z]{2,24}|.*\b(?:at)\b.*", re.I),
     "ip": re.compile(r"(?:(?:0|[1-9][0-9]{0,2})\.){3}(?:0|[1-9][0-9]{0,2})"),
     "card": re.compile(r"(?:[0-9]{4}([ -]?)[0-9]{4}\1[0-9]{4}\1[0-9]{4})|[0-9]{13,16}|[0-9]{4}[ -][0-9]{6}[ -][0-9]{5}"),
-    "phone": re.compile(r"\+[0-9]{1,3}[ .-]?(?:\([0-9]{2,4}\)|[0-9]{2,4})(?:[ .-]?[0-9]{2,4}){1,4}"),
+    "phone": re.compile(r"\+[0-9]{1,3}[ .-]?(?:\([0-9]{2,4}\)|[0-9]{2,4})(?:[ .-]?[0-9]{2,4}){1,4}|" + NATIONAL.pattern),
 }
 #: Common endings of mail domains, first digits of card issuers, words that stand near personal data or near plain numbers.
 ENDINGS = ("com", "org", "net", "edu", "gov", "io", "co", "info", "de", "fr", "es", "uk", "eu", "us", "ca", "it", "nl", "ch", "at")
@@ -71,12 +74,16 @@ NEAR = {
     "phone": re.compile(r"\b(?:phone|tel|telephone|mobile|cell|fax|call|whatsapp|telefon|téléphone|teléfono)\b"),
 }
 FAR_WORDS = re.compile(r"\b(?:version|isbn|issn|doi|order|invoice|serial|build|commit|page|id|sha|hash)\b")
-REGION = re.compile(r"[+0-9][+0-9 ().-]*")
+REGION = re.compile(r"[+(0-9][+0-9 ().-]*")
 LOCAL = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-"
 DOMAIN = re.compile(r"[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)+")
 NEAR_CHARS = 40
 LABELERS = ("pattern", "layout", "gazetteer", "context", "border")
 EM_STEPS = 50
+#: What is believed beforehand, as a share of all rows: how often spans that aren't personal data, and spans that are, get -1, 0, 1
+#: from the pattern labeler, which runs checks, and from the others.
+CHECKS, HINTS = ((0.9, 0.05, 0.05), (0.05, 0.05, 0.9)), ((0.5, 0.3, 0.2), (0.2, 0.3, 0.5))
+BELIEF, BELIEF_SHARE = np.array([[c, *[h] * (len(LABELERS) - 1)] for c, h in zip(CHECKS, HINTS)]), 0.3
 
 
 def digits(s: str) -> str:
@@ -140,7 +147,8 @@ def found_spans(text: str) -> tuple[list[tuple[int, int, str]], list[tuple[int,
                 continue
             base += [(a + m.start(), a + m.end(), kind) for m in BASE[kind].finditer(part) if valid(kind, m.group())]
         for kind in ("ip", "card", "phone"):
-            loose += [(a + m.start(), a + m.end(), kind) for m in LOOSE[kind].finditer(part)]
+            # A number that fails its checksum or range is none, whatever stands around it.
+            loose += [(a + m.start(), a + m.end(), kind) for m in LOOSE[kind].finditer(part) if kind == "phone" or valid(kind, m.group())]
     for m in LOOSE_SECRET.finditer(text):
         word = m.group()
         if word.startswith(KEY_STARTS) or any(map(str.isdigit, word)) and any(map(str.isalpha, word)):
@@ -155,7 +163,7 @@ def found_spans(text: str) -> tuple[list[tuple[int, int, str]], list[tuple[int,
 def secret_votes(text: str, start: int, end: int) -> tuple[int, ...]:
     s, before = text[start:end], text[max(0, start - NEAR_CHARS) : start]
     kinds = sum(any(map(f, s)) for f in (str.isdigit, str.islower, str.isupper))
-    pattern = 1 if HEX.fullmatch(s) or kinds == 3 and len(set(s)) >= 12 else -1
+    pattern = 1 if HEX.fullmatch(s) or s.startswith(KEY_STARTS) or kinds == 3 and len(set(s)) >= 12 else -1
     layout = 1 if ASSIGNED.search(before) else -1
     gazetteer = 1 if s.startswith(KEY_STARTS) else 0
     context = 1 if SECRET_WORDS.search(before) else -1
@@ -169,7 +177,7 @@ def votes(text: str, start: int, end: int, kind: str) -> tuple[int, ...]:
         return secret_votes(text, start, end)
     s = text[start:end]
     full = BASE[kind].fullmatch(s)
-    pattern = 1 if full and valid(kind, s) else -1
+    pattern = 1 if full and valid(kind, s) or kind == "phone" and NATIONAL.fullmatch(s) else -1
     layout = 1 if LAYOUT[kind].fullmatch(s) else -1
     d = digits(s)
     if kind == "email":
@@ -206,8 +214,8 @@ class SpanModel:
         y = np.clip(0.5 + 0.3 * v[:, 0] + 0.15 * v[:, 1:].mean(axis=1), 0.02, 0.98)
         for _ in range(EM_STEPS):
             chance = []
-            for r in (1 - y, y):
-                held = np.einsum("i,ijk->jk", n * r, one_hot) + 1.0
+            for r, belief in zip((1 - y, y), BELIEF):
+                held = np.einsum("i,ijk->jk", n * r, one_hot) + belief * (1 + BELIEF_SHARE * n.sum())
                 chance.append(held / held.sum(axis=1, keepdims=True))
             prior = ((n * y).sum() + 1) / (n.sum() + 2)
             logs = [np.einsum("ijk,jk->i", one_hot, np.log(c)) for c in chance]
