@@ -9,7 +9,8 @@ import pytest
 import __spark_entry__ as entry
 
 DATA = "/root/testdata/sf0.001"
-SAMPLE = ("a10_column_arrays_to_rows", "a16_immutable_publish", "a23_quarantine_sink", "i09_rolling_hac", "b02_daily_market_rules", "b06_calendar_coverage", "b25_lineage_graph_check", "b29_temporal_fold_audit", "b30_benchmark_conflict", "h02_holding_coverage_gate", "i01_holding_period_market", "i02_research_panel", "i20_white_test", "i28_self_exclusion_refit", "i29_pricing_grid", "d25_paired_model_difference", "l38_economic_check", "b10_mapping_overlap_conflicts", "c01_pit_asof_panel", "c03_effective_dated_lookup", "c06_holding_interval_join", "d03_prior_year_lags", "e09_quote_chain_verify", "e12_forward_targets_frame",
+SAMPLE = ("a12_tagged_html_facts", "a13_xml_instance_facts", "a13_rejected_instances", "a14_filing_header_fields", "a17_content_fingerprint", "b13_succession_graph_check", "c15_constituent_overlap", "d22_missing_sessions", "h06_membership_rebuild_check", "i09_rolling_models", "i10_expanding_models", "i23_adf_unit_root", "i23_adf_fixed_lag", "i29_custom_model", "l12_assign_and_purge", "l17_saved_pipeline", "l29_permutation_importance",
+          "a10_column_arrays_to_rows", "a16_immutable_publish", "a23_quarantine_sink", "i09_rolling_hac", "b02_daily_market_rules", "b06_calendar_coverage", "b25_lineage_graph_check", "b29_temporal_fold_audit", "b30_benchmark_conflict", "h02_holding_coverage_gate", "i01_holding_period_market", "i02_research_panel", "i20_white_test", "i28_self_exclusion_refit", "i29_pricing_grid", "d25_paired_model_difference", "l38_economic_check", "b10_mapping_overlap_conflicts", "c01_pit_asof_panel", "c03_effective_dated_lookup", "c06_holding_interval_join", "d03_prior_year_lags", "e09_quote_chain_verify", "e12_forward_targets_frame",
           "f18_momentum_12_1m", "g08_score_factors", "h01_month_end_quantile_portfolios", "i04_ols_fit", "i07_cov_hac", "j10_backtest_accounting", "k16_risk_summary", "l08_future_drawdown", "m04_symmetric_difference", "n01_scalar_strings")
 
 
@@ -31,7 +32,11 @@ def alike(x, y):
     return x == y
 
 
-@pytest.mark.parametrize("name", SAMPLE)
+#: ALL_QUERIES=1 compares every query that has SQL, the corpus operators included.
+NAMES = sorted(entry.oracle_sql()) if os.environ.get("ALL_QUERIES") else SAMPLE
+
+
+@pytest.mark.parametrize("name", NAMES)
 def test_against_sql(spark, name):
     import duckdb
 
