@@ -3,102 +3,149 @@
 A text's key is a 64-bit hash of its normalised form; the leading bits of a key
 name its slot in the directory, and the directory names the slot's bucket. The
 directory starts at the depth that the mean load asks for and doubles as long as
-a bucket holds more than `capacity` keys: overfull buckets split on the next bit,
-the others keep their depth. All keys are entered: those of one row as they are;
-keys of several rows as a chain of texts, told apart byte by byte, so that a
-collision of hashes only makes the chain longer. The index is ranged by bucket
-and key on shared files, so that each owner task holds whole key ranges. Every
-document is then looked up by its bucket and key, and in a chain by SHA-256.
-
-Equal texts are added up before they are dealt out, and entries of very many
-rows (few, by their size) meet the rows by broadcast, so that no group of copies
-lands in one task.
+a bucket holds more than `capacity` keys or more than PAGE_BYTES: overfull
+buckets split on the next bit, the others keep their depth. All keys are entered:
+those of one row as they are; keys of several rows as a chain of the different
+texts under the key, so that a collision of hashes only makes the chain longer.
+The index holds one page a bucket, on shared files in the order of the buckets.
+
+An owner task holds the pages of its buckets. Rows are dealt to owners by the
+bucket that the directory names for them (and by nothing else), look their key
+up in the bucket's page and compare their text with each text of the chain.
+Buckets of many rows have several owners with a copy of the page each, one for
+every OWNER_ROWS rows, so that no group of copies lands in one task.
 
 Defined results: a null text counts as empty; a null doc_id sorts after all
 others and keep_id is null only if all ids of the group are null; where the
-smallest id stands on several rows, each of them is `kept` (`deduplicated` keeps
-one of them); other columns are ignored.
+smallest id stands on several rows, exactly one of them is `kept`; other columns
+are ignored.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pitwell.llm.shared import SPACE_CLASS, documents, key_join, keyed, one_of_equal, stored
+from pitwell.llm.shared import SPACE_CLASS, documents, key_join, keyed, one_of_equal, spread_join, stored
 
-#: Bits of a key that the directory can tell apart: 2**20 slots of about 24 bytes at most are broadcast.
+#: Least number of a key's bits that the directory can tell apart; beyond 2**20 buckets it has more.
 DIRECTORY_BITS = 20
-CAPACITY = 4096
+#: Most slots (24 bytes each) that are broadcast; a larger directory is met by a shuffle on the slot.
+BROADCAST_SLOTS = 1 << 20
+#: A bucket splits beyond this number of keys, or of bytes in its page (a lone text may be longer).
+CAPACITY = 256
+PAGE_BYTES = 4 << 20
+#: Rows of a bucket that share one owner and copy of the page.
+OWNER_ROWS = 1 << 16
 #: Most keys sent to all executors at once (8 bytes each); beyond it the join shuffles.
 BROADCAST_KEYS = 500_000
-#: Entries of more than 1 / HOT of all rows meet the rows by broadcast; there are fewer than HOT of them.
-HOT = 1000
+#: Bytes of an entry without its text.
+ENTRY_BYTES = 128
 
 
-def normalised(docs: DataFrame) -> DataFrame:
+def normalised(docs: DataFrame, hashed: Callable[[Column], Column] = F.xxhash64) -> DataFrame:
     text = F.regexp_replace(F.coalesce(F.col("text"), F.lit("")), SPACE_CLASS, " ")
-    return docs.select("doc_id", text.alias("norm")).withColumn("key", F.xxhash64("norm"))
+    return docs.select("doc_id", text.alias("norm")).withColumn("key", hashed(F.col("norm")))
 
 
 def slot(bits: int) -> Column:
     return F.shiftrightunsigned("key", 64 - bits)
 
 
-def directory(keys: DataFrame, capacity: int = CAPACITY, bits: int = DIRECTORY_BITS) -> DataFrame:
-    """One row per slot in use: slot, depth (of its bucket, after all splits), bucket (the first slot of it)."""
-    now = stored(keys.groupBy(slot(bits).alias("slot")).agg(F.count("*").alias("n")), "op5-slots")
+def directory(keys: DataFrame, capacity: int = CAPACITY, bits: int = DIRECTORY_BITS, size: str = "0", load: str = "1") -> DataFrame:
+    """One row per slot in use: slot, depth (of its bucket, after all splits), bucket (the first slot of it), load.
+
+    `size` tells a key's bytes in the page and `load` its rows (SQL); the slot's sum of the latter comes out.
+    """
+    sums = F.count("*").alias("n"), F.sum(F.expr(size)).alias("size"), F.sum(F.expr(load)).alias("load")
+    now = stored(keys.groupBy(slot(bits).alias("slot")).agg(*sums), "op5-slots")
     total = now.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
     now = now.withColumn("depth", F.lit(min(bits, max(0, (total // capacity).bit_length() - 1))))
     bucket = F.expr(f"shiftleft(shiftright(slot, {bits} - depth), {bits} - depth)")
     while True:
         placed = now.withColumn("bucket", bucket)
-        full = placed.groupBy("depth", "bucket").agg(F.sum("n").alias("held")).filter((F.col("held") > capacity) & (F.col("depth") < bits))
+        full = placed.groupBy("depth", "bucket").agg(F.sum("n").alias("held"), F.sum("size").alias("bytes"), F.count("*").alias("slots"))
+        # A bucket with one slot in use can't be split by the bits that the directory has.
+        full = full.filter(((F.col("held") > capacity) | (F.col("bytes") > PAGE_BYTES)) & (F.col("slots") > 1) & (F.col("depth") < bits))
         full = stored(full.select("depth", "bucket", F.lit(1).alias("split")), "op5-full")
         if full.isEmpty():
-            return placed.select("slot", "depth", "bucket")
-        now = stored(placed.join(full, ["depth", "bucket"], "left").select("slot", "n", (F.col("depth") + F.coalesce("split", F.lit(0))).alias("depth")), "op5-slots")
+            return placed.select("slot", "depth", "bucket", "load")
+        deeper = (F.col("depth") + F.coalesce("split", F.lit(0))).alias("depth")
+        now = stored(placed.join(full, ["depth", "bucket"], "left").select("slot", "n", "size", "load", deeper), "op5-slots")
+
+
+def with_owners(slots: DataFrame) -> DataFrame:
+    """slot, bucket, owners (of the bucket), load (rows of the slot)."""
+    owners = slots.groupBy("bucket").agg((1 + F.floor(F.sum("load") / OWNER_ROWS)).alias("owners"))
+    return stored(slots.select("slot", "bucket", "load").join(owners, "bucket"), "op5-directory")
 
 
 def in_buckets(rows: DataFrame, slots: DataFrame, bits: int) -> DataFrame:
-    """Rows with the bucket that the directory names for their key."""
-    return rows.withColumn("slot", slot(bits)).join(F.broadcast(slots.select("slot", "bucket")), "slot").drop("slot")
-
-
-def build_index(docs: DataFrame, keys: DataFrame, slots: DataFrame, bits: int) -> DataFrame:
-    """bucket, key, link (place in the chain), text_sha256 (null for a key of one row), keep_id, group_size."""
-    repeated = keys.filter("n > 1").select("key")
-    repeated = F.broadcast(repeated) if repeated.count() <= BROADCAST_KEYS else repeated
-    chains = normalised(docs).join(repeated, "key", "left_semi").groupBy("key", "norm").agg(F.min("doc_id").alias("keep_id"), F.count("*").alias("group_size"))
-    chains = chains.select("key", F.sha2("norm", 256).alias("text_sha256"), "keep_id", "group_size")
-    chains = chains.withColumn("link", F.row_number().over(Window.partitionBy("key").orderBy("text_sha256")))
-    single = keys.filter("n = 1").select("key", F.lit(None).cast("string").alias("text_sha256"), "keep_id", F.col("n").alias("group_size"), F.lit(1).alias("link"))
-    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    entries = in_buckets(chains.unionByName(single), slots, bits)
-    return stored(entries.repartitionByRange(parts, "bucket", "key").sortWithinPartitions("bucket", "key", "link"), "op5-index")
-
-
-def exact_duplicates(docs: DataFrame, capacity: int = CAPACITY, bits: int = DIRECTORY_BITS) -> DataFrame:
-    """doc_id, keep_id, group_size, kept, text_sha256 of every row."""
-    rows = stored(normalised(docs).select("doc_id", "key", F.sha2("norm", 256).alias("sha")), "op5-rows")
-    keys = stored(rows.groupBy("key").agg(F.count("*").alias("n"), F.min("doc_id").alias("keep_id")), "op5-keys")
-    slots = stored(directory(keys, capacity, bits), "op5-directory")
-    index = build_index(docs, keys, slots, bits)
-    rows = in_buckets(rows, slots, bits)
-    entry = index.select(F.col("bucket").alias("of"), F.col("key").alias("entry"), "text_sha256", "keep_id", "group_size")
-    at = (F.col("bucket") == F.col("of")) & (F.col("key") == F.col("entry"))
-    chained = F.col("text_sha256").isNull() | (F.col("text_sha256") == F.col("sha"))
-    most = rows.count() // HOT
-    hot = entry.filter(F.col("group_size") > most)
-    seldom = rows.join(F.broadcast(hot.select(F.col("entry").alias("key"), F.col("text_sha256").alias("sha"))), ["key", "sha"], "left_anti")
-    found = rows.join(F.broadcast(hot), at & chained).unionByName(seldom.join(entry.filter(F.col("group_size") <= most), at & chained))
-    return found.select("doc_id", "keep_id", "group_size", F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"), F.col("sha").alias("text_sha256"))
+    """Rows with the bucket that the directory names for their key, and the number of its owners."""
+    rows, slots = rows.withColumn("slot", slot(bits)), slots.select("slot", "bucket", "owners", "load")
+    if slots.count() <= BROADCAST_SLOTS:
+        return rows.join(F.broadcast(slots), "slot").drop("slot", "load")
+    return spread_join(rows, slots, "slot", count="load").drop("slot", "load")
+
+
+def build_index(single: DataFrame, shared: DataFrame, slots: DataFrame, bits: int) -> DataFrame:
+    """bucket, owners, page (from a key to its chain of norm, text_sha256, keep_id, keep_nth, group_size).
+
+    `single` holds the rows of keys of one row, without text; `shared` those of all other keys.
+    """
+    first = F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "nth"))
+    chains = shared.groupBy("key", "norm").agg(first.alias("first"), F.count("*").alias("group_size"))
+    chains = chains.select("key", "norm", F.sha2("norm", 256).alias("text_sha256"), F.col("first.doc_id").alias("keep_id"), F.col("first.nth").alias("keep_nth"), "group_size")
+    alone = single.select("key", "norm", "text_sha256", F.col("doc_id").alias("keep_id"), F.col("nth").alias("keep_nth"), F.lit(1).cast("long").alias("group_size"))
+    entry = F.struct("norm", "text_sha256", "keep_id", "keep_nth", "group_size")
+    # Dealt out by bucket once: both groupings below keep to it.
+    entries = in_buckets(chains.unionByName(alone), slots, bits).select("bucket", "owners", "key", entry.alias("entry")).repartition("bucket")
+    chained = entries.groupBy("bucket", "owners", "key").agg(F.collect_list("entry").alias("chain"))
+    pages = chained.groupBy("bucket", "owners").agg(F.map_from_entries(F.collect_list(F.struct("key", "chain"))).alias("page"))
+    parts = int(single.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return stored(pages.repartitionByRange(parts, "bucket").sortWithinPartitions("bucket"), "op5-index")
+
+
+def look_up(rows: DataFrame, index: DataFrame, slots: DataFrame, bits: int) -> DataFrame:
+    """doc_id, keep_id, group_size, kept, text_sha256 of the rows that the page of their bucket holds."""
+    pages = index.select("bucket", "page", F.explode(F.sequence(F.lit(0).cast("long"), F.col("owners") - 1)).alias("owner"))
+    dealt = in_buckets(rows, slots, bits).withColumn("owner", F.pmod(F.xxhash64("doc_id", "nth"), "owners"))
+    probed = dealt.join(pages, ["bucket", "owner"]).select("doc_id", "nth", F.col("norm").alias("text"), F.try_element_at("page", F.col("key")).alias("chain"))
+    found = probed.select("doc_id", "nth", "text", F.inline("chain")).filter(F.col("text").eqNullSafe(F.col("norm")))
+    kept = F.col("doc_id").eqNullSafe(F.col("keep_id")) & F.col("nth").eqNullSafe(F.col("keep_nth"))
+    return found.select("doc_id", "keep_id", "group_size", kept.alias("kept"), "text_sha256")
+
+
+def split_rows(docs: DataFrame, hashed: Callable[[Column], Column] = F.xxhash64) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """keys (key, n, size), rows of keys of one row, and rows of all other keys with their texts and a number each, nth."""
+    rows = normalised(docs, hashed).select("doc_id", "key", F.octet_length("norm").alias("size"), F.sha2("norm", 256).alias("text_sha256"))
+    whole = F.count("*").alias("n"), F.max("size").alias("size"), F.min("doc_id").alias("doc_id"), F.min("text_sha256").alias("text_sha256")
+    keys = stored(rows.groupBy("key").agg(*whole), "op5-keys")
+    none = F.lit(None)
+    single = keys.filter("n = 1").select("doc_id", "key", none.cast("string").alias("norm"), none.cast("long").alias("nth"), "text_sha256")
+    repeated, numbered = keys.filter("n > 1").select("key", "n"), normalised(docs, hashed).withColumn("nth", F.monotonically_increasing_id())
+    if repeated.count() <= BROADCAST_KEYS:
+        shared = numbered.join(F.broadcast(repeated.select("key")), "key", "left_semi")
+    else:
+        shared = spread_join(numbered, repeated, "key")
+    return keys, single, stored(shared.select("doc_id", "key", "norm", "nth"), "op5-shared")
+
+
+def exact_duplicates(docs: DataFrame, capacity: int = CAPACITY, bits: int | None = None, hashed: Callable[[Column], Column] = F.xxhash64) -> DataFrame:
+    """doc_id, keep_id, group_size, kept, text_sha256 of every row. `hashed` names the key of a text."""
+    keys, single, shared = split_rows(docs, hashed)
+    bits = bits or max(DIRECTORY_BITS, (keys.count() // capacity).bit_length() + 2)
+    slots = with_owners(directory(keys, capacity, bits, f"{ENTRY_BYTES} + if(n > 1, size, 0)", "n"))
+    index = build_index(single, shared, slots, bits)
+    return look_up(single.drop("text_sha256").unionByName(shared), index, slots, bits)
 
 
 def deduplicated(docs: DataFrame) -> DataFrame:
     """One document of each text, all columns: the one with the smallest id, or without ids the smallest row_key."""
     found = exact_duplicates(keyed(docs))
-    gone = stored(found.filter(~F.col("kept")).select("doc_id").distinct(), "op5-gone")
+    gone = stored(found.filter(~F.col("doc_id").eqNullSafe(F.col("keep_id"))).select("doc_id").distinct(), "op5-gone")
     return one_of_equal(key_join(docs, gone, "left_anti", BROADCAST_KEYS), BROADCAST_KEYS)
 
 

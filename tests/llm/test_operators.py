@@ -142,15 +142,38 @@ def test_exact_with_splits(spark):
     docs = spark.range(600).select(F.col("id").alias("doc_id"), F.concat(F.lit("t "), (F.col("id") % 400).cast("string")).alias("text"))
     got = by_id(exact_dedup.exact_duplicates(docs, capacity=10, bits=8))
     assert {i: (x.keep_id, x.group_size) for i, x in got.items()} == {i: (i % 400, 2 if i % 400 < 200 else 1) for i in range(600)}
-    keys = exact_dedup.normalised(docs).groupBy("key").agg(F.count("*").alias("n"), F.min("doc_id").alias("keep_id"))
-    slots = exact_dedup.directory(keys, 10, 8)
-    index = exact_dedup.build_index(docs, keys, slots, 8)
-    held = index.groupBy("bucket").agg(F.countDistinct("key").alias("n"))
-    assert index.count() == 400 and held.count() > 40 and held.agg(F.max("n")).first()[0] <= 10
+    keys, single, shared_rows = exact_dedup.split_rows(docs)
+    slots = exact_dedup.directory(keys, 10, 8, load="n")
     assert slots.agg(F.max("depth") - F.min("depth")).first()[0] > 0
-    # A document whose bucket has no entry for it isn't found anywhere else.
-    rows = exact_dedup.in_buckets(exact_dedup.normalised(docs).select("doc_id", "key"), slots, 8)
-    assert rows.join(index, ["bucket", "key"]).count() == 600
+    slots = exact_dedup.with_owners(slots)
+    index = exact_dedup.build_index(single, shared_rows, slots, 8)
+    held = index.select("bucket", F.size("page").alias("n"))
+    assert held.agg(F.sum("n")).first()[0] == 400 and held.count() > 40 and held.agg(F.max("n")).first()[0] <= 10
+    rows = single.drop("text_sha256").unionByName(shared_rows)
+    assert exact_dedup.look_up(rows, index, slots, 8).count() == 600
+    # Without the directory's word a document's entry isn't found.
+    assert exact_dedup.look_up(rows, index, slots.withColumn("bucket", F.col("slot")), 8).count() < 300
+
+
+@pytest.mark.parametrize("owner_rows, slots", ((1 << 16, 1 << 20), (7, 0)))
+def test_exact_with_collisions(spark, monkeypatch, owner_rows, slots):
+    """Eleven keys for all texts, pages that a few texts fill, rows of a bucket with many owners, a directory that isn't broadcast."""
+    for name, value in (("OWNER_ROWS", owner_rows), ("BROADCAST_SLOTS", slots), ("BROADCAST_KEYS", slots), ("PAGE_BYTES", 2000)):
+        monkeypatch.setattr(exact_dedup, name, value)
+    hashed = lambda norm: F.shiftleft(F.pmod(F.xxhash64(norm), F.lit(11)), 55)
+    texts = [f"text {i % 90}" for i in range(300)] + ["long " * 900] * 40 + [None, "", "alone"]
+    docs = table(spark, texts)
+    got = by_id(exact_dedup.exact_duplicates(docs, capacity=2, bits=12, hashed=hashed))
+    for i, t in enumerate(texts):
+        same = [j for j, u in enumerate(texts) if (u or "") == re.sub(" +$", " ", t or "")]
+        assert (got[i].keep_id, got[i].group_size, got[i].kept) == (same[0], len(same), i == same[0])
+
+
+def test_exact_keeps_one_row_of_tied_ids(spark):
+    docs = odd_ids(spark, [(5, "a b"), (5, "a  b"), (5, "other"), (9, "a b"), (None, "n"), (None, "n"), (None, "n"), (None, "other")])
+    got = exact_dedup.exact_duplicates(docs).collect()
+    kept = sorted((x.keep_id or 0, x.doc_id or 0, x.group_size) for x in got if x.kept)
+    assert len(got) == 8 and kept == [(0, 0, 3), (5, 5, 2), (5, 5, 3)]
 
 
 def mcd(x, prior):
