@@ -30,8 +30,8 @@ from pyspark.sql import functions as F
 
 from pitwell.llm.shared import SPACE_CLASS, documents, key_join, keyed, one_of_equal, spread_join, stored
 
-#: Least number of a key's bits that the directory can tell apart; beyond 2**20 buckets it has more.
-DIRECTORY_BITS = 20
+#: A key's bits that the directory can tell apart beyond those that the mean load asks for: buckets split to a 16th.
+SPARE_BITS = 4
 #: Most slots (24 bytes each) that are broadcast; a larger directory is met by a shuffle on the slot.
 BROADCAST_SLOTS = 1 << 20
 #: A bucket splits beyond this number of keys, or of bytes in its page (a lone text may be longer).
@@ -54,7 +54,7 @@ def slot(bits: int) -> Column:
     return F.shiftrightunsigned("key", 64 - bits)
 
 
-def directory(keys: DataFrame, capacity: int = CAPACITY, bits: int = DIRECTORY_BITS, size: str = "0", load: str = "1") -> DataFrame:
+def directory(keys: DataFrame, capacity: int = CAPACITY, bits: int = 20, size: str = "0", load: str = "1") -> DataFrame:
     """One row per slot in use: slot, depth (of its bucket, after all splits), bucket (the first slot of it), load.
 
     `size` tells a key's bytes in the page and `load` its rows (SQL); the slot's sum of the latter comes out.
@@ -136,7 +136,7 @@ def split_rows(docs: DataFrame, hashed: Callable[[Column], Column] = F.xxhash64)
 def exact_duplicates(docs: DataFrame, capacity: int = CAPACITY, bits: int | None = None, hashed: Callable[[Column], Column] = F.xxhash64) -> DataFrame:
     """doc_id, keep_id, group_size, kept, text_sha256 of every row. `hashed` names the key of a text."""
     keys, single, shared = split_rows(docs, hashed)
-    bits = bits or max(DIRECTORY_BITS, (keys.count() // capacity).bit_length() + 2)
+    bits = bits or (keys.count() // capacity).bit_length() + SPARE_BITS
     slots = with_owners(directory(keys, capacity, bits, f"{ENTRY_BYTES} + if(n > 1, size, 0)", "n"))
     index = build_index(single, shared, slots, bits)
     return look_up(single.drop("text_sha256").unionByName(shared), index, slots, bits)
