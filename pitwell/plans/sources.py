@@ -108,7 +108,9 @@ def submissions(t: Tables) -> DataFrame:
     head = F.concat(F.lit("<SEC-HEADER>\n<ACCEPTANCE-DATETIME>\nACCESSION NUMBER:\t"), F.when(k % 9 == 4, "other").otherwise(key), F.lit("\nCONFORMED SUBMISSION TYPE: "), F.col("o_orderstatus"), F.lit("\nFILED AS OF DATE: "), F.date_format("o_orderdate", "yyyyMMdd"), F.when(k % 8 == 2, "x").otherwise(""),
                     F.lit("\nACCEPTANCE-DATETIME: "), F.date_format("o_orderdate", "yyyyMMddHHmmss"), F.lit("\nFILER:\n  CENTRAL INDEX KEY: "), F.lpad(F.col("o_custkey").cast("string"), 10, "0"), F.lit("\nFILER:\n  CENTRAL INDEX KEY: 42\n</SEC-HEADER>\n"))
     text = F.concat(head, block("10-K", F.col("o_comment") if "o_comment" in t.orders.columns else F.col("o_clerk") if "o_clerk" in t.orders.columns else key), block("EX-101.INS", xml), F.when(k % 17 == 2, block("EX-101.INS", xml)).otherwise(""))
-    return t.orders.select("o_orderkey", "o_custkey", F.col("o_orderstatus").alias("form"), key.alias("asked"), text.alias("text"))
+    # Dealt before the texts are made: a file of few row groups would leave all reading to a few tasks.
+    orders = t.orders.repartition(4 * t.spark.sparkContext.defaultParallelism, "o_orderkey")
+    return orders.select("o_orderkey", "o_custkey", F.col("o_orderstatus").alias("form"), key.alias("asked"), text.alias("text"))
 
 
 A13 = """WITH o AS (SELECT *, o_orderkey AS k, o_orderdate::DATE AS d FROM orders), good AS (SELECT * FROM o WHERE k % 17 <> 2 AND k % 5 <> 0 AND k % 13 <> 1 AND (k % 11 <> 5))

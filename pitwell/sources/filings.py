@@ -129,15 +129,18 @@ NUMERIC = ("EntityCommonStockSharesOutstanding", "EntityPublicFloat")
 INSTANCE = (*COVER, "EntityCentralIndexKey", "DocumentPeriodEndDate", *NUMERIC)
 
 
-def instance_documents(docs: DataFrame, doc: str, text: str, kind: str = "EX-101.INS") -> DataFrame:
-    """doc, xml, reason: the single attachment of a type out of a submission, without its envelope."""
-    blocks = F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(r"(?is)<DOCUMENT>(.*?)</DOCUMENT>"), F.lit(1))
-    typed = F.filter(blocks, lambda b: F.upper(F.trim(F.regexp_extract(b, r"(?im)^\s*<TYPE>\s*([^\r\n<]+)", 1))) == kind)
-    block = docs.select(doc, typed.alias("b")).withColumn("one", F.get("b", F.lit(0)))
+def instance_documents(docs: DataFrame, doc: str, text: str, kind: str = "EX-101.INS", keep: tuple[str, ...] = ()) -> DataFrame:
+    """doc, keep (more columns of docs), xml, reason: the single attachment of a type out of a submission, without its envelope.
+
+    What several columns need is a column of an earlier step, so that a pattern runs once a document.
+    """
+    blocks = docs.select(doc, *keep, F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(r"(?is)<DOCUMENT>(.*?)</DOCUMENT>"), F.lit(1)).alias("b"))
+    typed = blocks.withColumn("b", F.filter("b", lambda b: F.upper(F.trim(F.regexp_extract(b, r"(?im)^\s*<TYPE>\s*([^\r\n<]+)", 1))) == kind))
+    one = typed.select(doc, *keep, F.size("b").alias("n"), F.get("b", F.lit(0)).alias("one"))
     inner = F.trim(F.regexp_replace(F.regexp_extract("one", r"(?is)<TEXT>(.*?)(?:</TEXT>|$)", 1), r"(?is)^\s*<XBRL>|</XBRL>\s*$", ""))
-    name = F.trim(F.regexp_extract("one", r"(?im)^\s*<FILENAME>\s*([^\r\n<]+)", 1))
-    reason = F.when(F.size("b") == 0, "no_instance").when(F.size("b") > 1, "several_instances").when(~name.rlike(r"^[A-Za-z0-9][A-Za-z0-9._-]{0,254}$"), "unsafe_name").when(inner == "", "empty_instance").when(F.upper(inner).rlike("<!DOCTYPE|<!ENTITY"), "declarations")
-    return block.select(doc, inner.alias("xml"), reason.alias("reason"))
+    one = one.select(doc, *keep, "n", F.trim(F.regexp_extract("one", r"(?im)^\s*<FILENAME>\s*([^\r\n<]+)", 1)).alias("name"), inner.alias("xml"))
+    reason = F.when(F.col("n") == 0, "no_instance").when(F.col("n") > 1, "several_instances").when(~F.col("name").rlike(r"^[A-Za-z0-9][A-Za-z0-9._-]{0,254}$"), "unsafe_name").when(F.col("xml") == "", "empty_instance").when(F.upper("xml").rlike("<!DOCTYPE|<!ENTITY"), "declarations")
+    return one.select(doc, *keep, "xml", reason.alias("reason"))
 
 
 def instance_facts(docs: DataFrame, doc: str, text: str, cik: str, form: str, concepts: tuple[str, ...] = INSTANCE, numeric: tuple[str, ...] = NUMERIC) -> DataFrame:
@@ -146,12 +149,14 @@ def instance_facts(docs: DataFrame, doc: str, text: str, cik: str, form: str, co
     cik and form: columns of docs that the instance must agree with. Equal facts are merged, different values of one
     concept, context and unit fail; a document without facts is one row with a reason.
     """
-    found = settled(instance_documents(docs, doc, text).join(docs.select(doc, F.regexp_replace(F.col(cik).cast("string"), r"^0+(?=\d)", "").alias("cik_"), F.col(form).alias("form_")), doc))
+    asked = docs.select(doc, text, F.regexp_replace(F.col(cik).cast("string"), r"^0+(?=\d)", "").alias("cik_"), F.col(form).alias("form_"))
+    found = instance_documents(asked, doc, text, keep=("cik_", "form_"))
     fact = "array<struct<_VALUE: string, _contextRef: string, _unitRef: string, _decimals: string>>"
     period = "struct<startDate: string, endDate: string, instant: string>"
     schema = f"context array<struct<_id: string, entity: struct<identifier: struct<_VALUE: string>, segment: string>, scenario: string, period: {period}>>, unit array<struct<_id: string, measure: array<string>>>, " + ", ".join(f"{c} {fact}" for c in concepts)
     options = {"ignoreNamespace": "true", "mode": "PERMISSIVE", "columnNameOfCorruptRecord": "broken_"}
-    parsed = settled(found.filter("reason IS NULL").select(doc, "cik_", "form_", F.from_xml("xml", schema + ", broken_ string", options).alias("x")))
+    read = settled(found.select(doc, "cik_", "form_", "reason", F.from_xml(F.when(F.col("reason").isNull(), F.col("xml")), schema + ", broken_ string", options).alias("x")))
+    parsed = read.filter("reason IS NULL")
     rows = parsed.select(doc, "cik_", "form_", F.coalesce(F.col("x.broken_").isNotNull(), F.lit(True)).alias("broken"), F.array_compact(F.array(*(F.when(F.col(f"x.{c}").isNotNull(), F.struct(F.lit(c).alias("concept"), F.col(f"x.{c}").alias("facts"))) for c in concepts))).alias("all"))
     facts = rows.select(doc, F.explode("all").alias("a")).select(doc, "a.concept", F.posexplode("a.facts").alias("place", "f"))
     facts = facts.select(doc, "concept", "place", F.trim("f._contextRef").alias("context_ref"), F.col("f._unitRef").alias("unit_ref"), F.col("f._decimals").alias("decimals"), F.trim(F.regexp_replace(F.coalesce("f._VALUE", F.lit("")), r"\s+", " ")).alias("value"))
@@ -167,18 +172,19 @@ def instance_facts(docs: DataFrame, doc: str, text: str, cik: str, form: str, co
     units = parsed.select(doc, F.inline("x.unit")).select(doc, F.trim("_id").alias("unit_ref"), "measure").groupBy(doc, "unit_ref").agg(F.count("*").alias("units"), F.first(F.array_join(F.transform("measure", lambda m: F.trim(m)), "*")).alias("unit_measure"))
     number = F.col("concept").isin(*numeric)
     faults = contexts.groupBy(doc).agg(F.max("context_fault").alias("context_fault"))
-    whole = facts.join(contexts.drop("context_fault").withColumn("known", F.lit(True)), [doc, "context_ref"], "left").join(units, [doc, "unit_ref"], "left").join(faults, doc, "left")
+    # All sides have rows for each document: sizes guessed from the packed table must not make one a broadcast.
+    whole = facts.join(contexts.drop("context_fault").withColumn("known", F.lit(True)).hint("merge"), [doc, "context_ref"], "left").join(units.hint("merge"), [doc, "unit_ref"], "left").join(faults.hint("merge"), doc, "left")
     typed = Window.partitionBy(doc)
     kinds = F.collect_set(F.when(F.col("concept") == "DocumentType", F.col("value"))).over(typed)
     ciks = F.collect_set(F.when((F.col("concept") == "EntityCentralIndexKey") & (F.col("dimensions_json") == "{}"), F.regexp_replace("value", r"^0+(?=\d)", ""))).over(typed)
-    whole = rows.select(doc, "cik_", "form_", "broken").join(whole, doc, "left").withColumns({"kinds": kinds, "ciks": ciks})
+    whole = rows.select(doc, "cik_", "form_", "broken").join(whole.hint("merge"), doc, "left").withColumns({"kinds": kinds, "ciks": ciks})
     reason = (
         F.when(F.col("broken"), "malformed").when(F.col("context_fault").isNotNull(), F.col("context_fault")).when(F.col("concept").isNull(), "no_facts").when(F.col("known").isNull(), "missing_context").when(F.col("value") == "", "empty_value")
         .when(number & (F.col("units").isNull() | (F.col("units") > 1)), "unresolved_unit").when(number & F.col("value").try_cast("decimal(38,10)").isNull(), "bad_number").when(F.col("values") > 1, "conflicting_facts")
         .when((F.size("kinds") != 1) | (F.get("kinds", F.lit(0)) != F.col("form_")), "form_mismatch").when((F.size("ciks") > 0) & ((F.size("ciks") > 1) | (F.get("ciks", F.lit(0)) != F.col("cik_"))), "registrant_mismatch"))
     ordinal = F.row_number().over(Window.partitionBy(doc).orderBy("concept", "place"))
     out = whole.select(doc, ordinal.cast("long").alias("ordinal"), "concept", "context_ref", "unit_ref", F.when(number, F.col("unit_measure")).alias("unit_measure"), "decimals", "period_start", "period_end", "instant", F.coalesce("dimensions_json", F.lit("{}")).alias("dimensions_json"), "value", reason.alias("reason"))
-    missing = found.filter("reason IS NOT NULL").select(doc, "reason")
+    missing = read.filter("reason IS NOT NULL").select(doc, "reason")
     return out.unionByName(missing, allowMissingColumns=True)
 
 

@@ -77,3 +77,11 @@ def test_headers(spark):
     got = {x.id: x for x in X.filing_headers(spark.createDataFrame(rows, "id long, text string, asked string, cik string"), "id", "text", "asked", "cik").collect()}
     assert [got[k].reason for k in range(1, 8)] == [None, "other_registrant", "other_accession", "bad_filing_date", "no_accession", "no_accession", "bad_filing_date"]  # as in 7, an empty value reads on in the next line
     assert (got[1].form, got[1].filed, got[1].acceptance, got[1].ciks, got[7].acceptance) == ("10-K/A", date(2020, 2, 29), None, ["12", "3"], "1")
+
+
+def test_instances_without_broadcast(spark):
+    """Every side has rows for each document: none may pass the driver, however small its packed table looks."""
+    rows = spark.createDataFrame([(k, instance(dei("DocumentType", "10-Q")), "7", "10-Q") for k in range(3)], "id long, text string, cik string, form string")
+    found = X.instance_facts(rows, "id", "text", "cik", "form")
+    assert "Broadcast" not in found._jdf.queryExecution().executedPlan().toString()
+    assert [(x.id, x.value, x.reason) for x in found.orderBy("id").collect()] == [(k, "10-Q", None) for k in range(3)]
