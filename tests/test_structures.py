@@ -122,3 +122,27 @@ def test_own_models():
     for bad in ({"CAPM": ("market",)}, {"X": ()}, {"X": ("market", "market")}, {"X": ("other",)}):
         with pytest.raises(ValueError):
             R.registered(bad, ["market", "size"])
+
+
+def test_block_pairs(spark):
+    """Blocks of a few series give the rows of the plain join, without a row a pair and time: also gaps, repeated times, short and nearly flat series."""
+    import math
+
+    import numpy as np
+
+    from pitwell.operators.joins import block_pairs, pairwise
+
+    r = np.random.default_rng(3)
+    rows = [(f"s{k:02d}", int(d), float(v)) for k in range(23) for d, v in enumerate(r.normal(size=30)) if r.random() < 0.7]
+    rows += [("near", d, 5.0 + 1e-9 * d) for d in range(30)] + [("twice", d % 9, float(d)) for d in range(14)] + [("late", 99, 1.0), ("pair", 3, 1.0), ("pair", 4, 2.0), ("none", 3, None), (None, 3, 1.0)] + [("nan", 0, math.nan), ("nan", 1, 2.0), ("nan", 2, 3.0)]
+    df = spark.createDataFrame(rows, "key string, at int, x double")
+    want = {(x.a, x.b): x for x in pairwise(df, "key", "at", "x").collect()}
+    for size in (4, 500):
+        pairs = block_pairs(df, "key", "at", "x", block_series=size)
+        got = {(x.a, x.b): x for x in pairs.collect()}
+        assert got.keys() == want.keys() and len(got) == pairs.count()
+        for k, x in want.items():
+            assert x.n == got[k].n and (got[k].max_diff == x.max_diff or math.isnan(x.max_diff) and math.isnan(got[k].max_diff))
+            assert abs(got[k].corr - x.corr) < 1e-6 or math.isnan(x.corr) and math.isnan(got[k].corr)
+    flat = spark.createDataFrame([(k, d, float(d * (k == "b"))) for k in "ab" for d in range(3)], "key string, at int, x double")
+    assert [tuple(x) for x in block_pairs(flat, "key", "at", "x").collect()] == [("a", "b", 3, 2.0, None)]
