@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from pitwell.operators.joins import pairwise
+from pitwell.operators.joins import block_pairs, pairwise
 
 
 def factor_coverage(scores: DataFrame) -> DataFrame:
@@ -88,7 +88,7 @@ def month_gaps(df: DataFrame, keys: list[str], date: str) -> DataFrame:
 
 
 def residual_dependence(residuals: DataFrame, entity: str, date: str, value: str, least: int = 24, high: float = 0.95) -> DataFrame:
-    pairs = pairwise(residuals, entity, date, value, least)
+    pairs = block_pairs(residuals, entity, date, value, least, gap=False)
     return pairs.agg(F.count("*").alias("pairs"), F.avg("corr").alias("mean_corr"), F.median("corr").alias("median_corr"), F.min("corr").alias("min_corr"), F.max("corr").alias("max_corr"), F.count_if(F.col("corr") > high).alias("high_pairs"))
 
 

@@ -150,7 +150,7 @@ def pairwise(df: DataFrame, key: str, time: str, value: str, least: int = 2) ->
     return both.groupBy("a", "b").agg(F.count("*").alias("n"), F.max(F.abs(F.col("x") - F.col("y"))).alias("max_diff"), F.corr("x", "y").alias("corr")).filter(F.col("n") >= least)
 
 
-#: Series of one block of `block_pairs`, about; two blocks meet in a task.
+#: Series of one block of `block_pairs`, about, up to three times as many beyond 40 blocks (a larger block makes less shuffle); two blocks meet in a task.
 BLOCK_SERIES = 500
 
 
@@ -162,7 +162,8 @@ def block_pairs(df: DataFrame, key: str, time: str, value: str, least: int = 2,
     """
     known = df.select(F.col(key).alias("k"), F.col(time).alias("t"), F.col(value).cast("double").alias("x")).filter("k IS NOT NULL AND t IS NOT NULL AND x IS NOT NULL")
     series = known.groupBy("k").agg(F.collect_list("t").alias("t"), F.collect_list("x").alias("x"))
-    size = known.agg(F.greatest(F.lit(1), F.ceil(F.approx_count_distinct("k") / block_series)).cast("int").alias("blocks"))
+    n = F.approx_count_distinct("k")
+    size = known.agg(F.greatest(F.lit(1), F.ceil(n / F.greatest(F.lit(block_series), F.least(F.lit(3 * block_series), n / 40)))).cast("int").alias("blocks"))
     placed = series.crossJoin(F.broadcast(size)).withColumn("mine", F.pmod(F.xxhash64("k"), "blocks").cast("int"))
     met = placed.select("k", "t", "x", "mine", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
     met = met.select(F.least("mine", "other").alias("p"), F.greatest("mine", "other").alias("q"), (F.col("mine") > F.col("other")).alias("second"), "k", "t", "x")
