@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import math
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -151,6 +154,25 @@ def linear_model(df: DataFrame, fold: str, features: list[str], target: str, l2:
     return rows.withColumn("prediction", sum((F.get("beta", F.lit(i)) * d[i] for i in range(k)), F.lit(0.0)))
 
 
+def binned_cells(train: DataFrame, features: list[str], label: str, bins: int = 32) -> tuple[DataFrame, Callable[[DataFrame], DataFrame]]:
+    """Train rows as cells of binned features (features, label: the mean, weight: the count), and the binning of other rows.
+
+    Trees split binned features by sums of weights and labels, and the squares within a cell are in every split's loss alike,
+    so least-squares trees fitted on the weighted cells are those of the rows. Bins come from quantiles of all train rows;
+    what passes the driver is `bins` edges a feature, what a model reads at most bins^features rows.
+    """
+    from pyspark.ml.feature import Bucketizer, VectorAssembler
+
+    shares = F.array(*(F.lit(i / bins) for i in range(1, bins)))
+    edges = train.agg(*(F.percentile_approx(f, shares, 10000).alias(f) for f in features)).first()
+    splits = [[-math.inf, *(sorted({x for x in edges[f] or () if math.isfinite(x)}) or [0.0]), math.inf] for f in features]
+    names = [f"{f}_bin" for f in features]
+    cut = Bucketizer(splitsArray=splits, inputCols=features, outputCols=names)
+    whole = VectorAssembler(inputCols=names, outputCol="features")
+    cells = cut.transform(train).groupBy(*names).agg(F.avg(label).alias("label"), F.count("*").cast("double").alias("weight"))
+    return whole.transform(cells).coalesce(1), lambda df: whole.transform(cut.transform(df.drop("features"))).drop(*names)
+
+
 def regression_metrics(df: DataFrame, keys: list[str], y: str, p: str) -> DataFrame:
     e = F.col(p) - F.col(y)
     r = df.withColumn("ry_", W.average_rank(y, keys)).withColumn("rp_", W.average_rank(p, keys))

@@ -25,8 +25,8 @@ def new_folder(spark: SparkSession, name: str) -> str:
     return f"{shared_root(spark)}/{name}-{uuid.uuid4().hex}"
 
 
-def settled(df: DataFrame, name: str = "step") -> DataFrame:
-    """df, written once and read again: its plan ends here and lost executors don't bring it back."""
+def settled(df: DataFrame, name: str = "step", by: tuple[str, ...] = ()) -> DataFrame:
+    """df, written once and read again: its plan ends here and lost executors don't bring it back. by: few values each; a filter on them reads only their files."""
     path = new_folder(df.sparkSession, name)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    df.write.partitionBy(*by).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path).select(*df.columns)

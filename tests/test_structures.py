@@ -146,3 +146,19 @@ def test_block_pairs(spark):
             assert abs(got[k].corr - x.corr) < 1e-6 or math.isnan(x.corr) and math.isnan(got[k].corr)
     flat = spark.createDataFrame([(k, d, float(d * (k == "b"))) for k in "ab" for d in range(3)], "key string, at int, x double")
     assert [tuple(x) for x in block_pairs(flat, "key", "at", "x").collect()] == [("a", "b", 3, 2.0, None)]
+
+
+def test_boosted_cells(spark):
+    """Boosted trees on weighted cells predict what those on the binned rows predict; a fit on cells reads few rows."""
+    import numpy as np
+    from pyspark.ml.regression import GBTRegressor
+
+    r = np.random.default_rng(5)
+    x = r.normal(size=(3000, 2))
+    rows = [(float(a), float(b), float(a * b + (a > 0.3) + 0.1 * e)) for (a, b), e in zip(x, r.normal(size=3000))] + [(0.0, 0.0, 1.0)] * 50
+    df = spark.createDataFrame(rows, "a double, b double, label double")
+    cells, binned = L.binned_cells(df, ["a", "b"], "label", 16)
+    assert cells.count() <= 256 and cells.agg(F.sum("weight")).first()[0] == 3050
+    make = lambda: GBTRegressor(maxIter=8, maxDepth=3, stepSize=0.3, seed=1)
+    p = [m.transform(binned(df)).select("a", "b", "prediction").orderBy("a", "b").toPandas()["prediction"].to_numpy() for m in (make().setWeightCol("weight").fit(cells), make().fit(binned(df)))]
+    assert np.abs(p[0] - p[1]).max() < 1e-9 and p[0].std() > 0.5
