@@ -145,7 +145,7 @@ FOLDS_AT_ONCE = 3
 
 
 def by_fold(t: Tables, one, classifier: bool = False) -> DataFrame:
-    """one(rows, role) of every fold, rows with label and features, in one table; the number of folds is small.
+    """one(rows by role) of every fold, rows with label and features, in one table; the number of folds is small.
 
     The rows are written by fold and role, so that a fit, which reads them again and again, reads its own only.
     """
