@@ -223,6 +223,38 @@ def window_covariance(df: DataFrame, keys: list[str], order: str, y: str, xs: li
     return covariance(rows, fits, groups, y, xs, kind, lags, order).select(*groups, "n", "beta", "cov")
 
 
+def window_slope(df: DataFrame, keys: list[str], order: str, y: str, x: str, size: int, least: int, lags: int = 3) -> DataFrame:
+    """Rolling fits on one regressor with HAC errors: keys, end (the window's last row), n, beta, se. `window_covariance` without a row for each window.
+
+    A row carries its window as two short arrays over one sort of the series; a batch of windows is one matrix.
+    Windows in which x does not vary fall out.
+    """
+    behind = Window.partitionBy(*keys).orderBy(order).rowsBetween(1 - size, 0)
+    rows = complete(df, [y, x]).select(*keys, F.col(order).alias("end"), F.collect_list(F.col(y).cast("double")).over(behind).alias("y_"), F.collect_list(F.col(x).cast("double")).over(behind).alias("x_"))
+    rows = rows.filter(F.size("y_") >= max(least, 3))
+    names = [*keys, "end"]
+
+    def solve(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for f in frames:
+            n = f["y_"].map(len).to_numpy()
+            out = pd.DataFrame({**{k: f[k] for k in names}, "n": n.astype("int64"), "beta": np.nan, "se": np.nan})
+            for m in np.unique(n):
+                at = np.flatnonzero(n == m)
+                v, u = (np.stack(f[c].to_numpy()[at]) for c in ("y_", "x_"))
+                raw = (u * u).sum(axis=1)
+                v, u = v - v.mean(axis=1, keepdims=True), u - u.mean(axis=1, keepdims=True)
+                with np.errstate(divide="ignore", invalid="ignore"):
+                    sxx = (u * u).sum(axis=1)
+                    beta = (u * v).sum(axis=1) / sxx
+                    s = u * (v - beta[:, None] * u)
+                    meat = (s * s).sum(axis=1) + sum(2 * (1 - k / (lags + 1)) * (s[:, k:] * s[:, : m - k]).sum(axis=1) for k in range(1, min(lags, m - 1) + 1))
+                    out.iloc[at, -2], out.iloc[at, -1] = beta, np.where(sxx > 2e-11 * raw, np.sqrt(np.maximum(meat * m / (m - 2), 0)) / sxx, np.nan)
+            yield out[out["se"].notna()]
+
+    schema = ", ".join(f"`{k}` {rows.schema[k].dataType.simpleString()}" for k in names)
+    return rows.mapInPandas(solve, f"{schema}, n long, beta double, se double")
+
+
 class MovingMoments:
     """Sums of one series over a window that moves on row by row, enough for fits with HAC errors of any of its regressors.
 

@@ -115,8 +115,8 @@ WINDOWED = MORE | {
 
 @query("i09_rolling_hac", 'SELECT security_id, wend AS "end", max(n) AS n, round(max(b), 5) AS beta, round(sqrt(greatest((sum(u * u) + 1.5 * sum(u * l1) + sum(u * l2) + 0.5 * sum(u * l3)) * max(n) / (max(n) - 2), 0)) / max(sxx), 5) AS se FROM wl_ GROUP BY 1, 2', WINDOWED)
 def i09_hac(t: Tables) -> DataFrame:
-    found = R.window_covariance(rows(t), S, "date", "ret", X, 24, 12)
-    return found.select("security_id", "end", "n", F.round(F.get("beta", F.lit(1)), 5).alias("beta"), F.round(F.sqrt(F.greatest(F.get("cov", F.lit(3)), F.lit(0.0))), 5).alias("se"))
+    found = R.window_slope(rows(t), S, "date", "ret", X[0], 24, 12)
+    return found.select("security_id", "end", "n", F.round("beta", 5).alias("beta"), F.round("se", 5).alias("se"))
 
 
 @query("i11_panel_fixed_effects", "SELECT count(*) AS n, round(sum(x * y) / sum(x * x), 6) AS slope FROM (SELECT ret - avg(ret) OVER (PARTITION BY security_id) AS y, turn - avg(turn) OVER (PARTITION BY security_id) AS x FROM (SELECT *, ln(volume) AS turn FROM rows_))", MORE)

@@ -68,3 +68,17 @@ def test_window_models(spark, size):
         se = np.sqrt(np.diag(inverse @ meat @ inverse) * len(z) / (len(z) - z.shape[1]))
         at = [0, *use]
         assert x.n == len(part) and np.allclose(np.array(x.beta)[at], beta) and np.allclose(np.array(x.se)[at], se) and x.beta[2] == 0
+
+
+def test_window_slope(spark):
+    """Windows as arrays give the fits of the exploded windows; no row is made for a window's row; windows without variance fall out."""
+    r = np.random.default_rng(2)
+    rows = [(k, i, float(y + 0.5 * x), float(x)) for k in ("u", "v") for i, (y, x) in enumerate(r.normal(size=(40, 2)))] + [("flat", i, float(i), 2.0) for i in range(15)] + [("u", 99, None, 1.0)]
+    df = spark.createDataFrame(rows, "key string, date long, y double, x double")
+    got = R.window_slope(df, ["key"], "date", "y", "x", 9, 5)
+    assert "Generate" not in got._jdf.queryExecution().executedPlan().toString()
+    got = {(x.key, x.end): x for x in got.collect()}
+    want = {(x.key, x.end): x for x in R.window_covariance(df, ["key"], "date", "y", ["x"], 9, 5).collect()}
+    assert got.keys() == want.keys() and len(got) == 72
+    for k, x in want.items():
+        assert got[k].n == x.n and abs(got[k].beta - x.beta[1]) < 1e-9 and abs(got[k].se - max(x["cov"][3], 0) ** 0.5) < 1e-9
