@@ -11,6 +11,7 @@ from pitwell.operators import regress as R
 from pitwell.operators import windows as W
 from pitwell.operators.characteristics import characteristics
 from pitwell.operators.joins import interval_join, reconcile
+from pitwell.operators.storage import settled
 from pitwell.plans.features import ASOF, F_SQL, H, rounded, wide_panel
 from pitwell.plans.portfolio import FORMED, MORE, formed, held, rows
 from pitwell.plans.registry import query, register
@@ -359,7 +360,7 @@ def i28(t: Tables) -> DataFrame:
     """Formed assets on the market and each other factor's spread, with and without the asset's own members in the spread, on the matched sample."""
     w = Window.partitionBy("security_id").orderBy("date")
     nxt = t.panel.select("security_id", "date", (F.col("price") * F.col("shares")).alias("cap"), F.lead("ret").over(w).alias("next_ret")).filter("next_ret IS NOT NULL AND cap > 0")
-    q = formed(t).select("security_id", "date", "factor_id", "quantile")
+    q = settled(formed(t).select("security_id", "date", "factor_id", "quantile"), "formed")
     names = q.select(F.col("factor_id").alias("f")).distinct()
     # Cells by the security's own quantile in the asset's factor, so that leaving an asset out is leaving a cell out.
     members = q.join(nxt, ["security_id", "date"]).withColumnRenamed("factor_id", "factor").filter("quantile <> 2").join(F.broadcast(names), F.col("factor") != F.col("f"))
@@ -371,6 +372,7 @@ def i28(t: Tables) -> DataFrame:
     spreads = cells.groupBy("f", "q", "factor", "date").agg((leg(3, F.lit(True)) - leg(1, F.lit(True))).alias("whole"), (leg(3, other) - leg(1, other)).alias("without")).filter("whole IS NOT NULL AND without IS NOT NULL")
     h = held(t).select(F.col("factor_id").alias("f"), F.col("quantile").alias("q"), "date", "value_weighted_return").join(t.market_m, "date")
     r = spreads.join(h, ["f", "q", "date"]).select(F.concat_ws(":Q", "f", "q").alias("asset"), "factor", (F.col("value_weighted_return") - F.col("risk_free")).alias("y"), "market_return", "whole", "without")
+    r = settled(r, "spreads")  # a row an asset, factor and date, read by both fits
     fit = lambda c: R.ols_fit(r, ["asset", "factor"], "y", ["market_return", c]).select("asset", "factor", "n", F.round(F.get("beta", F.lit(2)), 5).alias(c))
     return fit("whole").join(fit("without").drop("n"), ["asset", "factor"])
 

@@ -162,3 +162,11 @@ def test_boosted_cells(spark):
     make = lambda: GBTRegressor(maxIter=8, maxDepth=3, stepSize=0.3, seed=1)
     p = [m.transform(binned(df)).select("a", "b", "prediction").orderBy("a", "b").toPandas()["prediction"].to_numpy() for m in (make().setWeightCol("weight").fit(cells), make().fit(binned(df)))]
     assert np.abs(p[0] - p[1]).max() < 1e-9 and p[0].std() > 0.5
+
+
+def test_refits_read_spreads_once(spark):
+    """Both fits of the self-exclusion query start from one written table."""
+    import __spark_entry__ as entry
+
+    plan = entry.queries()["i28_self_exclusion_refit"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert "l_suppkey" not in plan
