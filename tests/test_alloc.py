@@ -39,3 +39,11 @@ def test_every_whole_window(spark):
     dates = held(t).select("date").distinct().count()
     got = allocation.problems(t).groupBy("problem").agg(F.count_distinct("date").alias("n")).collect()
     assert sorted(x.problem for x in got) == list(range(24, dates + 1)) and {x.n for x in got} == {24}
+
+
+def test_portfolios_read_once(spark):
+    """The windows start from the written portfolios: nothing of the given tables is left in their plan."""
+    from pitwell.plans import allocation, tables
+
+    plan = allocation.problems(tables.Tables(spark, "/root/testdata/sf0.001"))._jdf.queryExecution().optimizedPlan().toString()
+    assert "l_suppkey" not in plan and "l_shipdate" not in plan
