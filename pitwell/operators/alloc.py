@@ -152,6 +152,8 @@ def covariances(windows: DataFrame, asset: str = "asset_id") -> DataFrame:
 def allocate(windows: DataFrame, methods: list[str], ann: float = 12.0, upper: float = 1.0, asset: str = "asset_id") -> DataFrame:
     """problem, method, asset, weight, for every problem and method; long only, sum 1."""
     cases = windows.withColumn("method", F.explode(F.array(*map(F.lit, methods))))
+    # A stated number of partitions: the rows are few and the work a problem is long, so they must not end up in one task.
+    cases = cases.repartition(4 * windows.sparkSession.sparkContext.defaultParallelism, "problem", "method")
 
     def one(block: pd.DataFrame) -> pd.DataFrame:
         names, x = dense(block, asset)
