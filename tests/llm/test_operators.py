@@ -436,6 +436,36 @@ def test_pieces(spark):
     assert again[5].text == TEXTS[5]
 
 
+def test_pieces_by_table(monkeypatch):
+    """Digests by a table of chunks equal the library's while it fills again and again; chunks that come again are encoded once."""
+    import sentencepiece
+
+    library = sentencepiece.SentencePieceProcessor(model_file=piece_codec.model_path())
+    monkeypatch.setattr(piece_codec, "TABLE_BYTES", 120_000)
+    monkeypatch.setattr(piece_codec, "STRIDE", 50)
+    monkeypatch.setattr(piece_codec, "KNOWN_PAIRS", 300)
+    ours, asked = piece_codec.PieceCodec(piece_codec.model_path()), Counter()
+    encode = ours.encode_chunk
+    monkeypatch.setattr(ours, "encode_chunk", lambda c: asked.update([c]) or encode(c))
+    r = random.Random(9)
+    rare = lambda: "".join(r.choice("abcdeghilnorstuéßЖд") for _ in range(r.randint(3, 14)))
+    often = ["representations", "Gedächtnis", "counterexample", "élémentaire"]
+    texts = [" ".join([*often, *(rare() + r.choice(["", ",", "...", "!?", "5.2", "日本", "\r", "\x00"]) for _ in range(60))]) for _ in range(40)]
+    texts += ["", " ", "\n", "▁▁ a▁b", "  two  spaces ", "<s>hi</s>", " 5 55", "x" * 70 + " " + "ab." * 50, "日本語" * 40, "ab" * 300 + "\n\n" + " " * 80 + "é😀Č Є"]
+    r.shuffle(texts)
+    for t, (n, ids_sha256, decoded_sha256) in zip(texts, [x for b in piece_codec.bundles(texts) for x in ours.digests(b)], strict=True):
+        ids = library.encode(t, add_eos=True)
+        assert (n, ids_sha256, decoded_sha256) == (len(ids), sha(" ".join(map(str, ids))), sha(library.decode(ids)))
+    assert len(asked) > 1000 and max(map(len, [*ours.table, *ours.old])) <= piece_codec.LONG_CHUNK
+    assert ours.held < piece_codec.TABLE_BYTES and sum(len(c) for c in [*ours.table, *ours.old]) < piece_codec.TABLE_BYTES
+    assert [asked[" " + w] for w in often] == [1, 1, 1, 1]
+    asked.clear()
+    ours.digests(["Wohnungen Wohnungen, Wohnungen. Wohnungen! Wohnungen... Wohnungen"])
+    assert asked[" Wohnungen"] == 1 and not any("Wohnungen" in c for c in asked if c != " Wohnungen")
+    monkeypatch.setattr(piece_codec, "BUNDLE", 10)
+    assert list(piece_codec.bundles(["abc", "", "defghij", "x" * 30, "k"])) == [["abc", "", "defghij"], ["x" * 30], ["k"]]
+
+
 @pytest.mark.parametrize("run", (exact_dedup.exact_duplicates, mixing.mix_plan, near_dedup.near_duplicates, quality.verdicts, line_dedup.drop_lines, substring_dedup.without_repeats, suffix_dedup.without_repeats, pii.personal_data, piece_codec.token_digests))
 def test_empty_table_and_null_ids(spark, run):
     assert run(spark.createDataFrame([], NEEDED)).count() == 0
