@@ -49,6 +49,8 @@ BUNDLE, STRIDE = 1 << 19, 1 << 16
 #: Pairs of pieces whose compatibility a worker remembers, about 80 bytes each.
 KNOWN_PAIRS = 1 << 18
 MODEL = "piece_bpe_32k.model"
+#: States by the next character, the state of the longest ending (None at the root), pieces with their sizes.
+State = tuple[dict[str, "State"], "State | None", tuple[tuple[str, int], ...]]
 
 
 def model_path(name: str = MODEL) -> str:
@@ -81,17 +83,20 @@ class PieceCodec:
         #: Whether a piece may stand after another one, as far as asked: right pieces by left piece.
         self.beside: dict[str, dict[str, bool]] = {}
         self.pairs = 0
-        #: The automaton: its states are the beginnings of pieces, with the pieces that end there, longest first.
-        self.ending: dict[str, tuple[tuple[str, int], ...]] = {"": ()}
         # A piece that no merge makes never stands in an encoding.
         made = {p for p in self.ids if len(p) == 1 or self.split(p)}
-        for state in sorted({p[:n] for p in made for n in range(1, len(p) + 1)}, key=len):
-            shorter = state[1:]
-            while shorter not in self.ending:
-                shorter = shorter[1:]
-            if state in made:
-                self.beside[state] = {}
-            self.ending[state] = (((state, len(state)),) if state in made else ()) + self.ending[shorter]
+        #: The automaton; pieces that end at a state are listed longest first.
+        self.root: State = ({}, None, ())
+        states = {"": self.root}
+        for name in sorted({p[:n] for p in made for n in range(1, len(p) + 1)}, key=len):
+            ending = name[1:]
+            while ending not in states:
+                ending = ending[1:]
+            pieces_here = states[ending][2]
+            if name in made:
+                self.beside[name] = {}
+                pieces_here = ((name, len(name)), *pieces_here)
+            states[name] = states[name[:-1]][0][name[-1]] = ({}, states[ending], pieces_here)
         kinds: list[set[str]] = []
         for kind in (set(p) - {" "} for p in self.rank):
             kinds, met = [k for k in kinds if not k & kind], [k for k in kinds if k & kind]
@@ -100,9 +105,8 @@ class PieceCodec:
         self.kinds = ["".join(map(re.escape, sorted(k))) for k in sorted(kinds, key=len, reverse=True) if k]
         one_kind = "|".join(f"[{k}]+" for k in self.kinds)
         self.chunk = re.compile(f" *+(?:{one_kind})| +|[^ {''.join(self.kinds)}]+")
-        self.longest = max(map(len, made))
-        #: The text read last, with the last token at each place.
-        self.read, self.last = "", [""]
+        #: The text read last, with the state and the last token at each place.
+        self.read, self.states, self.last = "", [self.root], [""]
         #: Ids of chunks seen, as text; `odd` holds those whose decoded text isn't the chunk itself.
         self.table: dict[str, str] = {}
         self.old: dict[str, str] = {}
@@ -149,24 +153,21 @@ class PieceCodec:
 
     def last_tokens(self, text: str) -> list[str]:
         """The last token of every prefix of a text of known characters, till the next call; place 0 stays empty."""
-        last, ending, beside = self.last, self.ending, self.beside
+        states, last, beside = self.states, self.last, self.beside
         end = 0
         for x, y in zip(self.read, text):
             if x != y:
                 break
             end += 1
-        del last[end + 1 :]
-        self.read, state = text, text[max(end - self.longest, 0) : end]
-        while state not in ending:
-            state = state[1:]
+        del states[end + 1 :], last[end + 1 :]
+        self.read, state = text, states[end]
         for c in text[end:]:
             end += 1
-            state += c
-            found = ending.get(state)
-            while found is None:
-                state = state[1:]
-                found = ending.get(state)
-            for piece, size in found:
+            while (after := state[0].get(c)) is None:
+                state = state[1]
+            state = after
+            states.append(state)
+            for piece, size in state[2]:
                 if end != size:
                     left = last[end - size]
                     fits = beside[left].get(piece)
