@@ -38,7 +38,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from pitwell.llm.shared import Words, as_long, documents, key_join, keyed, mix, one_of_equal, slices, span_hash, spread_join, stored
+from pitwell.llm.shared import Words, as_long, documents, in_batches, key_join, keyed, mix, one_of_equal, parts_of, slices, span_hash, spread_join, stored
 
 SHINGLE = 5
 #: Share of a set's hash order that the screen looks at, in tenths, and the least shared part of a set (0.15 x 0.75).
@@ -79,7 +79,7 @@ def set_table(docs: DataFrame) -> DataFrame:
                 sig = np.array([signature(s) for s in sets], np.uint64)
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array([len(s) for s in sets], pa.int32()), as_long(sig)], names=["doc_id", "n", "sig"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, n int, sig long")
+    return docs.select("doc_id", "text").transform(in_batches, run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, n int, sig long")
 
 
 def screened(docs: DataFrame, classes: DataFrame) -> DataFrame:
@@ -89,6 +89,7 @@ def screened(docs: DataFrame, classes: DataFrame) -> DataFrame:
         """Sets that share a shingle here get their hits now (a row dealt by the set, open = -hits); a shingle leaves with one set, open = 1 if that has no hit for it yet."""
         order = np.lexsort((sig, shingle))
         shingle, sig = shingle[order], sig[order]
+        del order
         new = np.ones(len(shingle), bool)
         new[1:] = (shingle[1:] != shingle[:-1]) | (sig[1:] != sig[:-1])
         shingle, sig = shingle[new], sig[new]
@@ -96,25 +97,33 @@ def screened(docs: DataFrame, classes: DataFrame) -> DataFrame:
         first[1:] = shingle[1:] != shingle[:-1]
         size = np.diff(np.append(np.flatnonzero(first), len(shingle)))
         alone = size == 1
-        yield pa.RecordBatch.from_arrays([as_long(shingle[first]), as_long(sig[first]), pa.array(alone.astype(np.int32))], names=["shingle", "sig", "open"])
+        yield from parts_of(pa.RecordBatch.from_arrays([as_long(shingle[first]), as_long(sig[first]), pa.array(alone.astype(np.int32))], names=["shingle", "sig", "open"]))
         hit, count = np.unique(sig[np.repeat(~alone, size)], return_counts=True)
         yield pa.RecordBatch.from_arrays([as_long(hit), as_long(hit), pa.array(-count.astype(np.int32))], names=["shingle", "sig", "open"])
 
     def first_part(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shingles, sigs, held = [], [], 0
+        shingles, sigs, sizes, held = [], [], [], 0
+
+        def taken() -> tuple[np.ndarray, np.ndarray]:
+            out = np.concatenate(shingles), np.repeat(np.array(sigs, np.uint64), sizes)
+            for x in (shingles, sigs, sizes):
+                x.clear()
+            return out
+
         for b in batches:
             for part in slices(b):
                 for s in shingle_sets(part.column(0)):
                     if len(s):
-                        cut = s[: max(-(-len(s) * SCREEN_TENTHS // 10), len(s) - (-(-3 * len(s) // 4)) + 1)]
-                        shingles.append(cut)
-                        sigs.append(np.full(len(cut), signature(s)))
-                        held += len(cut)
+                        # A copy: a part of the array would hold all of it.
+                        shingles.append(s[: max(-(-len(s) * SCREEN_TENTHS // 10), len(s) - (-(-3 * len(s) // 4)) + 1)].copy())
+                        sigs.append(signature(s))
+                        sizes.append(len(shingles[-1]))
+                        held += sizes[-1]
                 if held >= LOCAL_ROWS:
-                    yield from settled(np.concatenate(shingles), np.concatenate(sigs))
-                    shingles, sigs, held = [], [], 0
+                    yield from settled(*taken())
+                    held = 0
         if held:
-            yield from settled(np.concatenate(shingles), np.concatenate(sigs))
+            yield from settled(*taken())
 
     def shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Hits of the open rows whose shingle another set has too. Rows come sorted by shingle and set; the last shingle waits."""
@@ -144,9 +153,9 @@ def screened(docs: DataFrame, classes: DataFrame) -> DataFrame:
         if held:
             yield counted(*map(np.concatenate, zip(*held)))
 
-    rows = docs.filter("text IS NOT NULL").select("text").mapInArrow(first_part, "shingle long, sig long, open int")
+    rows = docs.filter("text IS NOT NULL").select("text").transform(in_batches, first_part, "shingle long, sig long, open int")
     dealt = rows.repartition("shingle").sortWithinPartitions("shingle", "sig")
-    counts = dealt.mapInArrow(shared, "sig long, hits long").groupBy("sig").agg(F.sum("hits").alias("hits"))
+    counts = dealt.transform(in_batches, shared, "sig long, hits long").groupBy("sig").agg(F.sum("hits").alias("hits"))
     return counts.join(classes, "sig").filter(F.col("hits") >= F.greatest(F.lit(1), F.floor(F.col("n") * LEAST_SHARED))).select("sig", "doc_id")
 
 
@@ -166,7 +175,7 @@ def ordered_sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
                     yield pa.RecordBatch.from_arrays([as_long(np.concatenate(sets)), as_long(sig), pa.array(np.repeat(size, size).astype(np.int32))], names=["shingle", "sig", "n"])
 
     texts = docs.join(ids, docs["doc_id"].eqNullSafe(ids["wanted_id"]), "left_semi").select("text")
-    rows = texts.mapInArrow(run, "shingle long, sig long, n int")
+    rows = texts.transform(in_batches, run, "shingle long, sig long, n int")
     rows = stored(rows.join(sigs, "sig", "left_semi"), "op2-shingles")
     # A null or repeated id may bring in copies of a set; counts only order the shingles, and lists are made distinct.
     counts = stored(rows.groupBy("shingle").agg(F.count("*").alias("n"), (F.min("sig") < F.max("sig")).alias("several")).filter("several").select("shingle", "n", F.col("n").alias("c")), "op2-counts")
@@ -357,7 +366,7 @@ def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     probes = blocks.withColumn("y", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks").cast("long") - 1))).join(s, F.col("a") == F.col("s")).select(F.col("a").alias("x"), "y", F.lit(0).alias("side"), F.col("a").alias("sig"), F.col("size").alias("n"), "shingles")
     # Names of groups must not be equal by chance, which means something else in joined_groups.
     rows = probes.unionByName(members).withColumn("y", F.when(F.col("x") == F.col("y"), -1 - F.col("y")).otherwise(F.col("y")))
-    return rows.repartition("x", "y").sortWithinPartitions("x", "y", "side").mapInArrow(joined_groups, "a long, b long").distinct()
+    return rows.repartition("x", "y").sortWithinPartitions("x", "y", "side").transform(in_batches, joined_groups, "a long, b long").distinct()
 
 
 def list_links(rows: DataFrame, sets: DataFrame) -> DataFrame:
@@ -379,7 +388,7 @@ def list_links(rows: DataFrame, sets: DataFrame) -> DataFrame:
     members = blocks.join(sets.select("sig", "n", "shingles"), "sig")
     sides = F.when(F.col("x") == F.col("y"), F.array(F.struct(F.lit(0).alias("side"), F.col("x").alias("block")))).otherwise(F.array(F.struct(F.lit(0).alias("side"), F.col("x").alias("block")), F.struct(F.lit(1).alias("side"), F.col("y").alias("block"))))
     rows = pairs.select("x", "y", F.explode(sides).alias("s")).select("x", "y", "s.*").join(members, "block").select("x", "y", "side", "sig", "n", "shingles")
-    return rows.repartition("x", "y").sortWithinPartitions("x", "y", "side").mapInArrow(joined_groups, "a long, b long").distinct()
+    return rows.repartition("x", "y").sortWithinPartitions("x", "y", "side").transform(in_batches, joined_groups, "a long, b long").distinct()
 
 
 def components(links: DataFrame, label: str = "op2-stars") -> DataFrame:

@@ -39,7 +39,7 @@ from sys import getsizeof
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-from pitwell.llm.shared import documents
+from pitwell.llm.shared import documents, in_batches
 
 MARK = "▁"
 #: Bytes of the table of chunks seen in a worker, about, and characters of the longest chunk that is kept there.
@@ -306,7 +306,7 @@ def encoded(docs: DataFrame, path: str | None = None) -> DataFrame:
                 ids = [c.encode(t or "") for t in part.column(1).to_pylist()]
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(ids, pa.list_(pa.int32()))], names=["doc_id", "ids"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, ids array<int>")
+    return docs.select("doc_id", "text").transform(in_batches, run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, ids array<int>")
 
 
 def decoded(ids: DataFrame, path: str | None = None) -> DataFrame:
@@ -319,7 +319,7 @@ def decoded(ids: DataFrame, path: str | None = None) -> DataFrame:
             texts = [c.decode(x or []) for x in b.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(texts, pa.string())], names=["doc_id", "text"])
 
-    return ids.select("doc_id", "ids").mapInArrow(run, f"doc_id {ids.schema['doc_id'].dataType.simpleString()}, text string")
+    return ids.select("doc_id", "ids").transform(in_batches, run, f"doc_id {ids.schema['doc_id'].dataType.simpleString()}, text string")
 
 
 def token_digests(docs: DataFrame, path: str | None = None) -> DataFrame:
@@ -336,7 +336,7 @@ def token_digests(docs: DataFrame, path: str | None = None) -> DataFrame:
                 at += len(texts)
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    return docs.select("doc_id", "text").transform(in_batches, run, f"doc_id {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string")
 
 
 def op9_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:

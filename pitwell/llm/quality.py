@@ -35,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from pitwell.llm.shared import Words, both, bytes_hash, covered, documents, key_join, keyed, slices, spread_join, stored, sums
+from pitwell.llm.shared import Words, both, bytes_hash, covered, documents, in_batches, key_join, keyed, slices, spread_join, stored, sums
 
 LEAST_WORDS, REPEAT_WINDOW, MOST_REPEATED = 20, 8, 30
 #: Share of a group's rows that the scatter is estimated from, its consistency factor for five dimensions
@@ -100,7 +100,7 @@ def text_counts(docs: DataFrame, keys: tuple[str, ...] = ("doc_id", "lang", "sou
                 yield pa.RecordBatch.from_arrays([*(part.column(k) for k in keys), *(pa.array(c[n].astype(np.int64)) for n in names)], names=[*keys, *names])
 
     kept = ", ".join(f"{k} {docs.schema[k].dataType.simpleString()}" for k in keys)
-    return docs.select(*keys, "text").mapInArrow(run, f"{kept}, " + ", ".join(f"{n} long" for n in names))
+    return docs.select(*keys, "text").transform(in_batches, run, f"{kept}, " + ", ".join(f"{n} long" for n in names))
 
 
 def transformed(counts: DataFrame) -> DataFrame:
@@ -204,7 +204,7 @@ def starts(cells: DataFrame, prior: tuple[np.ndarray, np.ndarray] | None) -> Dat
         # Starts have no place in the search for the smallest determinant, only where they lead to.
         return [(*(e := estimate(r["key"], k, n, *shrunk(n, c, s, prior)))[:3], float("inf"), *e[4:]) for k, (c, s) in enumerate(found)]
 
-    return stored(sums_.mapInArrow(rows_of(make), ESTIMATE), "op4-starts")
+    return stored(sums_.transform(in_batches, rows_of(make), ESTIMATE), "op4-starts")
 
 
 def concentrated(cells: DataFrame, now: DataFrame, prior: tuple[np.ndarray, np.ndarray] | None) -> DataFrame:
@@ -224,7 +224,7 @@ def concentrated(cells: DataFrame, now: DataFrame, prior: tuple[np.ndarray, np.n
         mean = first / held
         return [estimate(r["key"], r["start"], r["n"], *shrunk(held, mean, CONSISTENCY * (square(second / held) - np.outer(mean, mean)), prior))]
 
-    return listed.mapInArrow(rows_of(make), ESTIMATE)
+    return listed.transform(in_batches, rows_of(make), ESTIMATE)
 
 
 def smallest_determinants(cells: DataFrame, prior: tuple[np.ndarray, np.ndarray] | None) -> DataFrame:

@@ -9,7 +9,7 @@ from __future__ import annotations
 import hashlib
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import reduce
 
 import numpy as np
@@ -21,6 +21,8 @@ from pyspark.sql import functions as F
 #: The white space of the operators' contracts, space and \t to \r, and a Java/DuckDB class for it.
 SPACE_CLASS = r"[\x20\x09-\x0D]+"
 SLICE_BYTES = 1 << 18
+#: Bytes of the batches in which tasks hand rows to Python, about, and Spark's setting for them.
+BATCH_BYTES, BATCH_LIMIT = 4 << 20, "spark.sql.execution.arrow.maxBytesPerBatch"
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -42,6 +44,18 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def in_batches(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
+    """df.mapInArrow(run, schema) in batches of about BATCH_BYTES, or of the session's limit where the user has set one.
+
+    Spark's own bounds are 10,000 rows and 64 MB; such a batch takes several times its size outside the heap of an
+    executor while its buffers grow, and stays in the Python worker as long as its rows are read.
+    """
+    conf = df.sparkSession.conf
+    if BATCH_LIMIT not in conf.getAll:
+        conf.set(BATCH_LIMIT, BATCH_BYTES)
+    return df.mapInArrow(run, schema)
+
+
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
@@ -286,5 +300,11 @@ def covered(starts: np.ndarray, size: int, n: int) -> np.ndarray:
     return np.cumsum(steps[:-1]) > 0
 
 
+def parts_of(batch: pa.RecordBatch, rows: int = 1 << 16) -> Iterator[pa.RecordBatch]:
+    """The batch in parts of so many rows; Spark reads what Python returns a batch at a time, outside the heap."""
+    for at in range(0, batch.num_rows, rows):
+        yield batch.slice(at, rows)
+
+
 def as_long(x: np.ndarray) -> pa.Array:
     return pa.array(x.view(np.int64) if x.dtype == np.uint64 else x.astype(np.int64))

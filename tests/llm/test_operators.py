@@ -543,3 +543,29 @@ def test_language_of_empty_tables_and_null_ids(spark):
     assert got == [(0, "en"), (0, "und"), (1, "de"), (1, "und")]
     # Without anything to learn from, every text is undetermined.
     assert {x.lang_pred for x in language_id.predicted(docs, *language_id.prototypes(docs.filter("lang = 'xx'"))).collect()} == {"und"}
+
+
+@pytest.mark.parametrize("step", [quality.text_counts, near_dedup.set_table, piece_codec.token_digests])
+def test_batches_are_bounded_by_bytes(spark, step):
+    """600 texts of 40,000 bytes would be one batch of 24 MB by Spark's own limits; a limit of the session stays."""
+
+    def sizes(batches):
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([b.num_rows]), pa.array([b.nbytes])], names=["n", "size"])
+
+    long = spark.range(0, 600, 1, 1).select(F.col("id").alias("doc_id"), F.repeat(F.lit("word "), 8000).alias("text"), F.lit("en").alias("lang"), F.lit("s").alias("source"))
+    limit = "spark.sql.execution.arrow.maxBytesPerBatch"
+    spark.conf.unset(limit)
+    assert step(long).count() == 600
+    got = long.mapInArrow(sizes, "n long, size long").collect()
+    assert sum(x.n for x in got) == 600 and max(x.size for x in got) <= 5 << 20
+    spark.conf.set(limit, "1m")
+    step(long)
+    assert spark.conf.get(limit) == "1m"
+    spark.conf.unset(limit)
+
+
+def test_parts_of_batches():
+    batch = pa.RecordBatch.from_arrays([pa.array(range(10))], names=["x"])
+    assert [p.column(0).to_pylist() for p in shared.parts_of(batch, 4)] == [[0, 1, 2, 3], [4, 5, 6, 7], [8, 9]]
+    assert not list(shared.parts_of(batch.slice(0, 0)))
