@@ -148,6 +148,34 @@ def test_block_pairs(spark):
     assert [tuple(x) for x in block_pairs(flat, "key", "at", "x").collect()] == [("a", "b", 3, 2.0, None)]
 
 
+def test_equal_series(spark):
+    """Copies of a series give all pairs of keys, in batches, and rows of equal values leave side by side."""
+    import numpy as np
+    import pyarrow as pa
+
+    from pitwell.operators import joins
+    from pitwell.operators.joins import block_pairs, pairwise
+
+    r = np.random.default_rng(7)
+    base = [(k, d, float(v)) for k in range(4) for d, v in enumerate(r.normal(size=20)) if d % 7 != k]
+    df = spark.createDataFrame(base, "key long, at int, x double")
+    want = {(x.a, x.b): (x.n, x.max_diff, x.corr) for x in pairwise(df, "key", "at", "x").collect()} | {(k, k): (sum(y[0] == k for y in base), 0.0, 1.0) for k in range(4)}
+    # More copies than one row of equal series holds, and keys of copies far apart.
+    copies = joins.EQUAL_SERIES + 44
+    out = block_pairs(df.crossJoin(spark.range(copies)).withColumn("key", F.col("id") * 4 + F.col("key")), "key", "at", "x", block_series=100).toArrow()
+    a, b, n, far, corr = (out[c].to_numpy() for c in ("a", "b", "n", "max_diff", "corr"))
+    series = 4 * copies
+    assert len(a) == series * (series - 1) // 2 == len(np.unique(a * series + b)) and (a < b).all() and b.max() < series
+    lo, hi = np.minimum(a % 4, b % 4), np.maximum(a % 4, b % 4)
+    for (i, j), x in want.items():
+        at = (lo == i) & (hi == j)
+        assert at.any() and (n[at] == x[0]).all() and (far[at] == x[1]).all() and np.abs(corr[at] - x[2]).max() < 1e-9
+    assert ((lo[1:] != lo[:-1]) | (hi[1:] != hi[:-1])).sum() < 100
+    one = pa.table({"p": [0, 0], "q": [0, 0], "second": [False, False], "ks": [list(range(0, 1400, 2)), list(range(1, 1400, 2))], "t": [[1, 2, 3]] * 2, "x": [[1.0, 2.0, 4.0], [3.0, 2.0, 5.0]]})
+    sizes = [x.num_rows for x in joins._two_blocks(one, 2, True)]
+    assert sum(sizes) == 1400 * 1399 // 2 and max(sizes) <= joins.BATCH_ROWS
+
+
 def test_boosted_cells(spark):
     """Boosted trees on weighted cells predict what those on the binned rows predict; a fit on cells reads few rows."""
     import numpy as np
